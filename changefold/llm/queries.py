@@ -7,19 +7,29 @@ from pyspark.sql import functions as F
 
 from changefold.llm.common import table
 from changefold.llm.decontam import report
+from changefold.llm.jaccard import jaccard_groups
 from changefold.llm.lines import dedup_lines
 from changefold.llm.mixing import mix_sources
+from changefold.llm.telephony import media_rows
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_rows(table(spark, sf_dir, "documents"), keep=False)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,5 +60,20 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM dw LEFT JOIN p ON dw.rid = p.rid LEFT JOIN t ON dw.rid = t.rid
 """
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op3_line_dedup": op3_line_dedup, "op6_decontamination": op6_decontamination}
-ORACLE: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL}
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS g
+      FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+f AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+c AS (SELECT x.rid AS a, y.rid AS b, count(*) AS k FROM s x JOIN f USING (g) JOIN s y ON x.g = y.g AND x.rid <> y.rid GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n p ON p.rid = a JOIN n q ON q.rid = b WHERE 100 * k >= 90 * (p.n + q.n - k)),
+r AS (WITH RECURSIVE reach(root, rid) AS (SELECT rid, rid FROM d UNION SELECT root, b FROM reach JOIN l ON rid = a) SELECT * FROM reach),
+t AS (SELECT root, min(doc_id) AS component_id FROM r JOIN d ON r.rid = d.rid GROUP BY root),
+g AS (SELECT a, count(DISTINCT b) AS n FROM l GROUP BY a)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id
+FROM d LEFT JOIN n ON d.rid = n.rid LEFT JOIN t ON d.rid = t.root
+"""
+
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_jaccard_join": op2_jaccard_join, "op3_line_dedup": op3_line_dedup, "op5_telephony_audio": op5_telephony_audio, "op6_decontamination": op6_decontamination}
+ORACLE: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL}
