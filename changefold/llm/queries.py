@@ -10,6 +10,7 @@ from changefold.llm.decontam import report
 from changefold.llm.jaccard import jaccard_groups
 from changefold.llm.lines import dedup_lines
 from changefold.llm.mixing import mix_sources
+from changefold.llm.quality import score_quality
 from changefold.llm.telephony import media_rows
 
 
@@ -60,6 +61,11 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM dw LEFT JOIN p ON dw.rid = p.rid LEFT JOIN t ON dw.rid = t.rid
 """
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT rid, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS g
@@ -75,5 +81,5 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id
 FROM d LEFT JOIN n ON d.rid = n.rid LEFT JOIN t ON d.rid = t.root
 """
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_jaccard_join": op2_jaccard_join, "op3_line_dedup": op3_line_dedup, "op5_telephony_audio": op5_telephony_audio, "op6_decontamination": op6_decontamination}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_jaccard_join": op2_jaccard_join, "op3_line_dedup": op3_line_dedup, "op5_telephony_audio": op5_telephony_audio, "op6_decontamination": op6_decontamination, "op10_quality_classifier": op10_quality_classifier}
 ORACLE: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL}
