@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from changefold.llm.common import table
 from changefold.llm.decontam import report
+from changefold.llm.html import extract_pages
 from changefold.llm.jaccard import jaccard_groups
 from changefold.llm.lines import dedup_lines
 from changefold.llm.mixing import mix_sources
@@ -27,6 +28,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_rows(table(spark, sf_dir, "documents"), keep=False)
 
@@ -81,5 +86,5 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id
 FROM d LEFT JOIN n ON d.rid = n.rid LEFT JOIN t ON d.rid = t.root
 """
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_jaccard_join": op2_jaccard_join, "op3_line_dedup": op3_line_dedup, "op5_telephony_audio": op5_telephony_audio, "op6_decontamination": op6_decontamination, "op10_quality_classifier": op10_quality_classifier}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_jaccard_join": op2_jaccard_join, "op3_line_dedup": op3_line_dedup, "op4_html_extraction": op4_html_extraction, "op5_telephony_audio": op5_telephony_audio, "op6_decontamination": op6_decontamination, "op10_quality_classifier": op10_quality_classifier}
 ORACLE: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL}
