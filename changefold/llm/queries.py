@@ -9,10 +9,13 @@ from changefold.llm.common import table
 from changefold.llm.decontam import report
 from changefold.llm.html import extract_pages
 from changefold.llm.jaccard import jaccard_groups
+from changefold.llm.language import identify_pages
+from changefold.llm.licenses import KNOWN, SPELLINGS, scan_licenses
 from changefold.llm.lines import dedup_lines
 from changefold.llm.mixing import mix_sources
 from changefold.llm.quality import score_quality
 from changefold.llm.telephony import media_rows
+from changefold.llm.warc import audit, damaged
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +69,19 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM dw LEFT JOIN p ON dw.rid = p.rid LEFT JOIN t ON dw.rid = t.rid
 """
 
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return audit(pages, damaged(pages))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -86,5 +102,37 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id
 FROM d LEFT JOIN n ON d.rid = n.rid LEFT JOIN t ON d.rid = t.root
 """
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_jaccard_join": op2_jaccard_join, "op3_line_dedup": op3_line_dedup, "op4_html_extraction": op4_html_extraction, "op5_telephony_audio": op5_telephony_audio, "op6_decontamination": op6_decontamination, "op10_quality_classifier": op10_quality_classifier}
-ORACLE: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL}
+OP7_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, md5(concat(coalesce(CAST(page_id AS VARCHAR), ''), chr(31), coalesce(url, ''), chr(31), coalesce(html, ''))) AS name, coalesce(url, '') AS url FROM pages),
+r AS (SELECT *, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(html) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM p),
+f AS (SELECT page_id, name, html, strlen(rec) AS bytes, sha256(rec) AS digest, CAST('0x' || substr(name, 1, 8) AS BIGINT) % (SELECT greatest(1, CAST(ceil(count(*) / 256.0) AS BIGINT)) FROM pages) AS file FROM r),
+s AS (SELECT *, row_number() OVER w - 1 AS seq, sum(bytes) OVER (w ROWS UNBOUNDED PRECEDING) - bytes AS start FROM f WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST, name, digest)),
+l1 AS (SELECT file, seq // 16 AS seq, sha256(string_agg(digest, '' ORDER BY seq)) AS digest FROM s GROUP BY file, seq // 16),
+l2 AS (SELECT file, seq // 16 AS seq, sha256(string_agg(digest, '' ORDER BY seq)) AS digest FROM l1 GROUP BY file, seq // 16),
+l3 AS (SELECT file, sha256(string_agg(digest, '' ORDER BY seq)) AS file_root FROM l2 GROUP BY file)
+SELECT page_id, s.file AS file, CAST(start AS BIGINT) AS record_offset, bytes AS n_bytes, digest AS record_sha256, file_root,
+       NOT (substr(name, 9, 2) IN ('00', '40', '80', 'c0') AND length(html) > 0 AND substr(html, length(html) // 2 + 1, 1) <> chr(0)) AS intact
+FROM s JOIN l3 ON s.file = l3.file
+"""
+
+def _license_sql() -> str:
+    known = ", ".join("('{}', '{}')".format(i, body.replace("'", "''")) for i, body in KNOWN)
+    canon = "replace(' ' || regexp_replace(low, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g') || ' ', '  ', ' ')"
+    for odd, usual in SPELLINGS.items():
+        canon = f"replace({canon}, ' {odd} ', ' {usual} ')"
+    return rf"""
+WITH k AS (SELECT row_number() OVER () AS kid, * FROM (VALUES {known}) AS v(license_id, body)),
+t AS (SELECT 'd' AS kind, row_number() OVER () AS rid, coalesce(text, '') AS body FROM documents UNION ALL SELECT 'k', kid, body FROM k),
+s AS (SELECT kind, rid, string_split(body, chr(10)) AS ls FROM t),
+l AS (SELECT kind, rid, generate_subscripts(ls, 1) AS pos, translate(unnest(ls), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM s),
+c AS (SELECT kind, rid, pos, CASE WHEN regexp_matches(low, '^[^a-z0-9]*(copyright|\(c\)|©).*$') THEN '' ELSE trim({canon}, ' ') END AS line FROM l),
+w AS (SELECT kind, rid, coalesce(string_agg(line, ' ' ORDER BY pos) FILTER (line <> ''), '') AS whole FROM c GROUP BY ALL),
+n AS (SELECT whole AS canon, min(license_id) AS found FROM w JOIN k ON w.rid = k.kid WHERE kind = 'k' AND whole <> '' GROUP BY whole),
+o AS (SELECT rid, count(*) AS n_notices, string_agg(found, ',' ORDER BY found) AS notices FROM (SELECT DISTINCT rid, found FROM c JOIN n ON c.line = n.canon WHERE kind = 'd') GROUP BY rid)
+SELECT doc_id, sha256(whole) AS digest, n.found AS license_id, coalesce(notices, '') AS notices, coalesce(n_notices, 0) AS n_notices
+FROM (SELECT doc_id, row_number() OVER () AS rid FROM documents) d JOIN w ON w.rid = d.rid AND w.kind = 'd' LEFT JOIN n ON n.canon = w.whole LEFT JOIN o ON o.rid = d.rid
+"""
+
+
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_jaccard_join": op2_jaccard_join, "op3_line_dedup": op3_line_dedup, "op4_html_extraction": op4_html_extraction, "op5_telephony_audio": op5_telephony_audio, "op6_decontamination": op6_decontamination, "op7_warc_fixity": op7_warc_fixity, "op8_language_id": op8_language_id, "op9_license_scan": op9_license_scan, "op10_quality_classifier": op10_quality_classifier}
+ORACLE: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL, "op7_warc_fixity": OP7_SQL, "op9_license_scan": _license_sql()}
