@@ -43,15 +43,14 @@ def canonical_lines(text: Column) -> Column:
     """Normalised non-empty lines: A-Z lower-cased, copyright lines dropped, runs of ASCII
     characters other than letters and digits turned into one space, spellings made equal."""
 
-    def normal(line: Column) -> Column:
-        low = ascii_lower(line)
+    def normal(low: Column) -> Column:
         out = F.concat(F.lit(" "), F.regexp_replace(low, GAP, " "), F.lit(" "))
         out = F.replace(out, F.lit("  "), F.lit(" "))
         for odd, usual in SPELLINGS.items():
             out = F.replace(out, F.lit(f" {odd} "), F.lit(f" {usual} "))
         return F.when(low.rlike(COPYRIGHT), F.lit("")).otherwise(F.btrim(out))
 
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), normal)
+    lines = F.transform(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), ascii_lower), normal)
     return F.filter(lines, lambda x: x != "")
 
 
