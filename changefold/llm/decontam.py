@@ -98,10 +98,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, remove: str =
     separators after each, out of the text. Rows without hits come back as they are.
     """
     bad = find_hits(docs, bench, n).filter("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), F.col("spans").alias("_spans"))
+    bad = saved(bad, "bench-bad")
     keyed = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_rid") == F.col("_r"))
     if remove == "documents":
-        return keyed.join(bad, same, "left_anti").drop("_rid")
+        return keyed.join(broadcast_if_small(bad.drop("_spans"), MOST_ANCHORS), same, "left_anti").drop("_rid")
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     pieces = F.regexp_extract_all("text", F.lit(f"{word}{GAP[:-1]}*"), F.lit(0))
     lead = F.regexp_extract("text", f"^{GAP[:-1]}*", 0)
