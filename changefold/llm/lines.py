@@ -21,17 +21,14 @@ from changefold.llm.common import SPACES, ascii_lower, shared_dir
 NO_ID = -(2**63)
 
 
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(SPACES)))
-
-
 def line_hashes(text: Column, min_chars: int) -> Column:
     """An array with, for each line of the text, its two hashes; null if its key is short."""
-    def hashed(line: Column) -> Column:
-        key = line_key(line)
+    def hashed(key: Column) -> Column:
         return F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(F.lit(1), key).alias("h1"), F.xxhash64(F.lit(2), key).alias("h2")))
 
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), hashed)
+    # a transform for each step, as what a lambda names twice is computed twice
+    stripped = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.btrim(line, F.lit(SPACES)))
+    return F.transform(F.transform(stripped, ascii_lower), hashed)
 
 
 class LineRuns:
@@ -92,14 +89,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
     """Per distinct (doc_id, text) that loses lines: _did, _rid and their positions ``_drop``."""
+    # outer generators: the others make Spark test the array's size first, computing it twice
     hashed = _keyed(docs.select("doc_id", "text")).select("_did", "_rid", line_hashes(F.col("text"), min_chars).alias("_h"))
     runs = LineRuns(docs.sparkSession, fanout)
     for b in range(batches):
         batch = hashed.filter(F.pmod(F.xxhash64("_did"), F.lit(batches)) == b)
-        lines = batch.select(F.col("_did").alias("did"), F.explode(F.array_distinct(F.filter("_h", lambda x: x.isNotNull()))).alias("_l"))
-        runs.add(lines.select("did", "_l.h1", "_l.h2"))
+        lines = batch.select(F.col("_did").alias("did"), F.explode_outer(F.array_distinct(F.array_compact("_h"))).alias("_l"))
+        runs.add(lines.filter("_l is not null").select("did", "_l.h1", "_l.h2"))
     common = runs.totals().filter(F.col("n") >= min_docs).withColumnsRenamed({"h1": "g1", "h2": "g2"})
-    lines = hashed.select("_did", "_rid", F.posexplode("_h").alias("_pos", "_l")).filter("_l is not null").select("_did", "_rid", "_pos", "_l.h1", "_l.h2")
+    lines = hashed.select("_did", "_rid", F.posexplode_outer("_h").alias("_pos", "_l")).filter("_l is not null").select("_did", "_rid", "_pos", "_l.h1", "_l.h2")
     losing = lines.join(common, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).filter(F.col("_did") != F.col("top"))
     return losing.groupBy("_did", "_rid").agg(F.collect_set("_pos").alias("_drop"))
 
