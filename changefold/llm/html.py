@@ -174,8 +174,8 @@ def templates(pages: DataFrame) -> DataFrame:
 
     Copies of a page count once. An occurrence vector is held as its support and the
     exclusive or of hashes of (page, times), which sums up before the shuffle. Valid
-    classes of tokens nest: a text token belongs to the template if the tag that holds it
-    is on nearly all pages as well. The pages of a host never meet in one task, and a
+    classes of tokens nest: a text token of a class of several belongs to the template if the
+    tag that holds it is on nearly all pages as well. The pages of a host never meet in one task, and a
     host's template is no longer than its pages, since each token is on most of them.
     """
     distinct = pages.select("url", "html").distinct()
@@ -183,7 +183,9 @@ def templates(pages: DataFrame) -> DataFrame:
     size = distinct.groupBy(host_of(F.col("url")).alias("_host")).agg(F.count("*").alias("pages"))
     vectors = tokens.groupBy("host", "token").agg(F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "times")).alias("vector"))
     vectors = vectors.join(size, F.col("host") == F.col("_host")).filter((F.col("pages") >= MIN_PAGES) & (F.col("support") >= SUPPORT * F.col("pages")))
-    classes = vectors.groupBy("host", "vector", "support").agg(F.collect_list("token").alias("tokens")).filter(F.size("tokens") >= MIN_TOKENS)
+    classes = vectors.groupBy("host", "vector", "support").agg(F.collect_list("token").alias("tokens"))
+    tags = F.filter("tokens", lambda t: ~F.contains(t, F.lit("\0")))
+    classes = classes.select("host", F.when(F.size("tokens") >= MIN_TOKENS, F.col("tokens")).otherwise(tags).alias("tokens"))
     valid = classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("all"))
     nested = F.filter("all", lambda t: F.contains(t, F.lit("\0")) & F.array_contains("all", F.substring_index(t, "\0", 1)))
     return valid.select("host", nested.alias("template")).filter(F.size("template") > 0)
