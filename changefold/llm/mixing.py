@@ -20,6 +20,11 @@ from changefold.llm.common import WORD, broadcast_if_small, saved
 LEAST_BLOCKS, SHARD_BLOCKS, MOST_SHARDS = 400, 4096, 65536
 
 
+def seeded(seed: int, *parts: Column) -> Column:
+    """60 bits of a digest of the seed and the parts; nulls are left out."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
+
+
 def targets(sizes: DataFrame, weights: tuple, share: float, cap: float) -> DataFrame:
     """One row per source with its target in tokens.
 
@@ -90,10 +95,10 @@ def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5,
     shard, taken (words the mix takes, repeats counted; at most ``cap`` times the size).
     Defined results: null and empty texts have size 0 and take 0; null is a source of its
     own, last in order; rows with equal doc_id count as so many documents; a null doc_id is
-    kept; no rows give no rows. Reruns agree: order and block choice depend on hashes of
+    kept; no rows give no rows. Reruns agree: order and block choice depend on digests of
     seed, doc_id and text alone.
     """
-    slim = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("key"))
+    slim = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), seeded(seed, F.col("doc_id"), F.col("text")).alias("key"))
     slim = saved(slim, "mix-sizes")
     placed, shards = shard_quotas(slim, weights, share, cap, block_words)
     shards = shards.select("source", "shard", "tokens", "blocks", "quota")
@@ -101,7 +106,7 @@ def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5,
     line = placed.withColumn("end", F.sum("size").over(by_shard.orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)))
     line = line.join(shards.withColumnsRenamed({"source": "_source", "shard": "_shard"}), F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
     some = F.greatest("blocks", F.lit(1))
-    rest, start = F.pmod("quota", some), F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), some)
+    rest, start = F.pmod("quota", some), F.pmod(seeded(seed, F.col("source"), F.col("shard")), some)
 
     def chosen(block: Column) -> Column:
         return F.expr("0L") + F.floor((block * rest + start) / some)

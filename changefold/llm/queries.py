@@ -87,6 +87,30 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, CAST('0x' || substr(md5(concat_ws('|', '17', CAST(doc_id AS VARCHAR), text)), 1, 15) AS BIGINT) AS key FROM documents),
+s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+r AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
+w AS (SELECT *, ([5.0, 2.0, 1.0]::DOUBLE[])[(rank - 1) % 3 + 1] AS weight, source_size * 2.0::DOUBLE AS most FROM r),
+f AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY most / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+g AS (SELECT f.*, least(most, coalesce((SELECT level FROM f x WHERE x.level * x.weight <= x.most ORDER BY x.most / x.weight, x.rank LIMIT 1) * weight, most)) AS target FROM f),
+b AS (SELECT *, CAST(greatest(1, least(256, floor(coalesce(min(target) FILTER (target > 0) OVER (), 0) / 400))) AS BIGINT) AS block FROM g),
+n AS (SELECT *, CAST(round(sum(target) OVER () / block) AS BIGINT) AS all_seats FROM b),
+q AS (SELECT source, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, rank, i) AS place, all_seats FROM (SELECT *, unnest(range(all_seats)) AS i FROM n WHERE target > 0)),
+v AS (SELECT n.source, source_size, target, block, greatest(1, least(65536, CAST(ceil(source_size / (block * 4096)) AS BIGINT))) AS shards, (SELECT count(*) FROM q WHERE place <= q.all_seats AND q.source IS NOT DISTINCT FROM n.source) AS seats FROM n),
+p AS (SELECT d.doc_id, d.source, d.size, d.key, source_size, target, block, seats, key % shards AS shard FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source),
+h AS (SELECT source, shard, block, seats, sum(size) AS tokens FROM p GROUP BY ALL),
+z AS (SELECT source, shard, seats, row_number() OVER (PARTITION BY source ORDER BY tokens / (2 * i + 1) DESC, shard, i) AS place FROM (SELECT *, unnest(range(seats)) AS i FROM h WHERE tokens > 0)),
+k AS (SELECT source, shard, block, CAST(ceil(tokens / block) AS BIGINT) AS blocks, least((SELECT count(*) FROM z WHERE z.place <= z.seats AND z.shard = h.shard AND z.source IS NOT DISTINCT FROM h.source), 2 * CAST(ceil(tokens / block) AS BIGINT)) AS quota, greatest(CAST(ceil(tokens / block) AS BIGINT), 1) AS denom FROM h),
+o AS (SELECT *, quota % denom AS rest, CAST('0x' || substr(md5(concat_ws('|', '17', source, CAST(shard AS VARCHAR))), 1, 15) AS BIGINT) % denom AS phase FROM k),
+e AS (SELECT p.*, o.rest, o.phase, o.denom, o.quota, CAST(sum(size) OVER (PARTITION BY p.source, p.shard ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM p JOIN o ON o.shard = p.shard AND o.source IS NOT DISTINCT FROM p.source),
+c AS (SELECT *, upto // block AS b2, (upto - size) // block AS b1 FROM e)
+SELECT doc_id, size, source_size, target, source, CAST((quota // denom) * size
+  + ((b2 * rest + phase) // denom) * block + (upto - b2 * block) * (((b2 + 1) * rest + phase) // denom - (b2 * rest + phase) // denom)
+  - ((b1 * rest + phase) // denom) * block - (upto - size - b1 * block) * (((b1 + 1) * rest + phase) // denom - (b1 * rest + phase) // denom) AS BIGINT) AS taken
+FROM c
+"""
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT rid, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS g
@@ -135,4 +159,4 @@ FROM (SELECT doc_id, row_number() OVER () AS rid FROM documents) d JOIN w ON w.r
 
 
 QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_jaccard_join": op2_jaccard_join, "op3_line_dedup": op3_line_dedup, "op4_html_extraction": op4_html_extraction, "op5_telephony_audio": op5_telephony_audio, "op6_decontamination": op6_decontamination, "op7_warc_fixity": op7_warc_fixity, "op8_language_id": op8_language_id, "op9_license_scan": op9_license_scan, "op10_quality_classifier": op10_quality_classifier}
-ORACLE: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL, "op7_warc_fixity": OP7_SQL, "op9_license_scan": _license_sql()}
+ORACLE: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL, "op7_warc_fixity": OP7_SQL, "op9_license_scan": _license_sql()}
