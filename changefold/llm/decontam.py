@@ -56,11 +56,13 @@ def find_hits(docs: DataFrame, bench: DataFrame, n: int = 10) -> DataFrame:
         # place -1 keeps one row for each document, whether hit or not
         places = F.when(F.size("w") >= size, F.concat(F.array(F.lit(-1)), F.sequence(F.lit(0), F.size("w") - size, F.lit(step)))).otherwise(F.array(F.lit(-1)))
         tried = keyed.select("doc_id", "rid", "w", F.explode(places).alias("place"))
-        tried = tried.withColumn("key", F.when(F.col("place") >= 0, F.xxhash64(F.slice("w", F.col("place") + 1, F.lit(size)))))
+        # marks carry their row's hash, so that a shuffled join, used where the anchors are
+        # too many to broadcast, doesn't gather them in one task
+        tried = tried.withColumn("key", F.when(F.col("place") >= 0, F.xxhash64(F.slice("w", F.col("place") + 1, F.lit(size)))).otherwise(F.col("rid")))
         met = tried.join(anchors, tried["key"] == anchors["anchor"], "left").filter("place < 0 or anchor is not null")
         start = F.col("place") - F.col("off")
         same = (start >= 0) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.lit(length)) == F.col("win"))
-        met = met.filter((F.col("place") < 0) | same).select("doc_id", "rid", F.size("w").cast("long").alias("n_words"), "h1", "h2", start.alias("at"), F.when(F.col("h1").isNotNull(), F.lit(length)).otherwise(0).alias("len"))
+        met = met.filter((F.col("place") < 0) | same).select("doc_id", "rid", F.size("w").cast("long").alias("n_words"), F.when(F.col("place") >= 0, F.col("h1")).alias("h1"), F.when(F.col("place") >= 0, F.col("h2")).alias("h2"), start.alias("at"), F.lit(length).alias("len"))
         found = met if found is None else found.unionByName(met.filter("h1 is not null"))
     found = saved(rows if found is None else found, "bench-hits")
     copies = found.filter("h1 is null").groupBy("doc_id", "rid").agg(F.count("*").alias("copies"), F.max("n_words").alias("n_words"))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from changefold.llm import decontam
 from changefold.llm.decontam import decontaminate, report
 from changefold.llm.licenses import ISC, MIT, known_licenses, scan_licenses
 from changefold.llm.lines import LineRuns, dedup_lines
@@ -144,7 +145,9 @@ def contamination(docs, bench, n):
     return sorted(out, key=repr)
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_decontamination(spark, monkeypatch, most):
+    monkeypatch.setattr(decontam, "MOST_ANCHORS", most)
     rng = random.Random(4)
     word = lambda: rng.choice(["a", "b", "É", "é", "C3"]) + str(rng.randrange(4))
     bench = [(i, " ".join(word() for _ in range(rng.choice([12, 15, 30])))) for i in range(12)] + [(20, "a1, b2! C3"), (21, "solo"), (22, None), (23, "--"), (24, "one two three four five six seven")]
