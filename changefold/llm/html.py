@@ -20,8 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changefold.llm.common import broadcast_if_small, saved
+
 #: A class is valid on a host of ``MIN_PAGES`` pages if it spans ``SUPPORT`` of them.
 MIN_PAGES, SUPPORT, MIN_TOKENS = 8, 0.9, 2
+#: Hosts whose templates may be broadcast; beyond them pages are shuffled by host.
+MOST_TEMPLATES = 200
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|title|iframe|svg|select|math|canvas|object|audio|video)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)"
@@ -211,5 +215,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("_h"))
-    rows = rows.join(templates(pages), F.col("_h") == F.col("host"), "left")
+    deduced = broadcast_if_small(saved(templates(pages), "html-templates"), MOST_TEMPLATES)
+    rows = rows.join(deduced, F.col("_h") == F.col("host"), "left")
     return rows.select("page_id", "url", "html", "template").mapInArrow(convert, "page_id long, url string, text string, n_chars long")

@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changefold.llm.common import chunks, saved
+from changefold.llm.common import broadcast_if_small, chunks, saved
 from changefold.llm.html import Page, host_of
 
 #: Buckets of hashed trigrams; weight of one trigram, as neighbours aren't independent.
 BITS, TEMPER = 15, 0.2
 #: Pseudo-counts by which a host leans on its suffix and a suffix on all pages.
 LEAN = 10.0
+#: Hosts whose votes may be broadcast.
+MOST_HOSTS = 100_000
 
 
 def trigrams(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +140,7 @@ def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
         return float(np.log(right)), float(np.log((1 - right) / max(1, n - 1)))
 
     stated = {c: reliability(c) for c in ("declared", "code")}
-    by_suffix, by_host = _votes(rows, "suffix", n), _votes(rows, "host", n)
+    by_suffix, by_host = (broadcast_if_small(saved(_votes(rows, c, n), f"language-{c}"), MOST_HOSTS) for c in ("suffix", "host"))
     joined = rows.join(by_suffix, F.col("suffix") == F.col("_suffix")).join(by_host, F.col("host") == F.col("_host"))
 
     def fused(k: int) -> Column:
