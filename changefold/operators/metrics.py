@@ -64,10 +64,20 @@ def sink_latency_ms(samples: DataFrame, name: str = "cdc_sink_write_duration_sec
     return series_sum(samples, name, "sink").select("sink", F.round(F.col("value") * 1000, 2).alias("latency_ms"))
 
 
-def throughput_delta(samples: DataFrame, by: str, at: str, value: str) -> DataFrame:
-    """Growth of a counter since the sample before it, per series."""
-    before = F.lag(value).over(W.partitionBy(by).orderBy(at))
-    return samples.withColumn("delta", F.col(value) - before)
+def throughput_delta(samples: DataFrame, by: str, at: str, value: str, span: int = 1_000_000) -> DataFrame:
+    """Growth of a counter since the sample before it, per series; null for the first.
+
+    ``at`` is a number. A series is cut into spans of it, each of which looks back inside
+    itself; only the first sample of a span takes the last of the span before, from a table
+    with one row per span, so that a long series isn't ordered by one task.
+    """
+    slot = F.floor(F.col(at) / span)
+    rows = samples.withColumn("_slot", slot)
+    inside = F.lag(F.struct(F.col(value).alias("v"))).over(W.partitionBy(by, "_slot").orderBy(at))
+    ends = rows.groupBy(F.col(by).alias("_by"), F.col("_slot").alias("_s")).agg(F.max_by(F.struct(F.col(value).alias("v")), at).alias("_end"))
+    ends = ends.withColumn("_before", F.lag("_end").over(W.partitionBy("_by").orderBy("_s"))).drop("_end")
+    rows = rows.withColumn("_last", inside).join(ends, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_slot") == F.col("_s")), "left")
+    return rows.withColumn("delta", F.col(value) - F.coalesce("_last", "_before")["v"]).drop("_slot", "_last", "_by", "_s", "_before")
 
 
 def recent_history(samples: DataFrame, by: str, at: str, n: int = 20) -> DataFrame:

@@ -85,6 +85,10 @@ def register(kinds: dict[str, Callable], name: str, build: Callable) -> None:
     kinds[name] = build
 
 
+def list_types() -> dict[str, list[str]]:
+    return {"sources": sorted(SOURCES), "sinks": sorted(SINKS)}
+
+
 def builder(kinds: dict[str, Callable], name: str) -> Callable:
     if name not in kinds:
         raise ValueError(f"unknown type {name}; known are {', '.join(sorted(kinds))}")

@@ -482,7 +482,7 @@ def ag16(spark, d):
 
 @query("wn1_throughput_delta", "WITH {CHG} SELECT instance_id, seq, k, k - lag(k) OVER (PARTITION BY instance_id ORDER BY seq) AS delta FROM log")
 def wn1(spark, d):
-    return metrics.throughput_delta(change_log(spark, d).select("instance_id", "seq", "k"), "instance_id", "seq", "k")
+    return metrics.throughput_delta(change_log(spark, d).select("instance_id", "seq", "k"), "instance_id", "seq", "k", span=1000)
 
 
 @query("wn2_recent_history", "WITH {CHG} SELECT instance_id, seq, r AS rank FROM (SELECT instance_id, seq, CAST(row_number() OVER (PARTITION BY instance_id ORDER BY seq DESC) AS INTEGER) AS r FROM log) WHERE r <= 20")

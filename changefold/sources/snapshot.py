@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +70,15 @@ def snapshot_progress(chunks: DataFrame) -> DataFrame:
     return agg.withColumn("completed", (F.col("total_chunks") > 0) & (F.col("total_chunks") == F.col("completed_chunks")))
 
 
+def handle_rows(df: DataFrame, handler: Callable[[pd.DataFrame], pd.DataFrame], schema: str | None = None) -> DataFrame:
+    """Put snapshot rows through a Python handler, a batch of rows at a time."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from map(handler, batches)
+
+    return df.mapInPandas(each, schema or df.schema)
+
+
 def hand_off(snapshot: DataFrame, changes: DataFrame, snapshot_lsn: int) -> DataFrame:
     """The snapshot's events, placed first, then the changes beyond its position. ``phase``
     and then lsn and ordinal order them."""

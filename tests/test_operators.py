@@ -227,3 +227,14 @@ def test_registry():
         PipelineSpec([SourceSpec("i")]).check()
     with pytest.raises(ValueError, match="differ"):
         PipelineSpec([], [SinkSpec("a"), SinkSpec("a")]).check()
+
+
+def test_snapshot_handler(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    assert rows(snapshot.handle_rows(df, lambda p: p.assign(v=p["v"].str.upper())), "id", "v") == [(1, "A"), (2, "B")]
+
+
+def test_delta_across_spans(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 9, 7), ("a", 35, None), ("a", 36, 9), ("b", 2, 1)], "s string, at long, v long")
+    got = {(r["s"], r["at"]): r["delta"] for r in metrics.throughput_delta(df, "s", "at", "v", span=10).collect()}
+    assert got == {("a", 1): None, ("a", 9): 2, ("a", 35): None, ("a", 36): None, ("b", 2): None}

@@ -1,14 +1,20 @@
 """Streaming delivery: cursors, restarts, dead letters; batch and stream agree."""
 
 import datetime as dt
+import threading
+import time
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 from pyspark.sql import functions as F
 
 from changefold.model import ENVELOPE
 from changefold.operators import merge
 from changefold.plans.pipeline import Pipeline, PipelineSpec, SinkSpec, SourceSpec
+from changefold.sources import decode
 from changefold.sources.changes import read_changes
+from changefold.sources.poll import PollSource, poll_trigger
 from changefold.streaming import log as logs
+from changefold.streaming.observe import ProgressTable, active_workers, reconnects, worker_duration_histogram
 from changefold.streaming.sinks import FunctionSink, TableSink, run_sink
 
 TABLE = "id long, x long"
@@ -95,3 +101,60 @@ def test_reprocess(spark):
     assert sorted(r["seq"] for r in left.collect()) == [2, 3] and [r["seq"] for r in ended.collect()] == [9]
     letters = logs.dead_letters(changes(spark, FIRST[:1]), F.lit("why")).collect()[0]
     assert (letters["reason"], letters["dlq_subject"]) == ("why", "dlq.cdc.i.public.t")
+
+
+def test_poll_source(spark, tmp_path):
+    answers = [(200, b'[{"id":1},{"id":2}]'), (500, b"")]
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            status, body = answers[0] if len(answers) == 1 else answers.pop(0)
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(PollSource)
+    stream = spark.readStream.format("poll").option("url", f"http://127.0.0.1:{server.server_port}/").load()
+    seen = ProgressTable()
+    spark.streams.addListener(seen)
+    got = []
+    query = stream.writeStream.queryName("poll").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda df, epoch: got.extend(df.collect())).trigger(**poll_trigger(200)).start()
+    for _ in range(150):
+        if len(got) >= 2:
+            break
+        time.sleep(0.2)
+    query.stop()
+    server.shutdown()
+    responses = spark.createDataFrame(got, stream.schema)
+    assert decode.poll_rows_to_events(responses, "i", "t").count() == 2
+    assert decode.poll_errors(responses).count() >= 1
+    for _ in range(50):
+        if any(r[0] == "end" for r in seen.rows):
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(seen)
+    progress = seen.table(spark)
+    assert [tuple(r) for r in active_workers(progress).collect()] == [("poll", 0)]
+    assert [tuple(r) for r in reconnects(progress).collect()] == [("poll", 0)]
+    batches = progress.filter("kind = 'batch'").count()
+    assert worker_duration_histogram(progress).filter("le = '+Inf'").collect()[0]["n"] == batches > 0
+
+
+def test_rate_limit_and_hot_sinks(spark, tmp_path):
+    src = str(tmp_path / "src")
+    for row in FIRST:
+        changes(spark, [row]).coalesce(1).write.mode("append").parquet(src)
+    sizes = []
+    limited = read_changes(spark, src, stream=True, files_per_trigger=1)
+    run_sink(limited, FunctionSink("slow", lambda df, epoch: sizes.append(df.count())), str(tmp_path / "cp")).awaitTermination()
+    assert sizes == [1, 1, 1]
+    pipe = Pipeline(spark, PipelineSpec([SourceSpec("i", options={"path": src})], []), str(tmp_path / "cp2"))
+    query = pipe.add_sink(SinkSpec("late", "append", options={"path": str(tmp_path / "late")}), {"processingTime": "100 milliseconds"})
+    assert query.isActive and pipe.add_sink(SinkSpec("bad", "nope")) is None
+    pipe.remove_sink("late")
+    assert not query.isActive and pipe.queries == {}
