@@ -14,13 +14,13 @@ def split_ops(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(known), df.filter(~known).withColumn("reason", F.lit("unknown op"))
 
 
-def split_keyless(df: DataFrame, keys: dict[str, str] | None = None, default: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(keyed, dead): rows with ``key``, the image's value of the table's key column, and rows
-    that have none."""
+def split_keyless(df: DataFrame, keys: dict[str, str] | None = None, default: str = "id", kind: str = "string") -> tuple[DataFrame, DataFrame]:
+    """(keyed, dead): rows with ``key``, the image's value of the table's key column as the
+    given type, and rows that have none or one that doesn't cast."""
     name = F.lit(default)
     if keys:
         name = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in keys.items() for x in pair]), F.col("tbl")), name)
-    rows = df.withColumn("key", F.try_element_at(F.col("image"), name))
+    rows = df.withColumn("key", F.try_element_at(F.col("image"), name).try_cast(kind))
     return rows.filter("key is not null"), rows.filter("key is null").drop("key").withColumn("reason", F.lit("missing key"))
 
 
@@ -53,12 +53,14 @@ def apply_changes(changes: DataFrame, base: DataFrame, key: str, position: list[
     record, in the order of ``position``; later changes of a removed record start afresh.
 
     ``changes``: key, op, image, position columns; rows without image, key or known op must
-    have been split off. The result has the columns and types of ``base``; values that don't
-    cast give null. Shuffles the changes once and the base once, both by key.
+    have been split off, and keys must cast to the type in ``base``. The result has the columns
+    and types of ``base``; values that don't cast give null. The key is cast before the fold, so
+    that the join finds both sides dealt by it: the changes are shuffled once, reduced before,
+    and the base once.
     """
     columns = [c for c in base.columns if c != key]
     types = dict(base.dtypes)
-    folded = fold(changes, columns, position).withColumnRenamed("key", "_key").withColumn("_key", F.col("_key").try_cast(types[key]))
+    folded = fold(changes.withColumn("key", F.col("key").cast(types[key])), columns, position).withColumnRenamed("key", "_key")
     both = base.join(folded, F.col(key) == F.col("_key"), "full")
     dead = F.col("gone").isNotNull() & (F.col("alive").isNull() | (F.col("alive") < F.col("gone")))
 

@@ -153,7 +153,7 @@ res AS (SELECT coalesce(b.c_custkey, f.pk) AS id, CASE WHEN f.has_v THEN f.value
 def _accounts(spark, d):
     rows = filters.select_image(change_log(spark, d).filter("tbl = 'accounts'"))
     known, _ = merge.split_ops(rows)
-    return merge.split_keyless(known)[0]
+    return merge.split_keyless(known, kind="bigint")[0]
 
 
 def apply_accounts(spark, d):

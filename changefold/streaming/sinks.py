@@ -74,10 +74,10 @@ class TableSink:
         if at is not None and at["epoch"] >= epoch:
             return  # done before a restart
         known, unknown = split_ops(batch)
-        keyed, keyless = split_keyless(select_image(known), {}, self.key)
+        keyed, keyless = split_keyless(select_image(known), {}, self.key, self.schema[self.key].dataType.simpleString())
         apply_changes(keyed, self.read(spark), self.key, self.position).write.mode("overwrite").parquet(f"{self.path}/version={epoch}")
         if self.dlq:
-            rejected = unknown.unionByName(keyless.drop("image"), allowMissingColumns=True)
+            rejected = unknown.unionByName(keyless.drop("image", "key"), allowMissingColumns=True)
             rejected.write.mode("overwrite").parquet(f"{self.dlq}/sink={self.name}/batch={epoch}")
         spark.createDataFrame([(epoch,)], "epoch long").coalesce(1).write.mode("overwrite").json(f"{self.path}/pointer/at={epoch}")
 

@@ -21,7 +21,7 @@ def rows(df, *cols):
 
 def apply(spark, changes, base=()):
     log = spark.createDataFrame(changes, CHANGE)
-    keyed, dead = merge.split_keyless(log.withColumn("tbl", F.lit("t")))
+    keyed, dead = merge.split_keyless(log.withColumn("tbl", F.lit("t")), kind="bigint")
     table = spark.createDataFrame(list(base), "id long, x long, y long")
     return {r["id"]: (r["x"], r["y"]) for r in merge.apply_changes(keyed, table, "id", ["lsn", "seq"]).collect()}, dead.count()
 
@@ -43,8 +43,8 @@ def test_apply_changes(spark, changes, base, want):
 
 
 def test_keyless_rows_go_to_dead_letters(spark):
-    got, dead = apply(spark, [(1, 1, "c", {"x": "1"}), (2, 2, "c", {"id": "2", "x": "1"})])
-    assert got == {2: (1, None)} and dead == 1
+    got, dead = apply(spark, [(1, 1, "c", {"x": "1"}), (2, 2, "c", {"id": "2", "x": "1"}), (3, 3, "c", {"id": "no"})])
+    assert got == {2: (1, None)} and dead == 2
 
 
 def test_unknown_op_is_rejected(spark):
