@@ -99,15 +99,15 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, remove: str =
     ``remove="documents"`` drops rows with any hit; ``"spans"`` cuts the hit words, with the
     separators after each, out of the text. Rows without hits come back as they are.
     """
-    bad = find_hits(docs, bench, n).filter("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), F.col("spans").alias("_spans"))
+    bad = find_hits(docs, bench, n).filter("n_hit > 0").select(F.col("doc_id").alias("__bench_d"), F.col("rid").alias("__bench_r"), F.col("spans").alias("__bench_spans"))
     bad = saved(bad, "bench-bad")
-    keyed = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_rid") == F.col("_r"))
+    keyed = docs.withColumn("__bench_rid", F.xxhash64("doc_id", "text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__bench_d")) & (F.col("__bench_rid") == F.col("__bench_r"))
     if remove == "documents":
-        return keyed.join(broadcast_if_small(bad.drop("_spans"), MOST_ANCHORS), same, "left_anti").drop("_rid")
+        return keyed.join(broadcast_if_small(bad.drop("__bench_spans"), MOST_ANCHORS), same, "left_anti").drop("__bench_rid")
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     pieces = F.regexp_extract_all("text", F.lit(f"{word}{GAP[:-1]}*"), F.lit(0))
     lead = F.regexp_extract("text", f"^{GAP[:-1]}*", 0)
-    left = F.filter(pieces, lambda x, i: ~F.exists("_spans", lambda s: (s["at"] <= i) & (i < s["to"])))
+    left = F.filter(pieces, lambda x, i: ~F.exists("__bench_spans", lambda s: (s["at"] <= i) & (i < s["to"])))
     cut = F.concat(lead, F.array_join(left, ""))
-    return keyed.join(bad, same, "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)).drop("_rid", "_d", "_r", "_spans")
+    return keyed.join(bad, same, "left").withColumn("text", F.when(F.col("__bench_spans").isNull(), F.col("text")).otherwise(cut)).drop("__bench_rid", "__bench_d", "__bench_r", "__bench_spans")
