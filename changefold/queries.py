@@ -15,7 +15,7 @@ from changefold.functions import scalars
 from changefold.operators import actions, explorer, filters, merge, metrics, routing
 from changefold.plans.canonical import change_log, deliveries, table
 from changefold.sources import changes as reading
-from changefold.sources import snapshot
+from changefold.sources import decode, snapshot
 from changefold.streaming import log as logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -647,3 +647,104 @@ def io16(spark, d):
     new = deliveries(spark, d).filter("acked").groupBy("sink", "instance_id").agg(F.max("lsn").alias("lsn"))
     old = deliveries(spark, d).groupBy("sink", "instance_id").agg(F.min("lsn").alias("lsn"))
     return logs.source_offsets(logs.save_offsets(old, new))
+
+
+# --- decoded rows ----------------------------------------------------------------------
+
+
+@query("src2_wal_rows_to_events", "WITH r(relation_id, name) AS (VALUES (0, 'orders_even'), (1, 'orders_odd')) SELECT o_orderkey AS lsn, r.name AS tbl, CASE o_orderkey % 3 WHEN 0 THEN 'c' WHEN 1 THEN 'u' ELSE 'd' END AS op, CASE WHEN o_orderkey % 3 = 2 THEN CAST(o_orderkey AS VARCHAR) END AS old_id, CASE WHEN o_orderkey % 3 <> 2 THEN o_totalprice END AS price FROM orders JOIN r ON r.relation_id = o_custkey % 3")
+def src2(spark, d):
+    cell = lambda c: F.struct(F.lit("text").alias("kind"), c.cast("string").alias("value"))
+    none = F.lit(None).cast("array<struct<kind:string,value:string>>")
+    o = table(spark, d, "orders")
+    kind = F.element_at(F.array(F.lit("insert"), F.lit("update"), F.lit("delete")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    image = F.array(cell(F.col("o_orderkey")), cell(F.col("o_totalprice")))
+    wal = o.select(F.col("o_orderkey").alias("lsn"), F.lit(0).cast("long").alias("ts"), kind.alias("kind"), (F.col("o_custkey") % 3).alias("relation_id"), F.when(kind == "delete", image).otherwise(none).alias("old"), F.when(kind != "delete", image).otherwise(none).alias("new"))
+    columns = F.array(F.struct(F.lit("id").alias("name"), F.lit(20).alias("oid")), F.struct(F.lit("price").alias("name"), F.lit(1700).alias("oid")))
+    # relations 0 and 1 are known, rows of relation 2 are dropped
+    relations = o.select((F.col("o_custkey") % 2).alias("relation_id")).distinct().select("relation_id", F.lit("public").alias("namespace"), F.when(F.col("relation_id") == 0, "orders_even").otherwise("orders_odd").alias("name"), columns.alias("columns"))
+    events = decode.wal_rows_to_events(wal, relations, "pg")
+    return events.select("lsn", "tbl", "op", F.col("before")["id"].alias("old_id"), F.col("after")["price"].cast("double").alias("price"))
+
+
+@query("src3_decode_tuple", "SELECT p_partkey, p_size % 2 = 0 AS flag, CASE WHEN p_size % 3 <> 0 THEN p_size END AS size, p_size % 5 <> 0 AS has_name, false AS has_extra FROM part")
+def src3(spark, d):
+    columns = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(o).alias("oid")) for n, o in (("flag", 16), ("size", 23), ("name", 25))])
+    cell = lambda k, v: F.struct(k.alias("kind"), v.cast("string").alias("value"))
+    text = F.lit("text")
+    cells = F.array(cell(text, F.when(F.col("p_size") % 2 == 0, "t").otherwise("f")), cell(F.when(F.col("p_size") % 3 == 0, "null").otherwise(text), F.col("p_size")), cell(F.when(F.col("p_size") % 5 == 0, "unchanged").otherwise(text), F.col("p_name")), cell(text, F.lit("over")))
+    rows = table(spark, d, "part").withColumn("image", decode.decode_tuple(columns, cells))
+    return rows.select("p_partkey", (F.col("image")["flag"] == "true").alias("flag"), F.col("image")["size"].cast("int").alias("size"), F.map_contains_key("image", F.lit("name")).alias("has_name"), (F.size("image") > 3).alias("has_extra"))
+
+
+@query("src4_binlog_rows_to_events", """WITH b AS (SELECT c_custkey AS pos, (['insert', 'update', 'delete'])[c_custkey % 3 + 1] AS action, c_nationkey % 4 AS n FROM customer),
+  e AS (SELECT pos, action, n, unnest(range(CASE WHEN action = 'update' THEN CAST(ceil(n / 2.0) AS BIGINT) ELSE n END)) AS ordinal FROM b)
+  SELECT pos AS lsn, ordinal, CASE action WHEN 'insert' THEN 'c' WHEN 'update' THEN 'u' ELSE 'd' END AS op, 'f1:' || pos AS "offset",
+  CASE WHEN action = 'delete' THEN ordinal WHEN action = 'update' AND 2 * ordinal + 1 < n THEN 2 * ordinal END AS old_v, CASE WHEN action = 'insert' THEN ordinal WHEN action = 'update' AND 2 * ordinal + 1 < n THEN 2 * ordinal + 1 END AS new_v FROM e""")
+def src4(spark, d):
+    n = (F.col("c_nationkey") % 4).cast("int")
+    images = F.filter(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.array(F.col("c_custkey").cast("string"), i.cast("string"))), lambda r: r[1].cast("int") < n)
+    action = F.element_at(F.array(F.lit("insert"), F.lit("update"), F.lit("delete")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    feed = table(spark, d, "customer").select(F.lit("f1").alias("file"), F.col("c_custkey").alias("pos"), action.alias("action"), F.lit("db").alias("db"), F.lit("customer").alias("table"), F.array(F.lit("id"), F.lit("v")).alias("columns"), images.alias("rows"), F.lit(0).cast("long").alias("ts"))
+    e = decode.binlog_rows_to_events(feed, "my")
+    return e.select("lsn", F.col("ordinal").cast("long").alias("ordinal"), "op", "offset", F.col("before")["v"].cast("long").alias("old_v"), F.col("after")["v"].cast("long").alias("new_v"))
+
+
+@query("src6_poll_rows_to_events", "WITH {CHG}, p AS (SELECT seq, k, unnest(range(k % 3)) AS ordinal FROM log WHERE k % 5 <> 0 AND k % 7 <> 0) SELECT seq AS lsn, ordinal, k FROM p")
+def src6(spark, d):
+    items = F.filter(F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: F.struct(F.col("k").alias("k"), i.alias("i"))), lambda s: s["i"] < F.col("k") % 3)
+    body = F.when(F.col("k") % 7 == 0, F.lit('{"k":1}')).otherwise(F.to_json(items))
+    polls = change_log(spark, d).select(F.col("seq").alias("poll_ts"), F.when(F.col("k") % 5 == 0, 500).otherwise(200).alias("status"), body.alias("body"))
+    e = decode.poll_rows_to_events(polls, "rest", "items")
+    return e.select("lsn", F.col("ordinal").cast("long").alias("ordinal"), F.col("after")["k"].cast("long").alias("k"))
+
+
+@query("src16_parse_binlog_offset", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'bin' END AS file, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey END AS pos FROM orders")
+def src16(spark, d):
+    text = F.element_at(F.array(F.concat(F.lit("bin:"), F.col("o_custkey").cast("string")), F.lit("bin"), F.lit("bin:1:2"), F.lit("bin:4294967296")), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", decode.parse_binlog_offset(text).alias("p")).select("o_orderkey", "p.file", "p.pos")
+
+
+@query("io4_key_selection", "WITH {CHG} SELECT seq, k >= 20 AS keyed, CASE WHEN k >= 20 THEN CASE WHEN tbl = 'purchases' THEN k ELSE pk END END AS key FROM log")
+def io4(spark, d):
+    rows = filters.select_image(change_log(spark, d)).withColumn("image", F.when(F.col("k") >= 20, F.col("image")).otherwise(F.map_filter("image", lambda c, v: c == "value")))
+    keyed, dead = merge.split_keyless(rows, {"purchases": "k"}, kind="bigint")
+    return keyed.select("seq", F.lit(True).alias("keyed"), "key").unionByName(dead.select("seq", F.lit(False).alias("keyed"), F.lit(None).cast("bigint").alias("key")))
+
+
+@query("io9_bulk_item_errors", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'index' ELSE 'delete' END AS action, CAST(400 + o_custkey % 100 AS INTEGER) AS status, o_orderstatus AS reason FROM orders WHERE o_orderkey % 3 = 0")
+def io9(spark, d):
+    item = F.struct(F.col("o_orderkey").cast("string").alias("_id"), F.when(F.col("o_orderkey") % 3 == 0, 400 + F.col("o_custkey") % 100).otherwise(200).alias("status"), F.when(F.col("o_orderkey") % 3 == 0, F.struct(F.lit("t").alias("type"), F.col("o_orderstatus").alias("reason"))).alias("error"))
+    body = F.to_json(F.struct((F.col("o_orderkey") % 3 == 0).alias("errors"), F.array(F.create_map(F.when(F.col("o_orderkey") % 2 == 0, "index").otherwise("delete"), item)).alias("items")))
+    got = actions.bulk_item_errors(table(spark, d, "orders").select(body.alias("body")))
+    return got.select(F.col("doc_id").cast("bigint").alias("o_orderkey"), "action", "status", "reason")
+
+
+@query("io15_dead_letters", "WITH {DEL} SELECT seq, sink, error_class AS reason, subject AS original_subject, 'dlq.' || subject AS dlq_subject FROM del WHERE NOT acked AND attempts >= 10")
+def io15(spark, d):
+    failed = logs.route_failures(deliveries(spark, d).filter("not acked")).filter("route = 'dlq'")
+    return logs.dead_letters(failed, F.col("error_class")).select("seq", "sink", "reason", "original_subject", "dlq_subject")
+
+
+@query("pf17_record_validity", "WITH {CHG} SELECT seq, CASE WHEN k % 5 = 0 THEN 'bad json' WHEN k % 5 = 1 THEN 'missing image' ELSE 'ok' END AS state FROM log")
+def pf17(spark, d):
+    log = change_log(spark, d)
+    data = F.when(F.col("k") % 5 == 0, F.lit("{nope")).when(F.col("k") % 5 == 1, F.to_json(F.struct("op"))).otherwise(F.to_json(F.struct("op", "before", "after")))
+    good, bad = filters.split_valid(log.select("seq", data.alias("data")))
+    return good.select("seq", F.lit("ok").alias("state")).unionByName(bad.select("seq", F.col("reason").alias("state")))
+
+
+@query("fn1_parse_oid", "SELECT p_partkey, p_size % 2 = 0 AS flag, CASE WHEN p_size % 3 = 0 THEN p_size END AS number, p_size % 3 <> 0 AS bad, p_retailprice AS price FROM part")
+def fn1(spark, d):
+    number = scalars.parse_oid(F.when(F.col("p_size") % 3 == 0, F.col("p_size").cast("string")).otherwise("x1"), F.lit(23))
+    p = table(spark, d, "part").withColumn("n", number)
+    flag = scalars.parse_oid(F.when(F.col("p_size") % 2 == 0, "t").otherwise("f"), F.lit(16))["value"] == "true"
+    price = scalars.parse_oid(F.col("p_retailprice").cast("string"), F.lit(701))["value"].cast("double")
+    return p.select("p_partkey", flag.alias("flag"), F.col("n.value").cast("int").alias("number"), F.col("n.bad").alias("bad"), price.alias("price"))
+
+
+@query("fn3_sanitize_doc", "SELECT event_id, '' AS metadata, CAST(epoch_ms(date_trunc('second', ts)) AS VARCHAR) AS created_at, event_type AS lifetime FROM events")
+def fn3(spark, d):
+    doc = F.create_map(F.lit("metadata"), F.lit("{}"), F.lit("created_at"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("lifetime"), F.col("event_type"))
+    rows = table(spark, d, "events").select("event_id", scalars.sanitize_doc(doc).alias("doc"))
+    return rows.select("event_id", *[F.col("doc")[c].alias(c) for c in ("metadata", "created_at", "lifetime")])
