@@ -67,8 +67,9 @@ def apportion(claims: DataFrame, group: list[str], order: list[Column], claim: s
     return tried.groupBy(*claims.columns).agg((F.max(F.coalesce("_sure", F.lit(0))) + F.sum(won)).alias("quota"))
 
 
-def shard_quotas(slim: DataFrame, weights: tuple, share: float, cap: float, block_words: int) -> DataFrame:
-    """Per (source, shard): its tokens, blocks and quota of blocks, with the source's target.
+def shard_quotas(slim: DataFrame, weights: tuple, share: float, cap: float, block_words: int) -> tuple[DataFrame, DataFrame]:
+    """(placed, shards): the rows with their source's figures and shard; and per (source, shard) its
+    tokens, blocks and quota of blocks, with the source's target.
 
     ``slim``: source, size, key. Blocks shrink below ``block_words`` only so far that the
     smallest positive target holds ``LEAST_BLOCKS`` of them.
