@@ -26,6 +26,8 @@ from changefold.llm.common import broadcast_if_small, saved
 MIN_PAGES, SUPPORT, MIN_TOKENS = 8, 0.9, 2
 #: Hosts whose templates may be broadcast; beyond them pages are shuffled by host.
 MOST_TEMPLATES = 200
+#: Hosts whose page counts may be broadcast.
+MOST_HOSTS = 1_000_000
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|title|iframe|svg|select|math|canvas|object|audio|video)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)"
@@ -176,17 +178,18 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template): the text tokens of each host's template.
 
-    Copies of a page count once. An occurrence vector is held as its support and the
+    Copies of a page count once: their tokens are equal rows, so that the pages themselves
+    need no shuffle. An occurrence vector is held as its support and the
     exclusive or of hashes of (page, times), which sums up before the shuffle. Valid
     classes of tokens nest: a text token of a class of several belongs to the template if the
     tag that holds it is on nearly all pages as well. The pages of a host never meet in one task, and a
     host's template is no longer than its pages, since each token is on most of them.
     """
-    distinct = pages.select("url", "html").distinct()
-    tokens = page_tokens(distinct)
-    size = distinct.groupBy(host_of(F.col("url")).alias("_host")).agg(F.count("*").alias("pages"))
+    tokens = page_tokens(pages.select("url", "html")).distinct()
+    size = pages.select(host_of(F.col("url")).alias("_host"), F.xxhash64("url", "html").alias("page")).distinct().groupBy("_host").agg(F.count("*").alias("pages"))
+    size = broadcast_if_small(saved(size.filter(F.col("pages") >= MIN_PAGES), "html-hosts"), MOST_HOSTS)
     vectors = tokens.groupBy("host", "token").agg(F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "times")).alias("vector"))
-    vectors = vectors.join(size, F.col("host") == F.col("_host")).filter((F.col("pages") >= MIN_PAGES) & (F.col("support") >= SUPPORT * F.col("pages")))
+    vectors = vectors.join(size, F.col("host") == F.col("_host")).filter(F.col("support") >= SUPPORT * F.col("pages"))
     classes = vectors.groupBy("host", "vector", "support").agg(F.collect_list("token").alias("tokens"))
     tags = F.filter("tokens", lambda t: ~F.contains(t, F.lit("\0")))
     classes = classes.select("host", F.when(F.size("tokens") >= MIN_TOKENS, F.col("tokens")).otherwise(tags).alias("tokens"))
