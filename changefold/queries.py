@@ -294,7 +294,7 @@ def pf9(spark, d):
     return filters.headers_to_event(change_log(spark, d))
 
 
-@query("pf10_build_envelope", "WITH {CHG} SELECT seq, op, epoch_ms(ts) AS ts_ms, 'postgres' AS connector, 'false' AS snapshot, tbl AS \"table\", lsn, op = 'd' AS has_before FROM log")
+@query("pf10_build_envelope", "WITH {CHG} SELECT seq, op, epoch_us(ts) // 1000 AS ts_ms, 'postgres' AS connector, 'false' AS snapshot, tbl AS \"table\", lsn, op = 'd' AS has_before FROM log")
 def pf10(spark, d):
     e = filters.build_envelope(change_log(spark, d), "postgres")
     return e.select("seq", "payload.op", "payload.ts_ms", "payload.source.connector", "payload.source.snapshot", "payload.source.table", "payload.source.lsn", F.col("payload.before").isNotNull().alias("has_before"))
@@ -530,7 +530,7 @@ def so1(spark, d):
 # --- functions -------------------------------------------------------------------------
 
 
-@query("fn2_parse_flex_time", "SELECT event_id, epoch_ms(date_trunc('second', ts)) AS blank_ms, epoch_ms(date_trunc('second', ts)) AS iso_ms, epoch_ms(ts) AS micro_ms, CAST(NULL AS BIGINT) AS day_ms FROM events")
+@query("fn2_parse_flex_time", "SELECT event_id, epoch_ms(date_trunc('second', ts)) AS blank_ms, epoch_ms(date_trunc('second', ts)) AS iso_ms, epoch_us(ts) // 1000 AS micro_ms, CAST(NULL AS BIGINT) AS day_ms FROM events")
 def fn2(spark, d):
     t = table(spark, d, "events")
     text = lambda p: F.date_format("ts", p)
@@ -582,7 +582,7 @@ def fn11(spark, d):
     return rows.select("event_id", scalars.parse_metrics_line(F.col("line")).alias("m")).filter("m is not null").select("event_id", "m.name", F.col("m.labels")["type"].alias("type"), "m.value")
 
 
-@query("fn12_epoch_ms", "SELECT event_id, epoch_ms(ts) AS ms FROM events")
+@query("fn12_epoch_ms", "SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events")
 def fn12(spark, d):
     return table(spark, d, "events").select("event_id", scalars.epoch_ms(F.col("ts")).alias("ms"))
 
