@@ -68,7 +68,7 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def chunks(texts: list, limit: int = 4 << 20):
+def chunks(texts: list, limit: int = 1 << 20):
     """Split a list of texts (str or None) into runs of about ``limit`` bytes, as
     (first index, list of bytes); bounds the arrays that numpy makes at once."""
     start, size, run = 0, 0, []
