@@ -15,10 +15,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changefold.llm.common import SPACES, ascii_lower, shared_dir
+from changefold.llm.common import SPACES, ascii_lower, broadcast_if_small, saved, shared_dir
 
 #: Stands for a null doc_id, which counts as the smallest.
 NO_ID = -(2**63)
+#: Hashes of common lines that may be broadcast, 24 bytes each.
+MOST_COMMON = 1_000_000
 
 
 def line_hashes(text: Column, min_chars: int) -> Column:
@@ -84,22 +86,23 @@ class LineRuns:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_rid", F.xxhash64("doc_id", "text"))
+    return docs.withColumn("__line_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__line_rid", F.xxhash64("doc_id", "text"))
 
 
 def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
-    """Per distinct (doc_id, text) that loses lines: _did, _rid and their positions ``_drop``."""
+    """Per distinct (doc_id, text) that loses lines: __line_did, __line_rid and their positions ``__line_drop``."""
     # outer generators: the others make Spark test the array's size first, computing it twice
-    hashed = _keyed(docs.select("doc_id", "text")).select("_did", "_rid", line_hashes(F.col("text"), min_chars).alias("_h"))
+    hashed = _keyed(docs.select("doc_id", "text")).select("__line_did", "__line_rid", line_hashes(F.col("text"), min_chars).alias("_h"))
     runs = LineRuns(docs.sparkSession, fanout)
     for b in range(batches):
-        batch = hashed.filter(F.pmod(F.xxhash64("_did"), F.lit(batches)) == b)
-        lines = batch.select(F.col("_did").alias("did"), F.explode_outer(F.array_distinct(F.array_compact("_h"))).alias("_l"))
+        batch = hashed.filter(F.pmod(F.xxhash64("__line_did"), F.lit(batches)) == b)
+        lines = batch.select(F.col("__line_did").alias("did"), F.explode_outer(F.array_distinct(F.array_compact("_h"))).alias("_l"))
         runs.add(lines.filter("_l is not null").select("did", "_l.h1", "_l.h2"))
     common = runs.totals().filter(F.col("n") >= min_docs).withColumnsRenamed({"h1": "g1", "h2": "g2"})
-    lines = hashed.select("_did", "_rid", F.posexplode_outer("_h").alias("_pos", "_l")).filter("_l is not null").select("_did", "_rid", "_pos", "_l.h1", "_l.h2")
-    losing = lines.join(common, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).filter(F.col("_did") != F.col("top"))
-    return losing.groupBy("_did", "_rid").agg(F.collect_set("_pos").alias("_drop"))
+    common = broadcast_if_small(saved(common.select("g1", "g2", "top"), "line-common"), MOST_COMMON)
+    lines = hashed.select("__line_did", "__line_rid", F.posexplode_outer("_h").alias("_pos", "_l")).filter("_l is not null").select("__line_did", "__line_rid", "_pos", "_l.h1", "_l.h2")
+    losing = lines.join(common, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).filter(F.col("__line_did") != F.col("top"))
+    return losing.groupBy("__line_did", "__line_rid").agg(F.collect_set("_pos").alias("__line_drop"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -112,10 +115,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     all keep their lines if it is the largest. A null doc_id is the smallest; a null text
     is one empty line and stays null. An empty table gives an empty one.
     """
-    drop = dropped_lines(docs, min_chars, min_docs, batches, fanout).withColumnsRenamed({"_did": "_did2", "_rid": "_rid2"})
+    drop = dropped_lines(docs, min_chars, min_docs, batches, fanout).withColumnsRenamed({"__line_did": "__line_did2", "__line_rid": "__line_rid2"})
     rows = _keyed(docs.drop("n_lines", "n_dropped"))
-    rows = rows.join(drop, (F.col("_did") == F.col("_did2")) & (F.col("_rid") == F.col("_rid2")), "left")
-    all_lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    kept = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    rows = rows.withColumn("n_lines", F.size(all_lines).cast("long")).withColumn("n_dropped", F.coalesce(F.array_size("_drop"), F.lit(0)).cast("long"))
-    return rows.withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)).drop("_did", "_rid", "_did2", "_rid2", "_drop")
+    rows = rows.join(drop, (F.col("__line_did") == F.col("__line_did2")) & (F.col("__line_rid") == F.col("__line_rid2")), "left")
+    rows = rows.withColumn("__line_all", F.split(F.coalesce("text", F.lit("")), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__line_all") - 1), "__line_drop")
+    kept = F.array_join(F.transform(stay, lambda i: F.get("__line_all", i)), "\n")
+    rows = rows.withColumn("n_lines", F.size("__line_all").cast("long")).withColumn("n_dropped", F.coalesce(F.array_size("__line_drop"), F.lit(0)).cast("long"))
+    return rows.withColumn("text", F.when(F.col("__line_drop").isNull(), F.col("text")).otherwise(kept)).drop("__line_did", "__line_rid", "__line_did2", "__line_rid2", "__line_drop", "__line_all")

@@ -106,7 +106,7 @@ def test_lines(spark):
         stay = [x for x, k in zip((t or "").split("\n"), keys(t), strict=True) if not (held.get(k, 0) >= 3 and top[k] != (-(2**63) if d is None else d))]
         n = (t or "").count("\n") + 1
         want.append((d, n, n - len(stay), "\n".join(stay)))
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_lines", F.lit("clash"))
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("n_lines", "_did", "_rid", "h1", "g1", "top")})
     for batches, fanout in ((1, 2), (5, 2), (4, 3)):
         got = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["text"] or "") for r in dedup_lines(df, batches=batches, fanout=fanout).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
@@ -161,7 +161,7 @@ def test_decontamination(spark, monkeypatch, most):
             w[len(w) // 2 : len(w) // 2] = src[a : a + rng.choice([8, 9, 10, 11, 30])]
         docs.append((i, rng.choice([" ", "-", "\n"]).join(w).upper()))
     docs += [(None, "x SOLO"), (5, None), (5, None), (6, bench[1][1]), (6, bench[1][1]), (7, ("z " * 20_000) + bench[2][1])]
-    d, b = spark.createDataFrame(docs, "doc_id long, text string").withColumn("anchor", F.lit(1)), spark.createDataFrame(bench, "item_id long, text string")
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("anchor", "rid", "_d", "_r", "_rid")}), spark.createDataFrame(bench, "item_id long, text string")
     assert sorted((tuple(r) for r in report(d, b).collect()), key=repr) == contamination(docs, bench, 10)
     long_only = b.filter("item_id < 20 or item_id = 99")
     want = contamination(docs, [x for x in bench if x[0] < 20 or x[0] == 99], 10)
