@@ -143,14 +143,21 @@ class Page:
             found[_mark(path, text)] += 1
         return found
 
+    def fingerprint(self) -> int:
+        """A fingerprint of the tokens in order; the address and what is no token don't count."""
+        whole = "\n".join([*self.tags, *(_mark(path, text) for path, text, *_ in self.blocks)])
+        return int.from_bytes(blake2b(whole.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
     def text(self, template: frozenset[str] = frozenset()) -> str:
-        """The article: its blocks joined by two line feeds, without template blocks."""
+        """The article: its blocks joined by two line feeds, without template blocks. A
+        template that would leave nothing of it is not applied."""
         inside = [b for b in self.blocks if not b[2]]
         for k in (3, 4):
             if any(b[k] for b in inside):
                 inside = [b for b in inside if b[k]]
                 break
-        return "\n\n".join(text for path, text, *_ in inside if not template or _mark(path, text) not in template)
+        left = [b for b in inside if not template or _mark(*b[:2]) not in template]
+        return "\n\n".join(text for _, text, *_ in left or inside)
 
 
 def host_of(url: Column) -> Column:
@@ -159,37 +166,42 @@ def host_of(url: Column) -> Column:
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """host, page (a fingerprint of the row), token, times for each token of each page."""
+    """host, page (a fingerprint of its tokens), token, times for each token of each page, and
+    an empty token for the page itself."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
                 rows: tuple[list, list, list, list] = ([], [], [], [])
-                for host, page, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    for token, times in Page(html).tokens().items():
-                        for column, value in zip(rows, (host, page, token, times), strict=True):
+                for host, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    page = Page(html)
+                    mark = page.fingerprint()
+                    for token, times in (("", 1), *page.tokens().items()):
+                        for column, value in zip(rows, (host, mark, token, times), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.int64())], ["host", "page", "token", "times"])
 
-    return pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("url", "html").alias("page"), "html").mapInArrow(convert, "host string, page long, token string, times long")
+    return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(convert, "host string, page long, token string, times long")
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template): the text tokens of each host's template.
 
-    Copies of a page count once: their tokens are equal rows, so that the pages themselves
-    need no shuffle. An occurrence vector is held as its support and the
+    Copies of a page count once, whatever their addresses: their tokens are equal rows, so
+    that the pages themselves need no shuffle. An occurrence vector is held as its support and the
     exclusive or of hashes of (page, times), which sums up before the shuffle. Valid
     classes of tokens nest: a text token of a class of several belongs to the template if the
     tag that holds it is on nearly all pages as well. The pages of a host never meet in one task, and a
     host's template is no longer than its pages, since each token is on most of them.
     """
     tokens = page_tokens(pages.select("url", "html")).distinct()
-    size = pages.select(host_of(F.col("url")).alias("_host"), F.xxhash64("url", "html").alias("page")).distinct().groupBy("_host").agg(F.count("*").alias("pages"))
-    size = broadcast_if_small(saved(size.filter(F.col("pages") >= MIN_PAGES), "html-hosts"), MOST_HOSTS)
     vectors = tokens.groupBy("host", "token").agg(F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "times")).alias("vector"))
-    vectors = vectors.join(size, F.col("host") == F.col("_host")).filter(F.col("support") >= SUPPORT * F.col("pages"))
+    # what is on fewer pages can't be on SUPPORT of MIN_PAGES
+    vectors = saved(vectors.filter(F.col("support") >= SUPPORT * MIN_PAGES), "html-vectors")
+    size = vectors.filter("token = ''").select(F.col("host").alias("_host"), F.col("support").alias("pages"))
+    size = broadcast_if_small(saved(size.filter(F.col("pages") >= MIN_PAGES), "html-hosts"), MOST_HOSTS)
+    vectors = vectors.filter("token <> ''").join(size, F.col("host") == F.col("_host")).filter(F.col("support") >= SUPPORT * F.col("pages"))
     classes = vectors.groupBy("host", "vector", "support").agg(F.collect_list("token").alias("tokens"))
     tags = F.filter("tokens", lambda t: ~F.contains(t, F.lit("\0")))
     classes = classes.select("host", F.when(F.size("tokens") >= MIN_TOKENS, F.col("tokens")).otherwise(tags).alias("tokens"))

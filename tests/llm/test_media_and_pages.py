@@ -124,6 +124,19 @@ def test_template_is_deduced_per_host(spark):
     assert extract_pages(df.limit(0)).count() == 0
 
 
+def test_copies_under_other_addresses_keep_their_article(spark):
+    html = site(1)[0][2]
+    same = [(i, f"http://one.org/a?session={i}", html) for i in range(10)]
+    nearly = [(20 + i, f"http://two.org/{i}", f"<!-- {i} -->" + html) for i in range(10)]
+    df = spark.createDataFrame(same + nearly, "page_id long, url string, html string")
+    assert templates(df).count() == 0
+    assert {r["text"] for r in extract_pages(df).collect()} == {Page(html).text()} and "Story 0 goes on." in Page(html).text()
+    # copies don't stand in for other pages, and a template never takes a whole page
+    more = [(40 + i, f"http://one.org/{i}", h) for i, _, h in site(12)] + [(60, "http://one.org/x", html.replace("<h2>Title 0</h2><p>Story 0 goes on.</p>", ""))]
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(same + more, "page_id long, url string, html string")).collect()}
+    assert got[3] == got[40] == "Title 0\n\nStory 0 goes on." and got[60] == "Site name\n\nMenu of the site\n\nAll about us"
+
+
 def test_host(spark):
     urls = ["http://A.example.org:80/x", "//u:p@b.org/y", "no host", None, "https://c.net?q=//d"]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(host_of(F.col("u"))).collect()]
