@@ -2,17 +2,26 @@
 
 A text is normalised (case, punctuation, copyright lines, equivalent spellings) line by
 line; the digest of the whole is joined to the digests of known licences, and each line is
-looked up as a licence notice of its own.
+looked up as a licence notice of its own. ``license_texts`` holds entire texts.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changefold.llm.common import ascii_lower, broadcast_if_small, saved
 
-COPYRIGHT = r"^[^a-z0-9]*(copyright|\(c\)|©).*$"
+#: A copyright statement: a symbol, or the word before a symbol, a year or a name. In a line
+#: of licence text, other words follow it; "(c)" alone may count a paragraph.
+COPYRIGHT = (
+    r"^[^a-z0-9]*(©|&copy;|\(c\)\s*(copyright\b|[^a-z0-9]*[12][0-9]{3}\b)|\(c\).*\b(19|20)[0-9]{2}\b"
+    r"|copyright\b[^a-z0-9]*(\(c\)|©|&copy;|[12][0-9]{3}\b|yyyy\b|[\[<{])"
+    r"|copyright\b[\s:,]+(?!(also|and|are|disclaimers?|doctrines|have|holders?|if|in|including|interests?|is|laws?|license|licence|like|line|more|notices?|of|on|or|owners?|ownership|patent|permission|protection|resulting|statements?|status|that|then|those|to|treaty|under)\b)[^\s:,])"
+)
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Equivalent spellings, as whole words.
 SPELLINGS = {
@@ -37,10 +46,34 @@ KNOWN = [
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."), ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."), ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
     ("proprietary", "All rights reserved."),
 ]
+TITLES = {"BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License"}
+LEFT_OUT = re.compile(r"^[ \t]*APPENDIX: How to apply.*|^[ \t]*How to Apply These Terms to Your New Programs.*", re.S | re.M)
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(licence id, body) of the entire texts in ``license_texts``, read on the driver, each
+    also in the forms in which it is handed out: with and without its title, its numbers, what
+    follows its terms, the words around a Creative Commons licence, and secure addresses."""
+    found: dict[tuple[str, str], None] = {}
+    for path in sorted(Path(__file__).with_name("license_texts").glob("*.txt")):
+        name, body = path.stem, path.read_text(encoding="utf-8")
+        forms = [body, LEFT_OUT.sub("", body), re.sub(r"END OF TERMS AND CONDITIONS\s*$", "", LEFT_OUT.sub("", body))]
+        if name in TITLES:
+            forms += [re.sub(r"^[0-9]\. ", "", body, flags=re.M)]
+            forms += [f"All rights reserved.\n\n{x}" for x in forms]
+            forms += [f"{TITLES[name]}\n\n{x}" for x in forms]
+        parts = re.split(r"^={20,}$", body, flags=re.M)
+        if len(parts) > 2:
+            forms += [parts[2], parts[0] + parts[2], "".join(parts[:3])]
+        if name == "CC0-1.0":
+            forms += [body[body.index("Statement of Purpose") :], "CC0 1.0 Universal\n" + body[body.index("Statement of Purpose") :]]
+        for form in forms:
+            found |= {(name, form): None, (name, form.replace("https://", "http://")): None, (name, re.sub(r"http://", "https://", form)): None}
+    return list(found)
 
 
 def canonical_lines(text: Column) -> Column:
-    """Normalised non-empty lines: A-Z lower-cased, copyright lines dropped, runs of ASCII
+    """Normalised non-empty lines: A-Z lower-cased, copyright statements dropped, runs of ASCII
     characters other than letters and digits turned into one space, spellings made equal."""
 
     def normal(low: Column) -> Column:
@@ -54,10 +87,19 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
+def joined(lines: Column) -> Column:
+    """The whole of normalised lines, with spellings of two words that a line end parted."""
+    out = F.concat(F.lit(" "), F.array_join(lines, " "), F.lit(" "))
+    for odd, usual in SPELLINGS.items():
+        if " " in odd:
+            out = F.replace(out, F.lit(f" {odd} "), F.lit(f" {usual} "))
+    return F.btrim(out)
+
+
 def known_licenses(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """(license_id, canon) of known licence texts and notices, normalised like any text."""
-    frame = spark.createDataFrame(known or KNOWN, "license_id string, body string")
-    return frame.select("license_id", F.array_join(canonical_lines(F.col("body")), " ").alias("canon")).distinct()
+    frame = spark.createDataFrame(known or [*KNOWN, *whole_texts()], "license_id string, body string")
+    return frame.select("license_id", joined(canonical_lines(F.col("body"))).alias("canon")).distinct()
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, max_known: int = 100_000) -> DataFrame:
@@ -72,12 +114,14 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, max_known: in
     """
     known = known if known is not None else known_licenses(docs.sparkSession)
     known = known.filter("canon <> ''").groupBy("canon").agg(F.min("license_id").alias("found"))
-    known = broadcast_if_small(saved(known, "license-known"), max_known)
+    # a whole text is known by its digest, a line by itself
+    keys = [F.struct(F.lit(True).alias("whole"), F.sha2(F.col("canon").cast("binary"), 256).alias("key")), F.struct(F.lit(False).alias("whole"), F.col("canon").alias("key"))]
+    known = known.select("found", F.explode(F.array(*keys)).alias("k")).select("found", F.col("k.whole").alias("_all"), F.col("k.key").alias("_key"))
+    known = broadcast_if_small(saved(known, "license-known"), 2 * max_known)
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), canonical_lines(F.col("text")).alias("lines"))
-    rows = rows.withColumn("whole", F.array_join("lines", " "))
-    digest = F.sha2(F.col("whole").cast("binary"), 256)
-    tries = rows.select("doc_id", "rid", digest.alias("digest"), F.explode(F.concat(F.array(F.struct(F.lit(True).alias("all"), F.col("whole").alias("line"))), F.transform(F.array_distinct("lines"), lambda x: F.struct(F.lit(False).alias("all"), x.alias("line"))))).alias("t"))
-    met = tries.select("doc_id", "rid", "digest", "t.all", "t.line").join(known, F.col("line") == F.col("canon"), "left").filter("all or found is not null")
+    rows = rows.withColumn("digest", F.sha2(joined(F.col("lines")).cast("binary"), 256))
+    tries = rows.select("doc_id", "rid", "digest", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("all"), F.col("digest").alias("line"))), F.transform(F.array_distinct("lines"), lambda x: F.struct(F.lit(False).alias("all"), x.alias("line"))))).alias("t"))
+    met = tries.select("doc_id", "rid", "digest", "t.all", "t.line").join(known, (F.col("line") == F.col("_key")) & (F.col("all") == F.col("_all")), "left").filter("all or found is not null")
     met = met.groupBy("doc_id", "rid", "digest").agg(F.count_if("all").alias("copies"), F.max(F.when(F.col("all"), F.col("found"))).alias("license_id"), F.sort_array(F.collect_set(F.when(~F.col("all"), F.col("found")))).alias("notices"))
     met = met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return met.select("doc_id", "digest", "license_id", F.array_join("notices", ",").alias("notices"), F.size("notices").cast("long").alias("n_notices"))

@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import textwrap
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from changefold.llm import decontam
+from changefold.llm import decontam, licenses
 from changefold.llm.decontam import decontaminate, report
 from changefold.llm.licenses import ISC, MIT, known_licenses, scan_licenses
 from changefold.llm.lines import LineRuns, dedup_lines
@@ -191,6 +193,28 @@ def test_licenses(spark):
     assert scan_licenses(spark.createDataFrame([(1, "MY LICENSE VERSION 2")], "doc_id long, text string"), own).collect()[0]["license_id"] == "A"
 
 
+def test_entire_texts_of_every_licence(spark):
+    folder = Path(licenses.__file__).with_name("license_texts")
+    texts = {p.stem: p.read_text() for p in folder.glob("*.txt")} | {"MIT": MIT, "ISC": ISC}
+    assert set(texts) == {"Apache-2.0", "GPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "MIT", "ISC"}
+    docs, want = [], []
+    for name, text in texts.items():
+        for form in (text, f"Copyright 2021 The Some Authors\n{text}", *("\n".join(textwrap.wrap(" ".join(text.split()), width)) for width in range(30, 100, 7) if name in ("MIT", "ISC"))):
+            docs.append((len(docs), form))
+            want.append(name)
+    docs.append((len(docs), texts["GPL-3.0"].replace("a free, copyleft license", "a license")))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in scan_licenses(df).collect()}
+    assert [got[i] for i in range(len(docs))] == [*want, None]
+
+
+def test_copyright_statements_only(spark):
+    gone = ["Copyright (c) 2020 A", "  # Copyright 2020, A", "(C) 2020 A", "© A", "Copyright Some One", "copyright [yyyy] [name]", "(c) Copyright A"]
+    stay = ["copyright notice and this permission notice", "COPYRIGHT HOLDERS BE LIABLE", "copyright and related rights", "(c) You must retain", "copyright", "the copyright 2020"]
+    frame = spark.createDataFrame([(x,) for x in gone + stay], "t string").select(F.size(licenses.canonical_lines(F.col("t")))).collect()
+    assert [r[0] for r in frame] == [0] * len(gone) + [1] * len(stay)
+
+
 # --- quality ---------------------------------------------------------------------------
 
 
