@@ -30,13 +30,13 @@ MOST_TEMPLATES = 200
 MOST_HOSTS = 1_000_000
 
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|title|iframe|svg|select|math|canvas|object|audio|video)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)"
+    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|title|iframe|svg|select|canvas|audio|video|annotation|annotation-xml)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)"
     r"|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 #: Tags inside a block of text.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Opening one of these closes an open one of the same group.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
@@ -47,25 +47,45 @@ OUTSIDE_NAMES = frozenset(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login search searchbox comment comments commentlist comments-area disqus respond reply replies "
     "share sharing social related recommended breadcrumb breadcrumbs pagination pager pagenav widget widgets toolbar skip form masthead topbar".split()
 )
+#: Names that only as a whole tell an element outside.
+OUTSIDE_WHOLE = frozenset("comment-list comment-section comments-section comment-form comment-respond comments-wrapper related-posts related-articles related-links social-links social-share share-buttons share-links cookie-bar nav-links menu-item footer-widgets footer-links footer-inner widget-area ad-slot ad-container ad-wrapper ad-unit".split())
+#: A name that begins so tells what the element has, not what it is.
+WRAPPERS = frozenset("with without has no is not hide show".split())
 CONTENT_NAMES = frozenset("content article main post entry story".split())
+#: Outside even if its name has a word of CONTENT_NAMES or it holds an article.
+NEVER = frozenset("comment comments commentlist comments-area comment-list comment-section comments-section comments-wrapper ad ads".split())
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(text)}
 
 
-def _outside(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
-    """Whether an element never holds the article."""
-    if tag in OUTSIDE_TAGS or attributes.get("role", "").lower() in OUTSIDE_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
+def _outside(tag: str, attributes: dict[str, str], in_article: bool) -> str:
+    """What tells that an element never holds the article, empty if nothing does. Of class
+    and id, a whole name or its last word counts."""
+    if tag in OUTSIDE_TAGS or attributes.get("role", "").lower() in OUTSIDE_ROLES:
+        return tag
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true":
+        return "hidden"
     if tag == "header":
-        return not in_article
+        return "" if in_article else tag
     if tag in ("html", "body", "article", "main") or tag in INLINE:
-        return False
-    names = {x for k in ("class", "id") for y in attributes.get(k, "").lower().split() for x in (y, *re.split(r"[^a-z0-9]+", y))}
-    if names & OUTSIDE_NAMES:
-        return not (names & CONTENT_NAMES) or bool(names & {"comment", "comments", "commentlist", "ad", "ads"})
-    return "header" in names and not in_article
+        return ""
+    words: set[str] = set()
+    found: set[str] = set()
+    for name in (y for k in ("class", "id") for y in attributes.get(k, "").lower().split()):
+        parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+        words.update(parts)
+        if name in OUTSIDE_WHOLE:
+            found.add(name)
+        elif parts and parts[0] not in WRAPPERS:
+            found |= {name, parts[-1]}
+    never, found_outside = found & NEVER, found & (OUTSIDE_NAMES | OUTSIDE_WHOLE)
+    if never:
+        return min(never)
+    if found_outside and not words & CONTENT_NAMES:
+        return min(found_outside)
+    return "header" if "header" in found and not words & CONTENT_NAMES and not in_article else ""
 
 
 def _mark(path: str, text: str) -> str:
@@ -83,7 +103,11 @@ class Page:
     def __init__(self, html: str | None):
         self.tags: list[str] = []
         self.blocks: list[tuple[str, str, bool, bool, bool]] = []
-        stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
+        # marks: places in ``signs`` of the elements around that tell themselves outside
+        stack: list[tuple[str, str, tuple[int, ...], bool, bool]] = [("", "", (), False, False)]
+        blocks: list[tuple[str, str, tuple[int, ...], bool, bool]] = []
+        signs: list[str] = []
+        around: dict[str, list[tuple[int, ...]]] = {"article": [], "main": []}
         pending: list[str] = []
         html = html or ""
 
@@ -91,7 +115,7 @@ class Page:
             text = " ".join(unescape("".join(pending)).split())
             pending.clear()
             if text:
-                self.blocks.append((stack[-1][1], text, *stack[-1][2:]))
+                blocks.append((stack[-1][1], text, *stack[-1][2:]))
 
         at = 0
         for m in MARKUP.finditer(html):
@@ -123,18 +147,29 @@ class Page:
             if stack[-1][0] == "head" and tag == "body":
                 stack.pop()
             attributes = _attributes(m[4]) if m[4] else {}
-            _, path, outside, article, main = stack[-1]
+            _, path, marks, article, main = stack[-1]
             mark = ".".join(sorted(attributes.get("class", "").split()))
             here = f"{path}/{tag}" + (f".{mark}" if mark else "")
             self.tags.append(here)
             if tag in VOID or m[4].rstrip().endswith("/"):
                 continue
-            outside = outside or _outside(tag, attributes, article or main)
-            article = article or (tag == "article" and not outside)
-            main = main or ((tag == "main" or attributes.get("role") == "main") and not outside)
-            stack.append((tag, here, outside, article, main))
+            if sign := _outside(tag, attributes, article or main):
+                marks = (*marks, len(signs))
+                signs.append(sign)
+            kind = "main" if tag == "main" or attributes.get("role") == "main" else tag
+            if kind in around:
+                around[kind].append(marks)
+            stack.append((tag, here, marks, article or kind == "article", main or kind == "main"))
         pending.append(html[at:] if not html[at:].lstrip().startswith("<") else "")
         flush()
+        # What holds the main element is not outside, unless hidden; what holds an article is
+        # not if no other article is left, and then the text beside that article stays as well.
+        held = {x for marks in around["main"] if all(signs[x] not in NEVER | {"hidden"} for x in marks) for x in marks}
+        beside: set[int] = set()
+        if not any(held.issuperset(marks) for kind in around for marks in around[kind]):
+            beside = {x for marks in around["article"] if all(signs[x] not in NEVER | {"hidden"} for x in marks) for x in marks}
+        for path, text, marks, article, main in blocks:
+            self.blocks.append((path, text, not (held | beside).issuperset(marks), article and not beside.intersection(marks), main))
 
     def tokens(self) -> Counter:
         """How often each token occurs: paths of tags, and places and digests of blocks."""

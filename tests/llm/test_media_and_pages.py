@@ -103,6 +103,24 @@ def test_main_text(html, want):
     assert Page(html).text() == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<div class='layout with-sidebar'><article><p>a</p></article><div class='sidebar'>s</div></div>", "a"),
+        ("<div class='layout with-sidebar'><p>a</p></div>", "a"), ("<div class='post comments-open'><p>a</p></div>", "a"),
+        ("<div class='sidebar'><article><p>a</p></article></div>", "a"), ("<form id=f><nav>n</nav><div role=main><p>a</p></div></form>", "a"),
+        ("<div class='banner-top related-layout'><main><p>a</p><div class='site-footer'>f</div></main></div>", "a"),
+        ("<div class=sidebar><main><p>a</p></main><p>s</p></div>", "a"), ("<div class=with-header><p>a</p></div><div class=site-header>h</div>", "a"),
+        ("<article><p>a</p></article><section class=related><article><p>r</p></article></section>", "a"),
+        ("<p>a</p><div id=comments><article><p>c</p></article></div>", "a"), ("<p>a</p><div class='related-posts'>r</div><div class=post-comments>c</div>", "a"),
+        ("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p>", "if x=2 then"), ("<object data=f><param name=a><p>fallback</p></object>", "fallback"),
+        ("<div hidden><main><p>no</p></main></div><p>a</p>", "a"),
+    ],
+)
+def test_wrappers_keep_the_article(html, want):
+    assert Page(html).text() == want
+
+
 def site(n, host="h.example.org"):
     """Pages that mark nothing by tag or name; their template shows by recurrence alone."""
     page = "<html><body><div><p>Site name</p><p>Menu of the site</p></div><div><h2>Title {i}</h2><p>Story {i} goes on.</p></div><div><p>All about us</p></div></body></html>"
