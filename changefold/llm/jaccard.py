@@ -215,8 +215,9 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     Reads doc_id and text; extra columns are left out. Returns one row per input row:
     doc_id, tid (hash of the text), n_shingles, class_key (equal for equal sets), n_links (links between its class
-    and other classes that were verified) and component_id, the smallest doc_id reachable,
-    itself included. Texts without words (null, empty, white space) have size 0, no key and
+    and other classes that were verified), component_id, the smallest doc_id reachable,
+    itself included, and component_key, the smallest class_key reachable, which alone tells
+    components apart where rows of unlike texts share a doc_id or have none. Texts without words (null, empty, white space) have size 0, no key and
     link with nothing. Fewer words than n count as one n-gram. A null doc_id is never the
     smallest; repeated rows are copies of each other; an empty table gives an empty one.
     N-grams are compared by 64-bit hashes.
@@ -259,20 +260,21 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     tops = comps.join(ids.withColumnRenamed("key", "_k"), F.col("node") == F.col("_k")).groupBy("comp").agg(F.min("low").alias("top")).withColumnRenamed("comp", "_g")
     degree = links.select(F.explode(F.array("a", "b")).alias("_k")).groupBy("_k").agg(F.count("*").alias("deg"))
     named = ids.join(comps, F.col("key") == F.col("node"), "left").join(tops, F.col("comp") == F.col("_g"), "left").join(degree, F.col("key") == F.col("_k"), "left")
-    named = named.select(F.col("key").alias("_key"), F.coalesce("top", "low").alias("component"), F.coalesce("deg", F.lit(0)).alias("deg"))
+    named = named.select(F.col("key").alias("_key"), F.coalesce("comp", "key").alias("component_key"), F.coalesce("top", "low").alias("component"), F.coalesce("deg", F.lit(0)).alias("deg"))
     named = saved(named, "jaccard-named")  # a plain shuffle, which Spark splits where one class has many rows
     done = rows.join(named, (F.col("n") > 0) & (F.col("key") == F.col("_key")), "left")
-    return done.select("doc_id", "tid", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.when(F.col("n") > 0, F.col("key")).alias("class_key"), F.coalesce("deg", F.lit(0)).cast("long").alias("n_links"))
+    return done.select("doc_id", "tid", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.when(F.col("n") > 0, F.col("key")).alias("class_key"), F.coalesce("deg", F.lit(0)).cast("long").alias("n_links"), "component_key")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of linked documents: the one with the smallest doc_id, null last,
     then the smallest hash of its text. Rows without words are kept; columns stay as they are.
 
-    Rows equal in doc_id and text collapse to one of them.
+    Rows equal in doc_id and text collapse to one of them. Rows of unlike texts stay even if
+    they share a doc_id; linked rows form a group even if all their doc_ids are null.
     """
     mine = [F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("__jaccard_id"), F.xxhash64("text").alias("__jaccard_tid")]
-    groups = jaccard_groups(docs, n, percent).filter("n_shingles > 0").select(mine[0], F.col("tid").alias("__jaccard_tid"), F.coalesce("component_id", F.col("class_key")).alias("group"))
+    groups = jaccard_groups(docs, n, percent).filter("n_shingles > 0").select(mine[0], F.col("tid").alias("__jaccard_tid"), F.col("component_key").alias("group"))
     rows = saved(groups.groupBy("group", "__jaccard_id", "__jaccard_tid").agg(F.count("*").alias("copies")), "jaccard-kept")
     first = rows.groupBy("group").agg(F.min(F.struct("__jaccard_id", "__jaccard_tid")).alias("keep"))
     losing = rows.join(first, "group").filter(F.struct("__jaccard_id", "__jaccard_tid") != F.col("keep")).select("__jaccard_id", "__jaccard_tid")

@@ -92,3 +92,17 @@ def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(200)] + [(300, 301), (5, 5)]
     got = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(i, 0) for i in range(201)} | {(300, 300), (301, 300)}
+
+
+def test_keep_one_groups_by_links_alone(spark):
+    words = [f"w{i}" for i in range(60)]
+    text = lambda k, last="": " ".join(f"{k}{w}" for w in words) + last
+    docs = [
+        (1, text("a")), (1, text("b")), (2, text("b", " end")), (1, text("c")),  # one id, unlike texts, one of them with a near copy
+        (None, text("d")), (None, text("d", " end")), (None, text("d", " stop")), (None, text("e")),  # near copies without ids
+        (9, text("f")), (7, text("f", " end")),
+    ]
+    kept = [tuple(r) for r in jaccard.keep_one(spark.createDataFrame(docs, "doc_id long, text string"), 3, 80).collect()]
+    assert sorted(k for k in kept if k[0] is not None) == sorted([(1, text("a")), (1, text("b")), (1, text("c")), (7, text("f", " end"))])
+    none = [t for i, t in kept if i is None]
+    assert len(none) == 2 and text("e") in none
