@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from changefold import queries
 from changefold.functions import scalars
 from changefold.operators import actions, filters, merge, metrics, routing
 from changefold.plans.pipeline import PipelineSpec, SinkSpec, SourceSpec, builder, SINKS
@@ -238,3 +239,12 @@ def test_delta_across_spans(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 9, 7), ("a", 35, None), ("a", 36, 9), ("b", 2, 1)], "s string, at long, v long")
     got = {(r["s"], r["at"]): r["delta"] for r in metrics.throughput_delta(df, "s", "at", "v", span=10).collect()}
     assert got == {("a", 1): None, ("a", 9): 2, ("a", 35): None, ("a", 36): None, ("b", 2): None}
+
+
+def test_order_holds_over_spans_of_a_source(spark, tmp_path):
+    n = 600_000
+    events = spark.range(n).select(F.col("id").alias("event_id"), (F.col("id") % 3).alias("user_id"), F.lit('{"k": 1}').alias("props"), F.lit(1.0).alias("value"), F.lit("view").alias("event_type"), F.lit(dt.datetime(2024, 1, 1)).alias("ts"))
+    events.repartition(7, F.xxhash64("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    got = queries.QUERIES["sl1_order_changes"](spark, str(tmp_path)).toPandas()
+    keys = list(zip(got["instance_id"], got["lsn"], got["seq"], strict=True))
+    assert len(keys) == n and keys == sorted(keys)
