@@ -1,20 +1,25 @@
 """HTML extraction by equivalence-class template deduction.
 
-Pages of one host share a template. Each page is cut into tokens: opening tags and text
-blocks with their place in the page. The occurrence vector of a token says how often it
-occurs on each page of the host; tokens with equal vectors form an equivalence class. Large
-classes that occur on nearly all pages are valid; nested by their places they make the
-host's template. What lies in the slots between template tokens is content; of the slots,
-those inside navigation, adverts, forms, comments and the like are left out.
+Pages of one host share templates. Each page is cut into tokens: elements, told apart by
+their path from the root, and text blocks with their element. The occurrence vector of a
+token says how often it occurs on each page of the host; tokens with equal vectors form an
+equivalence class, and classes of several tokens on several pages are valid. Elements of
+valid classes that occur once a page nest, by their paths, into the host's templates; what
+lies between them are slots. From the root down, the slots that hold the text which varies
+from page to page lead to the article's; text that recurs and slots full of links are left
+out. Only pages of hosts with too few pages for recurrence, or in which no article slot is
+met, are judged by their own markup.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,16 +27,24 @@ from pyspark.sql import functions as F
 
 from changefold.llm.common import broadcast_if_small, saved
 
-#: A class is valid on a host of ``MIN_PAGES`` pages if it spans ``SUPPORT`` of them.
-MIN_PAGES, SUPPORT, MIN_TOKENS = 8, 0.9, 2
-#: Hosts whose templates may be broadcast; beyond them pages are shuffled by host.
-MOST_TEMPLATES = 200
-#: Hosts whose page counts may be broadcast.
-MOST_HOSTS = 1_000_000
-
+#: A class needs so many tokens, on so many pages and on this share of the host's pages (which
+#: bounds a template by the length of 50 pages). Text recurs if it is on this share of the
+#: pages that have its element; a group of near copies may hold a third of them.
+MIN_TOKENS, MIN_PAGES, PAGE_SHARE, TEXT_SHARE = 2, 3, 0.02, 0.4
+#: A slot is one of the article's if it holds this share of the largest slot's text; a slot
+#: with this share of its text in links is a menu.
+SLOT_SHARE, LINK_SHARE = 0.1, 0.7
+#: Bytes of templates, and hosts whose page counts, that may be broadcast.
+MOST_BYTES, MOST_HOSTS = 64 << 20, 1_000_000
+#: Elements without class are told apart by their place among equals, up to this one.
+PLACES = 8
+
+QUOTED = r"(?:\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>])|[^'\">])*"
+RAW = "script|style|noscript|template|textarea|title|iframe|svg|select|canvas|audio|video|annotation|annotation-xml"
+# a tag whose quotes don't close ends at the first ">"
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|title|iframe|svg|select|canvas|audio|video|annotation|annotation-xml)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)"
-    r"|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)",
+    rf"<!--.*?(?:-->|$)|<({RAW})\b(?:{QUOTED}|[^>]*)>.*?(?:</\1\s*>|$)"
+    rf"|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({QUOTED}(?=>)|[^>]*)(?:>|$)",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -40,8 +53,11 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Opening one of these closes an open one of the same group.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
+#: Elements that lay out a page, and so are told apart by place if they have no class.
+LAYOUT = frozenset("div section table tbody tr td center main article header".split())
 OUTSIDE_TAGS = frozenset("nav footer aside form menu dialog button fieldset head".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar status toolbar tablist".split())
+#: Names of classes and ids, for pages that no template covers.
 OUTSIDE_NAMES = frozenset(
     "nav navbar navigation menu menus submenu footer foot sidebar sidebars aside rail ad ads adv advert adverts advertisement advertisements advertising adbox adsense adslot sponsor sponsored promo promos promotion banner "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login search searchbox comment comments commentlist comments-area disqus respond reply replies "
@@ -55,22 +71,47 @@ CONTENT_NAMES = frozenset("content article main post entry story".split())
 #: Outside even if its name has a word of CONTENT_NAMES or it holds an article.
 NEVER = frozenset("comment comments commentlist comments-area comment-list comment-section comments-section comments-wrapper ad ads".split())
 
+#: Kinds of tokens.
+PAGE, ELEMENT, TITLE, ROOT, TEXT = range(5)
+
+
+class Element(NamedTuple):
+    """An element of a page: the key of its path, its parent's place in the page's list, its
+    tag, its role (main, or the tag), its kind, and what tells that it never holds the article:
+    strong signs are its tag, role or state, weak ones its class or id."""
+
+    key: int
+    parent: int
+    tag: str
+    role: str
+    kind: int
+    sign: str
+    strong: bool
+
+
+class Block(NamedTuple):
+    """A run of text between tags that are not inline."""
+
+    element: int
+    text: str
+    links: int
+
 
 def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(text)}
 
 
-def _outside(tag: str, attributes: dict[str, str], in_article: bool) -> str:
-    """What tells that an element never holds the article, empty if nothing does. Of class
-    and id, a whole name or its last word counts."""
+def _outside(tag: str, attributes: dict[str, str], in_article: bool) -> tuple[str, bool]:
+    """What tells that an element never holds the article, empty if nothing does, and whether
+    that is more than a name. Of class and id, a whole name or its last word counts."""
     if tag in OUTSIDE_TAGS or attributes.get("role", "").lower() in OUTSIDE_ROLES:
-        return tag
+        return tag, True
     if "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return "hidden"
+        return "hidden", True
     if tag == "header":
-        return "" if in_article else tag
+        return ("", False) if in_article else (tag, False)
     if tag in ("html", "body", "article", "main") or tag in INLINE:
-        return ""
+        return "", False
     words: set[str] = set()
     found: set[str] = set()
     for name in (y for k in ("class", "id") for y in attributes.get(k, "").lower().split()):
@@ -82,48 +123,62 @@ def _outside(tag: str, attributes: dict[str, str], in_article: bool) -> str:
             found |= {name, parts[-1]}
     never, found_outside = found & NEVER, found & (OUTSIDE_NAMES | OUTSIDE_WHOLE)
     if never:
-        return min(never)
+        return min(never), True
     if found_outside and not words & CONTENT_NAMES:
-        return min(found_outside)
-    return "header" if "header" in found and not words & CONTENT_NAMES and not in_article else ""
+        return min(found_outside), False
+    return ("header", False) if "header" in found and not words & CONTENT_NAMES and not in_article else ("", False)
 
 
-def _mark(path: str, text: str) -> str:
-    """The token of a text block: its place and a digest of its text."""
-    return f"{path}\0{blake2b(text.encode('utf-8', 'replace'), digest_size=12).hexdigest()}"
+@lru_cache(maxsize=1 << 16)
+def _key(parent: int, label: str) -> int:
+    """64 bits of a digest of a path, built from its parent's."""
+    return int.from_bytes(blake2b(b"%d/%s" % (parent, label.encode("utf-8", "replace")), digest_size=8).digest(), "big", signed=True)
 
 
-class Page:
-    """Tags and text blocks of a page, in order.
+def _mark(element: int, text: str) -> int:
+    """The token of a text block: 64 bits of a digest of its element's path and its text."""
+    return int.from_bytes(blake2b(b"%d=%s" % (element, text.encode("utf-8", "replace")), digest_size=8).digest(), "big", signed=True)
 
-    ``tags``: the path of each opening tag that is not inline. ``blocks``: (path, text,
-    outside, in article, in main) of each non-empty run of text between such tags.
-    """
+
+class Page:
+    """Elements that are not inline and text blocks of a page, in order."""
 
     def __init__(self, html: str | None):
-        self.tags: list[str] = []
-        self.blocks: list[tuple[str, str, bool, bool, bool]] = []
-        # marks: places in ``signs`` of the elements around that tell themselves outside
-        stack: list[tuple[str, str, tuple[int, ...], bool, bool]] = [("", "", (), False, False)]
-        blocks: list[tuple[str, str, tuple[int, ...], bool, bool]] = []
-        signs: list[str] = []
-        around: dict[str, list[tuple[int, ...]]] = {"article": [], "main": []}
+        self.elements: list[Element] = [Element(0, -1, "", "", ROOT, "", False)]
+        self.blocks: list[Block] = []
+        stack = [0]
+        places: list[Counter] = [Counter()]
         pending: list[str] = []
+        in_article = [False]
+        links, link_depth = 0, 0
         html = html or ""
 
         def flush() -> None:
+            nonlocal links
             text = " ".join(unescape("".join(pending)).split())
             pending.clear()
             if text:
-                blocks.append((stack[-1][1], text, *stack[-1][2:]))
+                self.blocks.append(Block(stack[-1], text, min(links, len(text))))
+            links = 0
+
+        def leave(depth: int) -> None:
+            nonlocal link_depth
+            del stack[depth:], places[depth:], in_article[depth:]
+            if link_depth > depth:
+                link_depth = 0
 
         at = 0
         for m in MARKUP.finditer(html):
-            pending.append(html[at : m.start()])
+            if m.start() > at:
+                pending.append(html[at : m.start()])
+                if link_depth:
+                    links += m.start() - at
             at = m.end()
             tag = (m[3] or "").lower()
             if not tag:
                 continue
+            if tag == "a":
+                link_depth = 0 if m[2] else len(stack)
             if tag in INLINE and not m[2] and tag not in VOID:
                 attributes = _attributes(m[4]) if m[4] and m[4].strip() else {}
                 if not ("hidden" in attributes or attributes.get("aria-hidden") == "true"):
@@ -131,68 +186,128 @@ class Page:
             elif tag in INLINE:
                 if tag == "br":
                     pending.append(" ")
-                if not any(x[0] == tag for x in stack[1:]):
+                if not any(self.elements[x].tag == tag for x in stack[1:]):
                     continue
             flush()
             if m[2]:
                 for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
+                    if self.elements[stack[k]].tag == tag:
+                        leave(k)
                         break
                 continue
-            while len(stack) > 1 and stack[-1][0] in CLOSES.get(tag, ()):
-                stack.pop()
-            if stack[-1][0] == "p" and tag not in INLINE:  # a block ends an open paragraph
-                stack.pop()
-            if stack[-1][0] == "head" and tag == "body":
-                stack.pop()
+            while len(stack) > 1 and self.elements[stack[-1]].tag in CLOSES.get(tag, ()):
+                leave(len(stack) - 1)
+            top = self.elements[stack[-1]].tag
+            if (top == "p" and tag not in INLINE) or (top == "head" and tag == "body"):
+                leave(len(stack) - 1)  # a block ends an open paragraph
             attributes = _attributes(m[4]) if m[4] else {}
-            _, path, marks, article, main = stack[-1]
-            mark = ".".join(sorted(attributes.get("class", "").split()))
-            here = f"{path}/{tag}" + (f".{mark}" if mark else "")
-            self.tags.append(here)
+            parent = stack[-1]
+            label = ".".join([tag, *sorted(attributes.get("class", "").split())])
+            if label in LAYOUT:
+                places[-1][label] += 1
+                label = f"{label}[{min(places[-1][label], PLACES)}]"
+            sign, strong = _outside(tag, attributes, in_article[-1])
+            kind = TITLE if tag == "h1" else ROOT if tag in ("html", "body") else ELEMENT
+            role = "main" if attributes.get("role") == "main" else tag
+            self.elements.append(Element(_key(self.elements[parent].key, label), parent, tag, role, kind, sign, strong))
             if tag in VOID or m[4].rstrip().endswith("/"):
                 continue
-            if sign := _outside(tag, attributes, article or main):
-                marks = (*marks, len(signs))
-                signs.append(sign)
-            kind = "main" if tag == "main" or attributes.get("role") == "main" else tag
-            if kind in around:
-                around[kind].append(marks)
-            stack.append((tag, here, marks, article or kind == "article", main or kind == "main"))
+            stack.append(len(self.elements) - 1)
+            places.append(Counter())
+            in_article.append(in_article[-1] or role in ("article", "main"))
         pending.append(html[at:] if not html[at:].lstrip().startswith("<") else "")
         flush()
-        # What holds the main element is not outside, unless hidden; what holds an article is
-        # not if no other article is left, and then the text beside that article stays as well.
-        held = {x for marks in around["main"] if all(signs[x] not in NEVER | {"hidden"} for x in marks) for x in marks}
-        beside: set[int] = set()
-        if not any(held.issuperset(marks) for kind in around for marks in around[kind]):
-            beside = {x for marks in around["article"] if all(signs[x] not in NEVER | {"hidden"} for x in marks) for x in marks}
-        for path, text, marks, article, main in blocks:
-            self.blocks.append((path, text, not (held | beside).issuperset(marks), article and not beside.intersection(marks), main))
-
-    def tokens(self) -> Counter:
-        """How often each token occurs: paths of tags, and places and digests of blocks."""
-        found = Counter(self.tags)
-        for path, text, *_ in self.blocks:
-            found[_mark(path, text)] += 1
+
+    def tokens(self) -> dict[int, tuple]:
+        """Per token: (parent's token, kind, sign, times, characters of text in it, those of
+        them in links, place). Elements that can't hold text are left out."""
+        chars, links = [0] * len(self.elements), [0] * len(self.elements)
+        for b in self.blocks:
+            chars[b.element] += len(b.text)
+            links[b.element] += b.links
+        for i in range(len(self.elements) - 1, 0, -1):
+            chars[self.elements[i].parent] += chars[i]
+            links[self.elements[i].parent] += links[i]
+        found: dict[int, tuple] = {}
+
+        def add(token: int, parent: int, kind: int, sign: int, n: int, linked: int, place: int) -> None:
+            old = found.get(token)
+            found[token] = (parent, kind, sign, 1, n, linked, place) if old is None else (parent, kind, max(sign, old[2]), old[3] + 1, old[4] + n, old[5] + linked, old[6])
+
+        for i, e in enumerate(self.elements[1:], 1):
+            if e.tag not in VOID:
+                add(e.key, self.elements[e.parent].key, e.kind, 1 + e.strong if e.sign else 0, chars[i], links[i], i)
+        for b in self.blocks:
+            parent = self.elements[b.element].key
+            add(_mark(parent, b.text), parent, TEXT, 0, len(b.text), b.links, b.element)
         return found
 
     def fingerprint(self) -> int:
-        """A fingerprint of the tokens in order; the address and what is no token don't count."""
-        whole = "\n".join([*self.tags, *(_mark(path, text) for path, text, *_ in self.blocks)])
+        """A fingerprint of elements and texts in order; the address and what is no token don't count."""
+        whole = ",".join([*(str(e.key) for e in self.elements), *(f"{b.element}={b.text}" for b in self.blocks)])
         return int.from_bytes(blake2b(whole.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
-    def text(self, template: frozenset[str] = frozenset()) -> str:
-        """The article: its blocks joined by two line feeds, without template blocks. A
-        template that would leave nothing of it is not applied."""
-        inside = [b for b in self.blocks if not b[2]]
-        for k in (3, 4):
-            if any(b[k] for b in inside):
-                inside = [b for b in inside if b[k]]
+    def slots(self, content: frozenset[int], template: frozenset[int], menus: frozenset[int]) -> str:
+        """The text in the article's slots, without what recurs, menus, and elements inside
+        that are outside by strong signs (by weak ones too, where the slot is the whole body)."""
+        # of each element: whether it lies in a slot, and whether it stays
+        state = [(False, False, True)]
+        for e in self.elements[1:]:
+            inside, whole, stays = state[e.parent]
+            if e.key in content:
+                inside, whole, stays = True, e.kind == ROOT, True
+            elif inside and stays:
+                stays = e.key not in menus and not (e.sign and (e.strong or whole))
+            state.append((inside, whole, stays))
+        kept = []
+        for b in self.blocks:
+            inside, _, stays = state[b.element]
+            if inside and stays and _mark(self.elements[b.element].key, b.text) not in template:
+                kept.append(b.text)
+        return "\n\n".join(kept)
+
+    def text(self) -> str:
+        """The article as the page's own markup tells it."""
+        elements = self.elements
+        role = {kind: [i for i, e in enumerate(elements) if e.role == kind] for kind in ("article", "main")}
+
+        def down(start: bool, step: Callable[[bool, int], bool]) -> list[bool]:
+            """A value for each element, from its parent's."""
+            out = [start]
+            for i in range(1, len(elements)):
+                out.append(step(out[elements[i].parent], i))
+            return out
+
+        def signs_around(starts: list[int]) -> set[int]:
+            """The elements around that tell themselves outside."""
+            found, seen = set(), set()
+            for i in starts:
+                while i > 0 and i not in seen:
+                    seen.add(i)
+                    if elements[i].sign:
+                        found.add(i)
+                    i = elements[i].parent
+            return found
+
+        # What holds the main element is not outside, unless hidden; what holds an article is
+        # not if no other article is left, and then the text beside that article stays as well.
+        open_ = down(True, lambda up, i: up and elements[i].sign not in NEVER | {"hidden"})
+        held = signs_around([i for i in role["main"] if open_[i]])
+        free = down(True, lambda up, i: up and (not elements[i].sign or i in held))
+        beside: set[int] = set()
+        if not any(free[i] for kind in role for i in role[kind]):
+            beside = signs_around([i for i in role["article"] if open_[i]])
+            free = down(True, lambda up, i: up and (not elements[i].sign or i in held or i in beside))
+        loose = down(False, lambda up, i: up or i in beside)
+        article, main = (down(False, lambda up, i, k=kind: up or elements[i].role == k) for kind in role)
+        inside = [b for b in self.blocks if free[b.element]]
+        whole = sum(len(b.text) for b in inside)
+        for part in ([b for b in inside if article[b.element] and not loose[b.element]], [b for b in inside if main[b.element]]):
+            # a teaser beside the story doesn't stand for it
+            if part and 3 * sum(len(b.text) for b in part) >= whole:
+                inside = part
                 break
-        left = [b for b in inside if not template or _mark(*b[:2]) not in template]
-        return "\n\n".join(text for _, text, *_ in left or inside)
+        return "\n\n".join(b.text for b in inside)
 
 
 def host_of(url: Column) -> Column:
@@ -200,71 +315,139 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+TOKENS = pa.schema([
+    ("host", pa.string()), ("page", pa.int64()), ("token", pa.int64()), ("parent", pa.int64()), ("kind", pa.int8()), ("sign", pa.int8()),
+    ("times", pa.int32()), ("chars", pa.int32()), ("links", pa.int32()), ("place", pa.int32()),
+])
+
+
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """host, page (a fingerprint of its tokens), token, times for each token of each page, and
-    an empty token for the page itself."""
+    """The tokens of each page, and one of kind PAGE for the page itself, with a fingerprint
+    of the page."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
-                rows: tuple[list, list, list, list] = ([], [], [], [])
+                rows: list[tuple] = []
                 for host, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     page = Page(html)
                     mark = page.fingerprint()
-                    for token, times in (("", 1), *page.tokens().items()):
-                        for column, value in zip(rows, (host, mark, token, times), strict=True):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.int64())], ["host", "page", "token", "times"])
+                    rows.append((host, mark, 0, 0, PAGE, 0, 1, 0, 0, 0))
+                    rows += [(host, mark, token, *cells) for token, cells in page.tokens().items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), TOKENS, strict=True)], schema=TOKENS)
 
-    return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(convert, "host string, page long, token string, times long")
+    schema = "host string, page long, token long, parent long, kind tinyint, sign tinyint, times int, chars int, links int, place int"
+    return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(convert, schema)
+
+
+def deduce(rows: list[dict]) -> tuple[list[int], list[int], list[int]]:
+    """(content, template, menus) of a host from its tokens of valid support.
+
+    ``content``: elements that hold the article, and titles beside them. ``template``: texts
+    that recur. ``menus``: elements most of whose text is in links.
+    """
+    sizes = Counter((r["vector"], r["support"]) for r in rows)
+    tokens = {r["token"]: r for r in rows if sizes[(r["vector"], r["support"])] >= MIN_TOKENS}
+    elements = {t: r for t, r in tokens.items() if r["kind"] != TEXT}
+    support = {r["token"]: r["support"] for r in rows}
+    fixed = [r for r in tokens.values() if r["kind"] == TEXT and r["support"] >= TEXT_SHARE * support.get(r["parent"], r["support"])]
+    varies = {t: r["chars"] - r["links"] for t, r in elements.items()}
+    for r in fixed:
+        at = r["parent"]
+        for _ in range(len(rows)):
+            if at in varies:
+                varies[at] -= r["chars"] - r["links"]
+            if at not in elements:
+                break
+            at = elements[at]["parent"]
+    mean = {t: max(0, varies[t]) / elements[t]["support"] for t in elements}
+    menus = {t for t, r in elements.items() if r["chars"] and r["links"] >= LINK_SHARE * r["chars"]}
+    # the nested template: elements that occur once a page, in page order
+    nested: dict[int, list[int]] = {}
+    for t, r in sorted(elements.items(), key=lambda x: (x[1]["place"], x[0])):
+        if r["most"] == 1 and t not in menus:
+            nested.setdefault(r["parent"], []).append(t)
+    content: list[int] = []
+    titles: list[int] = []
+    tried = [0]
+    while tried:
+        at = tried.pop()
+        inner = nested.get(at, [])
+        own = (mean[at] if at in mean else 0) - sum(mean[t] for t in inner)
+        largest = max([own, *(mean[t] for t in inner)])
+        parts = [t for t in inner if mean[t] > 0 and mean[t] >= SLOT_SHARE * largest]
+        parts = [t for t in parts if not elements[t]["sign"]] or parts
+        whole = at == 0 or elements[at]["kind"] == ROOT
+        together = len({(elements[t]["vector"], elements[t]["support"]) for t in parts}) == 1
+        if at in elements and mean[at] > 0 and ((own > 0 and own >= SLOT_SHARE * largest) or (len(parts) > 1 and together and not whole)):
+            content.append(at)
+            continue
+        titles += [t for t in inner if elements[t]["kind"] == TITLE and t not in parts and mean[t] > 0]
+        tried += parts
+    return content + titles if content else [], [r["token"] for r in fixed], sorted(menus - set(content))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): the text tokens of each host's template.
+    """(host, content, template, menus): the templates of each host, as ``deduce`` gives them.
 
     Copies of a page count once, whatever their addresses: their tokens are equal rows, so
-    that the pages themselves need no shuffle. An occurrence vector is held as its support and the
-    exclusive or of hashes of (page, times), which sums up before the shuffle. Valid
-    classes of tokens nest: a text token of a class of several belongs to the template if the
-    tag that holds it is on nearly all pages as well. The pages of a host never meet in one task, and a
-    host's template is no longer than its pages, since each token is on most of them.
+    that the pages themselves need no shuffle. An occurrence vector is held as its support and
+    the exclusive or of hashes of (page, times), which sums up before the shuffle. The pages
+    of a host never meet in one task; what does are its tokens of valid support, which
+    PAGE_SHARE bounds by the length of a few pages.
     """
     tokens = page_tokens(pages.select("url", "html")).distinct()
-    vectors = tokens.groupBy("host", "token").agg(F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "times")).alias("vector"))
-    # what is on fewer pages can't be on SUPPORT of MIN_PAGES
-    vectors = saved(vectors.filter(F.col("support") >= SUPPORT * MIN_PAGES), "html-vectors")
-    size = vectors.filter("token = ''").select(F.col("host").alias("_host"), F.col("support").alias("pages"))
-    size = broadcast_if_small(saved(size.filter(F.col("pages") >= MIN_PAGES), "html-hosts"), MOST_HOSTS)
-    vectors = vectors.filter("token <> ''").join(size, F.col("host") == F.col("_host")).filter(F.col("support") >= SUPPORT * F.col("pages"))
-    classes = vectors.groupBy("host", "vector", "support").agg(F.collect_list("token").alias("tokens"))
-    tags = F.filter("tokens", lambda t: ~F.contains(t, F.lit("\0")))
-    classes = classes.select("host", F.when(F.size("tokens") >= MIN_TOKENS, F.col("tokens")).otherwise(tags).alias("tokens"))
-    valid = classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("all"))
-    nested = F.filter("all", lambda t: F.contains(t, F.lit("\0")) & F.array_contains("all", F.substring_index(t, "\0", 1)))
-    return valid.select("host", nested.alias("template")).filter(F.size("template") > 0)
+    sums = {c: F.sum(F.col(c).cast("long")).alias(c) for c in ("chars", "links")}
+    vectors = tokens.groupBy("host", "token").agg(
+        F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "times")).alias("vector"), F.max("times").alias("most"),
+        *[F.max(c).alias(c) for c in ("parent", "kind", "sign")], *sums.values(), F.min("place").alias("place"),
+    )
+    vectors = saved(vectors.filter(F.col("support") >= MIN_PAGES), "html-vectors")
+    size = vectors.filter(F.col("kind") == PAGE).select(F.col("host").alias("_host"), F.col("support").alias("pages"))
+    size = broadcast_if_small(saved(size, "html-hosts"), MOST_HOSTS)
+    vectors = vectors.filter(F.col("kind") != PAGE).join(size, F.col("host") == F.col("_host"))
+    vectors = vectors.filter(F.col("support") >= PAGE_SHARE * F.col("pages")).drop("_host", "pages")
+    names = [c for c in vectors.columns if c != "host"]
+    hosts = vectors.groupBy("host").agg(F.collect_list(F.struct(*names)).alias("tokens"))
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = pa.list_(pa.int64())
+        for batch in batches:
+            found = [deduce(rows) for rows in batch.column(1).to_pylist()]
+            columns = [pa.array([f[k] for f in found], many) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["host", "content", "template", "menus"])
+
+    schema = "host string, content array<long>, template array<long>, menus array<long>"
+    return hosts.mapInArrow(convert, schema).filter(F.size("content") > 0)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """The main text of every page: page_id, url, text, n_chars (its code points).
 
     One row per input row. Null and empty html give an empty text; a null url has an empty
-    host of its own; hosts with few pages have no template and rely on the page's own
-    elements; copies of a page give the same text; extra columns are left out. Character
-    references are decoded, white space inside a block becomes one space, blocks are joined
-    by two line feeds.
+    host of its own; pages of hosts with less than MIN_PAGES distinct pages, and pages that
+    have none of their host's article slots, are judged by their own markup; copies of a page
+    give the same text; extra columns are left out. Character references are decoded, white
+    space inside a block becomes one space, blocks are joined by two line feeds.
     """
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                ids, urls, htmls, marks = part.columns
-                texts = [Page(h).text(frozenset(t or ())) for h, t in zip(htmls.to_pylist(), marks.to_pylist(), strict=True)]
-                texts = [t.encode("utf-8", "replace").decode() for t in texts]
-                yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                texts = []
+                for html, *sets in zip(*(c.to_pylist() for c in part.columns[2:]), strict=True):
+                    page = Page(html)
+                    text = page.slots(*map(frozenset, sets)) if sets[0] else ""
+                    texts.append((text or page.text()).encode("utf-8", "replace").decode())
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("_h"))
-    deduced = broadcast_if_small(saved(templates(pages), "html-templates"), MOST_TEMPLATES)
+    deduced = saved(templates(pages), "html-templates")
+    cells = F.size("content") + F.size("template") + F.size("menus") + 8
+    if (deduced.agg(F.sum(cells)).collect()[0][0] or 0) * 8 <= MOST_BYTES:
+        deduced = F.broadcast(deduced)
+    # beyond that the join is a plain shuffle, in which Spark splits the pages of a hot host
     rows = rows.join(deduced, F.col("_h") == F.col("host"), "left")
-    return rows.select("page_id", "url", "html", "template").mapInArrow(convert, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "content", "template", "menus").mapInArrow(convert, "page_id long, url string, text string, n_chars long")

@@ -2,13 +2,18 @@
 
 import hashlib
 import random
+import re
 import struct
+import time
 import zlib
+from collections import defaultdict
+from html import unescape
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from changefold.llm import html as pages_of
 from changefold.llm import language, telephony, warc
 from changefold.llm.html import Page, extract_pages, host_of, templates
 
@@ -155,6 +160,94 @@ def test_copies_under_other_addresses_keep_their_article(spark):
     assert got[3] == got[40] == "Title 0\n\nStory 0 goes on." and got[60] == "Site name\n\nMenu of the site\n\nAll about us"
 
 
+def deduced_by_hand(htmls):
+    """(content, template, menus) of one host's pages, with occurrence vectors kept whole."""
+    seen = {}
+    for html in htmls:
+        seen.setdefault(Page(html).fingerprint(), Page(html).tokens())
+    vectors, rows = defaultdict(dict), {}
+    for page, tokens in seen.items():
+        for token, (parent, kind, sign, times, chars, links, place) in tokens.items():
+            vectors[token][page] = times
+            old = rows.setdefault(token, {"token": token, "parent": parent, "kind": kind, "sign": sign, "chars": 0, "links": 0, "place": place})
+            rows[token] = old | {"sign": max(sign, old["sign"]), "chars": old["chars"] + chars, "links": old["links"] + links, "place": min(place, old["place"])}
+    kept = []
+    for token, row in rows.items():
+        n = len(vectors[token])
+        if n >= pages_of.MIN_PAGES and n >= pages_of.PAGE_SHARE * len(seen):
+            kept.append(row | {"support": n, "vector": frozenset(vectors[token].items()), "most": max(vectors[token].values())})
+    return [frozenset(x) for x in pages_of.deduce(kept)]
+
+
+def plain_article(html):
+    """The article of a page of the test tables, by its tags."""
+    inner = re.search(r"<article>(.*)</article>", html, re.S)[1].replace("<br>", " ")
+    blocks = re.sub(r"<[^>]*>", "", re.sub(r"</?(h1|p)>", "\x01", inner)).split("\x01")
+    return "\n\n".join(x for x in (" ".join(unescape(b).split()) for b in blocks) if x)
+
+
+def test_templates_equal_brute_force_and_need_no_word_lists(spark, monkeypatch):
+    frame = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("host", host_of(F.col("url")))
+    found = {r["host"]: [frozenset(r[c]) for c in ("content", "template", "menus")] for r in templates(frame).collect()}
+    by_host = defaultdict(list)
+    for r in frame.collect():
+        by_host[r["host"]].append(r["html"])
+    assert len(found) > 30
+    for host, htmls in by_host.items():
+        got, by_hand = found.get(host), deduced_by_hand(htmls)
+        assert (got is None and not by_hand[0]) or got == by_hand
+    for name in ("OUTSIDE_TAGS", "OUTSIDE_ROLES", "OUTSIDE_NAMES", "OUTSIDE_WHOLE", "NEVER"):
+        monkeypatch.setattr(pages_of, name, frozenset())
+    large = [(h, htmls) for h, htmls in by_host.items() if len(htmls) >= 10]
+    assert large
+    for host, htmls in large:
+        sets = deduced_by_hand(htmls)
+        assert [Page(x).slots(*sets) for x in htmls] == [plain_article(x) for x in htmls], host
+
+
+STORY = "Story {i} tells of {i} things, and of {i} more of them, at some length."
+
+
+@pytest.mark.parametrize(
+    ("form", "want"),
+    [
+        # nothing is marked by a telling name or tag; texts of the slots vary or recur
+        ("<div class=q1><ul><li><a href=a{i}>Go {i}</a><li><a href=b{i}>Up {i}</a></ul></div><div class=q2><h1>T{i}</h1><p>{s}</p><p>{s}</p></div><div class=q3>x{i}</div>", "T{i}\n\n{s}\n\n{s}"),
+        ("<div class=q1>All of us</div><div class=q2><div class=lead><p>{s}</p></div><div class=rest><p>{s}</p></div><div class=q4>Write to us</div></div>", "{s}\n\n{s}"),
+        ("<div class='layout has-sidebar'><h1>T{i}</h1><p>{s}</p></div><div>Menu</div>", "T{i}\n\n{s}"),
+        ("<div class=side><div class='post no-comments'><p>{s}</p></div></div>", "{s}"),
+        ("<div class=x><h1>T{i}</h1><div class=y><p>{s}</p></div><div class=z>no{i}</div></div>", "T{i}\n\n{s}"),
+        ("<table><tr><td>Menu<td><p>{s}</p><td>ad{i}</table>", "{s}"),
+        ("<main><p>{s}</p><section class=comments><p>{s}</p></section><form>{s}</form><nav>n{i}</nav></main>", "{s}"),
+        ("<article>tease {i}</article><div class=full><p>{s}</p><p>{s}</p><p>{s}</p></div>", "{s}\n\n{s}\n\n{s}"),
+    ],
+)
+def test_article_slot(form, want):
+    htmls = [form.format(i=i, s=STORY.format(i=i)) for i in range(4)]
+    sets = deduced_by_hand(htmls)
+    assert [Page(x).slots(*sets) for x in htmls] == [want.format(i=i, s=STORY.format(i=i)) for i in range(4)]
+
+
+def test_each_layout_of_a_host_has_its_template(spark):
+    one = "<div class=top>Menu of one</div><div class=story><p>{s}</p></div><div class=end>End of one</div>"
+    two = "<div class=head>Menu of two</div><section><p>{s}</p></section><div class=foot>End of two</div>"
+    data = [(i, f"http://h/{i}", (two if i % 5 < 2 else one).format(s=STORY.format(i=i))) for i in range(20)]
+    # a third of the pages are near copies; their shared words are no template
+    data += [(100 + i, f"http://h/c{i}", one.format(s="The same story all over again, word for word.</p><p>" + STORY.format(i=100 + i))) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == STORY.format(i=i) for i in range(20))
+    assert all(got[100 + i].startswith("The same story all over again") for i in range(6))
+
+
+def test_odd_markup():
+    assert Page('<p><a title="x>link</a> and <b class="y">more</b></p>').text() == "link and more"
+    assert Page("<article>tease</article><p>A story of many words, which is what the page is for.</p>").text().endswith("what the page is for.")
+    began = time.time()
+    for odd in ("<a title=\"" * 50_000, "<div>" * 20_000 + "deep", "<nav>" * 20_000 + "deep", "<nav><article>" * 10_000 + "deep", "<" * 200_000, "<p>word " * 50_000, "<a b='" + "x" * 500_000, "<!--" * 50_000, "<script>" * 20_000):
+        assert "<div" not in Page(odd).text()
+    assert time.time() - began < 30
+
+
 def test_host(spark):
     urls = ["http://A.example.org:80/x", "//u:p@b.org/y", "no host", None, "https://c.net?q=//d"]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(host_of(F.col("u"))).collect()]
