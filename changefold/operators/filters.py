@@ -16,15 +16,11 @@ Transformer = Callable[[DataFrame], DataFrame]
 
 
 def table_allowed(df: DataFrame, tables: list[str]) -> DataFrame:
-    """Rows whose table, bare or with its schema, is listed; an empty list passes all. Long
-    lists become a semi-join."""
+    """Rows whose table, bare or with its schema, is listed; an empty list passes all. The
+    list is a setting, which Spark looks up as a hash set whatever its length."""
     if not tables:
         return df
-    full = F.concat_ws(".", "schema", "tbl")
-    if len(tables) <= 200:
-        return df.filter(F.col("tbl").isin(tables) | full.isin(tables))
-    listed = df.sparkSession.createDataFrame([(t,) for t in tables], "_t string")
-    return df.join(listed, (F.col("tbl") == F.col("_t")) | (full == F.col("_t")), "left_semi")
+    return df.filter(F.col("tbl").isin(tables) | F.concat_ws(".", "schema", "tbl").isin(tables))
 
 
 def table_regex_allowed(df: DataFrame, names: list[str]) -> DataFrame:
@@ -57,15 +53,21 @@ def subject_match(subject: Column, patterns: list[str]) -> Column:
 
 def subject_filter(df: DataFrame, pattern: str) -> DataFrame:
     """Rows of the log that match a pattern. Literal tokens also become equalities on the
-    columns that the log is partitioned by, so that files of other tables aren't read."""
+    columns that the log is partitioned by, with dots replaced as in subjects, so that files
+    of other tables aren't read. Topics and instances keep their dots, and nulls are left out,
+    which shifts the tokens, so rows that have such are told by their subject alone."""
     places = ("topic", "instance_id", "schema", "tbl")
-    tokens = pattern.split(".")
     df = df.filter(subject_match(F.col("subject"), [pattern]))
-    for place, token in zip(places, tokens, strict=False):
+    if not set(places) <= set(df.columns):
+        return df
+    shifted = F.coalesce(F.contains("topic", F.lit(".")), F.lit(False)) | F.coalesce(F.contains("instance_id", F.lit(".")), F.lit(True))
+    shifted = shifted | F.col("schema").isNull() | F.col("tbl").isNull()
+    for place, token in zip(places, pattern.split("."), strict=False):
         if token == ">":
             break
-        if token != "*" and place in df.columns:
-            df = df.filter(F.col(place) == token)
+        if token != "*":
+            value = F.coalesce(F.nullif(F.col(place), F.lit("")), F.lit("cdc")) if place == "topic" else F.replace(F.col(place), F.lit("."), F.lit("_"))
+            df = df.filter(shifted | (value == token))
     return df
 
 
@@ -76,9 +78,11 @@ def select_image(df: DataFrame) -> DataFrame:
 
 def rename_fields(image: Column, names: dict[str, str]) -> Column:
     """An image with keys renamed at once. A target that exists already is overwritten; names
-    that map to themselves or chain into each other are refused."""
+    that map to themselves, chain into each other or share a target are refused."""
     if any(a == b for a, b in names.items()) or set(names) & set(names.values()):
         raise ValueError("renames must not chain or map a field to itself")
+    if len(set(names.values())) < len(names):
+        raise ValueError("renames must not share a target")
     if not names:
         return image
     pairs = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])

@@ -48,6 +48,11 @@ def fold(changes: DataFrame, columns: list[str], position: list[str]) -> DataFra
     return changes.groupBy("key").agg(F.max(F.when(~live, at)).alias("gone"), F.max(F.when(live, at)).alias("alive"), *[last(c) for c in columns])
 
 
+def merge_folds(folds: DataFrame) -> DataFrame:
+    """One row per key of several folds: everything in a fold is a maximum, so folds add up."""
+    return folds.groupBy("key").agg(*[F.max(c).alias(c) for c in folds.columns if c != "key"])
+
+
 def apply_changes(changes: DataFrame, base: DataFrame, key: str, position: list[str]) -> DataFrame:
     """Apply a log to a table: c, u and r set the columns that their image has, d removes the
     record, in the order of ``position``; later changes of a removed record start afresh.
@@ -59,9 +64,13 @@ def apply_changes(changes: DataFrame, base: DataFrame, key: str, position: list[
     and the base once.
     """
     columns = [c for c in base.columns if c != key]
+    return apply_fold(fold(changes.withColumn("key", F.col("key").cast(dict(base.dtypes)[key])), columns, position), base, key)
+
+
+def apply_fold(folded: DataFrame, base: DataFrame, key: str) -> DataFrame:
+    """Apply a fold, one row per key, to a table."""
     types = dict(base.dtypes)
-    folded = fold(changes.withColumn("key", F.col("key").cast(types[key])), columns, position).withColumnRenamed("key", "_key")
-    both = base.join(folded, F.col(key) == F.col("_key"), "full")
+    both = base.join(folded.withColumnRenamed("key", "_key"), F.col(key) == F.col("_key"), "full")
     dead = F.col("gone").isNotNull() & (F.col("alive").isNull() | (F.col("alive") < F.col("gone")))
 
     def value(c: str) -> Column:
@@ -69,7 +78,7 @@ def apply_changes(changes: DataFrame, base: DataFrame, key: str, position: list[
         is_set = cell.isNotNull() & (F.col("gone").isNull() | (cell["at"] > F.col("gone")))
         return F.when(is_set, cell["value"].try_cast(types[c])).when(F.col("gone").isNull(), F.col(c)).alias(c)
 
-    return both.filter(~dead).select(F.coalesce(F.col(key), F.col("_key")).alias(key), *[value(c) for c in columns])
+    return both.filter(~dead).select(F.coalesce(F.col(key), F.col("_key")).alias(key), *[value(c) for c in base.columns if c != key])
 
 
 def upsert(base: DataFrame, rows: DataFrame, key: str) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,17 +22,29 @@ PERMANENT = ("validation", "configuration", "schema", "serialization", "unsuppor
 PARTITIONS = ("topic", "instance_id", "schema", "tbl")
 
 
-def to_messages(df: DataFrame, topic: str = "cdc", ordinals: tuple[str, ...] = ()) -> DataFrame:
+def to_messages(df: DataFrame, topic: str = "cdc", ordinals: tuple[str, ...] | None = None) -> DataFrame:
     """Envelopes as messages: subject, headers and message id. The lsn header is there only
-    if positive, offset and id only if the offset isn't empty."""
+    if positive, offset and id only if the offset isn't empty.
+
+    Rows of a snapshot, a poll or a rows event share one offset. Where a row has an
+    ``ordinal``, its id therefore has its table and ordinal too, unless ``ordinals`` names
+    other columns (none for the bare id).
+    """
     rows = df.withColumn("topic", F.coalesce(F.nullif(F.lit(topic), F.lit("")), F.lit("cdc")))
     has = F.coalesce("offset", F.lit("")) != ""
     all_ = F.create_map(
         F.lit("instance"), "instance_id", F.lit("schema"), "schema", F.lit("table"), "tbl", F.lit("op"), "op",
         F.lit("lsn"), F.when(F.col("lsn") > 0, F.col("lsn").cast("string")), F.lit("offset"), F.when(has, F.col("offset")),
     )
+    if ordinals is not None:
+        more = [F.col(o) for o in ordinals]
+    elif "ordinal" in df.columns:
+        more = [F.when(F.col("ordinal").isNotNull(), F.concat_ws(".", "schema", "tbl")), F.col("ordinal")]
+    else:
+        more = []
     rows = rows.withColumn("subject", build_subject(F.col("topic"), F.col("instance_id"), F.col("schema"), F.col("tbl")))
-    return rows.withColumn("headers", F.map_filter(all_, lambda k, v: v.isNotNull())).withColumn("msg_id", msg_id(F.col("instance_id"), F.col("offset"), *[F.col(o) for o in ordinals]))
+    rows = rows.withColumn("headers", F.map_filter(all_, lambda k, v: v.isNotNull()))
+    return rows.withColumn("msg_id", msg_id(F.col("instance_id"), F.col("offset"), *more))
 
 
 def publish_log(messages: DataFrame, path: str, checkpoint: str | None = None):
@@ -43,35 +57,45 @@ def publish_log(messages: DataFrame, path: str, checkpoint: str | None = None):
 
 def dedup_messages(df: DataFrame, key: str = "msg_id", at: str = "ts", seconds: int = DUPLICATE_SECONDS, tie: str = "seq") -> DataFrame:
     """Drop messages whose id was accepted less than the window before; the window starts
-    anew with each accepted message. Null ids are never duplicates.
+    anew with each accepted message. Messages without id or time are never duplicates; of
+    rows equal in id, time and ``tie`` one is accepted.
 
-    Acceptance of an id's messages depends on the one before, so they are read in order, but
-    as a stream: a task holds one id and one time, never a group.
+    Only (id, time, tie) are shuffled, and only ids that occur more than once take the
+    ordered pass, in which acceptance depends on the message before: a task holds one id and
+    one time, never a group. Whole messages are met again by a join with the repeated ids.
     """
-    keep = df.schema
+    slim = df.select(F.col(key).cast("string").alias("_k"), F.unix_micros(F.col(at).cast("timestamp")).alias("_t"), F.col(tie).alias("_s"))
+    order = W.partitionBy("_k").orderBy("_t", "_s")
+    slim = slim.filter("_k is not null and _t is not null")
+    near = slim.select("*", F.lag("_t").over(order).alias("_b"), F.lead("_t").over(order).alias("_a"))
+    near = near.filter("_a is not null or _b is not null").select("_k", "_t", "_s")
 
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last_at = None, None
         for batch in batches:
             ok = []
             for k, t in zip(batch.column("_k").to_pylist(), batch.column("_t").to_pylist(), strict=True):
-                new = k is None or k != last_key or t is None or last_at is None or t - last_at >= seconds * 1_000_000
+                new = k != last_key or t - last_at >= seconds * 1_000_000
                 if new:
                     last_key, last_at = k, t
                 ok.append(new)
-            yield batch.filter(pa.array(ok, pa.bool_())).select(names)
+            yield batch.filter(pa.array(ok, pa.bool_()))
 
-    names = keep.names
-    # null ids are spread by their place in the log
-    spread = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\0"), F.col(tie).cast("string")))
-    rows = df.withColumn("_k", F.col(key).cast("string")).withColumn("_t", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("_s", spread)
-    ordered = rows.repartition("_s").sortWithinPartitions("_s", "_t", tie)
-    return ordered.mapInArrow(accept, keep)
+    accepted = near.mapInArrow(accept, near.schema)
+    mine = df.withColumn("_k", F.col(key).cast("string")).withColumn("_t", F.unix_micros(F.col(at).cast("timestamp")))
+    repeated = near.select(F.col("_k").alias("_rk")).distinct()
+    timed = F.col("_t").isNotNull()
+    once = mine.join(repeated, timed & (F.col("_k") == F.col("_rk")), "left_anti")
+    again = mine.filter(timed).join(accepted.toDF("_rk", "_rt", "_rs"), (F.col("_k") == F.col("_rk")) & (F.col("_t") == F.col("_rt")) & F.col(tie).eqNullSafe(F.col("_rs")), "left_semi")
+    again = again.dropDuplicates(["_k", "_t", tie])
+    return once.unionByName(again).select(*df.columns)
 
 
 def dedup_stream(df: DataFrame, key: str = "msg_id", at: str = "ts", seconds: int = DUPLICATE_SECONDS) -> DataFrame:
-    """The same for a stream; state is kept for at least the window."""
-    return df.withWatermark(at, f"{seconds} seconds").dropDuplicatesWithinWatermark([key])
+    """The same for a stream; state is kept for at least the window. Messages without id go
+    past the state, none is lost."""
+    named = df.filter(F.col(key).isNotNull()).withWatermark(at, f"{seconds} seconds").dropDuplicatesWithinWatermark([key])
+    return named.unionByName(df.filter(F.col(key).isNull()))
 
 
 def expire_log(log: DataFrame, now: str, days: int = KEEP_DAYS, at: str = "ts") -> DataFrame:
@@ -98,6 +122,19 @@ def classify_error(kind: Column) -> Column:
     return ~F.coalesce(F.lower(kind).isin(*PERMANENT), F.lit(False))
 
 
+class DeliveryError(Exception):
+    """A failed delivery of a known kind, one of PERMANENT or any other."""
+
+    def __init__(self, message: str, kind: str):
+        super().__init__(message)
+        self.kind = kind
+
+
+def error_kind(error: Exception) -> str:
+    """The kind of an error: its own, or schema for what Spark can't resolve."""
+    return getattr(error, "kind", "schema" if isinstance(error, AnalysisException) else "unknown")
+
+
 def route_failures(deliveries: DataFrame, max_retries: int = MAX_DELIVERIES) -> DataFrame:
     """Add ``route`` to failed deliveries: dlq at the retry limit or beyond, else redeliver."""
     return deliveries.withColumn("route", F.when(F.col("attempts") >= max_retries, "dlq").otherwise("redeliver"))
@@ -133,16 +170,20 @@ def write_dlq(failed: DataFrame, path: str, reason: Column) -> None:
 
 def reprocess_dlq(dlq: DataFrame, predicates: list[Predicate] = (), transformers: list[Transformer] = (), decodable: Column | None = None, valid: Callable[[DataFrame], Column] | None = None, first: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(replayed, left, ended) of the first dead letters: those that filters and transformers
-    pass and that are valid again; those that stay; those that can't be decoded and go."""
-    batch = dlq.orderBy("seq").limit(first)
+    pass and that are valid again; those that stay; those that can't be decoded and go.
+
+    A letter is known by its sink, if there is such a column, and its seq."""
+    key = ["sink", "seq"] if "sink" in dlq.columns else ["seq"]
+    batch = dlq.orderBy("seq", *key[:-1]).limit(first)
     decodable = decodable if decodable is not None else F.coalesce("before", "after").isNotNull()
     ended = batch.filter(~F.coalesce(decodable, F.lit(False)))
     alive = batch.filter(F.coalesce(decodable, F.lit(False)))
     replayed = apply_transformers(apply_filters(alive, list(predicates)), list(transformers))
     if valid is not None:
         replayed = replayed.filter(F.coalesce(valid(replayed), F.lit(False)))
-    gone = replayed.select("seq").unionByName(ended.select("seq"))
-    return replayed, dlq.join(gone, "seq", "left_anti"), ended
+    gone = replayed.select(*key).unionByName(ended.select(*key)).toDF(*[f"_{c}" for c in key])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+    return replayed, dlq.join(gone, same, "left_anti"), ended
 
 
 def save_offsets(state: DataFrame, new: DataFrame) -> DataFrame:

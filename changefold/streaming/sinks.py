@@ -1,23 +1,29 @@
 """Sinks of streaming queries: each reads the log on its own checkpoint, in micro-batches.
 
 A sink's ``write`` gets a batch and its number and must be safe to repeat: a batch counts as
-done only when the checkpoint moves on after it.
+done only when the checkpoint moves on after it. Batches are numbered anew by each new
+checkpoint, so what a sink remembers of a batch is kept under the query's own id.
 """
 
 from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable
+import urllib.error
+import urllib.request
+from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from changefold.operators.filters import select_image, subject_match
-from changefold.operators.merge import apply_changes, split_keyless, split_ops
-from changefold.streaming.log import BASE_MS, CAP_MS, MAX_RETRIES
+from changefold.operators.actions import webhook_batches
+from changefold.operators.filters import subject_match
+from changefold.operators.merge import apply_fold, fold, merge_folds, split_keyless, split_ops
+from changefold.streaming.log import BASE_MS, CAP_MS, MAX_RETRIES, PERMANENT, DeliveryError, dead_letters, error_kind
 
 
 class Sink(Protocol):
@@ -27,6 +33,11 @@ class Sink(Protocol):
     def write(self, batch: DataFrame, epoch: int) -> None: ...
 
 
+def query_id(spark: SparkSession) -> str:
+    """The id of the query whose batch is being written; it changes with the checkpoint."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+
+
 class FunctionSink:
     """A sink from a plain function of (batch, epoch)."""
 
@@ -38,66 +49,152 @@ class FunctionSink:
 
 
 class AppendSink:
-    """Writes each batch to a folder of its number, so that a repeated batch replaces itself."""
+    """Writes each batch, in the given shape, to a folder of its query and number, so that a
+    repeated batch replaces itself."""
+
+    def __init__(self, name: str, path: str, shape: Callable[[DataFrame], DataFrame] = lambda df: df, subjects: list[str] | None = None, by: tuple[str, ...] = (), form: str = "parquet"):
+        self.name, self.path, self.shape, self.subjects, self.by, self.form = name, path, shape, subjects or [], by, form
+
+    def write(self, batch: DataFrame, epoch: int) -> None:
+        out = self.shape(batch).write.format(self.form).mode("overwrite")
+        (out.partitionBy(*self.by) if self.by else out).save(f"{self.path}/query={query_id(batch.sparkSession)}/batch={epoch}")
+
 
-    def __init__(self, name: str, path: str, shape: Callable[[DataFrame], DataFrame] = lambda df: df, subjects: list[str] | None = None):
-        self.name, self.path, self.shape, self.subjects = name, path, shape, subjects or []
+class WebhookSink:
+    """Posts each batch as JSON arrays of at most ``size`` changes, from the tasks that hold
+    them. A status outside 200 to 299 fails the batch, which is then tried again as a whole."""
+
+    def __init__(self, name: str, url: str, size: int = 100, include_payload: bool = False, headers: dict[str, str] | None = None, timeout: float = 10.0, subjects: list[str] | None = None):
+        self.name, self.url, self.size, self.payload, self.timeout, self.subjects = name, url, size, include_payload, timeout, subjects or []
+        self.headers = {"Content-Type": "application/json"} | (headers or {})
 
     def write(self, batch: DataFrame, epoch: int) -> None:
-        self.shape(batch).write.mode("overwrite").parquet(f"{self.path}/batch={epoch}")
+        url, headers, timeout = self.url, self.headers, self.timeout
+
+        def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                statuses = []
+                for body in rows.column(1).to_pylist():
+                    try:
+                        with urllib.request.urlopen(urllib.request.Request(url, body.encode(), headers), timeout=timeout) as answer:
+                            statuses.append(answer.status)
+                    except urllib.error.HTTPError as e:
+                        statuses.append(e.code)
+                    except OSError:
+                        statuses.append(0)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(statuses, pa.int32())], ["batch", "status"])
+
+        posts = webhook_batches(batch, self.size, self.payload).select("batch", "body").mapInArrow(post, "batch long, status int")
+        failed = posts.filter("status not between 200 and 299").agg(F.count("*").alias("n"), F.min("status").alias("s")).collect()[0]
+        if failed["n"]:
+            raise DeliveryError(f"{failed['n']} posts failed, with status {failed['s']}", "network")
 
 
 class TableSink:
-    """Keeps a current table: versions in folders of their own, and a pointer to the valid one
-    that is moved last. The pointer is a one-row table in a folder per version, so all access
-    goes through Spark's file systems."""
-
-    def __init__(self, name: str, path: str, key: str, position: list[str], empty: DataFrame, subjects: list[str] | None = None, dlq: str | None = None):
-        self.name, self.path, self.key, self.position, self.subjects, self.dlq = name, path, key, position, subjects or [], dlq
-        self.schema = empty.schema
-
-    def _version(self, spark: SparkSession) -> dict | None:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/pointer")
-        if not root.getFileSystem(conf).exists(root):
-            return None
-        rows = spark.read.json(f"{self.path}/pointer").orderBy(F.desc("epoch")).limit(1).collect()
-        return rows[0].asDict() if rows else None
+    """Keeps a current table as a base, the folded changes of later batches, and a pointer that
+    says which of them count.
+
+    A batch adds its fold, one small folder, and never rewrites the table; after ``compact``
+    batches the folds are applied to the base in a new one. The pointer, moved last, names
+    the base, the folds and the last batch of each query, so that a repeated batch changes
+    nothing and another query's batches are told apart. Folders that neither the pointer nor the one
+    before names are deleted. Rows that can't be applied go to dead letters.
+    """
+
+    def __init__(self, name: str, path: str, key: str, position: list[str], empty: DataFrame, subjects: list[str] | None = None, dlq: str | None = None, keys: dict[str, str] | None = None, compact: int = 16):
+        self.name, self.path, self.key, self.position, self.subjects = name, path, key, position, subjects or []
+        self.schema, self.dlq, self.keys, self.compact = empty.schema, dlq or f"{path}/dlq", keys or {}, compact
+
+    def _folder(self, spark: SparkSession, name: str):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+    def _names(self, spark: SparkSession, prefix: str) -> list[str]:
+        files, root = self._folder(spark, "")
+        found = [s.getPath().getName() for s in files.listStatus(root)] if files.exists(root) else []
+        return sorted(x for x in found if x.startswith(prefix))
+
+    def _pointer(self, spark: SparkSession) -> dict:
+        for name in reversed(self._names(spark, "pointer=")):
+            files, done = self._folder(spark, f"{name}/_SUCCESS")
+            if files.exists(done):
+                return json.loads(spark.read.text(f"{self.path}/{name}").collect()[0][0])
+        return {"version": -1, "base": -1, "folds": [], "done": {}}
+
+    def _state(self, spark: SparkSession, at: dict) -> DataFrame:
+        base = spark.createDataFrame([], self.schema) if at["base"] < 0 else spark.read.schema(self.schema).parquet(f"{self.path}/base={at['base']}")
+        if not at["folds"]:
+            return base
+        folds = [spark.read.parquet(f"{self.path}/version={v}") for v in at["folds"]]
+        return apply_fold(merge_folds(reduce(DataFrame.unionByName, folds)), base, self.key)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        at = self._version(spark)
-        return spark.createDataFrame([], self.schema) if at is None else spark.read.schema(self.schema).parquet(f"{self.path}/version={at['epoch']}")
+        return self._state(spark, self._pointer(spark))
 
     def write(self, batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        at = self._version(spark)
-        if at is not None and at["epoch"] >= epoch:
+        query, at = query_id(spark), self._pointer(spark)
+        if at["done"].get(query, -1) >= epoch:
             return  # done before a restart
-        known, unknown = split_ops(batch)
-        keyed, keyless = split_keyless(select_image(known), {}, self.key, self.schema[self.key].dataType.simpleString())
-        apply_changes(keyed, self.read(spark), self.key, self.position).write.mode("overwrite").parquet(f"{self.path}/version={epoch}")
-        if self.dlq:
-            rejected = unknown.unionByName(keyless.drop("image", "key"), allowMissingColumns=True)
-            rejected.write.mode("overwrite").parquet(f"{self.dlq}/sink={self.name}/batch={epoch}")
-        spark.createDataFrame([(epoch,)], "epoch long").coalesce(1).write.mode("overwrite").json(f"{self.path}/pointer/at={epoch}")
-
-
-def with_retries(write: Callable[[], None], tries: int = MAX_RETRIES, base: int = BASE_MS, cap: int = CAP_MS) -> None:
-    """Call until it succeeds, waiting base, twice base, ... up to cap milliseconds between
-    tries; the last error is raised."""
-    for attempt in range(tries):
+        version = at["version"] + 1
+        rows = batch.withColumn("image", F.when(F.col("op") == "d", F.col("before")).otherwise(F.col("after")))
+        known, unknown = split_ops(rows)
+        empty = known.filter("image is null").withColumn("reason", F.lit("missing image"))
+        keyed, keyless = split_keyless(known.filter("image is not null"), self.keys, self.key, self.schema[self.key].dataType.simpleString())
+        rejected = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [unknown, empty, keyless]).drop("image")
+        dead_letters(rejected, F.col("reason")).write.mode("overwrite").parquet(f"{self.dlq}/sink={self.name}/query={query}/batch={epoch}-rejected")
+        # a later version comes after an earlier one, whatever the positions
+        keyed = keyed.withColumn("_version", F.lit(version))
+        columns = [c for c in self.schema.names if c != self.key]
+        fold(keyed, columns, ["_version", *self.position]).write.mode("overwrite").parquet(f"{self.path}/version={version}")
+        new = {"version": version, "base": at["base"], "folds": [*at["folds"], version], "done": at["done"] | {query: epoch}}
+        if len(new["folds"]) >= self.compact:
+            self._state(spark, new).write.mode("overwrite").parquet(f"{self.path}/base={version}")
+            new |= {"base": version, "folds": []}
+        line = spark.createDataFrame([(json.dumps(new),)], "value string").coalesce(1)
+        line.write.mode("overwrite").text(f"{self.path}/pointer={version:012d}")
+        self._clean(spark, at, new)
+
+    def _clean(self, spark: SparkSession, *kept: dict) -> None:
+        """Delete what neither pointer names; readers of the pointer before can end."""
+        used = {f"pointer={p['version']:012d}" for p in kept} | {f"base={p['base']}" for p in kept} | {f"version={v}" for p in kept for v in p["folds"]}
+        for prefix in ("pointer=", "base=", "version="):
+            for name in self._names(spark, prefix):
+                if name not in used:
+                    files, path = self._folder(spark, name)
+                    files.delete(path, True)
+
+
+def with_retries(write: Callable[[], None], retries: int = MAX_RETRIES, base: int = BASE_MS, cap: int = CAP_MS) -> None:
+    """Call once, and up to ``retries`` times more after errors that aren't permanent, waiting
+    base, twice base, ... up to cap milliseconds between; the last error is raised."""
+    for attempt in range(retries + 1):
         try:
             return write()
-        except Exception:
-            if attempt == tries - 1:
+        except Exception as e:
+            if attempt == retries or error_kind(e) in PERMANENT:
                 raise
             time.sleep(min(base * 2**attempt, cap) / 1000)
 
 
-def run_sink(log: DataFrame, sink: Sink, checkpoint: str, trigger: dict | None = None, tries: int = 1) -> StreamingQuery:
-    """Start a sink's query over a log stream, on a cursor of its own under ``checkpoint``."""
+def run_sink(log: DataFrame, sink: Sink, checkpoint: str, trigger: dict | None = None, tries: int = 1, dlq: str | None = None, base: int = BASE_MS) -> StreamingQuery:
+    """Start a sink's query over a log stream, on a cursor of its own under ``checkpoint``.
+
+    A batch that fails ``tries`` times, or for good, goes to the dead letters at ``dlq`` and the sink
+    goes on with the next; without ``dlq`` the query ends with the error, and takes the same batch up again
+    when it is started anew.
+    """
     rows = log.filter(subject_match(F.col("subject"), sink.subjects)) if sink.subjects else log
-    each = lambda batch, epoch: with_retries(lambda: sink.write(batch, epoch), tries)
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        try:
+            with_retries(lambda: sink.write(batch, epoch), max(0, tries - 1), base)
+        except Exception as e:
+            if dlq is None:
+                raise
+            reason = F.lit(f"{error_kind(e)}: {str(e)[:500]}")
+            dead_letters(batch, reason).write.mode("overwrite").parquet(f"{dlq}/sink={sink.name}/query={query_id(batch.sparkSession)}/batch={epoch}-failed")
+
     return rows.writeStream.queryName(sink.name).foreachBatch(each).option("checkpointLocation", f"{checkpoint}/{sink.name}").trigger(**(trigger or {"availableNow": True})).start()
 
 

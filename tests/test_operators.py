@@ -248,3 +248,23 @@ def test_order_holds_over_spans_of_a_source(spark, tmp_path):
     got = queries.QUERIES["sl1_order_changes"](spark, str(tmp_path)).toPandas()
     keys = list(zip(got["instance_id"], got["lsn"], got["seq"], strict=True))
     assert len(keys) == n and keys == sorted(keys)
+
+
+def test_subject_filter_of_dotted_names(spark):
+    rows = [(1, "cdc", "i", "public", "a.b"), (2, "cdc", "i.j", "public", "t"), (3, "cdc", "i", "public", "t"), (4, "", "i", "s.x", "t"), (5, None, "i", None, "t")]
+    log = spark.createDataFrame(rows, "seq long, topic string, instance_id string, schema string, tbl string")
+    log = log.withColumn("subject", routing.build_subject(F.col("topic"), F.col("instance_id"), F.col("schema"), F.col("tbl")))
+    for pattern in ("cdc.i.public.a_b", "cdc.i.j.public.t", "cdc.*.public.*", "cdc.i.>", "cdc.i.s_x.t", "cdc.i.t", "cdc.i.*.t"):
+        want = {r["seq"] for r in log.filter(filters.subject_match(F.col("subject"), [pattern])).collect()}
+        assert want and {r["seq"] for r in filters.subject_filter(log, pattern).collect()} == want
+
+
+def test_renames_that_share_a_target_are_refused():
+    with pytest.raises(ValueError, match="share"):
+        filters.rename_fields(F.col("image"), {"a": "c", "b": "c"})
+
+
+def test_long_table_lists(spark):
+    log = spark.createDataFrame([(1, "s", "t7"), (2, "s", "u"), (3, "s", "v")], "seq long, schema string, tbl string")
+    got = filters.table_allowed(log, [f"t{i}" for i in range(3000)] + ["s.u"])
+    assert {r["seq"] for r in got.collect()} == {1, 2} and "Join" not in got._jdf.queryExecution().toString()

@@ -1,21 +1,24 @@
 """Streaming delivery: cursors, restarts, dead letters; batch and stream agree."""
 
 import datetime as dt
+import json
+import random
 import threading
 import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
+import pytest
 from pyspark.sql import functions as F
 
 from changefold.model import ENVELOPE
 from changefold.operators import merge
 from changefold.plans.pipeline import Pipeline, PipelineSpec, SinkSpec, SourceSpec
-from changefold.sources import decode
+from changefold.sources import decode, snapshot
 from changefold.sources.changes import read_changes
 from changefold.sources.poll import PollSource, poll_trigger
 from changefold.streaming import log as logs
 from changefold.streaming.observe import ProgressTable, active_workers, reconnects, worker_duration_histogram
-from changefold.streaming.sinks import FunctionSink, TableSink, run_sink
+from changefold.streaming.sinks import AppendSink, FunctionSink, TableSink, WebhookSink, run_sink, with_retries
 
 TABLE = "id long, x long"
 
@@ -158,3 +161,147 @@ def test_rate_limit_and_hot_sinks(spark, tmp_path):
     assert query.isActive and pipe.add_sink(SinkSpec("bad", "nope")) is None
     pipe.remove_sink("late")
     assert not query.isActive and pipe.queries == {}
+
+
+# --- nothing is lost -------------------------------------------------------------------
+
+
+def test_retries():
+    calls = []
+
+    def fail(kind):
+        def write():
+            calls.append(kind)
+            raise logs.DeliveryError("no", kind)
+
+        return write
+
+    for retries, kind, want in ((0, "network", 1), (2, "network", 3), (2, "unknown", 3), (5, "schema", 1), (5, "validation", 1)):
+        calls.clear()
+        with pytest.raises(logs.DeliveryError):
+            with_retries(fail(kind), retries, base=1)
+        assert len(calls) == want
+    done = []
+    with_retries(lambda: done.append(1), 0)
+    assert done == [1]
+
+
+def test_sink_without_retries_writes(spark, tmp_path):
+    src = str(tmp_path / "src")
+    changes(spark, FIRST).write.parquet(src)
+    spec = PipelineSpec([SourceSpec("i", options={"path": src})], [SinkSpec("raw", "append", options={"path": f"{tmp_path}/raw"}, max_retries=0)])
+    Pipeline(spark, spec, f"{tmp_path}/cp").run_once()
+    assert spark.read.parquet(f"{tmp_path}/raw").count() == 3
+
+
+def test_poisoned_batch_goes_to_dead_letters_and_the_sink_goes_on(spark, tmp_path):
+    src, dlq = str(tmp_path / "src"), str(tmp_path / "dlq")
+    for row in FIRST:
+        changes(spark, [row]).coalesce(1).write.mode("append").parquet(src)
+    seen, tried = [], []
+
+    def write(df, epoch):
+        seqs = [r["seq"] for r in df.collect()]
+        tried.extend(seqs)
+        if 2 in seqs:
+            raise RuntimeError("poison")
+        seen.extend(seqs)
+
+    log = read_changes(spark, src, stream=True, files_per_trigger=1)
+    run_sink(log, FunctionSink("f", write), str(tmp_path / "cp"), tries=2, dlq=dlq, base=1).awaitTermination()
+    assert sorted(seen) == [1, 3] and tried.count(2) == 2
+    dead = spark.read.parquet(dlq).collect()
+    assert [(r["seq"], r["sink"], r["original_subject"]) for r in dead] == [(2, "f", "cdc.i.public.t")] and "poison" in dead[0]["reason"]
+
+
+def test_dedup_keeps_messages_without_id(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    data = changes(spark, [(s, "t", "c", {"id": str(s)}) for s in range(1, 7)]).withColumn("offset", F.when(F.col("seq") == 6, "6").otherwise(""))
+    data.coalesce(1).write.parquet(src)
+    assert logs.dedup_messages(logs.to_messages(read_changes(spark, src))).count() == 6
+    logs.publish_log(logs.dedup_stream(logs.to_messages(read_changes(spark, src, stream=True))), out, str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(out).count() == 6
+
+
+def test_dedup_against_plain_python(spark):
+    rng = random.Random(3)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, rng.choice(["a", "b", "c", None, f"only{i}"]), None if rng.random() < 0.05 else start + dt.timedelta(seconds=rng.randrange(900))) for i in range(400)]
+    rows += rows[:20]  # rows equal in everything
+    want, last = [], {}
+    for seq, key, at in sorted(rows, key=lambda r: (r[2] or start, r[0])):
+        if key is None or at is None or key not in last or (at - last[key]).total_seconds() >= 120:
+            want.append((seq, key, at))
+            if key is not None and at is not None:
+                last[key] = at
+    frame = spark.createDataFrame(rows, "seq long, msg_id string, ts timestamp_ntz").withColumn("_k", F.lit(1)).drop("_k")
+    assert sorted(map(tuple, logs.dedup_messages(frame).collect()), key=repr) == sorted(want, key=repr)
+    assert logs.dedup_messages(frame.limit(0)).count() == 0
+
+
+def test_snapshot_rows_are_no_duplicates(spark):
+    rows = spark.createDataFrame([(i, "x") for i in range(50)], "id long, v string")
+    events = [snapshot.snapshot_to_events(rows, name, "inst", "id") for name in ("one", "two")]
+    log = events[0].unionByName(events[1]).withColumn("seq", F.monotonically_increasing_id()).withColumn("ts", F.lit(dt.datetime(2024, 1, 1)))
+    assert logs.dedup_messages(logs.to_messages(log)).count() == 100
+    assert logs.dedup_messages(logs.to_messages(log, ordinals=())).count() == 1
+
+
+def test_reprocess_knows_sinks_apart(spark):
+    letters = changes(spark, FIRST[:2]).crossJoin(spark.createDataFrame([("a",), ("b",)], "sink string"))
+    replayed, left, _ = logs.reprocess_dlq(letters, ["sink = 'a'"])
+    assert sorted((r["sink"], r["seq"]) for r in left.collect()) == [("b", 1), ("b", 2)] and replayed.count() == 2
+
+
+def test_table_sink_loses_no_row_and_knows_its_queries(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sink = lambda: TableSink("s", path, "id", ["lsn", "seq"], spark.createDataFrame([], TABLE), compact=3)
+    src = str(tmp_path / "src")
+    batches = [FIRST[:2], SECOND, [(9, "t", "u", None), (10, "t", "u", {"id": "7", "x": "1"})], [(11, "t", "u", {"id": "7", "x": "2"})], [(12, "t", "d", {"id": "1"}), (13, "t", "c", {"id": "2", "x": "8"})]]
+    for batch in batches:
+        changes(spark, batch).coalesce(1).write.mode("append").parquet(src)
+        run_sink(read_changes(spark, src, stream=True), sink(), str(tmp_path / "cp")).awaitTermination()
+    assert {r["id"]: r["x"] for r in sink().read(spark).collect()} == {2: 8, 4: 4, 7: 2}
+    dead = spark.read.parquet(f"{path}/dlq").select("seq", "reason").collect()
+    assert sorted(map(tuple, dead)) == [(6, "unknown op"), (7, "missing key"), (9, "missing image")]
+    kept = sorted(p.name for p in tmp_path.joinpath("t").iterdir())
+    assert len([k for k in kept if k.startswith("base=")]) == 1 and len([k for k in kept if k.startswith("pointer=")]) == 2
+    # a new checkpoint numbers its batches from 0 again, and they count
+    other = str(tmp_path / "other")
+    changes(spark, [(1, "t", "c", {"id": "50", "x": "5"})]).write.parquet(other)
+    run_sink(read_changes(spark, other, stream=True), sink(), str(tmp_path / "cp2")).awaitTermination()
+    assert {r["id"] for r in sink().read(spark).collect()} == {2, 4, 7, 50}
+
+
+def test_append_sink_keeps_what_other_queries_wrote(spark, tmp_path):
+    src = str(tmp_path / "src")
+    changes(spark, FIRST).write.parquet(src)
+    for cp in ("a", "b"):
+        run_sink(read_changes(spark, src, stream=True), AppendSink("raw", str(tmp_path / "out")), str(tmp_path / cp)).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+def test_webhook_sink_posts_from_tasks(spark, tmp_path):
+    bodies, status = [], [503]
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            code = status.pop() if status else 204
+            if code == 204:
+                bodies.append(json.loads(body))
+            self.send_response(code)
+            self.end_headers()
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    src = str(tmp_path / "src")
+    changes(spark, FIRST).coalesce(1).write.parquet(src)
+    sink = WebhookSink("w", f"http://127.0.0.1:{server.server_port}/", size=2)
+    run_sink(read_changes(spark, src, stream=True), sink, str(tmp_path / "cp"), tries=3, base=1).awaitTermination()
+    server.shutdown()
+    posted = {tuple(c["offset"] for c in b) for b in bodies}
+    assert posted == {("1", "2"), ("3",)}
