@@ -20,21 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary
-    one is set only where the session names none, as in local tests."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Where the session
+    names none, a local master gets a temporary one; a cluster, whose executors would
+    each write to a disk of their own, is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts the lineage, survives
-    lost executors, and keeps one computation where a result is used several times."""
+def saved(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write a frame to the shared folder, in folders of the column ``by``, and read it back:
+    cuts the lineage, survives lost executors, and keeps one computation where a result is
+    used several times."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,10 +1,12 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table of (h1, h2, n, top, fresh) sorted by the 128-bit line hash. A new batch
-is aggregated, merge-anti-joined with the runs on disk to tell its unseen lines from those
-already held, and written as a run of level 0. When a level holds ``fanout`` runs they are
-merged into one run of the next level, so every hash is rewritten a logarithmic number of
-times and a lookup meets few runs.
+A run is a bucketed table sorted by the 128-bit line hash. A new batch is aggregated and
+merge-joined with the fresh rows of the runs on disk: hashes that none of them holds (the anti-join) enter as
+fresh rows of the batch's own run; held ones enter as increments beside them. So each hash
+is fresh in one run only, and what only one batch holds is never aggregated again. When a level holds
+``fanout`` runs they are merged into one run of the next level, so every row is rewritten a
+logarithmic number of times and a batch meets few runs. Runs are bucketed alike, so joins
+with them move none of their rows.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from changefold.llm.common import SPACES, ascii_lower, broadcast_if_small, saved
 NO_ID = -(2**63)
 #: Hashes of common lines that may be broadcast, 24 bytes each.
 MOST_COMMON = 1_000_000
+#: Lines of the corpus per bucket of a run.
+BUCKET_LINES = 250_000
 
 
 def line_hashes(text: Column, min_chars: int) -> Column:
@@ -34,55 +38,69 @@ def line_hashes(text: Column, min_chars: int) -> Column:
 
 
 class LineRuns:
-    """Levelled sorted runs of line hashes in the shared folder.
-
-    ``n`` counts the documents that hold a line, ``top`` is the largest doc_id among them,
-    ``fresh`` tells that the run was the first to hold it.
+    """Levelled sorted runs of line hashes in the shared folder, as tables of ``buckets``
+    buckets: h1, h2, n (documents that hold the line), top (the largest doc_id among them)
+    and held, which parts increments from the fresh rows of the run that held the line first.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 2, path: str | None = None):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, fanout: int = 2, path: str | None = None, buckets: int = 8):
+        self.spark, self.fanout, self.buckets = spark, fanout, buckets
         self.path = path or f"{shared_dir(spark)}/line-runs-{uuid.uuid4().hex}"
         self.levels: list[list[str]] = [[]]
 
-    def _write(self, df: DataFrame, level: int) -> None:
-        path = f"{self.path}/level={level}-{uuid.uuid4().hex}"
-        df.sortWithinPartitions("h1", "h2").write.parquet(path)
+    def _write(self, rows: DataFrame, level: int) -> None:
+        name = f"line_run_{uuid.uuid4().hex}"
+        out = rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").partitionBy("held")
+        out.option("path", f"{self.path}/{name}").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
-
-    def runs(self) -> DataFrame | None:
-        frames = [self.spark.read.parquet(p) for level in self.levels for p in level]
-        return reduce(DataFrame.unionByName, frames) if frames else None
+        self.levels[level].append(name)
+
+    def _parts(self, held: bool) -> list[DataFrame]:
+        names = [n for level in self.levels for n in level]
+        return [self.spark.table(n).filter(F.col("held") == held).select("h1", "h2", "n", "top") for n in names]
+
+    def runs(self) -> DataFrame:
+        """All rows of all runs, with ``fresh``."""
+        both = [p.withColumn("fresh", F.lit(not held)) for held in (False, True) for p in self._parts(held)]
+        return reduce(DataFrame.unionByName, both)
+
+    def unseen(self, own: DataFrame) -> DataFrame:
+        """Add ``held``, which is false for hashes that no run holds yet."""
+        held = F.lit(False)
+        for k, run in enumerate(self._parts(False)):
+            run = run.select(F.col("h1").alias(f"_a{k}"), F.col("h2").alias(f"_b{k}"))
+            own = own.join(run.hint("merge"), (F.col("h1") == F.col(f"_a{k}")) & (F.col("h2") == F.col(f"_b{k}")), "left")
+            held = held | F.col(f"_a{k}").isNotNull()
+        return own.select("h1", "h2", "n", "top", held.alias("held"))
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch of (h1, h2, did), one row per line and document."""
         own = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("did").alias("top"))
-        held = self.runs()
-        if held is None:
-            own = own.withColumn("fresh", F.lit(True))
-        else:
-            held = held.filter("fresh").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"))
-            own = own.join(held.hint("merge"), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
-            own = own.select("h1", "h2", "n", "top", F.col("g1").isNull().alias("fresh"))
-        self._write(own, 0)
+        self._write(self.unseen(own.repartition(self.buckets, "h1", "h2")), 0)
         self._compact()
 
     def _compact(self) -> None:
-        for level, paths in enumerate(self.levels):
-            if len(paths) >= self.fanout:
-                merged = self._merged(reduce(DataFrame.unionByName, [self.spark.read.parquet(p) for p in paths]))
+        for level, names in enumerate(self.levels):
+            if len(names) >= self.fanout:
+                rows = reduce(DataFrame.unionByName, [self.spark.table(n) for n in names])
+                # a hash is fresh once, so only increments add up
+                merged = rows.filter("not held").unionByName(_summed(rows.filter("held")).withColumn("held", F.lit(True)))
+                self._write(merged.repartition(self.buckets, "h1", "h2"), level + 1)
                 self.levels[level] = []
-                self._write(merged, level + 1)
-
-    @staticmethod
-    def _merged(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("top"), F.max("fresh").alias("fresh"))
+                for name in names:
+                    self.spark.sql(f"DROP TABLE {name}")
 
     def totals(self) -> DataFrame:
-        """(h1, h2, n, top) over all batches."""
-        return self._merged(self.runs()).select("h1", "h2", "n", "top")
+        """(h1, h2, n, top) over all batches: the fresh rows with their increments."""
+        more = _summed(reduce(DataFrame.unionByName, self._parts(True))).toDF("_h1", "_h2", "_n", "_top")
+        fresh = [p.join(more, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left") for p in self._parts(False)]
+        each = reduce(DataFrame.unionByName, fresh)
+        return each.select("h1", "h2", (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.greatest("top", "_top").alias("top"))
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -91,12 +109,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
     """Per distinct (doc_id, text) that loses lines: __line_did, __line_rid and their positions ``__line_drop``."""
-    # outer generators: the others make Spark test the array's size first, computing it twice
     hashed = _keyed(docs.select("doc_id", "text")).select("__line_did", "__line_rid", line_hashes(F.col("text"), min_chars).alias("_h"))
-    runs = LineRuns(docs.sparkSession, fanout)
+    # whole lines are hashed once; everything else reads this table
+    hashed = hashed.withColumn("batch", F.pmod(F.xxhash64("__line_did"), F.lit(batches)).cast("int"))
+    hashed = saved(hashed, "line-hashes", by="batch")
+    keys = F.array_compact("_h")
+    n_lines = hashed.agg(F.sum(F.size(keys).cast("long"))).collect()[0][0] or 0
+    runs = LineRuns(docs.sparkSession, fanout, buckets=max(8, -(-n_lines // BUCKET_LINES)))
     for b in range(batches):
-        batch = hashed.filter(F.pmod(F.xxhash64("__line_did"), F.lit(batches)) == b)
-        lines = batch.select(F.col("__line_did").alias("did"), F.explode_outer(F.array_distinct(F.array_compact("_h"))).alias("_l"))
+        # outer generators: the others make Spark test the array's size first, computing it twice
+        lines = hashed.filter(F.col("batch") == b).select(F.col("__line_did").alias("did"), F.explode_outer(F.array_distinct(keys)).alias("_l"))
         runs.add(lines.filter("_l is not null").select("did", "_l.h1", "_l.h2"))
     common = runs.totals().filter(F.col("n") >= min_docs).withColumnsRenamed({"h1": "g1", "h2": "g2"})
     common = broadcast_if_small(saved(common.select("g1", "g2", "top"), "line-common"), MOST_COMMON)

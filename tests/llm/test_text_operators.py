@@ -125,6 +125,39 @@ def test_runs_stay_few_and_know_what_is_fresh(spark):
     assert runs.runs().filter("h1 = 1 and fresh").count() == 1
 
 
+def test_anti_join_decides_what_enters_a_run(spark, monkeypatch):
+    rng = random.Random(9)
+    batches = [[(rng.randrange(40), b * 100 + i) for i in range(60)] for b in range(6)]
+    want = {}
+    for h, d in (x for batch in batches for x in batch):
+        n, top = want.get(h, (0, -1))
+        want[h] = (n + 1, max(top, d))
+
+    def totals():
+        runs = LineRuns(spark, 3)
+        for batch in batches:
+            runs.add(spark.createDataFrame([(h, h * h, d) for h, d in batch], "h1 long, h2 long, did long"))
+        fresh = runs.runs().filter("fresh")
+        assert fresh.count() == fresh.select("h1", "h2").distinct().count()
+        return [(r["h1"], (r["n"], r["top"])) for r in runs.totals().collect()]
+
+    got = totals()
+    assert len(got) == len(want) and dict(got) == want
+    monkeypatch.setattr(LineRuns, "unseen", lambda self, own: own.withColumn("held", F.lit(False)))
+    with pytest.raises(AssertionError):
+        totals()
+
+
+def test_joins_with_runs_move_no_run(spark):
+    runs = LineRuns(spark, 4)
+    lines = spark.createDataFrame([(h, h, 1) for h in range(50)], "h1 long, h2 long, did long")
+    for _ in range(3):
+        runs.add(lines)
+    own = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("did").alias("top")).repartition(runs.buckets, "h1", "h2")
+    plan = runs.unseen(own)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange") == 1 and plan.count("Bucketed: true") == 3
+
+
 # --- decontamination -------------------------------------------------------------------
 
 
