@@ -128,15 +128,19 @@ FROM d LEFT JOIN n ON d.rid = n.rid LEFT JOIN t ON d.rid = t.root
 
 OP7_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, md5(concat(coalesce(CAST(page_id AS VARCHAR), ''), chr(31), coalesce(url, ''), chr(31), coalesce(html, ''))) AS name, coalesce(url, '') AS url FROM pages),
-r AS (SELECT *, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(html) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM p),
-f AS (SELECT page_id, name, html, strlen(rec) AS bytes, sha256(rec) AS digest, CAST('0x' || substr(name, 1, 8) AS BIGINT) % (SELECT greatest(1, CAST(ceil(count(*) / 256.0) AS BIGINT)) FROM pages) AS file FROM r),
-s AS (SELECT *, row_number() OVER w - 1 AS seq, sum(bytes) OVER (w ROWS UNBOUNDED PRECEDING) - bytes AS start FROM f WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST, name, digest)),
-l1 AS (SELECT file, seq // 16 AS seq, sha256(string_agg(digest, '' ORDER BY seq)) AS digest FROM s GROUP BY file, seq // 16),
-l2 AS (SELECT file, seq // 16 AS seq, sha256(string_agg(digest, '' ORDER BY seq)) AS digest FROM l1 GROUP BY file, seq // 16),
-l3 AS (SELECT file, sha256(string_agg(digest, '' ORDER BY seq)) AS file_root FROM l2 GROUP BY file)
-SELECT page_id, s.file AS file, CAST(start AS BIGINT) AS record_offset, bytes AS n_bytes, digest AS record_sha256, file_root,
-       NOT (substr(name, 9, 2) IN ('00', '40', '80', 'c0') AND length(html) > 0 AND substr(html, length(html) // 2 + 1, 1) <> chr(0)) AS intact
-FROM s JOIN l3 ON s.file = l3.file
+r AS (SELECT *, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
+  || 'Content-Length: ' || CAST(strlen(html) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM p),
+n AS (SELECT greatest(1, CAST(ceil(count(*) / 256.0) AS BIGINT)) AS files FROM pages),
+f AS (SELECT page_id, name, substr(name, 9, 2) AS digits, html, strlen(rec) AS bytes, sha256(rec) AS digest, CAST('0x' || substr(name, 1, 8) AS BIGINT) % files AS file, substr(name, 9, 24) AS rest FROM r, n),
+s AS (SELECT *, substr(rest, 1, 1) AS part, sum(bytes) OVER (PARTITION BY file ORDER BY rest, name, digest ROWS UNBOUNDED PRECEDING) - bytes AS start FROM f),
+l0 AS (SELECT *, start - min(start) OVER (PARTITION BY file, part) AS off FROM s),
+l1 AS (SELECT file, part, min(start) AS start, sum(bytes) AS bytes, sha256(string_agg(CAST(off AS VARCHAR) || ':' || CAST(bytes AS VARCHAR) || ':' || digest, ',' ORDER BY start)) AS digest FROM l0 GROUP BY file, part),
+l2 AS (SELECT *, start - min(start) OVER (PARTITION BY file) AS off FROM l1),
+l3 AS (SELECT file, sha256(string_agg(CAST(off AS VARCHAR) || ':' || CAST(bytes AS VARCHAR) || ':' || digest, ',' ORDER BY start)) AS file_root FROM l2 GROUP BY file),
+o AS (SELECT page_id, file, CAST(start AS BIGINT) AS record_offset, bytes AS n_bytes, digest AS record_sha256,
+  CASE WHEN digits = '21' THEN 'lost' WHEN digits IN ('00', '40', '80', 'c0') AND length(html) > 0 AND substr(html, length(html) // 2 + 1, 1) <> chr(0) THEN 'damaged' ELSE 'intact' END AS state FROM s
+  UNION ALL SELECT page_id, CAST('0x' || substr(md5(name || '+'), 1, 8) AS BIGINT) % files, NULL, bytes, digest, 'extra' FROM f, n WHERE digits = 'a5')
+SELECT page_id, o.file AS file, record_offset, n_bytes, record_sha256, file_root, state, state = 'intact' AS intact FROM o LEFT JOIN l3 ON o.file = l3.file
 """
 
 def _license_sql() -> str:

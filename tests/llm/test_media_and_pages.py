@@ -6,7 +6,7 @@ import re
 import struct
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from html import unescape
 
 import numpy as np
@@ -279,9 +279,39 @@ def test_audit_finds_every_fault(spark):
 
 
 def test_lost_and_extra_records(spark):
-    leaves = lambda ids: spark.createDataFrame([(0, i, i * 10, 10, str(i)) for i in ids], "file long, seq long, start long, bytes long, digest string")
-    found = warc.mismatches(warc.tree(leaves(range(600))), warc.tree(leaves([*range(599), 600]))).collect()
-    assert {r["seq"] for r in found} == {599, 600}
+    """One file; records lost, added, overwritten and repeated anywhere in it mark themselves alone."""
+    pages = [(i, f"http://h/{i}", "body " * (i % 9 + 1)) for i in range(300)] + [(7, "same", "x")] * 5
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    named = df.withColumn("name", warc.page_name(df))
+    whole = [tuple(r) for r in named.collect()]
+    add = lambda *rows: spark.createDataFrame(rows, named.schema)
+
+    def states(replica):
+        got = warc.audit(df, replica, per_file=1000).collect()
+        assert len({r["file_root"] for r in got}) == 1
+        return Counter((r["page_id"], r["state"]) for r in got if not r["intact"])
+
+    assert states(named) == {}
+    assert states(named.filter("page_id <> 50")) == {(50, "lost"): 1}
+    first, last = min(whole, key=lambda r: r[3][8:]), max(whole, key=lambda r: r[3][8:])
+    assert states(named.filter(F.col("name") != first[3])) == {(first[0], "lost"): 1 if first[0] != 7 else 5}
+    assert states(named.filter(F.col("name") != last[3])) == {(last[0], "lost"): 1 if last[0] != 7 else 5}
+    assert states(named.unionByName(add((900, "new", "z" * 10_000, "0" * 32), (901, "new", None, "f" * 32)))) == {(900, "extra"): 1, (901, "extra"): 1}
+    same = next(r for r in whole if r[1] == "same")
+    assert states(named.filter("url <> 'same'").unionByName(add(same, same))) == {(7, "lost"): 3}
+    assert states(named.unionByName(add(same))) == {(7, "extra"): 1}
+    odd = (same[0], same[1], "broken", same[3])
+    assert states(named.filter("url <> 'same'").unionByName(add(same, same, same, odd))) == {(7, "damaged"): 1, (7, "lost"): 1}
+    assert states(named.unionByName(add(odd))) == {(7, "extra"): 1}
+    assert sum(states(named.limit(0)).values()) == len(pages)
+
+
+def test_only_differing_branches_are_read(spark):
+    df = spark.createDataFrame([(i, f"http://h/{i}", "b") for i in range(2000)], "page_id long, url string, html string")
+    named = df.withColumn("name", warc.page_name(df))
+    trees = [warc.tree(warc.records(x, 8)) for x in (named, named.filter("page_id <> 77"))]
+    assert len(warc.mismatches(*trees).collect()) == 1 and trees[0][0].count() == 8 * 16 and trees[0][1].count() == 8
+    assert warc.mismatches(trees[0], trees[0]).count() == 0
 
 
 # --- language --------------------------------------------------------------------------
