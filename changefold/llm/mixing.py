@@ -2,7 +2,8 @@
 
 Targets come from weights by water filling. The whole mix is cut into blocks of equal
 token count; the blocks (seats) go to sources, and then to the shards of each source, by
-highest quotients target / (2 s + 1). In a shard, documents lie in seeded order on a line
+highest quotients target / (2 s + 1). Only a source whose target is no more than a few
+blocks is cut finer, for itself, so that it too comes near its target. In a shard, documents lie in seeded order on a line
 of tokens cut into blocks, and the shard's quota of blocks is chosen by a systematic
 sample with a seeded start. All steps are DataFrame functions; only token counts, never
 texts, are shuffled.
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from changefold.llm.common import WORD, broadcast_if_small, saved
 
-#: Blocks of the smallest positive target, at least; blocks of a shard; shards of a source.
-LEAST_BLOCKS, SHARD_BLOCKS, MOST_SHARDS = 400, 4096, 65536
+#: Blocks of a source's target, at least; blocks of a shard.
+LEAST_BLOCKS, SHARD_BLOCKS = 400, 4096
 
 
 def seeded(seed: int, *parts: Column) -> Column:
@@ -71,15 +72,20 @@ def shard_quotas(slim: DataFrame, weights: tuple, share: float, cap: float, bloc
     """(placed, shards): the rows with their source's figures and shard; and per (source, shard) its
     tokens, blocks and quota of blocks, with the source's target.
 
-    ``slim``: source, size, key. Blocks shrink below ``block_words`` only so far that the
-    smallest positive target holds ``LEAST_BLOCKS`` of them.
+    ``slim``: source, size, key. Sources whose target holds ``LEAST_BLOCKS`` blocks of
+    ``block_words`` share out the blocks; a smaller one has blocks of its own, as much finer
+    as its target is smaller, and takes as many as its target holds. The windows over sources
+    see a row or a few per source.
     """
     per_source = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    alike = W.partitionBy()
-    per_source = per_source.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.coalesce(F.min(F.when(F.col("target") > 0, F.col("target"))).over(alike), F.lit(0.0)) / LEAST_BLOCKS))).cast("long"))
-    per_source = per_source.withColumn("all_seats", F.round(F.sum("target").over(alike) / F.col("block")).cast("long"))
-    per_source = apportion(per_source, [], [F.col("rank")], "target", "all_seats").withColumnRenamed("quota", "seats")
-    per_source = per_source.withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("source_size") / (F.col("block") * SHARD_BLOCKS)))).cast("long"))
+    block = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("target") / LEAST_BLOCKS)))
+    per_source = per_source.withColumn("block", block.cast("long"))
+    per_source = per_source.withColumn("claim", F.when(F.col("block") == block_words, F.col("target")).otherwise(F.lit(0.0)))
+    per_source = per_source.withColumn("all_seats", F.round(F.sum("claim").over(W.partitionBy()) / block_words).cast("long"))
+    per_source = apportion(per_source, [], [F.col("rank")], "claim", "all_seats")
+    own = F.round(F.col("target") / F.col("block")).cast("long")
+    per_source = per_source.withColumn("seats", F.when(F.col("block") == block_words, F.col("quota")).otherwise(own)).drop("quota", "claim", "all_seats")
+    per_source = per_source.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / (F.col("block") * SHARD_BLOCKS))).cast("long"))
     per_source = broadcast_if_small(saved(per_source, "mix-sources"), 100_000)
     placed = slim.join(per_source, slim["source"].eqNullSafe(per_source["source"])).drop(per_source["source"]).withColumn("shard", F.pmod("key", "shards"))
     shards = placed.groupBy("source", "shard", "source_size", "target", "block", "seats").agg(F.sum("size").alias("tokens"))

@@ -94,10 +94,11 @@ r AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, row_number() OV
 w AS (SELECT *, ([5.0, 2.0, 1.0]::DOUBLE[])[(rank - 1) % 3 + 1] AS weight, source_size * 2.0::DOUBLE AS most FROM r),
 f AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY most / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 g AS (SELECT f.*, least(most, coalesce((SELECT level FROM f x WHERE x.level * x.weight <= x.most ORDER BY x.most / x.weight, x.rank LIMIT 1) * weight, most)) AS target FROM f),
-b AS (SELECT *, CAST(greatest(1, least(256, floor(coalesce(min(target) FILTER (target > 0) OVER (), 0) / 400))) AS BIGINT) AS block FROM g),
-n AS (SELECT *, CAST(round(sum(target) OVER () / block) AS BIGINT) AS all_seats FROM b),
-q AS (SELECT source, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, rank, i) AS place, all_seats FROM (SELECT *, unnest(range(all_seats)) AS i FROM n WHERE target > 0)),
-v AS (SELECT n.source, source_size, target, block, greatest(1, least(65536, CAST(ceil(source_size / (block * 4096)) AS BIGINT))) AS shards, (SELECT count(*) FROM q WHERE place <= q.all_seats AND q.source IS NOT DISTINCT FROM n.source) AS seats FROM n),
+b AS (SELECT *, CAST(greatest(1, least(256, floor(target / 400))) AS BIGINT) AS block FROM g),
+n AS (SELECT *, CAST(round(coalesce(sum(target) FILTER (block = 256) OVER (), 0) / 256) AS BIGINT) AS all_seats FROM b),
+q AS (SELECT source, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, rank, i) AS place, all_seats FROM (SELECT *, unnest(range(all_seats)) AS i FROM n WHERE block = 256)),
+v AS (SELECT n.source, source_size, target, block, greatest(1, CAST(ceil(source_size / (block * 4096)) AS BIGINT)) AS shards,
+  CASE WHEN block = 256 THEN (SELECT count(*) FROM q WHERE place <= q.all_seats AND q.source IS NOT DISTINCT FROM n.source) ELSE CAST(round(target / block) AS BIGINT) END AS seats FROM n),
 p AS (SELECT d.doc_id, d.source, d.size, d.key, source_size, target, block, seats, key % shards AS shard FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source),
 h AS (SELECT source, shard, block, seats, sum(size) AS tokens FROM p GROUP BY ALL),
 z AS (SELECT source, shard, seats, row_number() OVER (PARTITION BY source ORDER BY tokens / (2 * i + 1) DESC, shard, i) AS place FROM (SELECT *, unnest(range(seats)) AS i FROM h WHERE tokens > 0)),

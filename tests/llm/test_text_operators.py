@@ -14,7 +14,7 @@ from changefold.llm import decontam, licenses
 from changefold.llm.decontam import decontaminate, report
 from changefold.llm.licenses import ISC, MIT, known_licenses, scan_licenses
 from changefold.llm.lines import LineRuns, dedup_lines
-from changefold.llm.mixing import apportion, mix_sources, targets
+from changefold.llm.mixing import apportion, mix_sources, shard_quotas, targets
 from changefold.llm.quality import NAMES, fit, score_quality, statistics
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -86,6 +86,17 @@ def test_mix(spark):
     assert [r["taken"] for r in mix_sources(df.withColumn("text", F.lit(None).cast("string"))).select("taken").distinct().collect()] == [0]
 
 
+def test_a_tiny_source_leaves_the_blocks_of_others(spark):
+    docs = [(i, "w " * 2000, "ab"[i % 2]) for i in range(200)] + [(900, "a few words", "tiny"), (901, "x " * 5000, "small"), (902, None, "none")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    sizes = lambda d: d.select(F.col("source"), F.coalesce(F.regexp_count("text", F.lit("[^ ]+")), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id").alias("key"))
+    blocks = lambda d: {r["source"]: r["block"] for r in shard_quotas(sizes(d), (5, 2, 1), 1.5, 2.0, 256)[1].select("source", "block").distinct().collect()}
+    assert blocks(df) == {"a": 256, "b": 256, "tiny": 1, "small": 25, "none": 1}
+    assert blocks(df.filter("source in ('a', 'b')")) == {"a": 256, "b": 256}
+    rows = mix_sources(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= max(1, 0.005 * r["target"]) for r in rows)
+
+
 # --- lines -----------------------------------------------------------------------------
 
 
