@@ -8,9 +8,10 @@
    their counts over fixed cuts of the n-gram order differ by no more than their symmetric
    difference may (suffix filter).
 4. First every class is compared with one leader of each of its n-grams (one for each part
-   of the holders of a hot n-gram), and what proves similar is joined into components. Then only pairs of different components that pass the
-   filters are left, and all of those are compared. So a group of thousands of copies costs
-   links in proportion to its members, and no link between components is missed.
+   of the holders of a hot n-gram), and what proves similar is joined into components. Then
+   only pairs of different components are left. They are formed and filtered in tiles of
+   bounded size, and those that pass all filters are compared. So a group of thousands of
+   copies costs links in proportion to its members, and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -30,10 +31,14 @@ from changefold.llm.components import components
 BUCKET_BITS, PIECE = 20, 4096
 #: Cuts of the n-gram order for the suffix filter.
 CUTS = 64
-#: Holders of an n-gram beyond 2^PART_BITS are dealt into parts with a leader each.
+#: Holders of an n-gram beyond 2^PART_BITS, and beyond eight times a bucket's mean, are dealt
+#: into parts with a leader each.
 PART_BITS = 16
 #: Hashes of texts that may be broadcast; bytes of text whose sets are made together.
 MOST_TEXTS, TOGETHER = 1_000_000, 1 << 20
+#: Partners that share one copy of a text; holders of an n-gram in a block of a tile; pairs
+#: that are filtered together.
+BLOCK, TILE, PAIRS = 64, 1024, 1 << 17
 _KEY = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -113,6 +118,9 @@ def class_table(docs: DataFrame, n: int, percent: int, steps: np.ndarray) -> Dat
     """One row per distinct non-empty set: key, n, cuts, prefix (n-gram hashes, rarest first),
     parts (for each, into how many parts its holders are dealt, as a power of two; null if
     all are whole), and tid, the hash of one text that has this set."""
+    # a bucket of a large corpus is full of rare n-grams; a hot one stands out by far
+    mean = float(np.mean(2.0 ** (steps / 8.0) - 1))
+    part_bits = max(PART_BITS, int(np.ceil(np.log2(8 * mean))) if mean > 0 else 0)
     schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("tid", pa.int64()), ("cuts", pa.binary()), ("prefix", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32()))])
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +134,7 @@ def class_table(docs: DataFrame, n: int, percent: int, steps: np.ndarray) -> Dat
                 offsets = pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32))
                 h = sets.h[inside]
                 often = steps[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.int32)
-                deal = np.maximum(0, -(-often // 8) - PART_BITS).astype(np.int32)
+                deal = np.maximum(0, -(-often // 8) - part_bits).astype(np.int32)
                 parts = pa.ListArray.from_arrays(offsets, pa.array(deal)) if deal.any() else pa.nulls(len(run), schema.field("parts").type)
                 prefix = pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64)))
                 cuts = pa.array([x.tobytes() for x in sets.cut_counts()], pa.binary())
@@ -173,41 +181,121 @@ def suffix_filtered(pairs: DataFrame, unique: DataFrame, percent: int) -> DataFr
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs (a, b) of the saved pairs (a, b, ta, tb) whose sets reach the similarity.
 
-    Texts, which are smaller than their sets, are fetched once for each side; only texts
-    that occur in a pair leave the scan, by a broadcast of their hashes while these are few.
+    Texts, which are smaller than their sets, are shipped: only texts that occur in a pair
+    leave the scan, by a broadcast of their hashes while these are few. The end with more
+    pairs hosts them, in blocks of BLOCK; its text goes to each block once, ahead of
+    the texts of its partners, so a task holds the set of one host and a run of partners.
     """
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host, own = None, np.empty(0, dtype=np.uint64)
         for batch in batches:
-            ends = [c.to_pylist() for c in batch.columns[:2]]
-            ok: list[bool] = []
-            start, size, at, run = 0, 0, {}, []
-            for i in range(batch.num_rows):
-                for side in (0, 1):
-                    if ends[side][i] not in at:
-                        at[ends[side][i]] = len(run)
-                        run.append(batch.column(2 + side)[i].as_py().encode("utf-8", "surrogatepass"))
-                        size += len(run[-1])
-                if size >= TOGETHER or i == batch.num_rows - 1:
-                    sets = Sets(run, n)
-                    parts = [sets.h[e - s : e] for s, e in zip(sets.sizes.tolist(), sets.ends.tolist(), strict=True)]
-                    for j in range(start, i + 1):
-                        left, right = parts[at[ends[0][j]]], parts[at[ends[1][j]]]
-                        both = np.sort(np.concatenate([left, right]), kind="stable")
+            hosts, guests = batch.column("host"), batch.column("guest")
+            for start, run in chunks(batch.column("text").to_pylist(), TOGETHER):
+                sets = Sets(run, n)
+                parts = np.split(sets.h, sets.ends[:-1])
+                ok = np.zeros(len(run), dtype=bool)
+                for i, part in enumerate(parts):
+                    if not guests[start + i].is_valid:
+                        host, own = hosts[start + i].as_py(), part
+                    elif hosts[start + i].as_py() == host:
+                        both = np.sort(np.concatenate([own, part]), kind="stable")
                         common = int(np.count_nonzero(both[1:] == both[:-1]))
-                        ok.append(100 * common >= percent * (len(left) + len(right) - common))
-                    start, size, at, run = i + 1, 0, {}, []
-            yield batch.filter(pa.array(ok, pa.bool_())).select([0, 1])
-
-    wanted = saved(pairs.select(F.explode(F.array("ta", "tb")).alias("_t")).distinct(), "jaccard-wanted")
-    texts = docs.select(F.xxhash64("text").alias("tid"), "text").join(broadcast_if_small(wanted, MOST_TEXTS), F.col("tid") == F.col("_t"), "left_semi")
-    # a table of its own, so that both sides of the joins are plain shuffles, which Spark splits
-    # where a leader has many pairs
+                        ok[i] = 100 * common >= percent * (len(own) + len(part) - common)
+                met = pa.RecordBatch.from_arrays([hosts.slice(start, len(run)), guests.slice(start, len(run))], ["host", "guest"])
+                yield met.filter(pa.array(ok))
+
+    degree = pairs.select(F.explode(F.array("ta", "tb")).alias("_t")).groupBy("_t").agg(F.count("*").alias("deg"))
+    degree = saved(degree, "jaccard-wanted")
+    texts = docs.select(F.xxhash64("text").alias("tid"), "text").join(broadcast_if_small(degree.select("_t"), MOST_TEXTS), F.col("tid") == F.col("_t"), "left_semi")
     texts = saved(texts.groupBy("tid").agg(F.first("text").alias("text")), "jaccard-texts")
     for end in ("a", "b"):
-        side = texts.select(F.col("tid").alias("_t"), F.col("text").alias(f"text{end}"))
-        pairs = pairs.join(side, F.col(f"t{end}") == F.col("_t")).drop("_t")
-    return pairs.select("a", "b", "texta", "textb").mapInArrow(alike, "a long, b long")
+        pairs = pairs.join(degree.select(F.col("_t").alias(f"_t{end}"), F.col("deg").alias(f"deg{end}")), F.col(f"t{end}") == F.col(f"_t{end}"))
+    first = (F.col("dega") > F.col("degb")) | ((F.col("dega") == F.col("degb")) & (F.col("a") < F.col("b")))
+    sides = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("a", "b", "host"), ("b", "a", "guest"), ("ta", "tb", "t_host"), ("tb", "ta", "t_guest"))]
+    block = F.pmod(F.xxhash64("guest"), F.ceil(F.greatest("dega", "degb") / BLOCK).cast("long"))
+    held = saved(pairs.select(*sides, "dega", "degb").withColumn("block", block), "jaccard-hosted")
+    hosts = held.select("host", "block", F.col("t_host").alias("_t"), F.lit(None).cast("long").alias("guest")).distinct()
+    guests = held.select("host", "block", F.col("t_guest").alias("_t"), "guest")
+    # of tables of their own, so that Spark splits the join where a text has many pairs
+    rows = [side.join(texts, F.col("tid") == F.col("_t")).select("host", "block", "guest", "text") for side in (hosts, guests)]
+    met = rows[0].unionByName(rows[1]).repartition("host", "block").sortWithinPartitions("host", "block", F.col("guest").asc_nulls_first())
+    found = met.select("host", "guest", "text").mapInArrow(alike, "host long, guest long")
+    return found.select(F.least("host", "guest").alias("a"), F.greatest("host", "guest").alias("b"))
+
+
+def near_pairs(placed: DataFrame, unique: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, ta, tb) of classes of different components that share an n-gram of their
+    prefixes and pass the length, positional and suffix filters.
+
+    ``placed``: token, key, n, pos, comp. The holders of a token are cut into blocks of about TILE;
+    each pair of blocks is a tile, of bounded size, whose pairs are formed and filtered inside
+    a task by numpy. Only pairs that pass all filters become rows.
+    """
+    sides = unique.select(F.col("key").alias("_k"), "tid", "cuts")
+    rows = placed.join(sides, F.col("key") == F.col("_k")).drop("_k")
+    counts = placed.groupBy("token").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks")).filter("blocks > 1").withColumnRenamed("token", "_t")
+    rows = rows.join(counts, F.col("token") == F.col("_t"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = rows.select("token", "key", "n", "pos", "comp", "tid", "cuts", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("token", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "key", "n", "pos", "comp", "tid", "cuts")
+    tiles = ["token", "b1", "b2"]
+    tiled = rows.repartition(*tiles).sortWithinPartitions(*tiles, "key")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ta", pa.int64()), ("tb", pa.int64())])
+
+    def pairs_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """The pairs of whole tiles."""
+        token, b1, b2, own, key, n, pos, comp, tid = (table.column(k).to_numpy() for k in range(9))
+        cuts = np.frombuffer(b"".join(table.column(9).to_pylist()), dtype=np.uint8).reshape(-1, CUTS)
+        new = np.ones(len(token), dtype=bool)
+        new[1:] = (token[1:] != token[:-1]) | (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1])
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(token))[np.cumsum(new) - 1]
+        partners = ends - np.arange(len(token)) - 1
+        upto = np.cumsum(partners)
+        at = 0
+        while at < len(token):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
+            count = partners[at:stop]
+            i = np.repeat(np.arange(at, stop), count)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+            # a tile of two blocks has the pairs between them, one of a single block its own
+            ok = (comp[i] != comp[j]) & ((b1[i] == b2[i]) | (own[i] != own[j]))
+            i, j = i[ok], j[ok]
+            both, low, high = n[i] + n[j], np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            need = -(-percent * both // (100 + percent))
+            ok = (low * 100 >= high * percent) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
+            i, j, both, need = i[ok], j[ok], both[ok], need[ok]
+            apart = cuts[i] - cuts[j]
+            ok = np.minimum(apart, np.uint8(0) - apart).sum(axis=1, dtype=np.int64) <= both - 2 * need
+            i, j = i[ok], j[ok]
+            swap = key[i] > key[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[i], key[j], tid[i], tid[j])], schema=schema)
+            at = stop
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = np.column_stack([batch.column(k).to_numpy() for k in range(3)])
+            # rows before the last tile are whole tiles; that one may go on in the next batch
+            before = np.flatnonzero((marks != marks[-1]).any(axis=1))
+            cut = int(before[-1]) + 1 if len(before) else 0
+            if left and (marks[0] != last).any():
+                yield from pairs_of(pa.Table.from_batches(left))
+                left = []
+            if cut:
+                yield from pairs_of(pa.Table.from_batches([*left, batch.slice(0, cut)]))
+                left = []
+            left.append(batch.slice(cut))
+            last = marks[-1]
+        if left:
+            yield from pairs_of(pa.Table.from_batches(left))
+
+    return tiled.mapInArrow(join, "a long, b long, ta long, tb long").distinct()
 
 
 def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -248,11 +336,8 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     placed = saved(placed, "jaccard-placed")
     mixed = placed.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select(F.col("token").alias("_t"))
     placed = saved(placed.join(mixed, F.col("token") == F.col("_t"), "left_semi"), "jaccard-mixed")
-    one = placed.select(F.col("token").alias("t1"), F.col("key").alias("k1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"), F.col("comp").alias("c1"))
-    two = placed.select(F.col("token").alias("t2"), F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("c2"))
-    rest = one.join(two, (F.col("t1") == F.col("t2")) & (F.col("k1") < F.col("k2")) & (F.col("c1") != F.col("c2")) & may_link(percent))
-    rest = suffix_filtered(rest.select(*ends).distinct(), unique, percent).join(first, ["a", "b"], "left_anti")
-    more = verified(saved(rest.select("a", "b", "ta", "tb"), "jaccard-rest"), docs, n, percent)
+    rest = near_pairs(placed, unique, percent).join(first, ["a", "b"], "left_anti")
+    more = verified(saved(rest, "jaccard-rest"), docs, n, percent)
     links = saved(links.unionByName(more).distinct(), "jaccard-links")
     comps = components(links)
 

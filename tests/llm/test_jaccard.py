@@ -106,3 +106,33 @@ def test_keep_one_groups_by_links_alone(spark):
     assert sorted(k for k in kept if k[0] is not None) == sorted([(1, text("a")), (1, text("b")), (1, text("c")), (7, text("f", " end"))])
     none = [t for i, t in kept if i is None]
     assert len(none) == 2 and text("e") in none
+
+
+def test_small_tiles_and_blocks(spark, monkeypatch):
+    for name, value in (("TILE", 3), ("PAIRS", 16), ("BLOCK", 2), ("TOGETHER", 200)):
+        monkeypatch.setattr(jaccard, name, value)
+    docs = corpus(11)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = jaccard.jaccard_groups(df, 3, 90).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == brute(docs, 3, 90)
+
+
+def test_documents_of_one_form_give_few_pairs(spark, monkeypatch):
+    """Texts that share most words, few of them similar: pairs that share an n-gram grow with
+    the square of their number; those that become rows don't."""
+    rng = random.Random(1)
+    docs = []
+    for i in range(900):
+        w = [f"w{k}" for k in range(60)]
+        for slot in range(12):
+            w[5 * slot] = f"s{slot}_{rng.randrange(4)}"
+        docs.append((i, " ".join(w)))
+    seen, plain = [], jaccard.verified
+
+    def counted(pairs, *args):
+        seen.append(pairs.count())
+        return plain(pairs, *args)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    got = jaccard.jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90).select("doc_id", "n_shingles", "component_id").collect()
+    assert sum(seen) < len(docs) and sorted(map(tuple, got), key=repr) == brute(docs, 3, 90)
