@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII white space: blank, tab, line feed, vertical tab, form feed, carriage return.
@@ -42,10 +43,33 @@ def saved(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only if the frame, which must be saved already, has few rows;
-    otherwise Spark picks a shuffled join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+#: Bytes of a frame that may be broadcast.
+MOST_BYTES = 64 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row holds."""
+    total = F.lit(0).cast("long")
+    for field in df.schema:
+        c, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            size = F.octet_length(c)
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+            size = F.aggregate(c, F.lit(0), lambda n, x: n + 16 + F.coalesce(F.octet_length(x), F.lit(0)))
+        elif isinstance(kind, T.ArrayType):
+            size = F.size(c) * 8
+        else:
+            size = F.lit(0)
+        total = total + 16 + F.greatest(F.lit(0), F.coalesce(size, F.lit(0)))
+    return total
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int, max_bytes: int = MOST_BYTES) -> DataFrame:
+    """Hint a broadcast only if the frame, which must be saved already, has few rows and
+    bytes; otherwise Spark picks a shuffled join."""
+    first = df.limit(max_rows + 1)
+    n, size = first.agg(F.count("*"), F.sum(row_bytes(first))).collect()[0]
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else df
 
 
 def ascii_lower(text: Column) -> Column:

@@ -16,8 +16,10 @@ from changefold.llm.common import ascii_lower, broadcast_if_small, saved
 
 #: Bytes below 128 other than digits and letters separate words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows of benchmark anchors that may be broadcast (a row holds at most n short words).
+#: Rows of benchmark anchors that may be broadcast; their bytes are bounded as well.
 MOST_ANCHORS = 1_000_000
+#: A place and a window's length share a number; windows are shorter than this.
+PLACE = 1024
 
 
 def words_of(text: Column) -> Column:
@@ -35,36 +37,65 @@ def bench_windows(bench: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     return members.select("h1", "h2", "len", "win").distinct(), members.select("h1", "h2", "item_id").distinct()
 
 
+def met_windows(keyed: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """The windows that occur in each row of ``keyed`` (doc_id, rid, w): doc_id, rid, n_words,
+    h1, h2, at, len, and a row without window for each row itself.
+
+    One scan covers all lengths: places at the stride of each length are numbers that hold place and
+    length. Where the anchors are few, the join is a broadcast and windows are compared word by
+    word on the spot. Otherwise only ids and places are shuffled, without words, and candidates are
+    verified once per row, by the two hashes of the words at their place.
+    """
+    size_of = lambda length: F.floor((length + 1) / 2).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.col("len") - size_of(F.col("len"))), lambda j: F.slice("win", j + 1, size_of(F.col("len"))))
+    anchors = windows.select("h1", "h2", F.col("len").alias("_len"), "win", F.posexplode(parts).alias("off", "bench_words"))
+    anchors = saved(anchors.select(F.xxhash64("bench_words").alias("anchor"), "_len", "off", "h1", "h2", "win"), "bench-anchors")
+    few = broadcast_if_small(anchors, MOST_ANCHORS)
+
+    words = F.size("w").cast("long")
+    # place -1 keeps one row for each document, whether hit or not
+    places = [F.array(F.lit(-1).cast("long"))]
+    for length in lengths:
+        size = (length + 1) // 2  # of an anchor
+        steps = F.sequence(F.lit(length).cast("long"), (words - size) * PLACE + length, F.lit((length - size + 1) * PLACE).cast("long"))
+        places.append(F.when(words >= size, steps).otherwise(F.array().cast("array<long>")))
+    tried = keyed.select("doc_id", "rid", "w", F.explode(F.concat(*places)).alias("_p"))
+    tried = tried.withColumn("place", F.floor(F.col("_p") / PLACE).cast("int")).withColumn("len", (F.pmod("_p", F.lit(PLACE))).cast("int"))
+    # marks carry their row's hash, so that a shuffled join doesn't gather them in one task
+    tried = tried.withColumn("key", F.when(F.col("place") >= 0, F.xxhash64(F.slice("w", F.col("place") + 1, size_of(F.col("len"))))).otherwise(F.col("rid")))
+    same = (F.col("key") == F.col("anchor")) & (F.col("len") == F.col("_len")) & (F.col("place") >= 0)
+    start = F.col("place") - F.col("off")
+    if few is not anchors:
+        met = tried.join(few, same, "left").filter("place < 0 or anchor is not null")
+        hit = (start >= 0) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("win"))
+        met = met.filter((F.col("place") < 0) | hit)
+        return met.select("doc_id", "rid", words.alias("n_words"), "h1", "h2", start.alias("at"), "len")
+    slim = tried.filter("place >= 0").select("doc_id", "rid", "place", "len", "key").distinct()
+    met = slim.join(anchors.drop("win"), same).filter(start >= 0).select("doc_id", "rid", F.struct(start.alias("at"), "len", "h1", "h2").alias("c")).distinct()
+    met = saved(met.groupBy(F.col("doc_id").alias("_d"), F.col("rid").alias("_r")).agg(F.collect_list("c").alias("cs")), "bench-candidates")
+    both = keyed.join(met, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("rid") == F.col("_r")), "left")
+
+    def holds(c: Column) -> Column:
+        there = F.slice("w", c["at"] + 1, c["len"])
+        return (F.xxhash64(there) == c["h1"]) & (F.xxhash64(F.lit(7), there) == c["h2"]) & (c["at"] + c["len"] <= F.size("w"))
+
+    mark = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2")))
+    good = F.coalesce(F.filter("cs", holds), F.array().cast("array<struct<at:int,len:int,h1:bigint,h2:bigint>>"))
+    rows = both.select("doc_id", "rid", words.alias("n_words"), F.explode(F.concat(mark, good)).alias("c"))
+    return rows.select("doc_id", "rid", "n_words", "c.h1", "c.h2", "c.at", "c.len")
+
+
 def find_hits(docs: DataFrame, bench: DataFrame, n: int = 10) -> DataFrame:
     """Per distinct (doc_id, text) row key: copies, n_words, n_hit, n_items, items_sha256.
 
     A document word is hit if it lies inside an occurrence of any window of an item; an item
-    of fewer than ``n`` words is one window. The scan of the documents happens once per
-    distinct window length; there is one length unless some items are short.
+    of fewer than ``n`` words is one window.
     """
     windows, members = bench_windows(bench, n)
     lengths = [r[0] for r in windows.select("len").distinct().orderBy("len").collect()]  # n values at most
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), words_of(F.col("text")).alias("w"))
-    rows = keyed.select("doc_id", "rid", F.size("w").cast("long").alias("n_words"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), F.lit(0).alias("at"), F.lit(0).alias("len"))
-    found = None
-    for length in lengths:
-        size = (length + 1) // 2  # of an anchor
-        step = length - size + 1
-        anchors = windows.filter(F.col("len") == length).select("h1", "h2", "win", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(length - size)), lambda j: F.slice("win", j + 1, F.lit(size)))).alias("off", "bench_words"))
-        anchors = anchors.select(F.xxhash64("bench_words").alias("anchor"), "off", "h1", "h2", "win")
-        anchors = broadcast_if_small(saved(anchors, "bench-anchors"), MOST_ANCHORS)
-        # place -1 keeps one row for each document, whether hit or not
-        places = F.when(F.size("w") >= size, F.concat(F.array(F.lit(-1)), F.sequence(F.lit(0), F.size("w") - size, F.lit(step)))).otherwise(F.array(F.lit(-1)))
-        tried = keyed.select("doc_id", "rid", "w", F.explode(places).alias("place"))
-        # marks carry their row's hash, so that a shuffled join, used where the anchors are
-        # too many to broadcast, doesn't gather them in one task
-        tried = tried.withColumn("key", F.when(F.col("place") >= 0, F.xxhash64(F.slice("w", F.col("place") + 1, F.lit(size)))).otherwise(F.col("rid")))
-        met = tried.join(anchors, tried["key"] == anchors["anchor"], "left").filter("place < 0 or anchor is not null")
-        start = F.col("place") - F.col("off")
-        same = (start >= 0) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.lit(length)) == F.col("win"))
-        met = met.filter((F.col("place") < 0) | same).select("doc_id", "rid", F.size("w").cast("long").alias("n_words"), F.when(F.col("place") >= 0, F.col("h1")).alias("h1"), F.when(F.col("place") >= 0, F.col("h2")).alias("h2"), start.alias("at"), F.lit(length).alias("len"))
-        found = met if found is None else found.unionByName(met.filter("h1 is not null"))
-    found = saved(rows if found is None else found, "bench-hits")
+    found = met_windows(keyed, windows, lengths)
+    found = saved(found, "bench-hits")
     copies = found.filter("h1 is null").groupBy("doc_id", "rid").agg(F.count("*").alias("copies"), F.max("n_words").alias("n_words"))
     hits = found.filter("h1 is not null")
     spans = hits.groupBy("doc_id", "rid", "at").agg(F.max(F.col("at") + F.col("len")).alias("to"))
