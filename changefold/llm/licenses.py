@@ -47,7 +47,10 @@ KNOWN = [
     ("proprietary", "All rights reserved."),
 ]
 TITLES = {"BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License"}
-LEFT_OUT = re.compile(r"^[ \t]*APPENDIX: How to apply.*|^[ \t]*How to Apply These Terms to Your New Programs.*", re.S | re.M)
+LEFT_OUT = re.compile(r"^[ \t]*(APPENDIX: How to apply|(Appendix: )?How to Apply These Terms to Your New|ADDENDUM: How to use this License|EXHIBIT A -Mozilla Public License).*", re.S | re.M)
+# Addresses under which the texts of one publisher were handed out.
+ADDRESS = re.compile(r"51 Franklin St(reet)?, Fifth Floor,\s+Boston,\s+MA\s+02110-1301,?\s+USA")
+ADDRESSES = ["51 Franklin Street, Fifth Floor, Boston, MA 02110-1301, USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "675 Mass Ave, Cambridge, MA 02139, USA"]
 
 
 def whole_texts() -> list[tuple[str, str]]:
@@ -67,6 +70,9 @@ def whole_texts() -> list[tuple[str, str]]:
             forms += [parts[2], parts[0] + parts[2], "".join(parts[:3])]
         if name == "CC0-1.0":
             forms += [body[body.index("Statement of Purpose") :], "CC0 1.0 Universal\n" + body[body.index("Statement of Purpose") :]]
+        forms += [ADDRESS.sub(a, x) for a in ADDRESSES for x in forms if ADDRESS.search(x)]
+        # a line of its own for each paragraph, which matters where one begins with a copyright statement
+        forms += [re.sub(r"(?<=\S)[ \t]*\n[ \t]*(?=\S)", " ", x) for x in forms]
         for form in forms:
             found |= {(name, form): None, (name, form.replace("https://", "http://")): None, (name, re.sub(r"http://", "https://", form)): None}
     return list(found)

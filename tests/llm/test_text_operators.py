@@ -241,10 +241,14 @@ def test_licenses(spark):
 def test_entire_texts_of_every_licence(spark):
     folder = Path(licenses.__file__).with_name("license_texts")
     texts = {p.stem: p.read_text() for p in folder.glob("*.txt")} | {"MIT": MIT, "ISC": ISC}
-    assert set(texts) == {"Apache-2.0", "GPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "MIT", "ISC"}
+    assert set(texts) == {
+        "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "ISC",
+        "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-1.1", "MPL-2.0", "Unlicense", "Zlib",
+    }
     docs, want = [], []
     for name, text in texts.items():
-        for form in (text, f"Copyright 2021 The Some Authors\n{text}", *("\n".join(textwrap.wrap(" ".join(text.split()), width)) for width in range(30, 100, 7) if name in ("MIT", "ISC"))):
+        unwrapped = re.sub(r"(?<=\S)[ \t]*\n[ \t]*(?=\S)", " ", text)
+        for form in (text, f"Copyright 2021 The Some Authors\n{text}", unwrapped, unwrapped.upper().replace("\n\n", "\n"), *("\n".join(textwrap.wrap(" ".join(text.split()), width)) for width in range(30, 100, 7) if name in ("MIT", "ISC", "Zlib", "Unlicense"))):
             docs.append((len(docs), form))
             want.append(name)
     docs.append((len(docs), texts["GPL-3.0"].replace("a free, copyleft license", "a license")))
