@@ -48,6 +48,14 @@ def bulk_text(actions: DataFrame) -> DataFrame:
     return actions.select("seq", F.concat_ws("\n", head, F.to_json("doc")).alias("value"))
 
 
+def bulk_requests(actions: DataFrame, size: int = 100) -> DataFrame:
+    """Requests of at most ``size`` actions in order of seq, which counts the log from 1:
+    request, n, value."""
+    lines = bulk_text(actions).withColumn("request", F.floor((F.col("seq") - 1) / size).cast("long"))
+    packed = lines.groupBy("request").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("seq", "value"))).alias("v"))
+    return packed.select("request", "n", F.concat(F.array_join("v.value", "\n"), F.lit("\n")).alias("value"))
+
+
 def bulk_item_errors(responses: DataFrame) -> DataFrame:
     """Failed items of index responses: action, doc_id, status, type, reason."""
     item = "struct<_index:string,_id:string,status:int,error:struct<type:string,reason:string>>"

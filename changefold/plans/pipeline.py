@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from changefold.operators.filters import Predicate, Transformer, apply_filters, apply_transformers, table_allowed
+from changefold.operators.actions import append_rows, bulk_actions, bulk_requests, console_lines, kv_commands
+from changefold.operators.filters import Predicate, Transformer, apply_filters, apply_transformers, compute_fields, rename_fields, select_image, table_allowed
+from changefold.operators.routing import build_key, route_target, value_fields
 from changefold.sources.changes import fan_in, read_changes
-from changefold.streaming.log import to_messages
-from changefold.streaming.sinks import AppendSink, Sink, TableSink, run_sink
+from changefold.sources.decode import binlog_rows_to_events, poll_rows_to_events, wal_rows_to_events
+from changefold.sources.poll import PollSource
+from changefold.sources.snapshot import snapshot_to_events
+from changefold.streaming.log import KEEP_DAYS, PARTITIONS, dedup_stream, publish_log, to_messages
+from changefold.streaming.sinks import AppendSink, FunctionSink, Sink, TableSink, WebhookSink, run_sink
 
 logger = logging.getLogger(__name__)
 
@@ -30,22 +37,57 @@ class SourceSpec:
 
 @dataclass
 class SinkSpec:
+    """A sink: its type names the builder, options go to it.
+
+    ``mapping`` renames fields of its images, ``expressions`` set fields to SQL expressions over
+    ``data``. ``routes`` name targets by instance.table or table, else ``index`` or ``prefix``
+    does. ``keys`` are key columns by table; ``key`` is an expression for the keys of a store.
+    Batches that fail ``max_retries`` times after the first go to the pipeline's dead letters.
+    """
+
     name: str
     type: str = "append"
     subjects: list[str] = field(default_factory=lambda: ["cdc.>"])
     options: dict = field(default_factory=dict)
     max_retries: int = 3
+    retry_base_ms: int = 1000
+    batch_size: int | None = None
+    flush_ms: int | None = None
+    mapping: dict[str, str] = field(default_factory=dict)
+    expressions: dict[str, str] = field(default_factory=dict)
+    routes: dict[str, str] = field(default_factory=dict)
+    index: str | None = None
+    prefix: str | None = None
+    keys: dict[str, str] = field(default_factory=dict)
+    key: str | None = None
+
+    def shaped(self, df: DataFrame) -> DataFrame:
+        """Both images with this sink's fields."""
+        for image in ("before", "after"):
+            df = df.withColumn(image, rename_fields(F.col(image), self.mapping))
+            df = compute_fields(df, self.expressions, image)
+        return df
+
+    def routed(self, df: DataFrame) -> DataFrame:
+        return route_target(select_image(self.shaped(df)), self.routes, self.index, self.prefix)
 
 
 @dataclass
 class PipelineSpec:
+    """``log`` is the path of the message log between sources and sinks; without one each sink
+    reads the sources. ``dlq`` is the path of the dead letters; without one a batch that keeps
+    failing ends its sink. ``batch_size`` and ``flush_ms`` hold for sinks that name none: how many
+    changes a request has, and how often batches start."""
+
     sources: list[SourceSpec] = field(default_factory=list)
     sinks: list[SinkSpec] = field(default_factory=list)
     filters: list[Predicate] = field(default_factory=list)
     transformers: list[Transformer] = field(default_factory=list)
     batch_size: int = 100
     flush_ms: int = 1000
-    keep_days: int = 7
+    keep_days: int = KEEP_DAYS
+    log: str | None = None
+    dlq: str | None = None
 
     def check(self) -> None:
         """Each type says which options it needs; nothing is asked of others."""
@@ -59,26 +101,110 @@ class PipelineSpec:
                 raise ValueError(f"{spec.type}: missing options {', '.join(missing)}")
 
 
+# --- sources: a spec becomes change envelopes, as a table or a stream --------------------
+
+
+def _rows(spark: SparkSession, path: str, stream: bool, spec: SourceSpec) -> DataFrame:
+    """A Parquet table, or a stream of the files that are added to it."""
+    if not stream:
+        return spark.read.parquet(path)
+    return read_changes(spark, path, stream=True, schema=spark.read.parquet(path).schema, files_per_trigger=spec.options.get("files_per_trigger"))
+
+
 def _parquet(spark: SparkSession, spec: SourceSpec, stream: bool) -> DataFrame:
     return read_changes(spark, spec.options["path"], stream=stream, files_per_trigger=spec.options.get("files_per_trigger"))
 
 
 def _json(spark: SparkSession, spec: SourceSpec, stream: bool) -> DataFrame:
-    return read_changes(spark, spec.options["path"], stream=stream, form="json")
+    return read_changes(spark, spec.options["path"], stream=stream, form="json", files_per_trigger=spec.options.get("files_per_trigger"))
+
+
+def _snapshot(spark: SparkSession, spec: SourceSpec, stream: bool) -> DataFrame:
+    o = spec.options
+    events = snapshot_to_events(_rows(spark, o["path"], stream, spec), o["table"], spec.instance_id, o["key"])
+    return events.withColumn("seq", F.col("ordinal")).withColumn("ts", F.current_timestamp())
+
+
+def _wal(spark: SparkSession, spec: SourceSpec, stream: bool) -> DataFrame:
+    relations = spark.read.parquet(spec.options["relations"])
+    return wal_rows_to_events(_rows(spark, spec.options["path"], stream, spec), relations, spec.instance_id).withColumn("seq", F.col("lsn"))
+
+
+def _binlog(spark: SparkSession, spec: SourceSpec, stream: bool) -> DataFrame:
+    return binlog_rows_to_events(_rows(spark, spec.options["path"], stream, spec), spec.instance_id).withColumn("seq", F.col("lsn"))
+
+
+def _poll(spark: SparkSession, spec: SourceSpec, stream: bool) -> DataFrame:
+    """Polls of an address, or a table of responses kept at a path."""
+    o = spec.options
+    if "path" in o:
+        responses = _rows(spark, o["path"], stream, spec)
+    else:
+        spark.dataSource.register(PollSource)
+        responses = spark.readStream.format("poll").options(url=o["url"]).load()
+    return poll_rows_to_events(responses, spec.instance_id, o["table"]).withColumn("seq", F.col("lsn"))
+
+
+# --- sinks -------------------------------------------------------------------------------
 
 
 def _append(spark: SparkSession, spec: SinkSpec) -> Sink:
-    return AppendSink(spec.name, spec.options["path"], subjects=spec.subjects)
+    return AppendSink(spec.name, spec.options["path"], spec.shaped, spec.subjects)
+
+
+def _routed(spark: SparkSession, spec: SinkSpec) -> Sink:
+    columns = spec.options["columns"]
+    return AppendSink(spec.name, spec.options["path"], lambda df: append_rows(spec.routed(df), columns), spec.subjects, by=("target",))
 
 
 def _table(spark: SparkSession, spec: SinkSpec) -> Sink:
     o = spec.options
-    return TableSink(spec.name, o["path"], o.get("key", "id"), o.get("position", ["lsn", "seq"]), spark.createDataFrame([], o["schema"]), spec.subjects, o.get("dlq"))
+    plain = TableSink(spec.name, o["path"], o.get("key", "id"), o.get("position", ["lsn", "seq"]), spark.createDataFrame([], o["schema"]), spec.subjects, o.get("dlq"), spec.keys)
+    write = plain.write
+    plain.write = lambda batch, epoch: write(spec.shaped(batch), epoch)
+    return plain
+
+
+def _console(spark: SparkSession, spec: SinkSpec) -> Sink:
+    """Lines printed by the tasks that hold them, to their executors' logs."""
+
+    def show(rows) -> None:
+        for row in rows:
+            print(row["line"])
+
+    return FunctionSink(spec.name, lambda batch, epoch: console_lines(spec.shaped(batch)).foreachPartition(show), spec.subjects)
+
+
+def _bulk(spark: SparkSession, spec: SinkSpec) -> Sink:
+    """Requests of a document index as text, of at most ``batch_size`` actions each."""
+    size, clean = spec.batch_size or 100, spec.options.get("clean", False)
+    return AppendSink(spec.name, spec.options["path"], lambda df: bulk_requests(bulk_actions(spec.routed(df), clean), size).select("value"), spec.subjects, form="text")
+
+
+def _kv(spark: SparkSession, spec: SinkSpec) -> Sink:
+    o = spec.options
 
+    def commands(df: DataFrame) -> DataFrame:
+        rows = build_key(select_image(spec.shaped(df)), spec.key, o.get("key_prefix", "cdc"))
+        return kv_commands(rows, o.get("command", "hset"), o.get("ttl", 0), value_fields(F.col("image"), o.get("value_fields", [])))
 
-SOURCES: dict[str, Callable] = {"parquet": _parquet, "json": _json}
-SINKS: dict[str, Callable] = {"append": _append, "table": _table}
-NEEDED = {"parquet": ("path",), "json": ("path",), "append": ("path",), "table": ("path", "schema")}
+    return AppendSink(spec.name, o["path"], commands, spec.subjects)
+
+
+def _webhook(spark: SparkSession, spec: SinkSpec) -> Sink:
+    o = spec.options
+    plain = WebhookSink(spec.name, o["url"], spec.batch_size or 100, o.get("payload", False), o.get("headers"), o.get("timeout", 10.0), spec.subjects)
+    write = plain.write
+    plain.write = lambda batch, epoch: write(spec.shaped(batch), epoch)
+    return plain
+
+
+SOURCES: dict[str, Callable] = {"parquet": _parquet, "json": _json, "snapshot": _snapshot, "wal": _wal, "binlog": _binlog, "poll": _poll}
+SINKS: dict[str, Callable] = {"append": _append, "routed": _routed, "table": _table, "console": _console, "bulk": _bulk, "kv": _kv, "webhook": _webhook}
+NEEDED = {
+    "parquet": ("path",), "json": ("path",), "snapshot": ("path", "table", "key"), "wal": ("path", "relations"), "binlog": ("path",), "poll": ("table",),
+    "append": ("path",), "routed": ("path", "columns"), "table": ("path", "schema"), "bulk": ("path",), "kv": ("path",), "webhook": ("url",),
+}
 
 
 def register(kinds: dict[str, Callable], name: str, build: Callable) -> None:
@@ -96,14 +222,15 @@ def builder(kinds: dict[str, Callable], name: str) -> Callable:
 
 
 class Pipeline:
-    """Runs a definition as streaming queries, one per sink, or as one batch."""
+    """Runs a definition as streaming queries, one per sink and one that publishes to the
+    log if there is one, or as one batch."""
 
     def __init__(self, spark: SparkSession, spec: PipelineSpec, checkpoint: str):
         spec.check()
         self.spark, self.spec, self.checkpoint = spark, spec, checkpoint
         self.queries: dict[str, StreamingQuery] = {}
 
-    def log(self, stream: bool = False) -> DataFrame:
+    def messages(self, stream: bool = False) -> DataFrame:
         """All sources' changes after filters and transformers, as messages."""
         parts = []
         for s in self.spec.sources:
@@ -112,14 +239,31 @@ class Pipeline:
             parts.append(to_messages(changes, s.topic))
         return fan_in(*parts)
 
+    def log(self, stream: bool = False) -> DataFrame:
+        """What sinks read: the message log, or the sources' messages where there is none."""
+        if not self.spec.log:
+            return self.messages(stream)
+        fields = [f for f in self.messages().schema if f.name not in PARTITIONS]
+        schema = T.StructType([*fields, *[T.StructField(c, T.StringType()) for c in PARTITIONS]])
+        return read_changes(self.spark, self.spec.log, stream=stream, schema=schema)
+
+    def publish(self, trigger: dict | None = None) -> StreamingQuery:
+        """Start publishing: messages without their duplicates go to the log, which shows
+        them for ``keep_days``."""
+        query = publish_log(dedup_stream(self.messages(stream=True)), self.spec.log, f"{self.checkpoint}/_publish", trigger, self.spec.keep_days)
+        self.queries["_publish"] = query
+        return query
+
     def add_sink(self, spec: SinkSpec, trigger: dict | None = None) -> StreamingQuery | None:
         """Start one sink; a faulty one is skipped with a warning and the others run on."""
         try:
+            spec = replace(spec, batch_size=spec.batch_size or self.spec.batch_size)
             sink = builder(SINKS, spec.type)(self.spark, spec)
         except Exception as e:
             logger.warning("sink %s skipped: %s", spec.name, e)
             return None
-        query = run_sink(self.log(stream=True), sink, self.checkpoint, trigger, spec.max_retries)
+        usual = {"processingTime": f"{spec.flush_ms or self.spec.flush_ms} milliseconds"}
+        query = run_sink(self.log(stream=True), sink, self.checkpoint, trigger or usual, spec.max_retries + 1, self.spec.dlq, spec.retry_base_ms)
         self.queries[spec.name] = query
         return query
 
@@ -129,8 +273,11 @@ class Pipeline:
             query.stop()
 
     def start(self, trigger: dict | None = None) -> list[StreamingQuery]:
-        usual = {"processingTime": f"{self.spec.flush_ms} milliseconds"}
-        return [q for q in (self.add_sink(s, trigger or usual) for s in self.spec.sinks) if q]
+        if self.spec.log:
+            first = self.publish(trigger or {"processingTime": f"{self.spec.flush_ms} milliseconds"})
+            if trigger and "availableNow" in trigger:
+                first.awaitTermination()
+        return [q for q in (self.add_sink(s, trigger) for s in self.spec.sinks) if q]
 
     def run_once(self) -> None:
         """Process what is there now, then end."""

@@ -47,12 +47,16 @@ def to_messages(df: DataFrame, topic: str = "cdc", ordinals: tuple[str, ...] | N
     return rows.withColumn("msg_id", msg_id(F.col("instance_id"), F.col("offset"), *more))
 
 
-def publish_log(messages: DataFrame, path: str, checkpoint: str | None = None):
+def publish_log(messages: DataFrame, path: str, checkpoint: str | None = None, trigger: dict | None = None, keep_days: int | None = None):
     """Append messages to the log, in folders by topic, instance, schema and table. With a
-    checkpoint the frame is a stream and the started query is returned."""
-    if checkpoint:
-        return messages.writeStream.format("parquet").partitionBy(*PARTITIONS).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    return messages.write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+    checkpoint the frame is a stream and the started query is returned; after ``keep_days``
+    the log no longer shows the files it wrote."""
+    if checkpoint is None:
+        return messages.write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+    out = messages.writeStream.format("parquet").partitionBy(*PARTITIONS).option("path", path).option("checkpointLocation", checkpoint)
+    if keep_days:
+        out = out.option("retention", f"{keep_days}d")
+    return out.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def dedup_messages(df: DataFrame, key: str = "msg_id", at: str = "ts", seconds: int = DUPLICATE_SECONDS, tie: str = "seq") -> DataFrame:
@@ -91,10 +95,14 @@ def dedup_messages(df: DataFrame, key: str = "msg_id", at: str = "ts", seconds:
     return once.unionByName(again).select(*df.columns)
 
 
-def dedup_stream(df: DataFrame, key: str = "msg_id", at: str = "ts", seconds: int = DUPLICATE_SECONDS) -> DataFrame:
-    """The same for a stream; state is kept for at least the window. Messages without id go
-    past the state, none is lost."""
-    named = df.filter(F.col(key).isNotNull()).withWatermark(at, f"{seconds} seconds").dropDuplicatesWithinWatermark([key])
+def dedup_stream(df: DataFrame, key: str = "msg_id", seconds: int = DUPLICATE_SECONDS) -> DataFrame:
+    """Drop messages of a stream whose id arrived less than the window before.
+
+    The window counts from arrival, as a log's own does, so that messages of a source that
+    lags behind others are never too late and none is lost. Messages without id go past the
+    state."""
+    named = df.filter(F.col(key).isNotNull()).withColumn("_arrived", F.current_timestamp())
+    named = named.withWatermark("_arrived", f"{seconds} seconds").dropDuplicatesWithinWatermark([key]).drop("_arrived")
     return named.unionByName(df.filter(F.col(key).isNull()))
 
 

@@ -305,3 +305,12 @@ def test_webhook_sink_posts_from_tasks(spark, tmp_path):
     server.shutdown()
     posted = {tuple(c["offset"] for c in b) for b in bodies}
     assert posted == {("1", "2"), ("3",)}
+
+
+def test_a_lagging_source_is_not_too_late(spark, tmp_path):
+    src, out, cp = (str(tmp_path / n) for n in ("src", "out", "cp"))
+    for shift in (86_400, 0, 5):
+        late = changes(spark, FIRST).withColumn("ts", F.col("ts") + F.make_dt_interval(secs=F.lit(shift)))
+        late.withColumn("offset", F.concat(F.lit(f"{shift // 10}-"), "offset")).coalesce(1).write.mode("append").parquet(src)
+        logs.publish_log(logs.dedup_stream(logs.to_messages(read_changes(spark, src, stream=True))), out, cp).awaitTermination()
+    assert spark.read.parquet(out).count() == 6
