@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changefold.operators.filters import subject_filter
 from changefold.operators.routing import status_filter
 
 
-def consumer_info(log: DataFrame, deliveries: DataFrame, sink: str) -> DataFrame:
-    """One row for a sink: ack_floor, the end of the acknowledged prefix of the log, and
+def consumer_info(log: DataFrame, deliveries: DataFrame, *sinks: str) -> DataFrame:
+    """One row for each sink: ack_floor, the end of the acknowledged prefix of the log, and
     pending, the messages never delivered to it.
 
     The prefix ends before the first message that isn't acknowledged, so the floor is a
-    minimum and no window over the log is needed.
+    minimum and no window over the log is needed. Deliveries are added up by message for all
+    sinks at once, so the log is joined once.
     """
-    mine = deliveries.filter(F.col("sink") == sink).groupBy(F.col("seq").alias("_seq")).agg(F.max("acked").alias("acked"))
+    acked = [F.max(F.when(F.col("sink") == s, F.col("acked"))).alias(f"_{i}") for i, s in enumerate(sinks)]
+    mine = deliveries.filter(F.col("sink").isin(*sinks)).groupBy(F.col("seq").alias("_seq")).agg(*acked)
     rows = log.select("seq").join(mine, F.col("seq") == F.col("_seq"), "left")
-    open_ = F.min(F.when(~F.coalesce("acked", F.lit(False)), F.col("seq")))
-    return rows.agg(F.lit(sink).alias("sink"), F.coalesce(open_ - 1, F.max("seq"), F.lit(0)).cast("long").alias("ack_floor"), F.count_if(F.col("_seq").isNull()).alias("pending"))
+
+    def of(i: int, sink: str) -> Column:
+        open_ = F.min(F.when(~F.coalesce(f"_{i}", F.lit(False)), F.col("seq")))
+        floor = F.coalesce(open_ - 1, F.max("seq"), F.lit(0)).cast("long")
+        return F.struct(F.lit(sink).alias("sink"), floor.alias("ack_floor"), F.count_if(F.col(f"_{i}").isNull()).alias("pending"))
+
+    return rows.agg(F.array(*[of(i, s) for i, s in enumerate(sinks)]).alias("s")).select(F.inline("s"))
 
 
 def stream_stats(log: DataFrame, deliveries: DataFrame) -> DataFrame:
@@ -38,6 +45,12 @@ def list_partitions(log: DataFrame, topic: str | None = None) -> DataFrame:
     return rows.groupBy("topic", "subject").agg(F.count("*").alias("message_count"))
 
 
+def order_changes(log: DataFrame) -> DataFrame:
+    """The log in strict order within each source: by instance, position and sequence. Spark
+    deals it out by ranges, which also cut a large instance."""
+    return log.orderBy("instance_id", "lsn", "seq")
+
+
 def sort_spec(df: DataFrame, spec: list[tuple[str, str]], tie: str = "seq") -> DataFrame:
     """Order by (field, asc, desc or unspecified, which is asc), ties by sequence."""
     return df.orderBy(*[F.col(c).desc() if way == "desc" else F.col(c).asc() for c, way in spec], tie)

@@ -96,21 +96,28 @@ def missing_tables(targets: DataFrame, existing: DataFrame) -> DataFrame:
     return targets.select("target").distinct().join(existing.select(F.col("name").alias("target")), "target", "left_anti")
 
 
-def kv_state(commands: DataFrame) -> DataFrame:
-    """What the commands of ``kv_commands`` leave in a key-value store: key, kind, value, fields
-    (sorted, as text), members (sorted).
+def kv_entries(commands: DataFrame) -> DataFrame:
+    """What the commands of ``kv_commands`` leave in a key-value store, a row per entry: key,
+    kind, field, value. A string has one entry without field, a hash one per field, a set one
+    per member, which is the field.
 
     A key's state follows its last del and the kind that was written last: strings keep the
-    last value, hashes merge fields, sets hold what was added and not removed after. Fields
-    and members are folded one by one before they meet in their key.
+    last value, hashes merge fields, sets hold what was added and not removed after. Entries are
+    folded one by one, so no key is gathered.
     """
-    cleared = commands.groupBy("key").agg(F.max(F.when(F.col("command") == "DEL", F.col("seq"))).alias("_cut"), F.max_by("command", "seq").alias("_last"), F.max_by(F.when(F.col("command") == "SET", F.col("args")["value"]), F.when(F.col("command") == "SET", F.col("seq"))).alias("value"))
-    cut = cleared.select(F.col("key").alias("_k"), "_cut")
-    live = commands.join(cut, F.col("key") == F.col("_k")).filter("_cut is null or seq > _cut").drop("_k", "_cut")
-    fields = live.filter("command = 'HSET'").select("key", "seq", F.explode("args").alias("f", "v"))
-    fields = fields.groupBy("key", "f").agg(F.max_by("v", "seq").alias("v")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("fields"))
-    members = live.filter("command in ('SADD', 'SREM')").select("key", "seq", "command", F.col("args")["member"].alias("m"))
-    members = members.groupBy("key", "m").agg(F.max_by("command", "seq").alias("c")).filter("c = 'SADD'").groupBy("key").agg(F.sort_array(F.collect_list("m")).alias("members"))
-    state = cleared.filter("_last <> 'DEL'").join(fields, "key", "left").join(members, "key", "left")
-    state = state.withColumn("kind", F.when(F.col("_last") == "SET", "string").when(F.col("_last") == "HSET", "hash").otherwise("set"))
-    return state.select("key", "kind", F.when(F.col("kind") == "string", F.col("value")).alias("value"), F.when(F.col("kind") == "hash", F.col("fields")).alias("fields"), F.when(F.col("kind") == "set", F.col("members")).alias("members")).filter("kind <> 'set' or members is not null")
+    kind = F.when(F.col("command") == "SET", "string").when(F.col("command") == "HSET", "hash").when(F.col("command").isin("SADD", "SREM"), "set")
+    keys = commands.groupBy("key").agg(F.max(F.when(F.col("command") == "DEL", F.col("seq"))).alias("_cut"), F.max_by("command", "seq").alias("_last"))
+    keys = keys.filter("_last <> 'DEL'").select(F.col("key").alias("_k"), "_cut", F.when(F.col("_last") == "SET", "string").when(F.col("_last") == "HSET", "hash").otherwise("set").alias("_kind"))
+    pairs = F.when(kind == "hash", F.col("args")).otherwise(F.create_map(F.when(kind == "set", F.col("args")["member"]).otherwise(F.lit("")), F.when(kind == "string", F.col("args")["value"])))
+    each = commands.filter("command <> 'DEL'").select("key", "seq", "command", kind.alias("kind"), F.explode(pairs).alias("field", "value"))
+    last = each.groupBy("key", "kind", "field").agg(F.max_by(F.struct("command", "value"), "seq").alias("e"), F.max("seq").alias("at"))
+    met = last.join(keys, (F.col("key") == F.col("_k")) & (F.col("kind") == F.col("_kind"))).filter("(_cut is null or at > _cut) and e.command <> 'SREM'")
+    return met.select("key", "kind", F.when(F.col("kind") != "string", F.col("field")).alias("field"), "e.value")
+
+
+def kv_state(commands: DataFrame) -> DataFrame:
+    """``kv_entries`` with the fields (sorted, as text) and members (sorted) of each key
+    together: key, kind, value, fields, members. For keys that fit in a row."""
+    packed = kv_entries(commands).groupBy("key", "kind").agg(F.sort_array(F.collect_list(F.struct(F.col("field").alias("f"), F.col("value").alias("v")))).alias("_e"))
+    of = lambda k, c: F.when(F.col("kind") == k, c)
+    return packed.select("key", "kind", of("string", F.col("_e")[0]["v"]).alias("value"), of("hash", F.col("_e")).alias("fields"), of("set", F.col("_e.f")).alias("members"))

@@ -6,17 +6,22 @@ Every query reads whole tables; ``CHG`` and ``DEL`` are the SQL twins of
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changefold.functions import scalars
+from changefold.model import ENVELOPE
 from changefold.operators import actions, explorer, filters, merge, metrics, routing
+from changefold.plans import pipeline
 from changefold.plans.canonical import change_log, deliveries, table
+from changefold.plans.scratch import scratch_dir
 from changefold.sources import changes as reading
 from changefold.sources import decode, snapshot
 from changefold.streaming import log as logs
+from changefold.streaming import observe, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,9 +52,21 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 # --- sources ---------------------------------------------------------------------------
 
 
+def _kept(spark, df, label):
+    """The path of a scratch folder to which a frame is written."""
+    path = scratch_dir(spark, label)
+    df.write.parquet(path)
+    return path
+
+
+def _envelopes(spark, d):
+    return change_log(spark, d).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ENVELOPE])
+
+
 @query("src1_read_changes", "WITH {CHG} SELECT seq, op, tbl, lsn FROM log WHERE lsn > 100")
 def src1(spark, d):
-    return change_log(spark, d).filter("lsn > 100").select("seq", "op", "tbl", "lsn")
+    path = _kept(spark, _envelopes(spark, d), "changes")
+    return reading.read_changes(spark, path, after=F.col("lsn") > 100).select("seq", "op", "tbl", "lsn")
 
 
 @query("src8_snapshot_to_events", "SELECT 'inst0' AS instance_id, 'public' AS \"schema\", 'orders' AS tbl, 'r' AS op, 0 AS lsn, CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status, o_orderkey AS ordinal FROM orders")
@@ -85,12 +102,40 @@ def src10(spark, d):
     return snapshot.plan_chunks(counts)
 
 
-@query("src11_read_chunk", "SELECT o_orderkey // 8000 AS chunk_index, count(*) AS n, sum(o_custkey) AS custs, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY 1")
-def src11(spark, d):
-    rows = snapshot.read_chunks(table(spark, d, "orders"), "o_orderkey", 8000)
+def _chunk_sums(rows):
     return rows.groupBy("chunk_index").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("custs"), F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
 
 
+SUMS = "count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS custs, min(o_orderkey) AS lo, max(o_orderkey) AS hi"
+
+
+def _with_ctid(spark, d):
+    block, item = (F.col("o_orderkey") / 100).cast("long").cast("string"), (F.col("o_orderkey") % 100).cast("string")
+    return table(spark, d, "orders").withColumn("ctid", F.concat(F.lit("("), block, F.lit(","), item, F.lit(")")))
+
+
+@query("src11_read_chunk", f"SELECT CASE WHEN o_orderkey < 100 THEN 0 WHEN o_orderkey < 1000 THEN 1 ELSE 2 END AS chunk_index, {SUMS} FROM orders GROUP BY 1")
+def src11(spark, d):
+    orders, bounds = table(spark, d, "orders"), [(0, 100), (100, 1000), (1000, None)]
+    parts = [snapshot.read_chunk(orders, "o_orderkey", *b, strategy="auto").withColumn("chunk_index", F.lit(i)) for i, b in enumerate(bounds)]
+    return _chunk_sums(reading.fan_in(*parts))
+
+
+@query("src11_integer_chunks", f"SELECT o_orderkey // 8000 AS chunk_index, {SUMS} FROM orders GROUP BY 1")
+def src11_integer(spark, d):
+    return _chunk_sums(snapshot.read_chunks(table(spark, d, "orders"), "o_orderkey", 8000))
+
+
+@query("src11_ctid_chunks", f"SELECT o_orderkey // 100 // 7 AS chunk_index, {SUMS} FROM orders GROUP BY 1")
+def src11_ctid(spark, d):
+    return _chunk_sums(snapshot.read_chunks(_with_ctid(spark, d), "ctid", 7, "auto"))
+
+
+@query("src11_offset_chunks", f"SELECT chunk_index, {SUMS} FROM (SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1) // 700 AS chunk_index FROM orders) GROUP BY 1")
+def src11_offset(spark, d):
+    return _chunk_sums(snapshot.read_chunks(table(spark, d, "orders"), "o_orderkey", 700, "offset"))
+
+
 def _chunks(spark, d):
     o = table(spark, d, "orders")
     status = F.element_at(F.array(F.lit("pending"), F.lit("in_progress"), F.lit("completed")), (F.col("o_orderkey") % 3 + 1).cast("int"))
@@ -131,9 +176,10 @@ def jn2(spark, d):
 # --- sinks -----------------------------------------------------------------------------
 
 
-@query("io2_console_sink", "WITH {CHG} SELECT seq, '[' || instance_id || '] ' || op || ' ' || \"schema\" || '.' || tbl || ' lsn=' || lsn || ' offset=' || \"offset\" AS line FROM log")
+@query("io2_console_sink", """WITH {CHG}, p AS (SELECT *, '{"id":"' || pk || '","k":"' || k || '"' || CASE WHEN value_present THEN ',"value":' || coalesce('"' || value || '"', 'null') ELSE '' END || '}' AS payload FROM log)
+  SELECT seq, '[' || instance_id || '] ' || op || ' ' || "schema" || '.' || tbl || ' lsn=' || lsn || ' offset=' || "offset" || ' size=' || length(payload) AS line FROM p""")
 def io2(spark, d):
-    return actions.console_lines(change_log(spark, d)).select("seq", F.regexp_replace("line", r" size=\d+$", "").alias("line"))
+    return actions.console_lines(change_log(spark, d))
 
 
 def _customers(spark, d):
@@ -208,9 +254,9 @@ def io10b(spark, d):
   SELECT r.key, 'hash' AS kind, k, CASE WHEN has_value THEN 3 ELSE 2 END AS n_fields FROM r JOIN v ON v.key = r.key WHERE r = 1""")
 def io11(spark, d):
     rows = routing.build_key(filters.select_image(change_log(spark, d)))
-    state = merge.kv_state(actions.kv_commands(rows, "hset"))
-    k = F.filter("fields", lambda f: f["f"] == "k")[0]["v"].cast("long")
-    return state.select("key", "kind", k.alias("k"), F.size("fields").alias("n_fields"))
+    entries = merge.kv_entries(actions.kv_commands(rows, "hset"))
+    k = F.max(F.when(F.col("field") == "k", F.col("value"))).cast("long")
+    return entries.groupBy("key", "kind").agg(k.alias("k"), F.count("*").cast("int").alias("n_fields"))
 
 
 @query("io12_webhook_batches", "WITH {CHG} SELECT (seq - 1) // 100 AS batch, count(*) AS n FROM log GROUP BY 1")
@@ -220,7 +266,9 @@ def io12(spark, d):
 
 @query("io13_publish_log", "WITH {CHG} SELECT seq, subject, instance_id || '-' || \"offset\" AS msg_id, 6 AS n_headers, CAST(lsn AS VARCHAR) AS lsn_header FROM log")
 def io13(spark, d):
-    m = logs.to_messages(change_log(spark, d).drop("topic", "subject"))
+    path = scratch_dir(spark, "log")
+    logs.publish_log(logs.to_messages(change_log(spark, d).drop("topic", "subject")), path)
+    m = spark.read.parquet(path)
     return m.select("seq", "subject", "msg_id", F.size("headers").alias("n_headers"), F.col("headers")["lsn"].alias("lsn_header"))
 
 
@@ -259,6 +307,13 @@ def pf5(spark, d):
     return change_log(spark, d).filter(filters.subject_match(F.col("subject"), ["cdc.*.public.purchases", "cdc.inst1.>"])).select("seq")
 
 
+@query("pf5_subject_filter", "WITH {CHG} SELECT seq, 'cdc.' || instance_id || '.public.' || tbl || '_v1' AS subject FROM log WHERE instance_id = 'inst1' AND tbl = 'purchases'")
+def pf5_filter(spark, d):
+    log = change_log(spark, d).withColumn("tbl", F.concat("tbl", F.lit(".v1")))
+    log = log.withColumn("subject", routing.build_subject(F.col("topic"), F.col("instance_id"), F.col("schema"), F.col("tbl")))
+    return filters.subject_filter(log, "cdc.inst1.public.purchases_v1").select("seq", "subject")
+
+
 @query("so3_multi_subject", "WITH {CHG} SELECT instance_id, count(*) AS n FROM log WHERE instance_id IN ('inst0', 'inst2') GROUP BY 1")
 def so3(spark, d):
     rows = change_log(spark, d).filter(filters.subject_match(F.col("subject"), ["cdc.inst0.>", "cdc.inst2.>", "cdc.inst0.*.*"]))
@@ -377,10 +432,10 @@ def jn3(spark, d):
     return merge.upsert(base, table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("v")), "id")
 
 
-@query("jn4_delete_by_key", "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("jn4_delete_by_key", "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 0)")
 def jn4(spark, d):
     base = table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    return merge.delete_keys(base, table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return merge.delete_keys(base, table(spark, d, "orders").filter("o_orderkey % 20 = 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("jn6_missing_tables", "WITH {CHG} SELECT DISTINCT 'cdc_' || instance_id || '_' || tbl AS target FROM log WHERE NOT (instance_id = 'inst0' AND tbl = 'accounts')")
@@ -412,7 +467,7 @@ def ag3(spark, d):
 
 @query("ag4_consumer_info", f"WITH {CHG}, {ACKS}, j AS (SELECT s.sink, log.seq, d.seq AS dseq, d.acked FROM log CROSS JOIN (VALUES ('search'), ('store')) s(sink) LEFT JOIN del d ON d.seq = log.seq AND d.sink = s.sink) SELECT sink, coalesce(min(seq) FILTER (NOT coalesce(acked, false)) - 1, max(seq), 0) AS ack_floor, count(*) FILTER (dseq IS NULL) AS pending FROM j GROUP BY sink")
 def ag4(spark, d):
-    return _floor(spark, d, "search").unionByName(_floor(spark, d, "store"))
+    return explorer.consumer_info(change_log(spark, d), _acks(spark, d), "search", "store")
 
 
 @query("ag5_stream_stats", "WITH {DEL} SELECT count(*) AS messages, CAST(sum(length(subject)) AS BIGINT) AS bytes, min(seq) AS first_seq, max(seq) AS last_seq, (SELECT count(DISTINCT sink) FROM del) AS consumers FROM log")
@@ -492,7 +547,7 @@ def wn2(spark, d):
 
 @query("sl1_order_changes", "WITH {CHG} SELECT instance_id, seq, lsn FROM log")
 def sl1(spark, d):
-    return change_log(spark, d).select("instance_id", "seq", "lsn").orderBy("instance_id", "lsn", "seq")
+    return explorer.order_changes(change_log(spark, d).select("instance_id", "seq", "lsn"))
 
 
 @query("sl2_paginate", "WITH {CHG} SELECT seq, k FROM log ORDER BY seq LIMIT 50 OFFSET 100")
@@ -748,3 +803,97 @@ def fn3(spark, d):
     doc = F.create_map(F.lit("metadata"), F.lit("{}"), F.lit("created_at"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("lifetime"), F.col("event_type"))
     rows = table(spark, d, "events").select("event_id", scalars.sanitize_doc(doc).alias("doc"))
     return rows.select("event_id", *[F.col("doc")[c].alias(c) for c in ("metadata", "created_at", "lifetime")])
+
+
+# --- streams over the change log -------------------------------------------------------
+
+
+@query("io1_sink_contract", "WITH {CHG} SELECT seq, op, tbl FROM log WHERE tbl = 'purchases'")
+def io1(spark, d):
+    src, out = _kept(spark, _envelopes(spark, d), "io1-log"), scratch_dir(spark, "io1")
+    sink = sinks.AppendSink("store", f"{out}/rows", lambda df: df.select("seq", "op", "tbl"), ["cdc.*.public.purchases"])
+    sinks.run_sink(reading.read_changes(spark, src, stream=True), sink, f"{out}/cursors").awaitTermination()
+    return spark.read.schema("seq long, op string, tbl string").parquet(f"{out}/rows").select("seq", "op", "tbl")
+
+
+@query("io6_table_sink", "WITH {CHG}, " + FOLD + " SELECT pk AS id, CASE WHEN has_v THEN value END AS value, k FROM f")
+def io6(spark, d):
+    """The table after a restart between any two of four batches."""
+    out, log = scratch_dir(spark, "io6"), _envelopes(spark, d)
+    size = -(-log.count() // 4)
+    empty = spark.createDataFrame([], "id long, value double, k long")
+    for i in range(4):
+        log.filter(F.col("seq").between(i * size + 1, (i + 1) * size)).write.mode("append").parquet(f"{out}/log")
+        sink = sinks.TableSink("store", f"{out}/table", "id", ["lsn", "seq"], empty, ["cdc.*.public.accounts"], compact=3)
+        sinks.run_sink(reading.read_changes(spark, f"{out}/log", stream=True), sink, f"{out}/cursors").awaitTermination()
+    return sink.read(spark)
+
+
+@query("io17_bulk_retry", "WITH {CHG} SELECT seq, CASE WHEN op = 'd' THEN 'delete' ELSE 'index' END AS action, 3 AS tries FROM log")
+def io17(spark, d):
+    """Each batch fails twice before it is taken."""
+    src, out = _kept(spark, _envelopes(spark, d), "io17-log"), scratch_dir(spark, "io17")
+    tries: dict[int, int] = {}
+
+    def write(batch, epoch):
+        tries[epoch] = tries.get(epoch, 0) + 1
+        if tries[epoch] < 3:
+            raise logs.DeliveryError("not now", "network")
+        rows = actions.bulk_actions(routing.route_target(filters.select_image(batch)))
+        rows.select("seq", "action", F.lit(tries[epoch]).alias("tries")).write.mode("overwrite").parquet(f"{out}/rows/batch={epoch}")
+
+    sinks.run_sink(reading.read_changes(spark, src, stream=True), sinks.FunctionSink("bulk", write), f"{out}/cursors", tries=5, base=1).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("seq", "action", "tries")
+
+
+def _progress(spark, d):
+    """What a listener saw of two sinks over the log, of which one was started again."""
+    src, out, seen = _kept(spark, _envelopes(spark, d), "progress-log"), scratch_dir(spark, "progress"), observe.ProgressTable()
+    spark.streams.addListener(seen)
+    for name in ("search", "store", "store"):
+        sink = sinks.AppendSink(name, f"{out}/{name}")
+        sinks.run_sink(reading.read_changes(spark, src, stream=True), sink, f"{out}/cursors").awaitTermination()
+    for _ in range(100):  # a listener hears of an end some time after it
+        if sum(r[0] == "end" for r in seen.rows) == 3:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(seen)
+    return seen.table(spark)
+
+
+@query("ag13_active_workers", "WITH {CHG} SELECT s AS sink, CAST(n AS BIGINT) AS reconnects, 0 AS active_workers FROM (VALUES ('search', 0), ('store', 1)) AS v(s, n), (SELECT count(*) AS c FROM log) WHERE c > 0")
+def ag13(spark, d):
+    seen = _progress(spark, d)
+    return observe.reconnects(seen).join(observe.active_workers(seen), "sink")
+
+
+@query("ag17_worker_duration_histogram", "WITH {CHG} SELECT s AS sink, count(*) AS rows, true AS complete FROM log, (VALUES ('search'), ('store')) AS v(s) GROUP BY 1")
+def ag17(spark, d):
+    """Rows by sink, and whether its buckets of seconds rise up to all its batches."""
+    seen = _progress(spark, d)
+    buckets = observe.worker_duration_histogram(seen).groupBy("sink").agg(F.max("n").alias("n"), F.max("total").alias("total"), F.count("*").alias("b"))
+    rows = seen.filter("kind = 'batch'").groupBy("sink").agg(F.sum("rows").alias("rows"), F.count("*").alias("batches"))
+    complete = (F.col("n") == F.col("total")) & (F.col("total") == F.col("batches")) & (F.col("b") == len(metrics.SECOND_BOUNDS) + 1)
+    return rows.join(buckets, "sink").select("sink", "rows", complete.alias("complete"))
+
+
+@query("so2_fan_out", "WITH {CHG} SELECT 'all' AS sink, tbl, count(*) AS n FROM log GROUP BY 2 UNION ALL SELECT 'buys', tbl, count(*) FROM log WHERE tbl = 'purchases' GROUP BY 2")
+def so2(spark, d):
+    src, out = _kept(spark, _envelopes(spark, d), "so2-log"), scratch_dir(spark, "so2")
+    specs = [pipeline.SinkSpec("all", options={"path": f"{out}/all"}), pipeline.SinkSpec("buys", subjects=["cdc.*.*.purchases"], options={"path": f"{out}/buys"})]
+    pipeline.Pipeline(spark, pipeline.PipelineSpec([pipeline.SourceSpec("i", options={"path": src})], specs), f"{out}/cursors").run_once()
+    parts = [spark.read.parquet(f"{out}/{s.name}").groupBy("tbl").agg(F.count("*").alias("n")).select(F.lit(s.name).alias("sink"), "tbl", "n") for s in specs]
+    return reading.fan_in(*parts)
+
+
+@query("ud7_pipeline", "WITH {CHG} SELECT seq, CASE WHEN op = 'd' THEN 'DEL' ELSE 'HSET' END AS command, tbl || '/' || pk AS key, CASE WHEN op <> 'd' THEN k END AS rank, CASE WHEN op <> 'd' THEN 2 * pk END AS twice FROM log WHERE event_type <> 'view'")
+def ud7(spark, d):
+    """Sources to a message log, with a second delivery of each change, and from it to a
+    key-value sink with renamed and computed fields and keys of its own."""
+    log, out = _envelopes(spark, d).filter("op <> 'u' or map_contains_key(after, 'value')"), scratch_dir(spark, "ud7")
+    src = _kept(spark, log.unionByName(log), "ud7-changes")
+    sink = pipeline.SinkSpec("kv", "kv", options={"path": f"{out}/kv"}, mapping={"k": "rank"}, expressions={"twice": "2 * cast(data.id as bigint)"}, key="concat(tbl, '/', data.id)")
+    spec = pipeline.PipelineSpec([pipeline.SourceSpec("i", options={"path": src})], [sink], log=f"{out}/log", dlq=f"{out}/dlq")
+    pipeline.Pipeline(spark, spec, f"{out}/cursors").run_once()
+    args = F.col("args")
+    return spark.read.parquet(f"{out}/kv").select("seq", "command", "key", args["rank"].cast("long").alias("rank"), args["twice"].cast("long").alias("twice"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changefold.streaming.log import assign_batches
+
 #: Rows of a chunk, seconds after which a claim lapses.
 CHUNK_ROWS, CLAIM_SECONDS = 8000, 30
 
@@ -42,17 +44,43 @@ def plan_chunks(tables: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     return each.select("tbl", "chunk_index", start.alias("chunk_start"), F.least(F.lit(size), F.col("n_rows") - start).cast("long").alias("chunk_size"), (F.col("chunk_index") == F.col("_n") - 1).alias("is_last_chunk"))
 
 
-def read_chunks(df: DataFrame, key: str, width: int) -> DataFrame:
-    """All rows with the chunk they belong to, by ranges of an integer key: chunk i holds keys
-    from i * width to below (i + 1) * width. The range follows from the key alone, so no join
-    with the plan is needed."""
-    return df.withColumn("chunk_index", F.floor(F.col(key) / width).cast("long"))
+def chunk_strategy(df: DataFrame, key: str) -> str:
+    """The strategy of auto: ranges of an integer key, else blocks of a ctid, else offsets."""
+    kind = dict(df.dtypes)[key]
+    return "integer_range" if kind in ("tinyint", "smallint", "int", "bigint") else "ctid_block" if key == "ctid" else "offset"
+
+
+def ctid_block(ctid: Column) -> Column:
+    """The block of a row's place, written (block,item)."""
+    return F.regexp_extract(ctid, r"^\((\d+),", 1).try_cast("long")
+
+
+def read_chunks(df: DataFrame, key: str, width: int, strategy: str = "integer_range") -> DataFrame:
+    """All rows with the chunk they belong to.
+
+    integer_range: chunk i holds keys from i * width to below (i + 1) * width; ctid_block: the
+    same with blocks; offset: chunk i holds the rows from place i * width in order of the key, which
+    is a number. Ranges follow from the row alone, so no join with the plan is needed, and
+    places come from counts per span, so no task orders the table.
+    """
+    strategy = chunk_strategy(df, key) if strategy == "auto" else strategy
+    if strategy == "offset":
+        return assign_batches(df, width, key).withColumnRenamed("batch", "chunk_index")
+    value = {"integer_range": F.col(key), "ctid_block": ctid_block(F.col(key))}[strategy]
+    return df.withColumn("chunk_index", F.floor(value / width).cast("long"))
 
 
-def read_chunk(df: DataFrame, key: str, start: int, end: int | None) -> DataFrame:
-    """One chunk's rows: start <= key < end, open-ended without end; pushed to the scan."""
-    rows = df.filter(F.col(key) >= start)
-    return rows if end is None else rows.filter(F.col(key) < end)
+def read_chunk(df: DataFrame, key: str, start: int, end: int | None, strategy: str = "integer_range") -> DataFrame:
+    """One chunk's rows: start <= value < end, open-ended without end. The value is the key,
+    which is pushed to the scan, the block of a ctid, or the place in order of the key."""
+    strategy = chunk_strategy(df, key) if strategy == "auto" else strategy
+    if strategy == "offset":
+        placed = assign_batches(df, 1, key)
+        rows = placed.filter(F.col("batch") >= start)
+        return (rows if end is None else rows.filter(F.col("batch") < end)).drop("batch")
+    value = {"integer_range": F.col(key), "ctid_block": ctid_block(F.col(key))}[strategy]
+    rows = df.filter(value >= start)
+    return rows if end is None else rows.filter(value < end)
 
 
 def claimable_chunks(chunks: DataFrame, now: str, seconds: int = CLAIM_SECONDS) -> DataFrame:
