@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,9 +41,25 @@ def saved(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables that ``saved`` has made and ``settled`` hasn't deleted.
+_MADE: list[str] = []
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """Save what ``make`` gives, and delete the tables that were saved on the way to it."""
+    before = len(_MADE)
+    done = saved(make(), label)
+    for path in _MADE[before:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _MADE[before:-1]
+    return done
+
+
 #: Bytes of a frame that may be broadcast.
 MOST_BYTES = 64 << 20
 

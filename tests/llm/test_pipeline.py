@@ -1,6 +1,7 @@
 """The corpus pipeline, stage by stage, against brute force."""
 
 import corpus_pipeline as cp
+from changefold.llm.common import saved, shared_dir
 from changefold.llm.quality import score_quality
 
 from tests.llm.test_jaccard import brute
@@ -19,7 +20,7 @@ def test_stages(spark):
     bench = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     seen = []
     for name, stage in cp.STAGES:
-        after = cp.saved(stage(spark, docs, SF), f"test-{name}")
+        after = saved(stage(spark, docs, SF), f"test-{name}")
         if name != "mix":
             assert after.columns == list(cp.COLUMNS)
         before, got = as_rows(docs), as_rows(after) if name != "mix" else None
@@ -50,3 +51,34 @@ def test_stages(spark):
         seen.append(name)
         docs = after
     assert seen == ["quality", "lines", "near_duplicates", "benchmark", "mix"]
+
+
+def test_stages_on_edge_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, an empty table."""
+    form = "doc_id long, text string, lang string, source string, n_chars long"
+    real = spark.read.parquet(f"{SF}/documents.parquet").select(*cp.COLUMNS)
+    odd = [(None, None, None, None, None), (-1, "", "en", "s", 0), (-1, "", "en", "s", 0), (-2, "word " * 100_000, None, "s", None), (-3, None, "en", None, 0), (None, "a b c", "en", "s", 5), (-4, "\n\n \n", "en", "s", 4)]
+    docs = real.unionByName(spark.createDataFrame(odd, form))
+    for docs in (docs, real.limit(0), spark.createDataFrame(odd, form)):
+        for name, stage in cp.STAGES:
+            before, docs = docs, saved(stage(spark, docs, SF), f"edge-{name}")
+            if name != "mix":
+                assert docs.columns == list(cp.COLUMNS) and docs.count() <= before.count()
+                if name != "quality":  # what has no words is no copy and no passage
+                    blank = "coalesce(trim(translate(text, chr(10), ' ')), '') = ''"
+                    keys = lambda df: {(r["doc_id"], r["source"]) for r in df.filter(blank).collect()}
+                    assert keys(before) <= keys(docs)
+            else:
+                assert docs.filter("taken <= 0 or taken > 2 * size").count() == 0
+
+
+def test_run_keeps_only_its_result(spark):
+    def tables():
+        root = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+        files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        return {s.getPath().getName() for s in files.listStatus(root)} if files.exists(root) else set()
+
+    before = tables()
+    done = cp.run(spark, SF)
+    made = {x for x in tables() - before if not x.startswith("line-runs")}
+    assert done.count() > 0 and {x.rsplit("-", 1)[0] for x in made} == {f"pipeline-{name}" for name, _ in cp.STAGES}

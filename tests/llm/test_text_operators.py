@@ -301,6 +301,42 @@ def test_trees_learn_and_flatten():
     assert fit(x[:0], y[:0]).score(x[:3]).tolist() == [0.5] * 3
 
 
+def tree_by_hand(x, grad, hess, edges, depth, least=1.0, ridge=1.0, rate=0.2):
+    """One tree by trying every limit of every statistic at every node: a function of a row."""
+    g, h = grad.sum(), hess.sum()
+    if depth == 0:
+        return lambda row: -rate * g / (h + ridge) if len(grad) else 0.0
+    best = (1e-9, None, None)
+    for k, limits in enumerate(edges):
+        for limit in limits:
+            left = x[:, k] <= limit
+            gl, hl = grad[left].sum(), hess[left].sum()
+            gain = gl**2 / (hl + ridge) + (g - gl) ** 2 / (h - hl + ridge) - g**2 / (h + ridge)
+            if hl >= least and h - hl >= least and gain > best[0] + 1e-12:
+                best = (gain, k, limit)
+    _, k, limit = best
+    if k is None:
+        return tree_by_hand(x, grad, hess, edges, depth - 1, least, ridge, rate)
+    left = x[:, k] <= limit
+    low, high = (tree_by_hand(x[m], grad[m], hess[m], edges, depth - 1, least, ridge, rate) for m in (left, ~left))
+    return lambda row: low(row) if row[k] <= limit else high(row)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_fitting_against_exhaustive_search(seed):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=(300, 4)), 1)
+    x[:, 3] = 7.0  # tells nothing
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=300) * 0.5) > 0).astype(float)
+    edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, 64 + 1)[1:-1])) for k in range(4)]
+    margin = np.full(300, np.log((y.sum() + 1) / (302 - y.sum() - 1)))
+    for n_trees in range(1, 5):
+        p = 1 / (1 + np.exp(-margin))
+        tree = tree_by_hand(x, p - y, np.maximum(p * (1 - p), 1e-12), edges, 3)
+        margin = margin + np.array([tree(row) for row in x])
+        assert np.allclose(fit(x, y, n_trees=n_trees, depth=3).score(x), 1 / (1 + np.exp(-margin)), atol=1e-9)
+
+
 def test_quality_on_held_out_fold(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
