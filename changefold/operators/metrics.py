@@ -85,5 +85,10 @@ def recent_history(samples: DataFrame, by: str, at: str, n: int = 20) -> DataFra
     return samples.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.col(at).desc()))).filter(F.col("rank") <= n)
 
 
+def dashboard_totals(deliveries: DataFrame) -> DataFrame:
+    """One row: how many sources and sinks took part, and how many deliveries succeeded."""
+    return deliveries.agg(F.count_distinct("instance_id").alias("sources"), F.count_distinct("sink").alias("sinks"), F.count_if("acked").alias("processed"))
+
+
 def of_total(column: Column) -> Column:
     return F.coalesce(F.sum(column), F.lit(0)).cast("long")

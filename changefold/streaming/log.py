@@ -176,6 +176,11 @@ def write_dlq(failed: DataFrame, path: str, reason: Column) -> None:
     dead_letters(failed, reason).write.mode("append").parquet(path)
 
 
+def first_dead_letters(dlq: DataFrame, n: int = 100) -> DataFrame:
+    """The first n dead letters by seq, which is the report itself."""
+    return dlq.orderBy("seq").limit(n)
+
+
 def reprocess_dlq(dlq: DataFrame, predicates: list[Predicate] = (), transformers: list[Transformer] = (), decodable: Column | None = None, valid: Callable[[DataFrame], Column] | None = None, first: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(replayed, left, ended) of the first dead letters: those that filters and transformers
     pass and that are valid again; those that stay; those that can't be decoded and go.
