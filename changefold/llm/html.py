@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from changefold.llm.common import broadcast_if_small, saved
 
 #: A class needs so many tokens, on so many pages and on this share of the host's pages (which
-#: bounds a template by the length of 50 pages). Text recurs if it is on this share of the
-#: pages that have its element; a group of near copies may hold a third of them.
-MIN_TOKENS, MIN_PAGES, PAGE_SHARE, TEXT_SHARE = 2, 3, 0.02, 0.4
+#: bounds a template by the length of 50 pages). Text recurs if it is on so many pages and on this
+#: share of those that have its element, more than a group of near copies is likely to hold.
+MIN_TOKENS, MIN_PAGES, PAGE_SHARE, TEXT_PAGES, TEXT_SHARE = 2, 3, 0.02, 4, 0.8
 #: A slot is one of the article's if it holds this share of the largest slot's text; a slot
 #: with this share of its text in links is a menu.
 SLOT_SHARE, LINK_SHARE = 0.1, 0.7
@@ -351,7 +351,8 @@ def deduce(rows: list[dict]) -> tuple[list[int], list[int], list[int]]:
     tokens = {r["token"]: r for r in rows if sizes[(r["vector"], r["support"])] >= MIN_TOKENS}
     elements = {t: r for t, r in tokens.items() if r["kind"] != TEXT}
     support = {r["token"]: r["support"] for r in rows}
-    fixed = [r for r in tokens.values() if r["kind"] == TEXT and r["support"] >= TEXT_SHARE * support.get(r["parent"], r["support"])]
+    texts = [r for r in tokens.values() if r["kind"] == TEXT and r["support"] >= TEXT_PAGES]
+    fixed = [r for r in texts if r["support"] >= TEXT_SHARE * support.get(r["parent"], r["support"])]
     varies = {t: r["chars"] - r["links"] for t, r in elements.items()}
     for r in fixed:
         at = r["parent"]

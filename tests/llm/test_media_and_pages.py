@@ -250,6 +250,16 @@ def test_each_layout_of_a_host_has_its_template(spark):
     assert all(got[100 + i].startswith("The same story all over again") for i in range(6))
 
 
+def test_near_copies_on_small_hosts_keep_their_article():
+    page = "<div class=top>Menu {i}</div><div class=story><p>The same story, word for word.</p><p>And its end.</p></div>"
+    other = "<div class=top>Menu x</div><div class=story><p>Another story altogether.</p></div>"
+    for n, more in ((3, 0), (3, 1), (5, 2)):
+        htmls = [page.format(i=i) for i in range(n)] + [other.replace("x", str(k)) for k in range(more)]
+        sets = deduced_by_hand(htmls)
+        got = [Page(x).slots(*sets) or Page(x).text() for x in htmls]
+        assert all("The same story, word for word.\n\nAnd its end." in x for x in got[:n])
+
+
 def test_odd_markup():
     assert Page('<p><a title="x>link</a> and <b class="y">more</b></p>').text() == "link and more"
     assert Page("<article>tease</article><p>A story of many words, which is what the page is for.</p>").text().endswith("what the page is for.")
