@@ -77,7 +77,9 @@ class LineRuns:
     def add(self, lines: DataFrame) -> None:
         """Add a batch of (h1, h2, did), one row per line and document."""
         own = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("did").alias("top"))
-        self._write(self.unseen(own.repartition(self.buckets, "h1", "h2")), 0)
+        # where a cluster deals out to more partitions than there are buckets, tasks are joined,
+        # so that a run has no more files than buckets times buckets
+        self._write(self.unseen(own.repartition(self.buckets, "h1", "h2")).coalesce(self.buckets), 0)
         self._compact()
 
     def _compact(self) -> None:
@@ -86,7 +88,7 @@ class LineRuns:
                 rows = reduce(DataFrame.unionByName, [self.spark.table(n) for n in names])
                 # a hash is fresh once, so only increments add up
                 merged = rows.filter("not held").unionByName(_summed(rows.filter("held")).withColumn("held", F.lit(True)))
-                self._write(merged.repartition(self.buckets, "h1", "h2"), level + 1)
+                self._write(merged.repartition(self.buckets, "h1", "h2").coalesce(self.buckets), level + 1)
                 self.levels[level] = []
                 for name in names:
                     self.spark.sql(f"DROP TABLE {name}")
