@@ -42,37 +42,6 @@ BLOCK, TILE, PAIRS = 64, 1024, 1 << 17
 _KEY = np.uint64(0xD6E8FEB86659FD93)
 
 
-def bucket_steps(docs: DataFrame, n: int) -> np.ndarray:
-    """How frequent the n-grams of each hash bucket are: a byte per bucket, eight steps to a
-    doubling. Counts cover all documents; what reaches the driver is 2^20 bytes."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-        for batch in batches:
-            for _, run in chunks(batch.column(0).to_pylist()):
-                h, _ = Words(run).shingles(n)
-                seen += np.bincount((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(seen))
-        if seen.any():
-            pieces = seen.reshape(-1, PIECE)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pieces)), pa.int64()), pa.array([x.astype(np.uint32).tobytes() for x in pieces], pa.binary())], ["piece", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for piece, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[piece] = sums.get(piece, 0) + np.frombuffer(data, dtype=np.uint32).astype(np.int64)
-        if sums:
-            steps = [np.minimum(255, 8 * np.log2(x + 1.0)).astype(np.uint8).tobytes() for x in sums.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(steps, pa.binary())], ["piece", "steps"])
-
-    counted = docs.select("text").mapInArrow(count, "piece long, counts binary")
-    summed = counted.repartition(16, "piece").mapInArrow(add, "piece long, steps binary")
-    steps = np.zeros((1 << BUCKET_BITS) // PIECE * PIECE, dtype=np.uint8).reshape(-1, PIECE)
-    for piece, data in summed.collect():
-        steps[piece] = np.frombuffer(data, dtype=np.uint8)
-    return steps.ravel()
-
-
 class Sets:
     """Distinct n-grams of several texts, rarest first within each text."""
 
@@ -83,6 +52,7 @@ class Sets:
         else:
             order = np.lexsort((h, steps[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], text))
         h, text = h[order], text[order]
+        self.raw = h  # with repeats
         first = np.ones(len(h), dtype=bool)
         first[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
         self.h, self.text = h[first], text[first]
@@ -101,17 +71,45 @@ class Sets:
         return np.bincount(self.text * CUTS + cut, minlength=len(self.sizes) * CUTS).astype(np.uint8).reshape(-1, CUTS)
 
 
-def set_sizes(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, tid (a hash of the text), n (size of the set) and key per row."""
+def set_sizes(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
+    """(rows, steps), from one pass over all texts.
+
+    ``rows``: doc_id, tid (a hash of the text), n (size of the set) and key per row. ``steps``:
+    how frequent the n-grams of each hash bucket are, a byte per bucket, eight steps to a
+    doubling. Counts cover all documents; what reaches the driver is 2^20 bytes.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("piece", pa.int64()), ("counts", pa.binary())])
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
         for batch in batches:
             for start, run in chunks(batch.column(2).to_pylist()):
                 sets = Sets(run, n)
+                seen += np.bincount((sets.raw >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(seen))
                 ids = [c.slice(start, len(run)) for c in batch.columns[:2]]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(sets.sizes, pa.int64()), pa.array(sets.keys())], ["doc_id", "tid", "n", "key"])
+                none = [pa.nulls(len(run), f.type) for f in list(schema)[4:]]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(sets.sizes, pa.int64()), pa.array(sets.keys()), *none], schema=schema)
+        pieces = seen.reshape(-1, PIECE)
+        used = np.flatnonzero(pieces.any(axis=1))
+        none = [pa.nulls(len(used), f.type) for f in list(schema)[:4]]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(used, pa.int64()), pa.array([pieces[k].astype(np.uint32).tobytes() for k in used], pa.binary())], schema=schema)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[piece] = sums.get(piece, 0) + np.frombuffer(data, dtype=np.uint32).astype(np.int64)
+        if sums:
+            steps = [np.minimum(255, 8 * np.log2(x + 1.0)).astype(np.uint8).tobytes() for x in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(steps, pa.binary())], ["piece", "steps"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tid"), "text").mapInArrow(convert, "doc_id long, tid long, n long, key long")
+    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tid"), "text")
+    both = saved(both.mapInArrow(convert, "doc_id long, tid long, n long, key long, piece long, counts binary"), "jaccard-rows")
+    summed = both.filter("piece is not null").select("piece", "counts").repartition(16, "piece").mapInArrow(add, "piece long, steps binary")
+    steps = np.zeros((1 << BUCKET_BITS) // PIECE * PIECE, dtype=np.uint8).reshape(-1, PIECE)
+    for piece, data in summed.collect():
+        steps[piece] = np.frombuffer(data, dtype=np.uint8)
+    return both.filter("piece is null").select("doc_id", "tid", "n", "key"), steps.ravel()
 
 
 def class_table(docs: DataFrame, n: int, percent: int, steps: np.ndarray) -> DataFrame:
@@ -311,8 +309,8 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     N-grams are compared by 64-bit hashes.
     """
     docs = docs.select("doc_id", "text")
-    rows = saved(set_sizes(docs, n), "jaccard-rows")
-    unique = class_table(docs, n, percent, bucket_steps(docs, n))
+    rows, steps = set_sizes(docs, n)
+    unique = class_table(docs, n, percent, steps)
     postings = unique.select("key", "n", "parts", F.posexplode("prefix").alias("pos", "token"))
     postings = postings.select("token", "key", "n", "pos", F.coalesce(F.expr("parts[pos]"), F.lit(0)).alias("bits"))
     postings = postings.withColumn("part", F.when(F.col("bits") > 0, F.pmod("key", F.expr("shiftleft(1L, bits)"))).otherwise(F.lit(0)))
