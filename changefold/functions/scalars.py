@@ -91,7 +91,10 @@ def parse_metrics_line(line: Column) -> Column:
     pairs = F.regexp_extract_all(F.regexp_extract(line, pattern, 2), F.lit(r'([a-zA-Z_][a-zA-Z0-9_]*="[^"]*")'), F.lit(1))
     labels = F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1), F.regexp_extract(p, r'="([^"]*)"$', 1))))
     value = F.regexp_extract(line, pattern, 3).try_cast("double")
-    return F.when(~F.coalesce(line, F.lit("")).rlike(r"^\s*(#|$)") & value.isNotNull(), F.struct(F.regexp_extract(line, pattern, 1).alias("name"), labels.alias("labels"), value.alias("value")))
+    return F.when(
+        ~F.coalesce(line, F.lit("")).rlike(r"^\s*(#|$)") & value.isNotNull(),
+        F.struct(F.regexp_extract(line, pattern, 1).alias("name"), labels.alias("labels"), value.alias("value")),
+    )
 
 
 def epoch_ms(ts: Column) -> Column:

@@ -16,7 +16,13 @@ def payload_size(before: Column, after: Column) -> Column:
 
 def console_lines(df: DataFrame) -> DataFrame:
     """One line per change: instance, op, schema, table, lsn, offset and payload size."""
-    return df.select("seq", F.format_string("[%s] %s %s.%s lsn=%d offset=%s size=%d", "instance_id", "op", "schema", "tbl", "lsn", "offset", payload_size(F.col("before"), F.col("after")).cast("long")).alias("line"))
+    return df.select(
+        "seq",
+        F.format_string(
+            "[%s] %s %s.%s lsn=%d offset=%s size=%d", "instance_id", "op", "schema", "tbl", "lsn", "offset",
+            payload_size(F.col("before"), F.col("after")).cast("long"),
+        ).alias("line"),
+    )
 
 
 def append_rows(df: DataFrame, columns: dict[str, str]) -> DataFrame:

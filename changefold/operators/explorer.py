@@ -32,7 +32,10 @@ def consumer_info(log: DataFrame, deliveries: DataFrame, *sinks: str) -> DataFra
 def stream_stats(log: DataFrame, deliveries: DataFrame) -> DataFrame:
     """messages, bytes, first_seq, last_seq of the log and its number of consumers."""
     consumers = deliveries.agg(F.count_distinct("sink").alias("consumers"))
-    totals = log.agg(F.count("*").alias("messages"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    totals = log.agg(
+        F.count("*").alias("messages"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"), F.min("seq").alias("first_seq"),
+        F.max("seq").alias("last_seq"),
+    )
     return totals.join(F.broadcast(consumers))  # one row each
 
 
@@ -68,7 +71,10 @@ def page_info(df: DataFrame, limit: int, page: int) -> DataFrame:
     return n.select("total", pages.alias("total_pages"), (F.lit(page) < pages).alias("has_next"), F.lit(page > 1).alias("has_prev"))
 
 
-def list_messages(log: DataFrame, floor: DataFrame | None = None, status: str = "all", topic: str | None = None, subject: str | None = None, sort: list[tuple[str, str]] | None = None, limit: int = 20, page: int = 1, most: int = 100, scan: int | None = None) -> DataFrame:
+def list_messages(
+    log: DataFrame, floor: DataFrame | None = None, status: str = "all", topic: str | None = None, subject: str | None = None,
+    sort: list[tuple[str, str]] | None = None, limit: int = 20, page: int = 1, most: int = 100, scan: int | None = None,
+) -> DataFrame:
     """A page of messages by status, topic and subject pattern. ``most`` caps the page size,
     as the listing's own feature; ``scan`` optionally bounds how many matches are looked at."""
     rows = log if topic is None else log.filter(F.col("topic") == topic)

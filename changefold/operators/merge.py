@@ -107,8 +107,12 @@ def kv_entries(commands: DataFrame) -> DataFrame:
     """
     kind = F.when(F.col("command") == "SET", "string").when(F.col("command") == "HSET", "hash").when(F.col("command").isin("SADD", "SREM"), "set")
     keys = commands.groupBy("key").agg(F.max(F.when(F.col("command") == "DEL", F.col("seq"))).alias("_cut"), F.max_by("command", "seq").alias("_last"))
-    keys = keys.filter("_last <> 'DEL'").select(F.col("key").alias("_k"), "_cut", F.when(F.col("_last") == "SET", "string").when(F.col("_last") == "HSET", "hash").otherwise("set").alias("_kind"))
-    pairs = F.when(kind == "hash", F.col("args")).otherwise(F.create_map(F.when(kind == "set", F.col("args")["member"]).otherwise(F.lit("")), F.when(kind == "string", F.col("args")["value"])))
+    keys = keys.filter("_last <> 'DEL'").select(
+        F.col("key").alias("_k"), "_cut", F.when(F.col("_last") == "SET", "string").when(F.col("_last") == "HSET", "hash").otherwise("set").alias("_kind"),
+    )
+    pairs = F.when(kind == "hash", F.col("args")).otherwise(F.create_map(
+        F.when(kind == "set", F.col("args")["member"]).otherwise(F.lit("")), F.when(kind == "string", F.col("args")["value"]),
+    ))
     each = commands.filter("command <> 'DEL'").select("key", "seq", "command", kind.alias("kind"), F.explode(pairs).alias("field", "value"))
     last = each.groupBy("key", "kind", "field").agg(F.max_by(F.struct("command", "value"), "seq").alias("e"), F.max("seq").alias("at"))
     met = last.join(keys, (F.col("key") == F.col("_k")) & (F.col("kind") == F.col("_kind"))).filter("(_cut is null or at > _cut) and e.command <> 'SREM'")

@@ -69,7 +69,11 @@ def src1(spark, d):
     return reading.read_changes(spark, path, after=F.col("lsn") > 100).select("seq", "op", "tbl", "lsn")
 
 
-@query("src8_snapshot_to_events", "SELECT 'inst0' AS instance_id, 'public' AS \"schema\", 'orders' AS tbl, 'r' AS op, 0 AS lsn, CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status, o_orderkey AS ordinal FROM orders")
+@query(
+    "src8_snapshot_to_events",
+    "SELECT 'inst0' AS instance_id, 'public' AS \"schema\", 'orders' AS tbl, 'r' AS op, 0 AS lsn, CAST(o_orderkey AS VARCHAR) "
+    "AS id, o_orderstatus AS status, o_orderkey AS ordinal FROM orders",
+)
 def src8(spark, d):
     events = snapshot.snapshot_to_events(table(spark, d, "orders"), "public.orders", "inst0", "o_orderkey")
     return events.select("instance_id", "schema", "tbl", "op", "lsn", F.col("after")["o_orderkey"].alias("id"), F.col("after")["o_orderstatus"].alias("status"), "ordinal")
@@ -81,14 +85,21 @@ def _instances(spark, d):
 
 
 def _offsets(spark, d):
-    return table(spark, d, "customer").filter("c_nationkey < 12").select(F.concat(F.lit("inst"), F.col("c_custkey").cast("string")).alias("instance_id"), F.when(F.col("c_nationkey") < 3, "").otherwise(F.col("c_custkey").cast("string")).alias("offset"))
+    return table(spark, d, "customer").filter("c_nationkey < 12").select(
+        F.concat(F.lit("inst"), F.col("c_custkey").cast("string")).alias("instance_id"),
+        F.when(F.col("c_nationkey") < 3, "").otherwise(F.col("c_custkey").cast("string")).alias("offset"),
+    )
 
 
 OFFSETS = """inst AS (SELECT 'inst' || c_custkey AS instance_id, (['always', 'INITIAL', '', 'never', 'Initial'])[c_custkey % 5 + 1] AS mode FROM customer),
 off AS (SELECT 'inst' || c_custkey AS instance_id, CASE WHEN c_nationkey < 3 THEN '' ELSE CAST(c_custkey AS VARCHAR) END AS o FROM customer WHERE c_nationkey < 12)"""
 
 
-@query("src9_should_snapshot", f"WITH {OFFSETS} SELECT i.instance_id, mode, CASE WHEN lower(mode) = 'always' THEN true WHEN lower(mode) IN ('initial', '') THEN coalesce(o, '') = '' ELSE false END AS snapshot FROM inst i LEFT JOIN off ON off.instance_id = i.instance_id")
+@query(
+    "src9_should_snapshot",
+    f"WITH {OFFSETS} SELECT i.instance_id, mode, CASE WHEN lower(mode) = 'always' THEN true WHEN lower(mode) IN ('initial', '') "
+    f"THEN coalesce(o, '') = '' ELSE false END AS snapshot FROM inst i LEFT JOIN off ON off.instance_id = i.instance_id",
+)
 def src9(spark, d):
     return snapshot.should_snapshot(_instances(spark, d), _offsets(spark, d))
 
@@ -96,7 +107,10 @@ def src9(spark, d):
 TABLES = tuple("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
 
 
-@query("src10_plan_chunks", "WITH t AS (" + " UNION ALL ".join(f"SELECT '{t}' AS tbl, count(*) AS n FROM {t}" for t in TABLES) + "), c AS (SELECT tbl, n, greatest(CAST(ceil(n / 8000.0) AS BIGINT), 1) AS k FROM t), x AS (SELECT tbl, n, k, unnest(range(k)) AS chunk_index FROM c) SELECT tbl, chunk_index, chunk_index * 8000 AS chunk_start, least(8000, n - chunk_index * 8000) AS chunk_size, chunk_index = k - 1 AS is_last_chunk FROM x")
+@query(
+    "src10_plan_chunks",
+    "WITH t AS (" + " UNION ALL ".join(f"SELECT '{t}' AS tbl, count(*) AS n FROM {t}" for t in TABLES) + "), c AS (SELECT tbl, n, greatest(CAST(ceil(n / 8000.0) AS BIGINT), 1) AS k FROM t), x AS (SELECT tbl, n, k, unnest(range(k)) AS chunk_index FROM c) SELECT tbl, chunk_index, chunk_index * 8000 AS chunk_start, least(8000, n - chunk_index * 8000) AS chunk_size, chunk_index = k - 1 AS is_last_chunk FROM x",
+)
 def src10(spark, d):
     counts = reading.fan_in(*[table(spark, d, t).agg(F.lit(t).alias("tbl"), F.count("*").alias("n_rows")) for t in TABLES])
     return snapshot.plan_chunks(counts)
@@ -131,7 +145,11 @@ def src11_ctid(spark, d):
     return _chunk_sums(snapshot.read_chunks(_with_ctid(spark, d), "ctid", 7, "auto"))
 
 
-@query("src11_offset_chunks", f"SELECT chunk_index, {SUMS} FROM (SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1) // 700 AS chunk_index FROM orders) GROUP BY 1")
+@query(
+    "src11_offset_chunks",
+    f"SELECT chunk_index, {SUMS} FROM (SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1) // 700 AS chunk_index FROM orders) "
+    f"GROUP BY 1",
+)
 def src11_offset(spark, d):
     return _chunk_sums(snapshot.read_chunks(table(spark, d, "orders"), "o_orderkey", 700, "offset"))
 
@@ -139,23 +157,40 @@ def src11_offset(spark, d):
 def _chunks(spark, d):
     o = table(spark, d, "orders")
     status = F.element_at(F.array(F.lit("pending"), F.lit("in_progress"), F.lit("completed")), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    return o.select(F.concat(F.lit("slot"), (F.col("o_custkey") % 10).cast("string")).alias("slot_name"), F.lit("orders").alias("tbl"), F.col("o_orderkey").alias("chunk_index"), status.alias("status"), (F.lit(NOW).cast("timestamp") - F.make_dt_interval(secs=(F.col("o_orderkey") % 60))).alias("heartbeat_at"), F.when(status == "completed", F.col("o_custkey")).alias("rows_processed"))
+    return o.select(
+        F.concat(F.lit("slot"), (F.col("o_custkey") % 10).cast("string")).alias("slot_name"), F.lit("orders").alias("tbl"),
+        F.col("o_orderkey").alias("chunk_index"), status.alias("status"),
+        (F.lit(NOW).cast("timestamp") - F.make_dt_interval(secs=(F.col("o_orderkey") % 60))).alias("heartbeat_at"),
+        F.when(status == "completed", F.col("o_custkey")).alias("rows_processed"),
+    )
 
 
 CHUNKS = "ck AS (SELECT 'slot' || (o_custkey % 10) AS slot_name, 'orders' AS tbl, o_orderkey AS chunk_index, (['pending', 'in_progress', 'completed'])[o_orderkey % 3 + 1] AS status, o_orderkey % 60 AS age, CASE WHEN o_orderkey % 3 = 2 THEN o_custkey END AS rows_processed FROM orders)"
 
 
-@query("src12_claimable_chunks", f"WITH {CHUNKS} SELECT slot_name, chunk_index, status FROM ck WHERE status = 'pending' OR (status = 'in_progress' AND age > 30)")
+@query(
+    "src12_claimable_chunks",
+    f"WITH {CHUNKS} SELECT slot_name, chunk_index, status FROM ck WHERE status = 'pending' OR (status = 'in_progress' AND age > "
+    f"30)",
+)
 def src12(spark, d):
     return snapshot.claimable_chunks(_chunks(spark, d), NOW).select("slot_name", "chunk_index", "status")
 
 
-@query("src13_snapshot_progress", f"WITH {CHUNKS} SELECT slot_name, count(*) AS total_chunks, count(*) FILTER (status = 'completed') AS completed_chunks, CAST(coalesce(sum(rows_processed), 0) AS BIGINT) AS rows_processed, count(*) FILTER (status = 'completed') = count(*) AS completed FROM ck GROUP BY 1")
+@query(
+    "src13_snapshot_progress",
+    f"WITH {CHUNKS} SELECT slot_name, count(*) AS total_chunks, count(*) FILTER (status = 'completed') AS completed_chunks, CAST(coalesce(sum(rows_processed), "
+    f"0) AS BIGINT) AS rows_processed, count(*) FILTER (status = 'completed') = count(*) AS completed FROM ck GROUP BY 1",
+)
 def src13(spark, d):
     return snapshot.snapshot_progress(_chunks(spark, d))
 
 
-@query("src14_hand_off", "WITH {CHG}, s AS (SELECT 0 AS phase, 0 AS lsn, 'r' AS op, CAST(c_custkey AS VARCHAR) AS id FROM customer) SELECT * FROM s UNION ALL SELECT 1, lsn, op, CAST(pk AS VARCHAR) FROM log WHERE lsn > 200")
+@query(
+    "src14_hand_off",
+    "WITH {CHG}, s AS (SELECT 0 AS phase, 0 AS lsn, 'r' AS op, CAST(c_custkey AS VARCHAR) AS id FROM customer) SELECT * FROM s "
+    "UNION ALL SELECT 1, lsn, op, CAST(pk AS VARCHAR) FROM log WHERE lsn > 200",
+)
 def src14(spark, d):
     first = snapshot.snapshot_to_events(table(spark, d, "customer"), "accounts", "inst0", "c_custkey").withColumn("id", F.col("after")["c_custkey"])
     later = change_log(spark, d).select("lsn", "op", F.coalesce("before", "after")["id"].alias("id"))
@@ -167,7 +202,11 @@ def src15(spark, d):
     return reading.read_offsets(_instances(spark, d), _offsets(spark, d))
 
 
-@query("jn2_offset_lookup", f"WITH {OFFSETS} SELECT count(*) AS n, count(*) FILTER (coalesce(o, '') = '') AS without FROM inst i LEFT JOIN off ON off.instance_id = i.instance_id")
+@query(
+    "jn2_offset_lookup",
+    f"WITH {OFFSETS} SELECT count(*) AS n, count(*) FILTER (coalesce(o, '') = '') AS without FROM inst i LEFT JOIN off ON off.instance_id "
+    f"= i.instance_id",
+)
 def jn2(spark, d):
     got = reading.read_offsets(_instances(spark, d), _offsets(spark, d))
     return got.agg(F.count("*").alias("n"), F.count_if(F.col("offset") == "").alias("without"))
@@ -209,7 +248,11 @@ def apply_accounts(spark, d):
 query("io3_apply_changes", "WITH {CHG}, " + FOLD + " SELECT id, value, k FROM res")(apply_accounts)
 
 
-@query("io3_latest_rows", "WITH {CHG}, r AS (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY lsn DESC) AS r FROM log) SELECT pk, op, lsn, value, k FROM r WHERE r = 1 AND op <> 'd'")
+@query(
+    "io3_latest_rows",
+    "WITH {CHG}, r AS (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY lsn DESC) AS r FROM log) SELECT pk, op, lsn, value, "
+    "k FROM r WHERE r = 1 AND op <> 'd'",
+)
 def latest(spark, d):
     rows = change_log(spark, d).select("pk", "op", "lsn", "seq", "value", "k")
     return merge.latest_rows(rows, ["pk"], ["lsn", "seq"]).select("pk", "op", "lsn", "value", "k")
@@ -231,12 +274,20 @@ def io7(spark, d):
     return actions.append_rows(_routed(spark, d), {"id": "bigint", "value": "double", "k": "bigint"})
 
 
-@query("io8_bulk_actions", "WITH {CHG} SELECT seq, CASE WHEN op = 'd' THEN 'delete' ELSE 'index' END AS action, 'cdc_' || instance_id || '_' || tbl AS target, CAST(pk AS VARCHAR) AS doc_id, CASE WHEN op <> 'd' THEN k END AS k FROM log")
+@query(
+    "io8_bulk_actions",
+    "WITH {CHG} SELECT seq, CASE WHEN op = 'd' THEN 'delete' ELSE 'index' END AS action, 'cdc_' || instance_id || '_' || tbl AS "
+    "target, CAST(pk AS VARCHAR) AS doc_id, CASE WHEN op <> 'd' THEN k END AS k FROM log",
+)
 def io8(spark, d):
     return actions.bulk_actions(_routed(spark, d, prefix="cdc_")).select("seq", "action", "target", "doc_id", F.col("doc")["k"].cast("long").alias("k"))
 
 
-@query("io10_kv_commands", "WITH {CHG} SELECT seq, CASE WHEN op = 'd' THEN 'DEL' ELSE 'HSET' END AS command, 'cdc:' || instance_id || ':' || tbl || ':' || pk AS key, CASE WHEN op <> 'd' THEN k END AS k, CASE WHEN op <> 'd' THEN 60 END AS ttl FROM log")
+@query(
+    "io10_kv_commands",
+    "WITH {CHG} SELECT seq, CASE WHEN op = 'd' THEN 'DEL' ELSE 'HSET' END AS command, 'cdc:' || instance_id || ':' || tbl || ':' "
+    "|| pk AS key, CASE WHEN op <> 'd' THEN k END AS k, CASE WHEN op <> 'd' THEN 60 END AS ttl FROM log",
+)
 def io10(spark, d):
     rows = routing.build_key(filters.select_image(change_log(spark, d)))
     return actions.kv_commands(rows, "hset", 60).select("seq", "command", "key", F.try_element_at("args", F.lit("k")).cast("long").alias("k"), "ttl")
@@ -265,7 +316,11 @@ def io12(spark, d):
     return actions.webhook_batches(change_log(spark, d)).select("batch", "n", F.md5("body").alias("body"))
 
 
-@query("io13_publish_log", "WITH {CHG} SELECT seq, subject, instance_id || '-' || \"offset\" AS msg_id, 6 AS n_headers, CAST(lsn AS VARCHAR) AS lsn_header FROM log")
+@query(
+    "io13_publish_log",
+    "WITH {CHG} SELECT seq, subject, instance_id || '-' || \"offset\" AS msg_id, 6 AS n_headers, CAST(lsn AS VARCHAR) AS lsn_header "
+    "FROM log",
+)
 def io13(spark, d):
     path = scratch_dir(spark, "log")
     logs.publish_log(logs.to_messages(change_log(spark, d).drop("topic", "subject")), path)
@@ -273,9 +328,16 @@ def io13(spark, d):
     return m.select("seq", "subject", "msg_id", F.size("headers").alias("n_headers"), F.col("headers")["lsn"].alias("lsn_header"))
 
 
-@query("io14_infer_sink_schema", "WITH {CHG} SELECT tbl AS target, unnest(['id', 'k', 'value', 'flag', 'note', 'tags']) AS \"column\", unnest(['DOUBLE PRECISION', 'DOUBLE PRECISION', 'DOUBLE PRECISION', 'BOOLEAN', 'TEXT', 'JSONB']) AS type FROM (SELECT DISTINCT tbl FROM log)")
+@query(
+    "io14_infer_sink_schema",
+    "WITH {CHG} SELECT tbl AS target, unnest(['id', 'k', 'value', 'flag', 'note', 'tags']) AS \"column\", unnest(['DOUBLE PRECISION', "
+    "'DOUBLE PRECISION', 'DOUBLE PRECISION', 'BOOLEAN', 'TEXT', 'JSONB']) AS type FROM (SELECT DISTINCT tbl FROM log)",
+)
 def io14(spark, d):
-    rows = change_log(spark, d).select(F.col("tbl").alias("target"), F.to_json(F.struct(F.col("pk").alias("id"), "k", "value", (F.col("k") > 50).alias("flag"), F.col("event_type").alias("note"), F.array("k").alias("tags"))).alias("data"))
+    rows = change_log(spark, d).select(
+        F.col("tbl").alias("target"),
+        F.to_json(F.struct(F.col("pk").alias("id"), "k", "value", (F.col("k") > 50).alias("flag"), F.col("event_type").alias("note"), F.array("k").alias("tags"))).alias("data"),
+    )
     return actions.infer_sink_schema(rows)
 
 
@@ -308,7 +370,11 @@ def pf5(spark, d):
     return change_log(spark, d).filter(filters.subject_match(F.col("subject"), ["cdc.*.public.purchases", "cdc.inst1.>"])).select("seq")
 
 
-@query("pf5_subject_filter", "WITH {CHG} SELECT seq, 'cdc.' || instance_id || '.public.' || tbl || '_v1' AS subject FROM log WHERE instance_id = 'inst1' AND tbl = 'purchases'")
+@query(
+    "pf5_subject_filter",
+    "WITH {CHG} SELECT seq, 'cdc.' || instance_id || '.public.' || tbl || '_v1' AS subject FROM log WHERE instance_id = 'inst1' "
+    "AND tbl = 'purchases'",
+)
 def pf5_filter(spark, d):
     log = change_log(spark, d).withColumn("tbl", F.concat("tbl", F.lit(".v1")))
     log = log.withColumn("subject", routing.build_subject(F.col("topic"), F.col("instance_id"), F.col("schema"), F.col("tbl")))
@@ -335,7 +401,10 @@ def pf7(spark, d):
 
 @query("pf8_compute_fields", "WITH {CHG} SELECT seq, k * 2 AS twice, pk + 1 AS id, k + pk AS both FROM log")
 def pf8(spark, d):
-    rows = filters.compute_fields(filters.select_image(change_log(spark, d)), {"twice": "cast(data.k as bigint) * 2", "id": "cast(data['id'] as bigint) + 1", "both": "cast(data.k as bigint) + cast(data.id as bigint)"})
+    rows = filters.compute_fields(
+        filters.select_image(change_log(spark, d)),
+        {"twice": "cast(data.k as bigint) * 2", "id": "cast(data['id'] as bigint) + 1", "both": "cast(data.k as bigint) + cast(data.id as bigint)"},
+    )
     return rows.select("seq", *[F.col("image")[c].cast("long").alias(c) for c in ("twice", "id", "both")])
 
 
@@ -350,16 +419,30 @@ def pf9(spark, d):
     return filters.headers_to_event(change_log(spark, d))
 
 
-@query("pf10_build_envelope", "WITH {CHG} SELECT seq, op, epoch_us(ts) // 1000 AS ts_ms, 'postgres' AS connector, 'false' AS snapshot, tbl AS \"table\", lsn, op = 'd' AS has_before FROM log")
+@query(
+    "pf10_build_envelope",
+    "WITH {CHG} SELECT seq, op, epoch_us(ts) // 1000 AS ts_ms, 'postgres' AS connector, 'false' AS snapshot, tbl AS \"table\", "
+    "lsn, op = 'd' AS has_before FROM log",
+)
 def pf10(spark, d):
     e = filters.build_envelope(change_log(spark, d), "postgres")
-    return e.select("seq", "payload.op", "payload.ts_ms", "payload.source.connector", "payload.source.snapshot", "payload.source.table", "payload.source.lsn", F.col("payload.before").isNotNull().alias("has_before"))
+    return e.select(
+        "seq", "payload.op", "payload.ts_ms", "payload.source.connector", "payload.source.snapshot", "payload.source.table", "payload.source.lsn",
+        F.col("payload.before").isNotNull().alias("has_before"),
+    )
 
 
-@query("pf11_build_subject", "SELECT p_partkey, 'cdc.inst' || p_partkey || '.' || replace(p_brand, '.', '_') || '.' || replace(p_name || '.v1', '.', '_') AS subject FROM part")
+@query(
+    "pf11_build_subject",
+    "SELECT p_partkey, 'cdc.inst' || p_partkey || '.' || replace(p_brand, '.', '_') || '.' || replace(p_name || '.v1', '.', '_') "
+    "AS subject FROM part",
+)
 def pf11(spark, d):
     p = table(spark, d, "part")
-    return p.select("p_partkey", routing.build_subject(F.lit(""), F.concat(F.lit("inst"), F.col("p_partkey").cast("string")), F.col("p_brand"), F.concat("p_name", F.lit(".v1"))).alias("subject"))
+    return p.select(
+        "p_partkey",
+        routing.build_subject(F.lit(""), F.concat(F.lit("inst"), F.col("p_partkey").cast("string")), F.col("p_brand"), F.concat("p_name", F.lit(".v1"))).alias("subject"),
+    )
 
 
 ROUTE = {"inst0.accounts": "zero", "purchases": "buys"}
@@ -396,9 +479,19 @@ def ud4(spark, d):
     return rows.groupBy("key").agg(F.count("*").alias("n"))
 
 
-@query("pf15_extract_id", "SELECT p_partkey, coalesce(CASE WHEN p_size % 3 = 0 THEN CAST(p_partkey AS VARCHAR) END, CASE WHEN p_size % 2 = 0 THEN p_brand END, p_type) AS id FROM part")
+@query(
+    "pf15_extract_id",
+    "SELECT p_partkey, coalesce(CASE WHEN p_size % 3 = 0 THEN CAST(p_partkey AS VARCHAR) END, CASE WHEN p_size % 2 = 0 THEN p_brand "
+    "END, p_type) AS id FROM part",
+)
 def pf15(spark, d):
-    image = F.map_filter(F.create_map(F.lit("guid"), "p_type", F.lit("ID"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")), F.lit("id"), F.when(F.col("p_size") % 3 == 0, F.col("p_partkey").cast("string"))), lambda k, v: v.isNotNull())
+    image = F.map_filter(
+        F.create_map(
+            F.lit("guid"), "p_type", F.lit("ID"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")), F.lit("id"),
+            F.when(F.col("p_size") % 3 == 0, F.col("p_partkey").cast("string")),
+        ),
+        lambda k, v: v.isNotNull(),
+    )
     return table(spark, d, "part").select("p_partkey", routing.extract_id(image).alias("id"))
 
 
@@ -427,7 +520,11 @@ def pf16(spark, d):
 # --- joins -----------------------------------------------------------------------------
 
 
-@query("jn3_upsert", "WITH n AS (SELECT s_suppkey AS id, s_acctbal AS v FROM supplier) SELECT c_custkey AS id, c_acctbal AS v FROM customer WHERE c_custkey NOT IN (SELECT id FROM n) UNION ALL SELECT id, v FROM n")
+@query(
+    "jn3_upsert",
+    "WITH n AS (SELECT s_suppkey AS id, s_acctbal AS v FROM supplier) SELECT c_custkey AS id, c_acctbal AS v FROM customer WHERE "
+    "c_custkey NOT IN (SELECT id FROM n) UNION ALL SELECT id, v FROM n",
+)
 def jn3(spark, d):
     base = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"))
     return merge.upsert(base, table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("v")), "id")
@@ -439,7 +536,11 @@ def jn4(spark, d):
     return merge.delete_keys(base, table(spark, d, "orders").filter("o_orderkey % 20 = 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-@query("jn6_missing_tables", "WITH {CHG} SELECT DISTINCT 'cdc_' || instance_id || '_' || tbl AS target FROM log WHERE NOT (instance_id = 'inst0' AND tbl = 'accounts')")
+@query(
+    "jn6_missing_tables",
+    "WITH {CHG} SELECT DISTINCT 'cdc_' || instance_id || '_' || tbl AS target FROM log WHERE NOT (instance_id = 'inst0' AND tbl "
+    "= 'accounts')",
+)
 def jn6(spark, d):
     have = table(spark, d, "region").filter("r_regionkey = 0").select(F.lit("cdc_inst0_accounts").alias("name"))
     return merge.missing_tables(_routed(spark, d, prefix="cdc_"), have)
@@ -451,7 +552,10 @@ def jn6(spark, d):
 @query("ag1_component_stats", """WITH {DEL}, e AS (SELECT sink, error_class, row_number() OVER (PARTITION BY sink ORDER BY seq DESC) AS r FROM del WHERE NOT acked)
   SELECT sink AS component, CAST(sum(1 + seq % 3) AS BIGINT) AS events, count(*) AS batches, count(*) FILTER (acked) AS success_count, count(*) FILTER (NOT acked) AS failure_count, (SELECT error_class FROM e WHERE e.sink = del.sink AND r = 1) AS last_error FROM del GROUP BY sink""")
 def ag1(spark, d):
-    rows = deliveries(spark, d).select(F.col("sink").alias("component"), F.col("seq").alias("pos"), (1 + F.col("seq") % 3).alias("events"), F.col("acked").alias("ok"), F.col("error_class").alias("error"))
+    rows = deliveries(spark, d).select(
+        F.col("sink").alias("component"), F.col("seq").alias("pos"), (1 + F.col("seq") % 3).alias("events"), F.col("acked").alias("ok"),
+        F.col("error_class").alias("error"),
+    )
     return metrics.component_stats(rows)
 
 
@@ -466,12 +570,21 @@ def ag3(spark, d):
     return metrics.flushed_position(acked.filter("lsn % 2 = 0"), metrics.flushed_position(acked.filter("lsn % 2 = 1")))
 
 
-@query("ag4_consumer_info", f"WITH {CHG}, {ACKS}, j AS (SELECT s.sink, log.seq, d.seq AS dseq, d.acked FROM log CROSS JOIN (VALUES ('search'), ('store')) s(sink) LEFT JOIN del d ON d.seq = log.seq AND d.sink = s.sink) SELECT sink, coalesce(min(seq) FILTER (NOT coalesce(acked, false)) - 1, max(seq), 0) AS ack_floor, count(*) FILTER (dseq IS NULL) AS pending FROM j GROUP BY sink")
+@query(
+    "ag4_consumer_info",
+    f"WITH {CHG}, {ACKS}, j AS (SELECT s.sink, log.seq, d.seq AS dseq, d.acked FROM log CROSS JOIN (VALUES ('search'), ('store')) "
+    f"s(sink) LEFT JOIN del d ON d.seq = log.seq AND d.sink = s.sink) SELECT sink, coalesce(min(seq) FILTER (NOT coalesce(acked, "
+    f"false)) - 1, max(seq), 0) AS ack_floor, count(*) FILTER (dseq IS NULL) AS pending FROM j GROUP BY sink",
+)
 def ag4(spark, d):
     return explorer.consumer_info(change_log(spark, d), _acks(spark, d), "search", "store")
 
 
-@query("ag5_stream_stats", "WITH {DEL} SELECT count(*) AS messages, CAST(sum(length(subject)) AS BIGINT) AS bytes, min(seq) AS first_seq, max(seq) AS last_seq, (SELECT count(DISTINCT sink) FROM del) AS consumers FROM log")
+@query(
+    "ag5_stream_stats",
+    "WITH {DEL} SELECT count(*) AS messages, CAST(sum(length(subject)) AS BIGINT) AS bytes, min(seq) AS first_seq, max(seq) AS "
+    "last_seq, (SELECT count(DISTINCT sink) FROM del) AS consumers FROM log",
+)
 def ag5(spark, d):
     return explorer.stream_stats(change_log(spark, d).withColumn("bytes", F.octet_length("subject")), deliveries(spark, d))
 
@@ -486,7 +599,11 @@ def ag7(spark, d):
     return explorer.list_partitions(change_log(spark, d), "cdc")
 
 
-@query("ag8_event_counters", "WITH {DEL} SELECT instance_id, CASE WHEN acked THEN 'success' ELSE 'failure' END AS status, count(*) AS total FROM del GROUP BY 1, 2")
+@query(
+    "ag8_event_counters",
+    "WITH {DEL} SELECT instance_id, CASE WHEN acked THEN 'success' ELSE 'failure' END AS status, count(*) AS total FROM del GROUP "
+    "BY 1, 2",
+)
 def ag8(spark, d):
     return metrics.counters(deliveries(spark, d).withColumn("status", F.when(F.col("acked"), "success").otherwise("failure")), "instance_id", "status")
 
@@ -500,22 +617,34 @@ def _bounds_sql(bounds: tuple) -> str:
     return ", ".join(f"('{b:g}', {b:g})" for b in bounds) + ", ('+Inf', CAST('inf' AS DOUBLE))"
 
 
-@query("ag10_batch_size_histogram", "WITH o AS (SELECT o_custkey % 7 AS grp, o_custkey AS v FROM orders) SELECT grp, le, count(*) FILTER (v <= b) AS n, count(*) AS total, CAST(sum(v) AS DOUBLE) AS sum FROM o, (VALUES " + _bounds_sql(metrics.BATCH_BOUNDS) + ") AS x(le, b) GROUP BY grp, le")
+@query(
+    "ag10_batch_size_histogram",
+    "WITH o AS (SELECT o_custkey % 7 AS grp, o_custkey AS v FROM orders) SELECT grp, le, count(*) FILTER (v <= b) AS n, count(*) AS total, CAST(sum(v) AS DOUBLE) AS sum FROM o, (VALUES " + _bounds_sql(metrics.BATCH_BOUNDS) + ") AS x(le, b) GROUP BY grp, le",
+)
 def ag10(spark, d):
     return metrics.histogram(table(spark, d, "orders").select((F.col("o_custkey") % 7).alias("grp"), F.col("o_custkey").alias("v")), "v", metrics.BATCH_BOUNDS, "grp")
 
 
-@query("ag11_latency_histogram", "WITH o AS (SELECT l_linestatus AS sink, l_quantity / 8 AS v FROM lineitem) SELECT sink, le, count(*) FILTER (v <= b) AS n, count(*) AS total, sum(v) AS sum FROM o, (VALUES " + _bounds_sql(metrics.SECOND_BOUNDS) + ") AS x(le, b) GROUP BY sink, le")
+@query(
+    "ag11_latency_histogram",
+    "WITH o AS (SELECT l_linestatus AS sink, l_quantity / 8 AS v FROM lineitem) SELECT sink, le, count(*) FILTER (v <= b) AS n, count(*) AS total, sum(v) AS sum FROM o, (VALUES " + _bounds_sql(metrics.SECOND_BOUNDS) + ") AS x(le, b) GROUP BY sink, le",
+)
 def ag11(spark, d):
     return metrics.histogram(table(spark, d, "lineitem").select(F.col("l_linestatus").alias("sink"), (F.col("l_quantity") / 8).alias("v")), "v", metrics.SECOND_BOUNDS, "sink")
 
 
 @query("ag12_backlog_ratio", "SELECT o_orderkey AS name, o_custkey / (o_orderkey % 50) AS ratio FROM orders WHERE o_orderkey % 50 > 0")
 def ag12(spark, d):
-    return metrics.backlog_ratio(table(spark, d, "orders").select(F.col("o_orderkey").alias("name"), F.col("o_custkey").alias("pending"), (F.col("o_orderkey") % 50).alias("capacity")))
+    return metrics.backlog_ratio(table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("name"), F.col("o_custkey").alias("pending"), (F.col("o_orderkey") % 50).alias("capacity"),
+    ))
 
 
-@query("ag14_dashboard_totals", "WITH {DEL} SELECT count(DISTINCT instance_id) AS sources, count(DISTINCT sink) AS sinks, count(*) FILTER (acked) AS processed FROM del")
+@query(
+    "ag14_dashboard_totals",
+    "WITH {DEL} SELECT count(DISTINCT instance_id) AS sources, count(DISTINCT sink) AS sinks, count(*) FILTER (acked) AS processed "
+    "FROM del",
+)
 def ag14(spark, d):
     return metrics.dashboard_totals(deliveries(spark, d))
 
@@ -530,7 +659,9 @@ def ag15(spark, d):
 @query("ag16_sink_latency_ms", "SELECT l_linestatus AS sink, round(sum(l_quantity) * 1000, 2) AS latency_ms FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1")
 def ag16(spark, d):
     name = F.when(F.col("l_returnflag") == "A", "cdc_sink_write_duration_seconds_sum").otherwise("other")
-    return metrics.sink_latency_ms(table(spark, d, "lineitem").select(name.alias("name"), F.create_map(F.lit("sink"), "l_linestatus").alias("labels"), F.col("l_quantity").alias("value")))
+    return metrics.sink_latency_ms(table(spark, d, "lineitem").select(
+        name.alias("name"), F.create_map(F.lit("sink"), "l_linestatus").alias("labels"), F.col("l_quantity").alias("value"),
+    ))
 
 
 # --- windows, sorts, pages -------------------------------------------------------------
@@ -541,7 +672,11 @@ def wn1(spark, d):
     return metrics.throughput_delta(change_log(spark, d).select("instance_id", "seq", "k"), "instance_id", "seq", "k", span=1000)
 
 
-@query("wn2_recent_history", "WITH {CHG} SELECT instance_id, seq, r AS rank FROM (SELECT instance_id, seq, CAST(row_number() OVER (PARTITION BY instance_id ORDER BY seq DESC) AS INTEGER) AS r FROM log) WHERE r <= 20")
+@query(
+    "wn2_recent_history",
+    "WITH {CHG} SELECT instance_id, seq, r AS rank FROM (SELECT instance_id, seq, CAST(row_number() OVER (PARTITION BY instance_id "
+    "ORDER BY seq DESC) AS INTEGER) AS r FROM log) WHERE r <= 20",
+)
 def wn2(spark, d):
     return metrics.recent_history(change_log(spark, d).select("instance_id", "seq"), "instance_id", "seq")
 
@@ -556,12 +691,20 @@ def sl2(spark, d):
     return explorer.paginate(change_log(spark, d).select("seq", "k").orderBy("seq"), 50, 3)
 
 
-@query("sl3_page_info", "WITH {CHG} SELECT count(*) AS total, CAST(ceil(count(*) / 30.0) AS BIGINT) AS total_pages, 2 < ceil(count(*) / 30.0) AS has_next, true AS has_prev FROM log")
+@query(
+    "sl3_page_info",
+    "WITH {CHG} SELECT count(*) AS total, CAST(ceil(count(*) / 30.0) AS BIGINT) AS total_pages, 2 < ceil(count(*) / 30.0) AS has_next, "
+    "true AS has_prev FROM log",
+)
 def sl3(spark, d):
     return explorer.page_info(change_log(spark, d), 30, 2)
 
 
-@query("sl4_list_messages", f"WITH {CHG}, {ACKS}, {FLOOR} SELECT seq, subject FROM log, fl WHERE seq > ack_floor AND subject LIKE 'cdc.%.public.purchases' ORDER BY seq LIMIT 20 OFFSET 20")
+@query(
+    "sl4_list_messages",
+    f"WITH {CHG}, {ACKS}, {FLOOR} SELECT seq, subject FROM log, fl WHERE seq > ack_floor AND subject LIKE 'cdc.%.public.purchases' "
+    f"ORDER BY seq LIMIT 20 OFFSET 20",
+)
 def sl4(spark, d):
     return explorer.list_messages(change_log(spark, d), _floor(spark, d), "unsent", "cdc", "cdc.*.public.purchases", page=2).select("seq", "subject")
 
@@ -577,7 +720,11 @@ def sl6(spark, d):
     return logs.first_dead_letters(dead).select("seq", "sink")
 
 
-@query("so1_fan_in", "SELECT tbl, count(*) AS n FROM (SELECT 'orders' AS tbl FROM orders UNION ALL SELECT 'customer' FROM customer UNION ALL SELECT 'supplier' FROM supplier) GROUP BY 1")
+@query(
+    "so1_fan_in",
+    "SELECT tbl, count(*) AS n FROM (SELECT 'orders' AS tbl FROM orders UNION ALL SELECT 'customer' FROM customer UNION ALL SELECT "
+    "'supplier' FROM supplier) GROUP BY 1",
+)
 def so1(spark, d):
     parts = [snapshot.snapshot_to_events(table(spark, d, t), t, f"src-{t}", k) for t, k in (("orders", "o_orderkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"))]
     return reading.fan_in(*parts).groupBy("tbl").agg(F.count("*").alias("n"))
@@ -586,20 +733,36 @@ def so1(spark, d):
 # --- functions -------------------------------------------------------------------------
 
 
-@query("fn2_parse_flex_time", "SELECT event_id, epoch_ms(date_trunc('second', ts)) AS blank_ms, epoch_ms(date_trunc('second', ts)) AS iso_ms, epoch_us(ts) // 1000 AS micro_ms, CAST(NULL AS BIGINT) AS day_ms FROM events")
+@query(
+    "fn2_parse_flex_time",
+    "SELECT event_id, epoch_ms(date_trunc('second', ts)) AS blank_ms, epoch_ms(date_trunc('second', ts)) AS iso_ms, epoch_us(ts) "
+    "// 1000 AS micro_ms, CAST(NULL AS BIGINT) AS day_ms FROM events",
+)
 def fn2(spark, d):
     t = table(spark, d, "events")
     text = lambda p: F.date_format("ts", p)
-    return t.select("event_id", scalars.parse_flex_time(F.concat(text("yyyy-MM-dd HH:mm:ss"), F.lit("+00"))).alias("blank_ms"), scalars.parse_flex_time(F.concat(text("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).alias("iso_ms"), scalars.parse_flex_time(text("yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("micro_ms"), scalars.parse_flex_time(text("yyyy-MM-dd")).alias("day_ms"))
-
-
-@query("fn4_quote_ident", "SELECT p_partkey, '\"' || p_brand || '\".\"' || replace(p_type || '.x\"y', '\"', '\"\"') || '\"' AS quoted, '`' || p_brand || '`' AS ticked FROM part")
+    return t.select(
+        "event_id", scalars.parse_flex_time(F.concat(text("yyyy-MM-dd HH:mm:ss"), F.lit("+00"))).alias("blank_ms"),
+        scalars.parse_flex_time(F.concat(text("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).alias("iso_ms"),
+        scalars.parse_flex_time(text("yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("micro_ms"), scalars.parse_flex_time(text("yyyy-MM-dd")).alias("day_ms"),
+    )
+
+
+@query(
+    "fn4_quote_ident",
+    "SELECT p_partkey, '\"' || p_brand || '\".\"' || replace(p_type || '.x\"y', '\"', '\"\"') || '\"' AS quoted, '`' || p_brand "
+    "|| '`' AS ticked FROM part",
+)
 def fn4(spark, d):
     name = F.concat("p_brand", F.lit("."), "p_type", F.lit('.x"y'))
     return table(spark, d, "part").select("p_partkey", scalars.quote_ident(name).alias("quoted"), scalars.quote_ident(F.col("p_brand"), "backtick").alias("ticked"))
 
 
-@query("fn5_split_table_ident", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'public' ELSE p_brand END AS \"schema\", CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_type || '.z' END AS tbl FROM part")
+@query(
+    "fn5_split_table_ident",
+    "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'public' ELSE p_brand END AS \"schema\", CASE WHEN p_size % 2 = 0 THEN p_type "
+    "ELSE p_type || '.z' END AS tbl FROM part",
+)
 def fn5(spark, d):
     name = F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(F.concat("p_brand", F.lit("."), "p_type", F.lit(".z")))
     return table(spark, d, "part").select("p_partkey", scalars.split_table_ident(name).alias("s")).select("p_partkey", "s.schema", "s.tbl")
@@ -628,7 +791,9 @@ def fn9(spark, d):
 
 @query("fn10_decode_payload", "SELECT event_id, event_type AS plain, '{' AS other FROM events")
 def fn10(spark, d):
-    return table(spark, d, "events").select("event_id", scalars.decode_payload(F.base64(F.col("event_type").cast("binary"))).alias("plain"), scalars.decode_payload(F.lit("{")).alias("other"))
+    return table(spark, d, "events").select(
+        "event_id", scalars.decode_payload(F.base64(F.col("event_type").cast("binary"))).alias("plain"), scalars.decode_payload(F.lit("{")).alias("other"),
+    )
 
 
 @query("fn11_parse_metrics_text", "SELECT event_id, 'cdc_total' AS name, event_type AS type, value FROM events")
@@ -654,7 +819,11 @@ def _redelivered(spark, d):
     return log.unionByName(soon).unionByName(late)
 
 
-@query("st1_dedup_messages", "WITH {CHG} SELECT seq, ts, instance_id || '-' || \"offset\" AS msg_id FROM log UNION ALL SELECT seq, ts + INTERVAL 5 MINUTE, instance_id || '-' || \"offset\" FROM log WHERE (seq - 1) % 10 = 1")
+@query(
+    "st1_dedup_messages",
+    "WITH {CHG} SELECT seq, ts, instance_id || '-' || \"offset\" AS msg_id FROM log UNION ALL SELECT seq, ts + INTERVAL 5 MINUTE, "
+    "instance_id || '-' || \"offset\" FROM log WHERE (seq - 1) % 10 = 1",
+)
 def st1(spark, d):
     return logs.dedup_messages(_redelivered(spark, d))
 
@@ -674,7 +843,12 @@ def st6(spark, d):
     return logs.route_failures(deliveries(spark, d).filter("not acked")).select("sink", "seq", "route")
 
 
-@query("st7_reprocess_dlq", "WITH {DEL}, x AS (SELECT l.* FROM log l JOIN del ON del.seq = l.seq WHERE NOT acked AND attempts >= 10 AND sink = 'store'), f AS (SELECT * FROM x ORDER BY seq LIMIT 100) SELECT seq, 'replayed' AS state FROM f WHERE op <> 'd' UNION ALL SELECT seq, 'left' FROM x WHERE seq NOT IN (SELECT seq FROM f WHERE op <> 'd')")
+@query(
+    "st7_reprocess_dlq",
+    "WITH {DEL}, x AS (SELECT l.* FROM log l JOIN del ON del.seq = l.seq WHERE NOT acked AND attempts >= 10 AND sink = 'store'), "
+    "f AS (SELECT * FROM x ORDER BY seq LIMIT 100) SELECT seq, 'replayed' AS state FROM f WHERE op <> 'd' UNION ALL SELECT seq, "
+    "'left' FROM x WHERE seq NOT IN (SELECT seq FROM f WHERE op <> 'd')",
+)
 def st7(spark, d):
     failed = logs.route_failures(deliveries(spark, d).filter("not acked and sink = 'store'")).filter("route = 'dlq'").select("seq")
     dlq = change_log(spark, d).join(failed, "seq", "left_semi")
@@ -682,7 +856,11 @@ def st7(spark, d):
     return replayed.select("seq", F.lit("replayed").alias("state")).unionByName(left.select("seq", F.lit("left").alias("state")))
 
 
-@query("st8_classify_error", "WITH {DEL} SELECT error_class, error_class NOT IN ('validation', 'schema') AS retryable, count(*) AS n FROM del WHERE NOT acked GROUP BY 1, 2")
+@query(
+    "st8_classify_error",
+    "WITH {DEL} SELECT error_class, error_class NOT IN ('validation', 'schema') AS retryable, count(*) AS n FROM del WHERE NOT "
+    "acked GROUP BY 1, 2",
+)
 def st8(spark, d):
     rows = deliveries(spark, d).filter("not acked").withColumn("retryable", logs.classify_error(F.col("error_class")))
     return rows.groupBy("error_class", "retryable").agg(F.count("*").alias("n"))
@@ -693,12 +871,20 @@ def st9(spark, d):
     return logs.retry_schedule(deliveries(spark, d).filter("not acked")).select("sink", "seq", "delay_ms")
 
 
-@query("st12_pending_redelivery", "WITH {DEL} SELECT sink, seq FROM del WHERE NOT acked AND attempts < 10 AND last_attempt < TIMESTAMP '{NOW}' - INTERVAL 30 SECOND")
+@query(
+    "st12_pending_redelivery",
+    "WITH {DEL} SELECT sink, seq FROM del WHERE NOT acked AND attempts < 10 AND last_attempt < TIMESTAMP '{NOW}' - INTERVAL 30 "
+    "SECOND",
+)
 def st12(spark, d):
     return logs.pending_redelivery(deliveries(spark, d), NOW).select("sink", "seq")
 
 
-@query("io16_source_offsets", "WITH {DEL}, s AS (SELECT sink, instance_id, max(lsn) AS lsn FROM del WHERE acked GROUP BY 1, 2) SELECT instance_id, min(lsn) AS lsn FROM s GROUP BY 1")
+@query(
+    "io16_source_offsets",
+    "WITH {DEL}, s AS (SELECT sink, instance_id, max(lsn) AS lsn FROM del WHERE acked GROUP BY 1, 2) SELECT instance_id, min(lsn) "
+    "AS lsn FROM s GROUP BY 1",
+)
 def io16(spark, d):
     new = deliveries(spark, d).filter("acked").groupBy("sink", "instance_id").agg(F.max("lsn").alias("lsn"))
     old = deliveries(spark, d).groupBy("sink", "instance_id").agg(F.min("lsn").alias("lsn"))
@@ -708,29 +894,51 @@ def io16(spark, d):
 # --- decoded rows ----------------------------------------------------------------------
 
 
-@query("src2_wal_rows_to_events", "WITH r(relation_id, name) AS (VALUES (0, 'orders_even'), (1, 'orders_odd')) SELECT o_orderkey AS lsn, r.name AS tbl, CASE o_orderkey % 3 WHEN 0 THEN 'c' WHEN 1 THEN 'u' ELSE 'd' END AS op, CASE WHEN o_orderkey % 3 = 2 THEN CAST(o_orderkey AS VARCHAR) END AS old_id, CASE WHEN o_orderkey % 3 <> 2 THEN o_totalprice END AS price FROM orders JOIN r ON r.relation_id = o_custkey % 3")
+@query(
+    "src2_wal_rows_to_events",
+    "WITH r(relation_id, name) AS (VALUES (0, 'orders_even'), (1, 'orders_odd')) SELECT o_orderkey AS lsn, r.name AS tbl, CASE "
+    "o_orderkey % 3 WHEN 0 THEN 'c' WHEN 1 THEN 'u' ELSE 'd' END AS op, CASE WHEN o_orderkey % 3 = 2 THEN CAST(o_orderkey AS VARCHAR) "
+    "END AS old_id, CASE WHEN o_orderkey % 3 <> 2 THEN o_totalprice END AS price FROM orders JOIN r ON r.relation_id = o_custkey "
+    "% 3",
+)
 def src2(spark, d):
     cell = lambda c: F.struct(F.lit("text").alias("kind"), c.cast("string").alias("value"))
     none = F.lit(None).cast("array<struct<kind:string,value:string>>")
     o = table(spark, d, "orders")
     kind = F.element_at(F.array(F.lit("insert"), F.lit("update"), F.lit("delete")), (F.col("o_orderkey") % 3 + 1).cast("int"))
     image = F.array(cell(F.col("o_orderkey")), cell(F.col("o_totalprice")))
-    wal = o.select(F.col("o_orderkey").alias("lsn"), F.lit(0).cast("long").alias("ts"), kind.alias("kind"), (F.col("o_custkey") % 3).alias("relation_id"), F.when(kind == "delete", image).otherwise(none).alias("old"), F.when(kind != "delete", image).otherwise(none).alias("new"))
+    wal = o.select(
+        F.col("o_orderkey").alias("lsn"), F.lit(0).cast("long").alias("ts"), kind.alias("kind"), (F.col("o_custkey") % 3).alias("relation_id"),
+        F.when(kind == "delete", image).otherwise(none).alias("old"), F.when(kind != "delete", image).otherwise(none).alias("new"),
+    )
     columns = F.array(F.struct(F.lit("id").alias("name"), F.lit(20).alias("oid")), F.struct(F.lit("price").alias("name"), F.lit(1700).alias("oid")))
     # relations 0 and 1 are known, rows of relation 2 are dropped
-    relations = o.select((F.col("o_custkey") % 2).alias("relation_id")).distinct().select("relation_id", F.lit("public").alias("namespace"), F.when(F.col("relation_id") == 0, "orders_even").otherwise("orders_odd").alias("name"), columns.alias("columns"))
+    relations = o.select((F.col("o_custkey") % 2).alias("relation_id")).distinct().select(
+        "relation_id", F.lit("public").alias("namespace"), F.when(F.col("relation_id") == 0, "orders_even").otherwise("orders_odd").alias("name"),
+        columns.alias("columns"),
+    )
     events = decode.wal_rows_to_events(wal, relations, "pg")
     return events.select("lsn", "tbl", "op", F.col("before")["id"].alias("old_id"), F.col("after")["price"].cast("double").alias("price"))
 
 
-@query("src3_decode_tuple", "SELECT p_partkey, p_size % 2 = 0 AS flag, CASE WHEN p_size % 3 <> 0 THEN p_size END AS size, p_size % 5 <> 0 AS has_name, false AS has_extra FROM part")
+@query(
+    "src3_decode_tuple",
+    "SELECT p_partkey, p_size % 2 = 0 AS flag, CASE WHEN p_size % 3 <> 0 THEN p_size END AS size, p_size % 5 <> 0 AS has_name, "
+    "false AS has_extra FROM part",
+)
 def src3(spark, d):
     columns = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(o).alias("oid")) for n, o in (("flag", 16), ("size", 23), ("name", 25))])
     cell = lambda k, v: F.struct(k.alias("kind"), v.cast("string").alias("value"))
     text = F.lit("text")
-    cells = F.array(cell(text, F.when(F.col("p_size") % 2 == 0, "t").otherwise("f")), cell(F.when(F.col("p_size") % 3 == 0, "null").otherwise(text), F.col("p_size")), cell(F.when(F.col("p_size") % 5 == 0, "unchanged").otherwise(text), F.col("p_name")), cell(text, F.lit("over")))
+    cells = F.array(
+        cell(text, F.when(F.col("p_size") % 2 == 0, "t").otherwise("f")), cell(F.when(F.col("p_size") % 3 == 0, "null").otherwise(text), F.col("p_size")),
+        cell(F.when(F.col("p_size") % 5 == 0, "unchanged").otherwise(text), F.col("p_name")), cell(text, F.lit("over")),
+    )
     rows = table(spark, d, "part").withColumn("image", decode.decode_tuple(columns, cells))
-    return rows.select("p_partkey", (F.col("image")["flag"] == "true").alias("flag"), F.col("image")["size"].cast("int").alias("size"), F.map_contains_key("image", F.lit("name")).alias("has_name"), (F.size("image") > 3).alias("has_extra"))
+    return rows.select(
+        "p_partkey", (F.col("image")["flag"] == "true").alias("flag"), F.col("image")["size"].cast("int").alias("size"),
+        F.map_contains_key("image", F.lit("name")).alias("has_name"), (F.size("image") > 3).alias("has_extra"),
+    )
 
 
 @query("src4_binlog_rows_to_events", """WITH b AS (SELECT c_custkey AS pos, (['insert', 'update', 'delete'])[c_custkey % 3 + 1] AS action, c_nationkey % 4 AS n FROM customer),
@@ -741,12 +949,22 @@ def src4(spark, d):
     n = (F.col("c_nationkey") % 4).cast("int")
     images = F.filter(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.array(F.col("c_custkey").cast("string"), i.cast("string"))), lambda r: r[1].cast("int") < n)
     action = F.element_at(F.array(F.lit("insert"), F.lit("update"), F.lit("delete")), (F.col("c_custkey") % 3 + 1).cast("int"))
-    feed = table(spark, d, "customer").select(F.lit("f1").alias("file"), F.col("c_custkey").alias("pos"), action.alias("action"), F.lit("db").alias("db"), F.lit("customer").alias("table"), F.array(F.lit("id"), F.lit("v")).alias("columns"), images.alias("rows"), F.lit(0).cast("long").alias("ts"))
+    feed = table(spark, d, "customer").select(
+        F.lit("f1").alias("file"), F.col("c_custkey").alias("pos"), action.alias("action"), F.lit("db").alias("db"), F.lit("customer").alias("table"),
+        F.array(F.lit("id"), F.lit("v")).alias("columns"), images.alias("rows"), F.lit(0).cast("long").alias("ts"),
+    )
     e = decode.binlog_rows_to_events(feed, "my")
-    return e.select("lsn", F.col("ordinal").cast("long").alias("ordinal"), "op", "offset", F.col("before")["v"].cast("long").alias("old_v"), F.col("after")["v"].cast("long").alias("new_v"))
+    return e.select(
+        "lsn", F.col("ordinal").cast("long").alias("ordinal"), "op", "offset", F.col("before")["v"].cast("long").alias("old_v"),
+        F.col("after")["v"].cast("long").alias("new_v"),
+    )
 
 
-@query("src6_poll_rows_to_events", "WITH {CHG}, p AS (SELECT seq, k, unnest(range(k % 3)) AS ordinal FROM log WHERE k % 5 <> 0 AND k % 7 <> 0) SELECT seq AS lsn, ordinal, k FROM p")
+@query(
+    "src6_poll_rows_to_events",
+    "WITH {CHG}, p AS (SELECT seq, k, unnest(range(k % 3)) AS ordinal FROM log WHERE k % 5 <> 0 AND k % 7 <> 0) SELECT seq AS "
+    "lsn, ordinal, k FROM p",
+)
 def src6(spark, d):
     items = F.filter(F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: F.struct(F.col("k").alias("k"), i.alias("i"))), lambda s: s["i"] < F.col("k") % 3)
     body = F.when(F.col("k") % 7 == 0, F.lit('{"k":1}')).otherwise(F.to_json(items))
@@ -755,28 +973,53 @@ def src6(spark, d):
     return e.select("lsn", F.col("ordinal").cast("long").alias("ordinal"), F.col("after")["k"].cast("long").alias("k"))
 
 
-@query("src16_parse_binlog_offset", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'bin' END AS file, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey END AS pos FROM orders")
+@query(
+    "src16_parse_binlog_offset",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'bin' END AS file, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey END AS "
+    "pos FROM orders",
+)
 def src16(spark, d):
-    text = F.element_at(F.array(F.concat(F.lit("bin:"), F.col("o_custkey").cast("string")), F.lit("bin"), F.lit("bin:1:2"), F.lit("bin:4294967296")), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    text = F.element_at(
+        F.array(F.concat(F.lit("bin:"), F.col("o_custkey").cast("string")), F.lit("bin"), F.lit("bin:1:2"), F.lit("bin:4294967296")),
+        (F.col("o_orderkey") % 4 + 1).cast("int"),
+    )
     return table(spark, d, "orders").select("o_orderkey", decode.parse_binlog_offset(text).alias("p")).select("o_orderkey", "p.file", "p.pos")
 
 
-@query("io4_key_selection", "WITH {CHG} SELECT seq, k >= 20 AS keyed, CASE WHEN k >= 20 THEN CASE WHEN tbl = 'purchases' THEN k ELSE pk END END AS key FROM log")
+@query(
+    "io4_key_selection",
+    "WITH {CHG} SELECT seq, k >= 20 AS keyed, CASE WHEN k >= 20 THEN CASE WHEN tbl = 'purchases' THEN k ELSE pk END END AS key "
+    "FROM log",
+)
 def io4(spark, d):
     rows = filters.select_image(change_log(spark, d)).withColumn("image", F.when(F.col("k") >= 20, F.col("image")).otherwise(F.map_filter("image", lambda c, v: c == "value")))
     keyed, dead = merge.split_keyless(rows, {"purchases": "k"}, kind="bigint")
     return keyed.select("seq", F.lit(True).alias("keyed"), "key").unionByName(dead.select("seq", F.lit(False).alias("keyed"), F.lit(None).cast("bigint").alias("key")))
 
 
-@query("io9_bulk_item_errors", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'index' ELSE 'delete' END AS action, CAST(400 + o_custkey % 100 AS INTEGER) AS status, o_orderstatus AS reason FROM orders WHERE o_orderkey % 3 = 0")
+@query(
+    "io9_bulk_item_errors",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'index' ELSE 'delete' END AS action, CAST(400 + o_custkey % 100 AS INTEGER) "
+    "AS status, o_orderstatus AS reason FROM orders WHERE o_orderkey % 3 = 0",
+)
 def io9(spark, d):
-    item = F.struct(F.col("o_orderkey").cast("string").alias("_id"), F.when(F.col("o_orderkey") % 3 == 0, 400 + F.col("o_custkey") % 100).otherwise(200).alias("status"), F.when(F.col("o_orderkey") % 3 == 0, F.struct(F.lit("t").alias("type"), F.col("o_orderstatus").alias("reason"))).alias("error"))
-    body = F.to_json(F.struct((F.col("o_orderkey") % 3 == 0).alias("errors"), F.array(F.create_map(F.when(F.col("o_orderkey") % 2 == 0, "index").otherwise("delete"), item)).alias("items")))
+    item = F.struct(
+        F.col("o_orderkey").cast("string").alias("_id"), F.when(F.col("o_orderkey") % 3 == 0, 400 + F.col("o_custkey") % 100).otherwise(200).alias("status"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.struct(F.lit("t").alias("type"), F.col("o_orderstatus").alias("reason"))).alias("error"),
+    )
+    body = F.to_json(F.struct(
+        (F.col("o_orderkey") % 3 == 0).alias("errors"),
+        F.array(F.create_map(F.when(F.col("o_orderkey") % 2 == 0, "index").otherwise("delete"), item)).alias("items"),
+    ))
     got = actions.bulk_item_errors(table(spark, d, "orders").select(body.alias("body")))
     return got.select(F.col("doc_id").cast("bigint").alias("o_orderkey"), "action", "status", "reason")
 
 
-@query("io15_dead_letters", "WITH {DEL} SELECT seq, sink, error_class AS reason, subject AS original_subject, 'dlq.' || subject AS dlq_subject FROM del WHERE NOT acked AND attempts >= 10")
+@query(
+    "io15_dead_letters",
+    "WITH {DEL} SELECT seq, sink, error_class AS reason, subject AS original_subject, 'dlq.' || subject AS dlq_subject FROM del "
+    "WHERE NOT acked AND attempts >= 10",
+)
 def io15(spark, d):
     failed = logs.route_failures(deliveries(spark, d).filter("not acked")).filter("route = 'dlq'")
     return logs.dead_letters(failed, F.col("error_class")).select("seq", "sink", "reason", "original_subject", "dlq_subject")
@@ -790,7 +1033,11 @@ def pf17(spark, d):
     return good.select("seq", F.lit("ok").alias("state")).unionByName(bad.select("seq", F.col("reason").alias("state")))
 
 
-@query("fn1_parse_oid", "SELECT p_partkey, p_size % 2 = 0 AS flag, CASE WHEN p_size % 3 = 0 THEN p_size END AS number, p_size % 3 <> 0 AS bad, p_retailprice AS price FROM part")
+@query(
+    "fn1_parse_oid",
+    "SELECT p_partkey, p_size % 2 = 0 AS flag, CASE WHEN p_size % 3 = 0 THEN p_size END AS number, p_size % 3 <> 0 AS bad, p_retailprice "
+    "AS price FROM part",
+)
 def fn1(spark, d):
     number = scalars.parse_oid(F.when(F.col("p_size") % 3 == 0, F.col("p_size").cast("string")).otherwise("x1"), F.lit(23))
     p = table(spark, d, "part").withColumn("n", number)
@@ -799,7 +1046,11 @@ def fn1(spark, d):
     return p.select("p_partkey", flag.alias("flag"), F.col("n.value").cast("int").alias("number"), F.col("n.bad").alias("bad"), price.alias("price"))
 
 
-@query("fn3_sanitize_doc", "SELECT event_id, '' AS metadata, CAST(epoch_ms(date_trunc('second', ts)) AS VARCHAR) AS created_at, event_type AS lifetime FROM events")
+@query(
+    "fn3_sanitize_doc",
+    "SELECT event_id, '' AS metadata, CAST(epoch_ms(date_trunc('second', ts)) AS VARCHAR) AS created_at, event_type AS lifetime "
+    "FROM events",
+)
 def fn3(spark, d):
     doc = F.create_map(F.lit("metadata"), F.lit("{}"), F.lit("created_at"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("lifetime"), F.col("event_type"))
     rows = table(spark, d, "events").select("event_id", scalars.sanitize_doc(doc).alias("doc"))
@@ -862,13 +1113,21 @@ def _progress(spark, d):
     return seen.table(spark)
 
 
-@query("ag13_active_workers", "WITH {CHG} SELECT s AS sink, CAST(n AS BIGINT) AS reconnects, 0 AS active_workers FROM (VALUES ('search', 0), ('store', 1)) AS v(s, n), (SELECT count(*) AS c FROM log) WHERE c > 0")
+@query(
+    "ag13_active_workers",
+    "WITH {CHG} SELECT s AS sink, CAST(n AS BIGINT) AS reconnects, 0 AS active_workers FROM (VALUES ('search', 0), ('store', 1)) "
+    "AS v(s, n), (SELECT count(*) AS c FROM log) WHERE c > 0",
+)
 def ag13(spark, d):
     seen = _progress(spark, d)
     return observe.reconnects(seen).join(observe.active_workers(seen), "sink")
 
 
-@query("ag17_worker_duration_histogram", "WITH {CHG} SELECT s AS sink, count(*) AS rows, true AS complete FROM log, (VALUES ('search'), ('store')) AS v(s) GROUP BY 1")
+@query(
+    "ag17_worker_duration_histogram",
+    "WITH {CHG} SELECT s AS sink, count(*) AS rows, true AS complete FROM log, (VALUES ('search'), ('store')) AS v(s) GROUP BY "
+    "1",
+)
 def ag17(spark, d):
     """Rows by sink, and whether its buckets of seconds rise up to all its batches."""
     seen = _progress(spark, d)
@@ -878,7 +1137,11 @@ def ag17(spark, d):
     return rows.join(buckets, "sink").select("sink", "rows", complete.alias("complete"))
 
 
-@query("so2_fan_out", "WITH {CHG} SELECT 'all' AS sink, tbl, count(*) AS n FROM log GROUP BY 2 UNION ALL SELECT 'buys', tbl, count(*) FROM log WHERE tbl = 'purchases' GROUP BY 2")
+@query(
+    "so2_fan_out",
+    "WITH {CHG} SELECT 'all' AS sink, tbl, count(*) AS n FROM log GROUP BY 2 UNION ALL SELECT 'buys', tbl, count(*) FROM log WHERE "
+    "tbl = 'purchases' GROUP BY 2",
+)
 def so2(spark, d):
     src, out = _kept(spark, _envelopes(spark, d), "so2-log"), scratch_dir(spark, "so2")
     specs = [pipeline.SinkSpec("all", options={"path": f"{out}/all"}), pipeline.SinkSpec("buys", subjects=["cdc.*.*.purchases"], options={"path": f"{out}/buys"})]
@@ -887,13 +1150,19 @@ def so2(spark, d):
     return reading.fan_in(*parts)
 
 
-@query("ud7_pipeline", "WITH {CHG} SELECT seq, CASE WHEN op = 'd' THEN 'DEL' ELSE 'HSET' END AS command, tbl || '/' || pk AS key, CASE WHEN op <> 'd' THEN k END AS rank, CASE WHEN op <> 'd' THEN 2 * pk END AS twice FROM log WHERE event_type <> 'view'")
+@query(
+    "ud7_pipeline",
+    "WITH {CHG} SELECT seq, CASE WHEN op = 'd' THEN 'DEL' ELSE 'HSET' END AS command, tbl || '/' || pk AS key, CASE WHEN op <> "
+    "'d' THEN k END AS rank, CASE WHEN op <> 'd' THEN 2 * pk END AS twice FROM log WHERE event_type <> 'view'",
+)
 def ud7(spark, d):
     """Sources to a message log, with a second delivery of each change, and from it to a
     key-value sink with renamed and computed fields and keys of its own."""
     log, out = _envelopes(spark, d).filter("op <> 'u' or map_contains_key(after, 'value')"), scratch_dir(spark, "ud7")
     src = _kept(spark, log.unionByName(log), "ud7-changes")
-    sink = pipeline.SinkSpec("kv", "kv", options={"path": f"{out}/kv"}, mapping={"k": "rank"}, expressions={"twice": "2 * cast(data.id as bigint)"}, key="concat(tbl, '/', data.id)")
+    sink = pipeline.SinkSpec(
+        "kv", "kv", options={"path": f"{out}/kv"}, mapping={"k": "rank"}, expressions={"twice": "2 * cast(data.id as bigint)"}, key="concat(tbl, '/', data.id)",
+    )
     spec = pipeline.PipelineSpec([pipeline.SourceSpec("i", options={"path": src})], [sink], log=f"{out}/log", dlq=f"{out}/dlq")
     pipeline.Pipeline(spark, spec, f"{out}/cursors").run_once()
     args = F.col("args")

@@ -9,7 +9,10 @@ from pyspark.sql import types as T
 from changefold.model import ENVELOPE
 
 
-def read_changes(spark: SparkSession, path: str, after: Column | None = None, stream: bool = False, schema: T.StructType = ENVELOPE, form: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
+def read_changes(
+    spark: SparkSession, path: str, after: Column | None = None, stream: bool = False, schema: T.StructType = ENVELOPE, form: str = "parquet",
+    files_per_trigger: int | None = None,
+) -> DataFrame:
     """A change log as a table or a stream. A batch resumes by a predicate on the position,
     which Parquet's statistics prune by; a stream resumes by its checkpoint."""
     reader = (spark.readStream if stream else spark.read).format(form).schema(schema)

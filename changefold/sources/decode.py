@@ -14,7 +14,10 @@ def decode_tuple(columns: Column, cells: Column) -> Column:
     cells beyond the columns leave no entry. A null tuple gives a null image."""
     pairs = F.arrays_zip(columns.alias("c"), F.slice(cells, F.lit(1), F.least(F.size(cells), F.size(columns))).alias("v"))
     used = F.filter(pairs, lambda p: p["c"].isNotNull() & p["v"]["kind"].isin("null", "text"))
-    entries = F.transform(used, lambda p: F.struct(p["c"]["name"].alias("key"), F.when(p["v"]["kind"] == "text", parse_oid(p["v"]["value"], p["c"]["oid"])["value"]).alias("value")))
+    entries = F.transform(
+        used,
+        lambda p: F.struct(p["c"]["name"].alias("key"), F.when(p["v"]["kind"] == "text", parse_oid(p["v"]["value"], p["c"]["oid"])["value"]).alias("value")),
+    )
     return F.when(cells.isNotNull(), F.map_from_entries(entries))
 
 
@@ -46,7 +49,10 @@ def binlog_rows_to_events(rows: DataFrame, instance: str) -> DataFrame:
     n = F.size("rows")
     pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / 2).cast("int") - 1, F.lit(0))), lambda i: F.struct(
         F.when(2 * i + 1 < n, row(F.try_element_at("rows", 2 * i + 1))).alias("before"), F.when(2 * i + 1 < n, row(F.try_element_at("rows", 2 * i + 2))).alias("after")))
-    singles = F.transform("rows", lambda r: F.struct(F.when(F.col("action") == "delete", row(r)).otherwise(none).alias("before"), F.when(F.col("action") == "insert", row(r)).otherwise(none).alias("after")))
+    singles = F.transform(
+        "rows",
+        lambda r: F.struct(F.when(F.col("action") == "delete", row(r)).otherwise(none).alias("before"), F.when(F.col("action") == "insert", row(r)).otherwise(none).alias("after")),
+    )
     images = F.when(n == 0, F.array().cast("array<struct<before:map<string,string>,after:map<string,string>>>")).when(F.col("action") == "update", pairs).otherwise(singles)
     op = F.element_at(F.create_map(F.lit("insert"), F.lit("c"), F.lit("update"), F.lit("u"), F.lit("delete"), F.lit("d")), F.col("action"))
     each = rows.withColumn("_op", op).select("*", F.posexplode(images).alias("ordinal", "_i"))

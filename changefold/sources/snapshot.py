@@ -41,7 +41,10 @@ def plan_chunks(tables: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     n = F.greatest(F.ceil(F.col("n_rows") / size), F.lit(1)).cast("long")
     each = tables.withColumn("_n", n).select("tbl", "n_rows", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("chunk_index"))
     start = F.col("chunk_index") * size
-    return each.select("tbl", "chunk_index", start.alias("chunk_start"), F.least(F.lit(size), F.col("n_rows") - start).cast("long").alias("chunk_size"), (F.col("chunk_index") == F.col("_n") - 1).alias("is_last_chunk"))
+    return each.select(
+        "tbl", "chunk_index", start.alias("chunk_start"), F.least(F.lit(size), F.col("n_rows") - start).cast("long").alias("chunk_size"),
+        (F.col("chunk_index") == F.col("_n") - 1).alias("is_last_chunk"),
+    )
 
 
 def chunk_strategy(df: DataFrame, key: str) -> str:
@@ -94,7 +97,10 @@ def claimable_chunks(chunks: DataFrame, now: str, seconds: int = CLAIM_SECONDS)
 def snapshot_progress(chunks: DataFrame) -> DataFrame:
     """Per slot: chunks in all and completed, rows processed, and whether the job is complete."""
     done = F.col("status") == "completed"
-    agg = chunks.groupBy("slot_name").agg(F.count("*").alias("total_chunks"), F.count_if(done).alias("completed_chunks"), F.coalesce(F.sum("rows_processed"), F.lit(0)).cast("long").alias("rows_processed"))
+    agg = chunks.groupBy("slot_name").agg(
+        F.count("*").alias("total_chunks"), F.count_if(done).alias("completed_chunks"),
+        F.coalesce(F.sum("rows_processed"), F.lit(0)).cast("long").alias("rows_processed"),
+    )
     return agg.withColumn("completed", (F.col("total_chunks") > 0) & (F.col("total_chunks") == F.col("completed_chunks")))
 
 

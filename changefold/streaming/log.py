@@ -90,7 +90,9 @@ def dedup_messages(df: DataFrame, key: str = "msg_id", at: str = "ts", seconds:
     repeated = near.select(F.col("_k").alias("_rk")).distinct()
     timed = F.col("_t").isNotNull()
     once = mine.join(repeated, timed & (F.col("_k") == F.col("_rk")), "left_anti")
-    again = mine.filter(timed).join(accepted.toDF("_rk", "_rt", "_rs"), (F.col("_k") == F.col("_rk")) & (F.col("_t") == F.col("_rt")) & F.col(tie).eqNullSafe(F.col("_rs")), "left_semi")
+    again = mine.filter(timed).join(
+        accepted.toDF("_rk", "_rt", "_rs"), (F.col("_k") == F.col("_rk")) & (F.col("_t") == F.col("_rt")) & F.col(tie).eqNullSafe(F.col("_rs")), "left_semi",
+    )
     again = again.dropDuplicates(["_k", "_t", tie])
     return once.unionByName(again).select(*df.columns)
 
@@ -181,7 +183,10 @@ def first_dead_letters(dlq: DataFrame, n: int = 100) -> DataFrame:
     return dlq.orderBy("seq").limit(n)
 
 
-def reprocess_dlq(dlq: DataFrame, predicates: list[Predicate] = (), transformers: list[Transformer] = (), decodable: Column | None = None, valid: Callable[[DataFrame], Column] | None = None, first: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+def reprocess_dlq(
+    dlq: DataFrame, predicates: list[Predicate] = (), transformers: list[Transformer] = (), decodable: Column | None = None,
+    valid: Callable[[DataFrame], Column] | None = None, first: int = 100,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(replayed, left, ended) of the first dead letters: those that filters and transformers
     pass and that are valid again; those that stay; those that can't be decoded and go.
 

@@ -52,7 +52,10 @@ class AppendSink:
     """Writes each batch, in the given shape, to a folder of its query and number, so that a
     repeated batch replaces itself."""
 
-    def __init__(self, name: str, path: str, shape: Callable[[DataFrame], DataFrame] = lambda df: df, subjects: list[str] | None = None, by: tuple[str, ...] = (), form: str = "parquet"):
+    def __init__(
+        self, name: str, path: str, shape: Callable[[DataFrame], DataFrame] = lambda df: df, subjects: list[str] | None = None, by: tuple[str, ...] = (),
+        form: str = "parquet",
+    ):
         self.name, self.path, self.shape, self.subjects, self.by, self.form = name, path, shape, subjects or [], by, form
 
     def write(self, batch: DataFrame, epoch: int) -> None:
@@ -64,7 +67,10 @@ class WebhookSink:
     """Posts each batch as JSON arrays of at most ``size`` changes, from the tasks that hold
     them. A status outside 200 to 299 fails the batch, which is then tried again as a whole."""
 
-    def __init__(self, name: str, url: str, size: int = 100, include_payload: bool = False, headers: dict[str, str] | None = None, timeout: float = 10.0, subjects: list[str] | None = None):
+    def __init__(
+        self, name: str, url: str, size: int = 100, include_payload: bool = False, headers: dict[str, str] | None = None, timeout: float = 10.0,
+        subjects: list[str] | None = None,
+    ):
         self.name, self.url, self.size, self.payload, self.timeout, self.subjects = name, url, size, include_payload, timeout, subjects or []
         self.headers = {"Content-Type": "application/json"} | (headers or {})
 
@@ -101,7 +107,10 @@ class TableSink:
     before names are deleted. Rows that can't be applied go to dead letters.
     """
 
-    def __init__(self, name: str, path: str, key: str, position: list[str], empty: DataFrame, subjects: list[str] | None = None, dlq: str | None = None, keys: dict[str, str] | None = None, compact: int = 16):
+    def __init__(
+        self, name: str, path: str, key: str, position: list[str], empty: DataFrame, subjects: list[str] | None = None, dlq: str | None = None,
+        keys: dict[str, str] | None = None, compact: int = 16,
+    ):
         self.name, self.path, self.key, self.position, self.subjects = name, path, key, position, subjects or []
         self.schema, self.dlq, self.keys, self.compact = empty.schema, dlq or f"{path}/dlq", keys or {}, compact
 
