@@ -121,7 +121,10 @@ def report(docs: DataFrame, bench: DataFrame, n: int = 10) -> DataFrame:
     hits = find_hits(docs, bench, n)
     items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     hits = hits.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return hits.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    return hits.select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+    )
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, remove: str = "documents") -> DataFrame:

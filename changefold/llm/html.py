@@ -442,7 +442,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                     page = Page(html)
                     text = page.slots(*map(frozenset, sets)) if sets[0] else ""
                     texts.append((text or page.text()).encode("utf-8", "replace").decode())
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"],
+                )
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("_h"))
     deduced = saved(templates(pages), "html-templates")

@@ -319,7 +319,10 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     shared = saved(shared.filter("_next is not null or lead <> key or bits > 0").drop("_next", "part"), "jaccard-postings")
 
     ends = [F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")]
-    first = shared.select(F.col("key").alias("k1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"), F.col("lead").alias("k2"), F.col("lead_n").alias("n2"), F.col("lead_pos").alias("pos2"))
+    first = shared.select(
+        F.col("key").alias("k1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"), F.col("lead").alias("k2"), F.col("lead_n").alias("n2"),
+        F.col("lead_pos").alias("pos2"),
+    )
     heads = shared.filter("bits > 0 and key = lead").select("token", F.col("key").alias("k1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"))
     of_heads = W.partitionBy("token").orderBy("pos1", "k1")
     for name in ("k", "n", "pos"):
@@ -343,10 +346,16 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     tops = comps.join(ids.withColumnRenamed("key", "_k"), F.col("node") == F.col("_k")).groupBy("comp").agg(F.min("low").alias("top")).withColumnRenamed("comp", "_g")
     degree = links.select(F.explode(F.array("a", "b")).alias("_k")).groupBy("_k").agg(F.count("*").alias("deg"))
     named = ids.join(comps, F.col("key") == F.col("node"), "left").join(tops, F.col("comp") == F.col("_g"), "left").join(degree, F.col("key") == F.col("_k"), "left")
-    named = named.select(F.col("key").alias("_key"), F.coalesce("comp", "key").alias("component_key"), F.coalesce("top", "low").alias("component"), F.coalesce("deg", F.lit(0)).alias("deg"))
+    named = named.select(
+        F.col("key").alias("_key"), F.coalesce("comp", "key").alias("component_key"), F.coalesce("top", "low").alias("component"),
+        F.coalesce("deg", F.lit(0)).alias("deg"),
+    )
     named = saved(named, "jaccard-named")  # a plain shuffle, which Spark splits where one class has many rows
     done = rows.join(named, (F.col("n") > 0) & (F.col("key") == F.col("_key")), "left")
-    return done.select("doc_id", "tid", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.when(F.col("n") > 0, F.col("key")).alias("class_key"), F.coalesce("deg", F.lit(0)).cast("long").alias("n_links"), "component_key")
+    return done.select(
+        "doc_id", "tid", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"),
+        F.when(F.col("n") > 0, F.col("key")).alias("class_key"), F.coalesce("deg", F.lit(0)).cast("long").alias("n_links"), "component_key",
+    )
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -88,7 +88,10 @@ def page_likelihoods(pages: DataFrame, models: np.ndarray) -> DataFrame:
                 for _, run in chunks(texts):
                     bucket, owner = trigrams(run)
                     rows += np.column_stack([np.bincount(owner, weights=m[bucket], minlength=len(run)) for m in models]).tolist() if len(models) else [[]] * len(run)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array([[TEMPER * v for v in row] for row in rows], pa.list_(pa.float64()))], ["page_id", "url", "declared", "text_ll"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), part.column(3), pa.array([[TEMPER * v for v in row] for row in rows], pa.list_(pa.float64()))],
+                    ["page_id", "url", "declared", "text_ll"],
+                )
 
     declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})\b", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.nullif(declared, F.lit("")).alias("declared"))
@@ -107,7 +110,9 @@ def suffix_of(host: Column) -> Column:
 
 def _votes(rows: DataFrame, by: str, n: int) -> DataFrame:
     """Sums of the pages' text posteriors by a column, as an array."""
-    return rows.groupBy(F.col(by).alias(f"_{by}")).agg(F.array(*[F.sum(F.element_at("vote", k + 1)) for k in range(n)]).alias(f"{by}_votes"), F.count("*").cast("double").alias(f"{by}_n"))
+    return rows.groupBy(F.col(by).alias(f"_{by}")).agg(
+        F.array(*[F.sum(F.element_at("vote", k + 1)) for k in range(n)]).alias(f"{by}_votes"), F.count("*").cast("double").alias(f"{by}_n"),
+    )
 
 
 def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -122,7 +127,10 @@ def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     langs, models = text_models(docs)
     if not langs:
         empty = F.lit(None).cast("string")
-        return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", empty.alias("lang"), F.lit(None).cast("double").alias("posterior"), empty.alias("text_lang"), empty.alias("declared"))
+        return pages.select(
+            F.col("page_id").cast("long").alias("page_id"), "url", empty.alias("lang"), F.lit(None).cast("double").alias("posterior"), empty.alias("text_lang"),
+            empty.alias("declared"),
+        )
     n = len(langs)
     rows = page_likelihoods(pages, models).withColumn("host", host_of(F.col("url"))).withColumn("suffix", suffix_of(F.col("host")))
     rows = rows.withColumn("code", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^?#]*?//[^/?#]*/([a-zA-Z]{2})(?:[-/?#]|$)", 1)))

@@ -47,7 +47,10 @@ KNOWN = [
     ("proprietary", "All rights reserved."),
 ]
 TITLES = {"BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License"}
-LEFT_OUT = re.compile(r"^[ \t]*(APPENDIX: How to apply|(Appendix: )?How to Apply These Terms to Your New|ADDENDUM: How to use this License|EXHIBIT A -Mozilla Public License).*", re.S | re.M)
+LEFT_OUT = re.compile(
+    r"^[ \t]*(APPENDIX: How to apply|(Appendix: )?How to Apply These Terms to Your New|ADDENDUM: How to use this License|EXHIBIT A -Mozilla Public License).*",
+    re.S | re.M,
+)
 # Addresses under which the texts of one publisher were handed out.
 ADDRESS = re.compile(r"51 Franklin St(reet)?, Fifth Floor,\s+Boston,\s+MA\s+02110-1301,?\s+USA")
 ADDRESSES = ["51 Franklin Street, Fifth Floor, Boston, MA 02110-1301, USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "675 Mass Ave, Cambridge, MA 02139, USA"]
@@ -126,8 +129,17 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, max_known: in
     known = broadcast_if_small(saved(known, "license-known"), 2 * max_known)
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), canonical_lines(F.col("text")).alias("lines"))
     rows = rows.withColumn("digest", F.sha2(joined(F.col("lines")).cast("binary"), 256))
-    tries = rows.select("doc_id", "rid", "digest", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("all"), F.col("digest").alias("line"))), F.transform(F.array_distinct("lines"), lambda x: F.struct(F.lit(False).alias("all"), x.alias("line"))))).alias("t"))
+    tries = rows.select(
+        "doc_id", "rid", "digest",
+        F.explode(F.concat(
+            F.array(F.struct(F.lit(True).alias("all"), F.col("digest").alias("line"))),
+            F.transform(F.array_distinct("lines"), lambda x: F.struct(F.lit(False).alias("all"), x.alias("line"))),
+        )).alias("t"),
+    )
     met = tries.select("doc_id", "rid", "digest", "t.all", "t.line").join(known, (F.col("line") == F.col("_key")) & (F.col("all") == F.col("_all")), "left").filter("all or found is not null")
-    met = met.groupBy("doc_id", "rid", "digest").agg(F.count_if("all").alias("copies"), F.max(F.when(F.col("all"), F.col("found"))).alias("license_id"), F.sort_array(F.collect_set(F.when(~F.col("all"), F.col("found")))).alias("notices"))
+    met = met.groupBy("doc_id", "rid", "digest").agg(
+        F.count_if("all").alias("copies"), F.max(F.when(F.col("all"), F.col("found"))).alias("license_id"),
+        F.sort_array(F.collect_set(F.when(~F.col("all"), F.col("found")))).alias("notices"),
+    )
     met = met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return met.select("doc_id", "digest", "license_id", F.array_join("notices", ",").alias("notices"), F.size("notices").cast("long").alias("n_notices"))

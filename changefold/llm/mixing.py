@@ -37,7 +37,9 @@ def targets(sizes: DataFrame, weights: tuple, share: float, cap: float) -> DataF
     global windows stay small.
     """
     everything = W.orderBy(F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("rank", F.row_number().over(everything)).withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1))
+    ranked = sizes.withColumn("rank", F.row_number().over(everything)).withColumn(
+        "weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1),
+    )
     ranked = ranked.withColumn("most", F.col("source_size") * F.lit(float(cap)))
     by_level = W.orderBy(F.col("most") / F.col("weight"), "rank")
     filled = ranked.withColumn("before", F.coalesce(F.sum("most").over(by_level.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
@@ -58,7 +60,9 @@ def apportion(claims: DataFrame, group: list[str], order: list[Column], claim: s
     """
     over = W.partitionBy(*group) if group else W.partitionBy()
     total, rows = F.sum(claim).over(over), F.sum((F.col(claim) > 0).cast("long")).over(over)
-    band = claims.withColumn("_share", F.when((F.col(claim) > 0) & (F.col(seats) > 0), F.col(claim) * F.col(seats) / total)).withColumn("_slack", F.col("_share") * rows / (2 * F.col(seats)))
+    band = claims.withColumn(
+        "_share", F.when((F.col(claim) > 0) & (F.col(seats) > 0), F.col(claim) * F.col(seats) / total),
+    ).withColumn("_slack", F.col("_share") * rows / (2 * F.col(seats)))
     band = band.withColumn("_sure", F.greatest(F.lit(0), F.floor(F.col("_share") - F.col("_slack") - 1)).cast("long"))
     band = band.withColumn("_open", F.ceil(F.col("_share") + F.col("_slack") + 1).cast("long"))
     band = band.withColumn("_left", F.col(seats) - F.sum(F.coalesce("_sure", F.lit(0))).over(over))
@@ -105,7 +109,10 @@ def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5,
     kept; no rows give no rows. Reruns agree: order and block choice depend on digests of
     seed, doc_id and text alone.
     """
-    slim = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), seeded(seed, F.col("doc_id"), F.col("text")).alias("key"))
+    slim = docs.select(
+        F.col("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        seeded(seed, F.col("doc_id"), F.col("text")).alias("key"),
+    )
     slim = saved(slim, "mix-sizes")
     placed, shards = shard_quotas(slim, weights, share, cap, block_words)
     shards = shards.select("source", "shard", "tokens", "blocks", "quota")

@@ -141,7 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Trees:
     """Fit on at most ``max_rows`` labelled rows outside the held-out fold, taken by hash of
     doc_id. Null labels and ids are left out; a doc_id labelled twice counts twice."""
     picked = labels.filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id")))
-    picked = picked.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("_y"), F.xxhash64("doc_id", "quality").alias("_at")).orderBy("_at", "_id").limit(max_rows)
+    picked = picked.select(
+        F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("_y"), F.xxhash64("doc_id", "quality").alias("_at"),
+    ).orderBy("_at", "_id").limit(max_rows)
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def measured(text: pa.Array) -> pa.Array:

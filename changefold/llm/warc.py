@@ -24,7 +24,10 @@ PER_FILE = 256
 def record(page_id: Column, url: Column, body: Column) -> Column:
     """A resource record of WARC 1.1; nulls read as empty."""
     body, url = F.coalesce(body, F.lit("")), F.coalesce(url, F.lit(""))
-    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: "), url, F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
+    head = F.concat(
+        F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: "), url, F.lit("\r\nWARC-Record-ID: <urn:page:"),
+        F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
+    )
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
@@ -51,7 +54,10 @@ def page_name(pages: DataFrame) -> Column:
 def parents(level: DataFrame, by: list[str]) -> DataFrame:
     """Nodes of a level: start, bytes and the digest of what lies in each, in order, each child
     with its offset from the node's start, its length and its digest."""
-    packed = level.groupBy(*by).agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.sort_array(F.collect_list(F.struct(F.col("start").alias("at"), F.col("size").alias("len"), "digest"))).alias("kids"))
+    packed = level.groupBy(*by).agg(
+        F.min("start").alias("start"), F.sum("size").alias("size"),
+        F.sort_array(F.collect_list(F.struct(F.col("start").alias("at"), F.col("size").alias("len"), "digest"))).alias("kids"),
+    )
     lines = F.transform("kids", lambda k: F.concat_ws(":", (k["at"] - F.col("start")).cast("string"), k["len"].cast("string"), k["digest"]))
     return packed.select(*by, "start", "size", F.sha2(F.array_join(lines, ",").cast("binary"), 256).alias("digest"))
 
@@ -115,7 +121,10 @@ def audit(pages: DataFrame, replica: DataFrame, per_file: int = PER_FILE) -> Dat
     more = met.join(faults, F.col("name") == F.col("_name"), "left").withColumn("copies", F.least("left", F.col("upto") - F.coalesce("damaged", F.lit(0))))
     more = more.filter("copies > 0").select("*", copy).select("page_id", "file", F.lit(None).cast("long").alias("record_offset"), "bytes", "digest", F.lit("extra").alias("state"))
     rows = rows.unionByName(more).join(roots, F.col("file") == F.col("_file"), "left")
-    return rows.select("page_id", "file", "record_offset", F.col("bytes").alias("n_bytes"), F.col("digest").alias("record_sha256"), "file_root", "state", (F.col("state") == "intact").alias("intact"))
+    return rows.select(
+        "page_id", "file", "record_offset", F.col("bytes").alias("n_bytes"), F.col("digest").alias("record_sha256"), "file_root", "state",
+        (F.col("state") == "intact").alias("intact"),
+    )
 
 
 def damaged(pages: DataFrame) -> DataFrame:
