@@ -9,6 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1167,3 +1168,66 @@ def ud7(spark, d):
     pipeline.Pipeline(spark, spec, f"{out}/cursors").run_once()
     args = F.col("args")
     return spark.read.parquet(f"{out}/kv").select("seq", "command", "key", args["rank"].cast("long").alias("rank"), args["twice"].cast("long").alias("twice"))
+
+
+@query("st5_at_least_once", "WITH {CHG} SELECT seq, op, 2 AS tries FROM log")
+def st5(spark, d):
+    """A sink that breaks off after its write, before its batch counts as done, and is started
+    again: the batch is written anew in place of what was left."""
+    src, out = _kept(spark, _envelopes(spark, d), "st5-log"), scratch_dir(spark, "st5")
+    tries: list[int] = []
+
+    def write(batch, epoch):
+        tries.append(epoch)
+        batch.select("seq", "op", F.lit(len(tries)).alias("tries")).write.mode("overwrite").parquet(f"{out}/rows/batch={epoch}")
+        if len(tries) == 1:
+            raise RuntimeError("broken off")
+
+    for _ in range(2):
+        query = sinks.run_sink(reading.read_changes(spark, src, stream=True), sinks.FunctionSink("store", write), f"{out}/cursors")
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            continue
+    return spark.read.parquet(f"{out}/rows").select("seq", "op", "tries")
+
+
+@query("st13_hot_add_remove", "WITH {CHG} SELECT s AS sink, count(*) AS n FROM log, (VALUES ('early'), ('late')) AS v(s) GROUP BY 1")
+def st13(spark, d):
+    """A sink that is added to a running pipeline reads the log from its beginning; one that is
+    removed leaves the others running."""
+    src, out = _kept(spark, _envelopes(spark, d), "st13-log"), scratch_dir(spark, "st13")
+    pipe = pipeline.Pipeline(spark, pipeline.PipelineSpec([pipeline.SourceSpec("i", options={"path": src})], []), f"{out}/cursors")
+    for name in ("early", "late"):
+        pipe.add_sink(pipeline.SinkSpec(name, options={"path": f"{out}/{name}"}, flush_ms=100)).processAllAvailable()
+    pipe.remove_sink("early")
+    pipe.queries["late"].processAllAvailable()
+    pipe.stop()
+    return reading.fan_in(*[spark.read.parquet(f"{out}/{s}").agg(F.lit(s).alias("sink"), F.count("*").alias("n")) for s in ("early", "late")])
+
+
+@query("ud5_handle_rows", "SELECT c_custkey AS id, upper(c_name) AS name FROM customer WHERE c_custkey % 2 = 0")
+def ud5(spark, d):
+    def even(rows):
+        rows = rows[rows["id"] % 2 == 0]
+        return rows.assign(name=rows["name"].str.upper())
+
+    return snapshot.handle_rows(table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_name").alias("name")), even)
+
+
+@query(
+    "ud6_types_by_name",
+    "WITH {CHG} SELECT 'inst1_purchases' AS target, count(*) AS n FROM log WHERE instance_id = 'inst1' AND tbl = 'purchases' "
+    "UNION ALL SELECT 'crm_orders', count(*) FROM orders",
+)
+def ud6(spark, d):
+    """A log kept as JSON and a table's snapshot, both to one sink that routes by table."""
+    out, orders = scratch_dir(spark, "ud6"), table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    _envelopes(spark, d).write.json(f"{out}/log")
+    sources = [
+        pipeline.SourceSpec("log", "json", ["purchases"], {"path": f"{out}/log"}),
+        pipeline.SourceSpec("crm", "snapshot", options={"path": _kept(spark, orders, "ud6-orders"), "table": "orders", "key": "o_orderkey"}),
+    ]
+    sink = pipeline.SinkSpec("rows", "routed", ["cdc.inst1.>", "cdc.crm.>"], {"path": f"{out}/rows", "columns": {"id": "bigint"}}, prefix="")
+    pipeline.Pipeline(spark, pipeline.PipelineSpec(sources, [sink], log=f"{out}/messages"), f"{out}/cursors").run_once()
+    return spark.read.parquet(f"{out}/rows").groupBy("target").agg(F.count("*").alias("n"))
