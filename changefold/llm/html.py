@@ -353,15 +353,14 @@ def deduce(rows: list[dict]) -> tuple[list[int], list[int], list[int]]:
     support = {r["token"]: r["support"] for r in rows}
     texts = [r for r in tokens.values() if r["kind"] == TEXT and r["support"] >= TEXT_PAGES]
     fixed = [r for r in texts if r["support"] >= TEXT_SHARE * support.get(r["parent"], r["support"])]
-    varies = {t: r["chars"] - r["links"] for t, r in elements.items()}
+    # characters of recurring text below each element, added up from the last to the first
+    recurs: Counter = Counter()
     for r in fixed:
-        at = r["parent"]
-        for _ in range(len(rows)):
-            if at in varies:
-                varies[at] -= r["chars"] - r["links"]
-            if at not in elements:
-                break
-            at = elements[at]["parent"]
+        recurs[r["parent"]] += r["chars"] - r["links"]
+    varies: dict[int, int] = {}
+    for t, r in sorted(elements.items(), key=lambda x: -x[1]["place"]):
+        recurs[r["parent"]] += recurs[t]
+        varies[t] = r["chars"] - r["links"] - recurs[t]
     mean = {t: max(0, varies[t]) / elements[t]["support"] for t in elements}
     menus = {t for t, r in elements.items() if r["chars"] and r["links"] >= LINK_SHARE * r["chars"]}
     # the nested template: elements that occur once a page, in page order

@@ -266,6 +266,9 @@ def test_odd_markup():
     began = time.time()
     for odd in ("<a title=\"" * 50_000, "<div>" * 20_000 + "deep", "<nav>" * 20_000 + "deep", "<nav><article>" * 10_000 + "deep", "<" * 200_000, "<p>word " * 50_000, "<a b='" + "x" * 500_000, "<!--" * 50_000, "<script>" * 20_000):
         assert "<div" not in Page(odd).text()
+    deep = "".join(f"<div class=c>t{k}" for k in range(5_000))
+    sets = deduced_by_hand([deep + f"<p>{STORY.format(i=i)}</p>" for i in range(4)])
+    assert Page(deep + "<p>x</p>").slots(*sets).endswith("x")
     assert time.time() - began < 30
 
 
