@@ -159,10 +159,8 @@ def _routed(spark: SparkSession, spec: SinkSpec) -> Sink:
 
 def _table(spark: SparkSession, spec: SinkSpec) -> Sink:
     o = spec.options
-    plain = TableSink(spec.name, o["path"], o.get("key", "id"), o.get("position", ["lsn", "seq"]), spark.createDataFrame([], o["schema"]), spec.subjects, o.get("dlq"), spec.keys)
-    write = plain.write
-    plain.write = lambda batch, epoch: write(spec.shaped(batch), epoch)
-    return plain
+    empty, position = spark.createDataFrame([], o["schema"]), o.get("position", ["lsn", "seq"])
+    return TableSink(spec.name, o["path"], o.get("key", "id"), position, empty, spec.subjects, o.get("dlq"), spec.keys, shape=spec.shaped)
 
 
 def _console(spark: SparkSession, spec: SinkSpec) -> Sink:
@@ -193,10 +191,8 @@ def _kv(spark: SparkSession, spec: SinkSpec) -> Sink:
 
 def _webhook(spark: SparkSession, spec: SinkSpec) -> Sink:
     o = spec.options
-    plain = WebhookSink(spec.name, o["url"], spec.batch_size or 100, o.get("payload", False), o.get("headers"), o.get("timeout", 10.0), spec.subjects)
-    write = plain.write
-    plain.write = lambda batch, epoch: write(spec.shaped(batch), epoch)
-    return plain
+    settings = (o.get("payload", False), o.get("headers"), o.get("timeout", 10.0))
+    return WebhookSink(spec.name, o["url"], spec.batch_size or 100, *settings, spec.subjects, spec.shaped)
 
 
 SOURCES: dict[str, Callable] = {"parquet": _parquet, "json": _json, "snapshot": _snapshot, "wal": _wal, "binlog": _binlog, "poll": _poll}

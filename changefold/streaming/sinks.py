@@ -69,9 +69,9 @@ class WebhookSink:
 
     def __init__(
         self, name: str, url: str, size: int = 100, include_payload: bool = False, headers: dict[str, str] | None = None, timeout: float = 10.0,
-        subjects: list[str] | None = None,
+        subjects: list[str] | None = None, shape: Callable[[DataFrame], DataFrame] = lambda df: df,
     ):
-        self.name, self.url, self.size, self.payload, self.timeout, self.subjects = name, url, size, include_payload, timeout, subjects or []
+        self.name, self.url, self.size, self.payload, self.timeout, self.subjects, self.shape = name, url, size, include_payload, timeout, subjects or [], shape
         self.headers = {"Content-Type": "application/json"} | (headers or {})
 
     def write(self, batch: DataFrame, epoch: int) -> None:
@@ -90,7 +90,7 @@ class WebhookSink:
                         statuses.append(0)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(statuses, pa.int32())], ["batch", "status"])
 
-        posts = webhook_batches(batch, self.size, self.payload).select("batch", "body").mapInArrow(post, "batch long, status int")
+        posts = webhook_batches(self.shape(batch), self.size, self.payload).select("batch", "body").mapInArrow(post, "batch long, status int")
         failed = posts.filter("status not between 200 and 299").agg(F.count("*").alias("n"), F.min("status").alias("s")).collect()[0]
         if failed["n"]:
             raise DeliveryError(f"{failed['n']} posts failed, with status {failed['s']}", "network")
@@ -109,10 +109,10 @@ class TableSink:
 
     def __init__(
         self, name: str, path: str, key: str, position: list[str], empty: DataFrame, subjects: list[str] | None = None, dlq: str | None = None,
-        keys: dict[str, str] | None = None, compact: int = 16,
+        keys: dict[str, str] | None = None, compact: int = 16, shape: Callable[[DataFrame], DataFrame] = lambda df: df,
     ):
         self.name, self.path, self.key, self.position, self.subjects = name, path, key, position, subjects or []
-        self.schema, self.dlq, self.keys, self.compact = empty.schema, dlq or f"{path}/dlq", keys or {}, compact
+        self.schema, self.dlq, self.keys, self.compact, self.shape = empty.schema, dlq or f"{path}/dlq", keys or {}, compact, shape
 
     def _folder(self, spark: SparkSession, name: str):
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -146,7 +146,7 @@ class TableSink:
         if at["done"].get(query, -1) >= epoch:
             return  # done before a restart
         version = at["version"] + 1
-        rows = batch.withColumn("image", F.when(F.col("op") == "d", F.col("before")).otherwise(F.col("after")))
+        rows = self.shape(batch).withColumn("image", F.when(F.col("op") == "d", F.col("before")).otherwise(F.col("after")))
         known, unknown = split_ops(rows)
         empty = known.filter("image is null").withColumn("reason", F.lit("missing image"))
         keyed, keyless = split_keyless(known.filter("image is not null"), self.keys, self.key, self.schema[self.key].dataType.simpleString())
