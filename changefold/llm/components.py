@@ -23,16 +23,35 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     links = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links = saved(links, "cc")
-    before = None
+    before = _state(links)
+    if not before[0]:
+        return links.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _starred(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _starred(large)
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         links = saved(small, "cc")
-        state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).collect()[0]
+        state = _state(links)
         if state == before:
             tops = links.select(F.col("v").alias("node")).distinct()
             return links.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(tops.select("node", F.col("node").alias("comp")))
         before = state
     raise RuntimeError(f"links did not settle in {max_rounds} rounds")
+
+
+def _state(links: DataFrame) -> tuple:
+    """How many links there are and a sum of their hashes."""
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).collect()[0])
+
+
+def extended(comps: DataFrame, more: DataFrame) -> DataFrame:
+    """The components with further links (a, b): only components that these join are
+    looked at, as one node each."""
+    for end in ("a", "b"):
+        known = comps.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
+        more = more.join(known, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("_c", end)).drop("_n", "_c")
+    tops = saved(components(more), "cc").withColumnsRenamed({"node": "_top", "comp": "_to"})
+    moved = comps.join(tops, F.col("comp") == F.col("_top"), "left").select("node", F.coalesce("_to", "comp").alias("comp"))
+    fresh = tops.join(comps, F.col("_top") == F.col("node"), "left_anti").select(F.col("_top").alias("node"), F.col("_to").alias("comp"))
+    return moved.unionByName(fresh)

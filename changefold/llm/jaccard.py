@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from changefold.llm.common import Words, broadcast_if_small, chunks, mix64, saved
-from changefold.llm.components import components
+from changefold.llm.components import components, extended
 
 #: Buckets of the corpus counts, cut into pieces of so many when they are summed.
 BUCKET_BITS, PIECE = 20, 4096
@@ -338,9 +338,12 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     mixed = placed.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select(F.col("token").alias("_t"))
     placed = saved(placed.join(mixed, F.col("token") == F.col("_t"), "left_semi"), "jaccard-mixed")
     rest = near_pairs(placed, unique, percent).join(first, ["a", "b"], "left_anti")
-    more = verified(saved(rest, "jaccard-rest"), docs, n, percent)
-    links = saved(links.unionByName(more).distinct(), "jaccard-links")
-    comps = components(links)
+    more = saved(verified(saved(rest, "jaccard-rest"), docs, n, percent), "jaccard-more")
+    if not more.isEmpty():
+        links = saved(links.unionByName(more).distinct(), "jaccard-links")
+        comps = saved(extended(comps.withColumnsRenamed({"_n": "node", "_c": "comp"}), more), "jaccard-components")
+    else:
+        comps = comps.withColumnsRenamed({"_n": "node", "_c": "comp"})
 
     ids = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("low"))
     tops = comps.join(ids.withColumnRenamed("key", "_k"), F.col("node") == F.col("_k")).groupBy("comp").agg(F.min("low").alias("top")).withColumnRenamed("comp", "_g")

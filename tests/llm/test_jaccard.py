@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from changefold.llm import jaccard
-from changefold.llm.components import components
+from changefold.llm.components import components, extended
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 
@@ -94,6 +94,15 @@ def test_components_of_a_long_path(spark):
     assert got == {(i, 0) for i in range(201)} | {(300, 300), (301, 300)}
 
 
+def test_components_grow_by_more_links(spark):
+    rng = random.Random(6)
+    links = lambda n: [(rng.randrange(60), rng.randrange(60)) for _ in range(n)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    for first, more in ((links(25), links(15)), ([], links(8)), (links(8), []), ([(1, 2), (3, 4)], [(2, 4), (9, 8), (4, 8)])):
+        got = sorted(map(tuple, extended(components(frame(first)), frame(more)).collect()))
+        assert got == sorted(map(tuple, components(frame(first + more)).collect()))
+
+
 def test_keep_one_groups_by_links_alone(spark):
     words = [f"w{i}" for i in range(60)]
     text = lambda k, last="": " ".join(f"{k}{w}" for w in words) + last
