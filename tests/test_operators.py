@@ -222,7 +222,7 @@ def test_metrics_text(spark):
 
 
 def test_registry():
-    with pytest.raises(ValueError, match="append, table"):
+    with pytest.raises(ValueError, match="known are append, bulk, console, kv, routed, table, webhook"):
         builder(SINKS, "nope")
     with pytest.raises(ValueError, match="missing options path"):
         PipelineSpec([SourceSpec("i")]).check()
