@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,6 +130,18 @@ def chunks(texts: list, limit: int = 1 << 20):
         yield start, run
 
 
+def slices(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts hold about ``limit`` bytes; a longer text is a run
+    of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    start = 0
+    while start < batch.num_rows:
+        stop = int(np.searchsorted(sizes, (int(sizes[start - 1]) if start else 0) + limit, side="right"))
+        stop = max(stop, start + 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 class Words:
     """Words of several texts at once: their hashes and the text each belongs to.
 

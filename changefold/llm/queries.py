@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from changefold.llm.bpe import decode_texts, encode_texts
 from changefold.llm.common import table
 from changefold.llm.decontam import report
+from changefold.llm.fim import fill_in_middle, restored
 from changefold.llm.html import extract_pages
 from changefold.llm.jaccard import jaccard_groups
 from changefold.llm.language import identify_pages
@@ -15,6 +18,7 @@ from changefold.llm.lines import dedup_lines
 from changefold.llm.mixing import mix_sources
 from changefold.llm.quality import score_quality
 from changefold.llm.telephony import media_rows
+from changefold.llm.variants import spelling_variants
 from changefold.llm.warc import audit, damaged
 
 
@@ -87,6 +91,59 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def _sha256(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), _sha256(F.col("output")).alias("output_sha256"),
+        _sha256(restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    both = decode_texts(encode_texts(table(spark, sf_dir, "documents"), path), path)
+    return both.select("doc_id", "n_tokens", _sha256(F.col("ids")).alias("ids_sha256"), _sha256(F.col("decoded")).alias("decoded_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), drop_every=199)
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS b, CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS h4 FROM d),
+f AS (SELECT *, least(a, b) AS i, greatest(a, b) AS j, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(t, 1, i) AS prefix, substr(t, i + 1, j - i) AS middle, substr(t, j + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN i END AS prefix_chars, CASE WHEN form <> 'plain' THEN j - i END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle) ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE b AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce([i] || range(8), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS c FROM range(256) t(i))),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS k, hex(encode(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', run))) AS x FROM r GROUP BY ALL),
+h AS (SELECT run, k, xor(4294967295, list_reduce([4294967295] || list_transform(range(length(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT)),
+      lambda c, y: xor(c // 256, tab[xor(c % 256, y) + 1]))) AS h FROM g, b),
+v AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(k) AS BIGINT) AS n FROM h GROUP BY 1),
+w AS (SELECT word, n FROM v WHERE length(word) >= 6 AND n >= 5),
+e AS (SELECT word, n, unnest(range(length(word))) AS i FROM w),
+s AS (SELECT word, n, substr(word, 1, i) || substr(word, i + 2) AS less, i FROM e),
+p AS (SELECT a.word, o.word AS near, o.n AS near_n FROM s a JOIN s o ON a.less = o.less AND a.i = o.i AND a.word <> o.word
+      UNION SELECT a.word, o.word, o.n FROM w a JOIN s o ON a.word = o.less UNION SELECT a.word, o.word, o.n FROM s a JOIN w o ON a.less = o.word),
+q AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM p GROUP BY word),
+z AS (SELECT p.word, min(near) AS near, min(near_n) AS near_n, min(n_near) AS n_near FROM p JOIN q ON p.word = q.word AND near_n = top GROUP BY p.word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM w LEFT JOIN z ON z.word = w.word),
+c AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL),
+t AS (SELECT c.word, c.root FROM c JOIN f ON f.word = c.root WHERE f.form IS NULL)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN t ON t.word = f.word
+"""
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, CAST('0x' || substr(md5(concat_ws('|', '17', CAST(doc_id AS VARCHAR), text)), 1, 15) AS BIGINT) AS key FROM documents),
 s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
@@ -163,5 +220,5 @@ FROM (SELECT doc_id, row_number() OVER () AS rid FROM documents) d JOIN w ON w.r
 """
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_jaccard_join": op2_jaccard_join, "op3_line_dedup": op3_line_dedup, "op4_html_extraction": op4_html_extraction, "op5_telephony_audio": op5_telephony_audio, "op6_decontamination": op6_decontamination, "op7_warc_fixity": op7_warc_fixity, "op8_language_id": op8_language_id, "op9_license_scan": op9_license_scan, "op10_quality_classifier": op10_quality_classifier}
-ORACLE: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL, "op7_warc_fixity": OP7_SQL, "op9_license_scan": _license_sql()}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_jaccard_join": op2_jaccard_join, "op3_line_dedup": op3_line_dedup, "op4_html_extraction": op4_html_extraction, "op5_telephony_audio": op5_telephony_audio, "op6_decontamination": op6_decontamination, "op7_warc_fixity": op7_warc_fixity, "op8_language_id": op8_language_id, "op9_license_scan": op9_license_scan, "op10_quality_classifier": op10_quality_classifier, "op11_fill_in_middle": op11_fill_in_middle, "op12_byte_bpe": op12_byte_bpe, "op13_spelling_variants": op13_spelling_variants}
+ORACLE: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL, "op7_warc_fixity": OP7_SQL, "op9_license_scan": _license_sql(), "op11_fill_in_middle": OP11_SQL, "op13_spelling_variants": OP13_SQL}
