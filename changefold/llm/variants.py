@@ -28,6 +28,8 @@ from changefold.llm.common import ascii_lower, broadcast_if_small, saved
 RUN = r"[A-Za-zÀ-ÿ]+"
 #: Words that a part of a set holds; a set beyond this many is dealt into parts.
 PART = 2048
+#: Pairs that go to Spark at once.
+BATCH = 8192
 
 
 class PositionIndex:
@@ -142,27 +144,40 @@ def _half(size: Column) -> Column:
 
 
 def _pairs_of_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs of the tiles of a partition, whose rows are sorted by tile."""
-    now, rows = None, []
+    """Near pairs of the tiles of a partition, whose rows are sorted by tile; batches of a few
+    thousand pairs, however small the tiles are."""
+    made: list[tuple] = []
+    for tile, rows in _tiles(batches):
+        for pair in _pairs_of_tile(tile, rows):
+            made.append(pair)
+            if len(made) >= BATCH:
+                yield _batch(made)
+                made = []
+    if made:
+        yield _batch(made)
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[tuple]]]:
+    """Each tile with its rows (part, word, n), if there are two or more."""
+    now, rows = [], []
     for batch in batches:
         for *tile, part, word, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if tile != now:
-                yield from _pairs_of_tile(now, rows)
+                if len(rows) > 1:
+                    yield now, rows
                 now, rows = tile, []
             rows.append((part, word, n))
-    yield from _pairs_of_tile(now, rows)
+    if len(rows) > 1:
+        yield now, rows
 
 
-def _pairs_of_tile(tile: list | None, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+def _pairs_of_tile(tile: list, rows: list[tuple]) -> Iterator[tuple[str, str, int]]:
     """Near pairs of one tile, in both directions. In the sets by last letters, pairs that share
     their first ones are left out, as they are in a set by first letters too; in the sets of a class,
     pairs whose shorter word is of another class."""
-    if len(rows) < 2:
-        return
     side, size, _, low, high = tile
     index = PositionIndex([w for p, w, _ in rows if p == low])
     counts = [n for p, _, n in rows if p == low]
-    left, right, n_right = [], [], []
     for p, word, n in rows:
         if p != high:
             continue
@@ -170,20 +185,14 @@ def _pairs_of_tile(tile: list | None, rows: list[tuple]) -> Iterator[pa.RecordBa
             other = index.words[i]
             if low == high and other > word:
                 continue  # found from the other word
-            if min(len(word), len(other)) != size or (side and word[: size // 2] == other[: size // 2]):
-                continue
-            left += [word, other]
-            right += [other, word]
-            n_right += [counts[i], n]
-        if len(left) >= 1 << 16:
-            yield _batch(left, right, n_right)
-            left, right, n_right = [], [], []
-    if left:
-        yield _batch(left, right, n_right)
-
-
-def _batch(*columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["word", "near", "near_n"])
+            if min(len(word), len(other)) == size and not (side and word[: size // 2] == other[: size // 2]):
+                yield word, other, counts[i]
+                yield other, word, n
+
+
+def _batch(pairs: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*pairs, strict=True), kinds, strict=True)], ["word", "near", "near_n"])
 
 
 def variant_groups(words: DataFrame, ratio: int = 5) -> DataFrame:
