@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changefold.functions.scalars import sanitize_doc
 from changefold.operators.routing import extract_id
 
+#: Bytes of a request, if no other bound is named.
+REQUEST_BYTES = 5 << 20
+
 
 def payload_size(before: Column, after: Column) -> Column:
     """Bytes of the images as JSON."""
@@ -51,15 +58,54 @@ def bulk_actions(df: DataFrame, clean: bool = False) -> DataFrame:
 def bulk_text(actions: DataFrame) -> DataFrame:
     """Actions as lines of newline-delimited JSON: a head, and for index a document."""
     head = F.to_json(F.create_map("action", F.struct(F.col("target").alias("_index"), F.col("doc_id").alias("_id"))))
-    return actions.select("seq", F.concat_ws("\n", head, F.to_json("doc")).alias("value"))
+    return actions.select("seq", "target", "doc_id", F.concat_ws("\n", head, F.to_json("doc")).alias("value"))
+
 
+def pack_requests(
+    rows: DataFrame, size: int, max_bytes: int, order: list[str], by: list[Column] | None = None, frame: tuple[str, str, str] = ("", "\n", "\n"),
+) -> DataFrame:
+    """Pack the texts ``value`` into requests: task, request (from 0 in each task), n, bytes, value.
 
-def bulk_requests(actions: DataFrame, size: int = 100) -> DataFrame:
-    """Requests of at most ``size`` actions in order of seq, which counts the log from 1:
-    request, n, value."""
-    lines = bulk_text(actions).withColumn("request", F.floor((F.col("seq") - 1) / size).cast("long"))
-    packed = lines.groupBy("request").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("seq", "value"))).alias("v"))
-    return packed.select("request", "n", F.concat(F.array_join("v.value", "\n"), F.lit("\n")).alias("value"))
+    A request has at most ``size`` texts and ``max_bytes`` bytes, with what ``frame`` puts before, between
+    and after them; a text that is longer is a request of its own. Rows are packed where they
+    are, in ``order`` within their partition, or dealt by ``by`` first, so that what shares
+    these columns is posted in order by one task. A task holds one request, whatever its rows; rows without text are left out.
+    """
+    begin, between, end = (f.encode() for f in frame)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made, parts, held, done, waiting = TaskContext.get().partitionId(), 0, [], len(begin) + len(end), [], 0
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                if parts and (len(parts) >= size or held + len(between) + len(text) > max_bytes):
+                    done.append((task, made, len(parts), held, begin + between.join(parts) + end))
+                    waiting += held
+                    made, parts, held = made + 1, [], len(begin) + len(end)
+                    if waiting >= max_bytes:
+                        yield _requests(done)
+                        done, waiting = [], 0
+                held += len(text) + (len(between) if parts else 0)
+                parts.append(text)
+        if parts:
+            done.append((task, made, len(parts), held, begin + between.join(parts) + end))
+        if done:
+            yield _requests(done)
+
+    rows = rows.filter("value is not null")
+    rows = rows.repartition(*by) if by else rows
+    return rows.sortWithinPartitions(*order).select("value").mapInArrow(pack, "task int, request long, n long, bytes long, value string")
+
+
+def _requests(done: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    columns = [pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([*columns[:-1], columns[-1].cast(pa.string())], ["task", "request", "n", "bytes", "value"])
+
+
+def bulk_requests(actions: DataFrame, size: int = 100, max_bytes: int = REQUEST_BYTES) -> DataFrame:
+    """Requests of at most ``size`` actions and ``max_bytes`` bytes (see ``pack_requests``). Actions on
+    one document are in one task, in order of seq; new documents without an id go anywhere."""
+    return pack_requests(bulk_text(actions), size, max_bytes, ["seq"], [F.col("target"), F.coalesce("doc_id", F.col("seq").cast("string"))])
 
 
 def bulk_item_errors(responses: DataFrame) -> DataFrame:
@@ -89,15 +135,11 @@ def kv_commands(df: DataFrame, command: str = "hset", ttl: int = 0, value: Colum
     return rows.select("seq", F.when(gone, drop).otherwise(kind).alias("command"), "key", args.alias("args"), F.when(~gone & F.lit(ttl > 0), F.lit(ttl)).alias("ttl"))
 
 
-def webhook_batches(df: DataFrame, size: int = 100, include_payload: bool = False) -> DataFrame:
-    """Posts of at most ``size`` changes in order of seq: batch, n, body (a JSON array).
-
-    Batches follow seq, which counts the log from 1, so no global numbering is needed.
-    """
+def webhook_batches(df: DataFrame, size: int = 100, include_payload: bool = False, max_bytes: int = REQUEST_BYTES, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """Posts of at most ``size`` changes and ``max_bytes`` bytes, as JSON arrays (see
+    ``pack_requests``): the changes of a partition, in ``order``."""
     fields = ["instance_id", "schema", F.col("tbl").alias("table"), "op", "offset", "lsn", *(["before", "after"] if include_payload else [])]
-    rows = df.select(F.floor((F.col("seq") - 1) / size).cast("long").alias("batch"), "seq", F.to_json(F.struct(*fields)).alias("j"))
-    packed = rows.groupBy("batch").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("seq", "j"))).alias("js"))
-    return packed.select("batch", "n", F.concat(F.lit("["), F.array_join("js.j", ","), F.lit("]")).alias("body"))
+    return pack_requests(df.select(*order, F.to_json(F.struct(*fields)).alias("value")), size, max_bytes, [*order], frame=("[", ",", "]"))
 
 
 def failed_batches(posts: DataFrame) -> DataFrame:

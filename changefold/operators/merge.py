@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changefold.model import OPS
 
@@ -81,6 +82,15 @@ def apply_fold(folded: DataFrame, base: DataFrame, key: str) -> DataFrame:
     return both.filter(~dead).select(F.coalesce(F.col(key), F.col("_key")).alias(key), *[value(c) for c in base.columns if c != key])
 
 
+def live_rows(folded: DataFrame, schema: T.StructType, key: str) -> DataFrame:
+    """The rows that a fold, one row per key, leaves of nothing, typed as the table is."""
+    dead = F.col("gone").isNotNull() & (F.col("alive").isNull() | (F.col("alive") < F.col("gone")))
+    cell = lambda c: F.when(F.col("gone").isNull() | (F.col(f"_{c}")["at"] > F.col("gone")), F.col(f"_{c}")["value"])
+    return folded.filter(~dead).select(*[
+        F.col("key").cast(f.dataType).alias(f.name) if f.name == key else cell(f.name).try_cast(f.dataType).alias(f.name) for f in schema
+    ])
+
+
 def upsert(base: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Whole records of ``rows`` replace or join those of ``base``."""
     kept = base.join(rows.select(key).distinct(), key, "left_anti")

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from changefold.operators.actions import append_rows, bulk_actions, bulk_requests, console_lines, kv_commands
+from changefold.operators.actions import REQUEST_BYTES, append_rows, bulk_actions, bulk_requests, console_lines, kv_commands
 from changefold.operators.filters import Predicate, Transformer, apply_filters, apply_transformers, compute_fields, rename_fields, select_image, table_allowed
 from changefold.operators.routing import build_key, route_target, value_fields
 from changefold.sources.changes import fan_in, read_changes
 from changefold.sources.decode import binlog_rows_to_events, poll_rows_to_events, wal_rows_to_events
 from changefold.sources.poll import PollSource
-from changefold.sources.snapshot import snapshot_to_events
+from changefold.sources.snapshot import digest, row_number, snapshot_to_events
 from changefold.streaming.log import KEEP_DAYS, PARTITIONS, dedup_stream, publish_log, to_messages
 from changefold.streaming.sinks import AppendSink, FunctionSink, Sink, TableSink, WebhookSink, run_sink
 
@@ -120,18 +120,28 @@ def _json(spark: SparkSession, spec: SourceSpec, stream: bool) -> DataFrame:
 
 
 def _snapshot(spark: SparkSession, spec: SourceSpec, stream: bool) -> DataFrame:
+    """A row's identity is its place, file and row, so keys need not tell rows apart, and a
+    restart gives the same."""
     o = spec.options
-    events = snapshot_to_events(_rows(spark, o["path"], stream, spec), o["table"], spec.instance_id, o["key"])
-    return events.withColumn("seq", F.col("ordinal")).withColumn("ts", F.current_timestamp())
+    place = digest(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    events = snapshot_to_events(_rows(spark, o["path"], stream, spec), o["table"], spec.instance_id, row_id=place)
+    return events.withColumn("seq", row_number(F.col("row_id"))).withColumn("ts", F.current_timestamp())
+
+
+def _told_apart(events: DataFrame) -> DataFrame:
+    """Events with a digest of what they say, as rows of one transaction may share a position; the
+    same event delivered twice has the same."""
+    sorted_image = lambda c: F.to_json(F.array_sort(F.map_entries(c)))
+    return events.withColumn("row_id", digest(F.col("op"), sorted_image("before"), sorted_image("after"))).withColumn("seq", F.col("lsn"))
 
 
 def _wal(spark: SparkSession, spec: SourceSpec, stream: bool) -> DataFrame:
     relations = spark.read.parquet(spec.options["relations"])
-    return wal_rows_to_events(_rows(spark, spec.options["path"], stream, spec), relations, spec.instance_id).withColumn("seq", F.col("lsn"))
+    return _told_apart(wal_rows_to_events(_rows(spark, spec.options["path"], stream, spec), relations, spec.instance_id))
 
 
 def _binlog(spark: SparkSession, spec: SourceSpec, stream: bool) -> DataFrame:
-    return binlog_rows_to_events(_rows(spark, spec.options["path"], stream, spec), spec.instance_id).withColumn("seq", F.col("lsn"))
+    return _told_apart(binlog_rows_to_events(_rows(spark, spec.options["path"], stream, spec), spec.instance_id))
 
 
 def _poll(spark: SparkSession, spec: SourceSpec, stream: bool) -> DataFrame:
@@ -159,8 +169,8 @@ def _routed(spark: SparkSession, spec: SinkSpec) -> Sink:
 
 def _table(spark: SparkSession, spec: SinkSpec) -> Sink:
     o = spec.options
-    empty, position = spark.createDataFrame([], o["schema"]), o.get("position", ["lsn", "seq"])
-    return TableSink(spec.name, o["path"], o.get("key", "id"), position, empty, spec.subjects, o.get("dlq"), spec.keys, shape=spec.shaped)
+    empty, position = spark.createDataFrame([], o["schema"]), o.get("position", ["lsn", "seq", "instance_id"])
+    return TableSink(spec.name, o["path"], o.get("key", "id"), position, empty, spec.subjects, o.get("dlq"), spec.keys, shape=spec.shaped, buckets=o.get("buckets", 16))
 
 
 def _console(spark: SparkSession, spec: SinkSpec) -> Sink:
@@ -174,9 +184,9 @@ def _console(spark: SparkSession, spec: SinkSpec) -> Sink:
 
 
 def _bulk(spark: SparkSession, spec: SinkSpec) -> Sink:
-    """Requests of a document index as text, of at most ``batch_size`` actions each."""
-    size, clean = spec.batch_size or 100, spec.options.get("clean", False)
-    return AppendSink(spec.name, spec.options["path"], lambda df: bulk_requests(bulk_actions(spec.routed(df), clean), size).select("value"), spec.subjects, form="text")
+    """Requests of a document index as text, of at most ``batch_size`` actions and ``max_bytes`` bytes each."""
+    size, clean, most = spec.batch_size or 100, spec.options.get("clean", False), spec.options.get("max_bytes", REQUEST_BYTES)
+    return AppendSink(spec.name, spec.options["path"], lambda df: bulk_requests(bulk_actions(spec.routed(df), clean), size, most).select("value"), spec.subjects, form="text")
 
 
 def _kv(spark: SparkSession, spec: SinkSpec) -> Sink:
@@ -192,13 +202,13 @@ def _kv(spark: SparkSession, spec: SinkSpec) -> Sink:
 def _webhook(spark: SparkSession, spec: SinkSpec) -> Sink:
     o = spec.options
     settings = (o.get("payload", False), o.get("headers"), o.get("timeout", 10.0))
-    return WebhookSink(spec.name, o["url"], spec.batch_size or 100, *settings, spec.subjects, spec.shaped)
+    return WebhookSink(spec.name, o["url"], spec.batch_size or 100, *settings, spec.subjects, spec.shaped, o.get("max_bytes", REQUEST_BYTES))
 
 
 SOURCES: dict[str, Callable] = {"parquet": _parquet, "json": _json, "snapshot": _snapshot, "wal": _wal, "binlog": _binlog, "poll": _poll}
 SINKS: dict[str, Callable] = {"append": _append, "routed": _routed, "table": _table, "console": _console, "bulk": _bulk, "kv": _kv, "webhook": _webhook}
 NEEDED = {
-    "parquet": ("path",), "json": ("path",), "snapshot": ("path", "table", "key"), "wal": ("path", "relations"), "binlog": ("path",), "poll": ("table",),
+    "parquet": ("path",), "json": ("path",), "snapshot": ("path", "table"), "wal": ("path", "relations"), "binlog": ("path",), "poll": ("table",),
     "append": ("path",), "routed": ("path", "columns"), "table": ("path", "schema"), "bulk": ("path",), "kv": ("path",), "webhook": ("url",),
 }
 

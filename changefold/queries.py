@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from changefold.functions import scalars
@@ -73,11 +74,48 @@ def src1(spark, d):
 @query(
     "src8_snapshot_to_events",
     "SELECT 'inst0' AS instance_id, 'public' AS \"schema\", 'orders' AS tbl, 'r' AS op, 0 AS lsn, CAST(o_orderkey AS VARCHAR) "
-    "AS id, o_orderstatus AS status, o_orderkey AS ordinal FROM orders",
+    "AS id, o_orderstatus AS status, 32 AS id_length FROM orders",
 )
 def src8(spark, d):
     events = snapshot.snapshot_to_events(table(spark, d, "orders"), "public.orders", "inst0", "o_orderkey")
-    return events.select("instance_id", "schema", "tbl", "op", "lsn", F.col("after")["o_orderkey"].alias("id"), F.col("after")["o_orderstatus"].alias("status"), "ordinal")
+    return events.select(
+        "instance_id", "schema", "tbl", "op", "lsn", F.col("after")["o_orderkey"].alias("id"), F.col("after")["o_orderstatus"].alias("status"),
+        F.length("row_id").alias("id_length"),
+    )
+
+
+LINE_SUMS = "count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS quantity, CAST(sum(l_orderkey) AS BIGINT) AS orders, CAST(sum(l_linenumber) AS BIGINT) AS lines"
+
+
+@query(
+    "src8_snapshot_through_log",
+    f"SELECT 'lineitem' AS tbl, l_returnflag AS kind, {LINE_SUMS} FROM lineitem GROUP BY 2 UNION ALL SELECT 'customer', c_mktsegment, count(*), NULL, CAST(sum(c_custkey) AS BIGINT), NULL FROM customer GROUP BY 2",
+)
+def src8_log(spark, d):
+    """Snapshots through the log and its dedup: lineitem, whose order keys repeat, and customers, keyed by
+    name. The second start of the pipeline adds nothing."""
+    out = scratch_dir(spark, "src8")
+    table(spark, d, "lineitem").write.parquet(f"{out}/lineitem")
+    table(spark, d, "customer").write.parquet(f"{out}/customer")
+    sources = [pipeline.SourceSpec("crm", "snapshot", options={"path": f"{out}/{t}", "table": t}) for t in ("lineitem", "customer")]
+    for _ in range(2):
+        pipeline.Pipeline(spark, pipeline.PipelineSpec(sources, log=f"{out}/log"), f"{out}/cursors").run_once()
+    after = F.col("after")
+    log = spark.read.parquet(f"{out}/log").select("tbl", F.coalesce(after["l_returnflag"], after["c_mktsegment"]).alias("kind"), "after")
+    number = lambda c, t: F.sum(after[c].cast(t))
+    return log.groupBy("tbl", "kind").agg(
+        F.count("*").alias("n"), number("l_quantity", "double").alias("quantity"), F.coalesce(number("l_orderkey", "long"), number("c_custkey", "long")).alias("orders"),
+        number("l_linenumber", "long").alias("lines"),
+    )
+
+
+@query("src8_keyless_rows", "SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, count(*) AS ids FROM lineitem GROUP BY 1, 2")
+def src8_keyless(spark, d):
+    """Two columns of lineitem, of which a few values fill the table: each copy has an id of its own."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus")
+    events = snapshot.snapshot_to_events(rows, "flags", "inst0")
+    messages = logs.to_messages(events).select("msg_id", F.col("after")["l_returnflag"].alias("flag"), F.col("after")["l_linestatus"].alias("status"))
+    return messages.groupBy("flag", "status").agg(F.count("*").alias("n"), F.count_distinct("msg_id").alias("ids"))
 
 
 def _instances(spark, d):
@@ -311,10 +349,42 @@ def io11(spark, d):
     return entries.groupBy("key", "kind").agg(k.alias("k"), F.count("*").cast("int").alias("n_fields"))
 
 
-@query("io12_webhook_batches", """WITH {CHG}, j AS (SELECT seq, '{"instance_id":"' || instance_id || '","schema":"public","table":"' || tbl || '","op":"' || op || '","offset":"' || "offset" || '","lsn":' || lsn || '}' AS j FROM log)
-  SELECT (seq - 1) // 100 AS batch, count(*) AS n, md5('[' || string_agg(j, ',' ORDER BY seq) || ']') AS body FROM j GROUP BY 1""")
+def _fanned(spark, d):
+    """The log of three more instances with the same, sparse numbers: no seq counts 1, 2, 3 ..."""
+    log = change_log(spark, d).withColumn("seq", F.col("seq") * 1000)
+    return log.unionByName(log.withColumn("instance_id", F.concat(F.lit("more"), "instance_id")))
+
+
+@query(
+    "io12_webhook_batches",
+    "WITH {CHG} SELECT p || instance_id AS instance_id, op, tbl, \"offset\", lsn, true AS bounded FROM log, (VALUES (''), ('more')) AS v(p)",
+)
 def io12(spark, d):
-    return actions.webhook_batches(change_log(spark, d)).select("batch", "n", F.md5("body").alias("body"))
+    """What posts of at most 100 changes and 8,000 bytes hold."""
+    posts = actions.webhook_batches(_fanned(spark, d), 100, max_bytes=8000)
+    each = "array<struct<instance_id:string,table:string,op:string,offset:string,lsn:bigint>>"
+    bounded = (F.col("n") <= 100) & (F.col("bytes") <= 8000) & (F.octet_length("value") == F.col("bytes")) & (F.size("c") == F.col("n"))
+    rows = posts.withColumn("c", F.from_json("value", each)).select(F.explode("c").alias("e"), bounded.alias("bounded"))
+    return rows.select("e.instance_id", "e.op", F.col("e.table").alias("tbl"), "e.offset", "e.lsn", "bounded")
+
+
+@query(
+    "io8_bulk_requests",
+    "WITH {CHG} SELECT 'cdc_' || p || instance_id || '_' || tbl AS target, CAST(pk AS VARCHAR) AS doc_id, count(*) AS n, true AS bounded, true AS in_order FROM log, (VALUES (''), ('more')) AS v(p) GROUP BY 1, 2",
+)
+def io8_requests(spark, d):
+    """Actions by document in requests of at most 50 actions, and whether they are in order of k, set
+    here to count with seq."""
+    rows = routing.route_target(filters.select_image(_fanned(spark, d).withColumn("after", F.create_map(F.lit("id"), F.col("pk").cast("string"), F.lit("at"), F.col("seq").cast("string"))).withColumn("op", F.lit("u"))), prefix="cdc_")
+    requests = actions.bulk_requests(actions.bulk_actions(rows), 50)
+    lines = requests.select("task", "request", (F.col("n") <= 50).alias("bounded"), F.posexplode(F.split(F.rtrim("value"), "\n")).alias("line", "text"))
+    lines = lines.select("task", "request", "bounded", (F.col("line") / 2).cast("int").alias("place"), (F.col("line") % 2).alias("part"), "text")
+    pairs = lines.groupBy("task", "request", "place", "bounded").agg(F.max(F.when(F.col("part") == 0, F.col("text"))).alias("head"), F.max(F.when(F.col("part") == 1, F.col("text"))).alias("doc"))
+    head = F.from_json("head", "index struct<_index:string,_id:string>")["index"]
+    each = pairs.select(head["_index"].alias("target"), head["_id"].alias("doc_id"), "bounded", F.struct("task", "request", "place").alias("p"), F.get_json_object("doc", "$.at").cast("long").alias("at"))
+    before = F.lag("at").over(W.partitionBy("target", "doc_id").orderBy("p"))
+    each = each.withColumn("rises", F.coalesce(before < F.col("at"), F.lit(True)))
+    return each.groupBy("target", "doc_id").agg(F.count("*").alias("n"), F.every("bounded").alias("bounded"), F.every("rises").alias("in_order"))
 
 
 @query(
@@ -1069,17 +1139,18 @@ def io1(spark, d):
     return spark.read.schema("seq long, op string, tbl string").parquet(f"{out}/rows").select("seq", "op", "tbl")
 
 
-@query("io6_table_sink", "WITH {CHG}, " + FOLD + " SELECT pk AS id, CASE WHEN has_v THEN value END AS value, k FROM f")
+@query("io6_table_sink", "WITH {CHG}, " + FOLD + " SELECT id, value, k FROM res")
 def io6(spark, d):
-    """The table after a restart between any two of four batches."""
+    """The customers' table after four batches of the log that came in no order, with a restart
+    between any two: it is the one of ``apply_changes``."""
     out, log = scratch_dir(spark, "io6"), _envelopes(spark, d)
-    size = -(-log.count() // 4)
-    empty = spark.createDataFrame([], "id long, value double, k long")
-    for i in range(4):
-        log.filter(F.col("seq").between(i * size + 1, (i + 1) * size)).write.mode("append").parquet(f"{out}/log")
-        sink = sinks.TableSink("store", f"{out}/table", "id", ["lsn", "seq"], empty, ["cdc.*.public.accounts"], compact=3)
-        sinks.run_sink(reading.read_changes(spark, f"{out}/log", stream=True), sink, f"{out}/cursors").awaitTermination()
-    return sink.read(spark)
+    customers = _customers(spark, d)
+    make = lambda: sinks.TableSink("store", f"{out}/table", "id", ["lsn", "seq"], customers, ["cdc.*.public.accounts"], compact=3, buckets=4)
+    make().table.seed(customers)
+    for i in (2, 0, 3, 1):
+        log.filter(F.pmod(F.xxhash64("seq"), F.lit(4)) == i).write.mode("append").parquet(f"{out}/log")
+        sinks.run_sink(reading.read_changes(spark, f"{out}/log", stream=True), make(), f"{out}/cursors").awaitTermination()
+    return make().read(spark)
 
 
 @query("io17_bulk_retry", "WITH {CHG} SELECT seq, CASE WHEN op = 'd' THEN 'delete' ELSE 'index' END AS action, 3 AS tries FROM log")
@@ -1226,7 +1297,7 @@ def ud6(spark, d):
     _envelopes(spark, d).write.json(f"{out}/log")
     sources = [
         pipeline.SourceSpec("log", "json", ["purchases"], {"path": f"{out}/log"}),
-        pipeline.SourceSpec("crm", "snapshot", options={"path": _kept(spark, orders, "ud6-orders"), "table": "orders", "key": "o_orderkey"}),
+        pipeline.SourceSpec("crm", "snapshot", options={"path": _kept(spark, orders, "ud6-orders"), "table": "orders"}),
     ]
     sink = pipeline.SinkSpec("rows", "routed", ["cdc.inst1.>", "cdc.crm.>"], {"path": f"{out}/rows", "columns": {"id": "bigint"}}, prefix="")
     pipeline.Pipeline(spark, pipeline.PipelineSpec(sources, [sink], log=f"{out}/messages"), f"{out}/cursors").run_once()

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changefold.streaming.log import assign_batches
 
@@ -14,17 +15,62 @@ from changefold.streaming.log import assign_batches
 CHUNK_ROWS, CLAIM_SECONDS = 8000, 30
 
 
-def snapshot_to_events(df: DataFrame, name: str, instance: str, key: str) -> DataFrame:
-    """A whole table as read events: op r, lsn 0, and the row as image. The schema is public
-    unless the name has one."""
+def digest(*columns: Column) -> Column:
+    """128 bits of some values, as text; null and the empty text differ."""
+    return F.md5(F.to_json(F.array(*[c.cast("string") for c in columns])).cast("binary"))
+
+
+def whole_row(df: DataFrame) -> list[Column]:
+    """Columns that tell rows apart, those that don't cast to text as JSON."""
+    plain = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
+    return [F.to_json(F.struct(F.col(f"`{f.name}`"))) if isinstance(f.dataType, plain) else F.col(f"`{f.name}`") for f in df.schema]
+
+
+def number_copies(df: DataFrame, name: str = "row_id", most: int = 100_000) -> DataFrame:
+    """The rows with a column ``name``: a digest of the row and, for equal rows, which copy it is.
+
+    Equal rows are counted, not gathered: counts are added up before the shuffle, and a row is written out as often
+    as it was counted, in runs of ``most`` copies that are dealt out anew, so that one row that
+    fills a table is no hot key.
+    """
+    copies = df.withColumn("_d", digest(*whole_row(df))).groupBy("_d").agg(F.any_value(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("_r"), F.count("*").alias("_n"))
+    few, many = copies.filter(F.col("_n") <= most), copies.filter(F.col("_n") > most)
+    span = lambda a, b: F.explode(F.sequence(a, b))
+    runs = many.select("_d", "_r", "_n", span(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / most)).alias("_run")).repartition("_d", "_run")
+    ends = F.least(F.col("_n"), (F.col("_run") + 1) * most) - 1
+    each = few.select("_d", "_r", span(F.lit(0).cast("long"), F.col("_n") - 1).alias("_c")).unionByName(runs.select("_d", "_r", span(F.col("_run") * most, ends).alias("_c")))
+    return each.select("_r.*", F.concat_ws(".", "_d", F.col("_c").cast("string")).alias(name))
+
+
+def snapshot_to_events(df: DataFrame, name: str, instance: str, key: str | list[str] | None = None, row_id: Column | None = None) -> DataFrame:
+    """A whole table as read events: op r, lsn 0, the row as image, and ``row_id``, which goes
+    into the message id, as all rows of a snapshot share an offset. The schema is public unless the name has one.
+
+    ``row_id`` is the given column, else a digest of the key columns' names and of the row, so that rows
+    which a key that isn't one doesn't tell apart stay apart; without a key (and on a batch
+    only) equal rows are numbered.
+    """
     schema, _, table = name.rpartition(".") if name.count(".") == 1 else ("public", "", name)
-    image = F.map_from_arrays(F.array(*[F.lit(c) for c in df.columns]), F.array(*[F.col(c).cast("string") for c in df.columns]))
-    return df.select(
+    columns = df.columns
+    if row_id is not None:
+        rows = df.withColumn("_row_id", row_id)
+    elif key is None:
+        rows = number_copies(df, "_row_id")
+    else:
+        keys = [key] if isinstance(key, str) else key
+        rows = df.withColumn("_row_id", digest(F.lit(",".join(keys)), *[F.col(f"`{k}`") for k in keys], *whole_row(df)))
+    image = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(f"`{c}`").cast("string") for c in columns]))
+    return rows.select(
         F.lit(instance).alias("instance_id"), F.lit(schema).alias("schema"), F.lit(table).alias("tbl"), F.lit("r").alias("op"), F.lit("0").alias("offset"), F.lit(0).cast("long").alias("lsn"),
-        F.col(key).cast("long").alias("ordinal"), F.lit(None).cast("map<string,string>").alias("before"), image.alias("after"),
+        F.col("_row_id").alias("row_id"), F.lit(None).cast("map<string,string>").alias("before"), image.alias("after"),
     )
 
 
+def row_number(row_id: Column) -> Column:
+    """60 bits of a row's digest, as ``seq`` of rows that have no number of their own."""
+    return F.conv(F.substring(F.md5(row_id.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def should_snapshot(instances: DataFrame, offsets: DataFrame) -> DataFrame:
     """Whether each instance (instance_id, mode) needs a snapshot: always does; initial, or no
     mode, does without a saved offset; any other mode doesn't. Letter case is ignored."""
@@ -115,7 +161,7 @@ def handle_rows(df: DataFrame, handler: Callable[[pd.DataFrame], pd.DataFrame],
 
 def hand_off(snapshot: DataFrame, changes: DataFrame, snapshot_lsn: int) -> DataFrame:
     """The snapshot's events, placed first, then the changes beyond its position. ``phase``
-    and then lsn and ordinal order them."""
+    and then lsn order them."""
     first = snapshot.withColumn("phase", F.lit(0))
     later = changes.filter(F.col("lsn") > snapshot_lsn).withColumn("phase", F.lit(1))
     return first.unionByName(later, allowMissingColumns=True)

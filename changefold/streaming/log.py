@@ -27,8 +27,8 @@ def to_messages(df: DataFrame, topic: str = "cdc", ordinals: tuple[str, ...] | N
     if positive, offset and id only if the offset isn't empty.
 
     Rows of a snapshot, a poll or a rows event share one offset. Where a row has an
-    ``ordinal``, its id therefore has its table and ordinal too, unless ``ordinals`` names
-    other columns (none for the bare id).
+    ``ordinal`` or a ``row_id``, its id therefore has its table and these in it too, unless
+    ``ordinals`` names other columns (none for the bare id).
     """
     rows = df.withColumn("topic", F.coalesce(F.nullif(F.lit(topic), F.lit("")), F.lit("cdc")))
     has = F.coalesce("offset", F.lit("")) != ""
@@ -38,10 +38,9 @@ def to_messages(df: DataFrame, topic: str = "cdc", ordinals: tuple[str, ...] | N
     )
     if ordinals is not None:
         more = [F.col(o) for o in ordinals]
-    elif "ordinal" in df.columns:
-        more = [F.when(F.col("ordinal").isNotNull(), F.concat_ws(".", "schema", "tbl")), F.col("ordinal")]
     else:
-        more = []
+        own = [F.col(c) for c in ("ordinal", "row_id") if c in df.columns]
+        more = [F.when(F.coalesce(*[c.cast("string") for c in own]).isNotNull(), F.concat_ws(".", "schema", "tbl")), *own] if own else []
     rows = rows.withColumn("subject", build_subject(F.col("topic"), F.col("instance_id"), F.col("schema"), F.col("tbl")))
     rows = rows.withColumn("headers", F.map_filter(all_, lambda k, v: v.isNotNull()))
     return rows.withColumn("msg_id", msg_id(F.col("instance_id"), F.col("offset"), *more))

@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from changefold.operators.actions import webhook_batches
+from changefold.operators.actions import REQUEST_BYTES, webhook_batches
 from changefold.operators.filters import subject_match
-from changefold.operators.merge import apply_fold, fold, merge_folds, split_keyless, split_ops
+from changefold.operators.merge import split_keyless, split_ops
 from changefold.streaming.log import BASE_MS, CAP_MS, MAX_RETRIES, PERMANENT, DeliveryError, dead_letters, error_kind
+from changefold.streaming.tables import MergeTable
 
 
 class Sink(Protocol):
@@ -64,15 +65,15 @@ class AppendSink:
 
 
 class WebhookSink:
-    """Posts each batch as JSON arrays of at most ``size`` changes, from the tasks that hold
-    them. A status outside 200 to 299 fails the batch, which is then tried again as a whole."""
+    """Posts each batch as JSON arrays of at most ``size`` changes and ``max_bytes`` bytes, from the
+    tasks that hold them. A status outside 200 to 299 fails the batch, which is then tried again as a whole."""
 
     def __init__(
         self, name: str, url: str, size: int = 100, include_payload: bool = False, headers: dict[str, str] | None = None, timeout: float = 10.0,
-        subjects: list[str] | None = None, shape: Callable[[DataFrame], DataFrame] = lambda df: df,
+        subjects: list[str] | None = None, shape: Callable[[DataFrame], DataFrame] = lambda df: df, max_bytes: int = REQUEST_BYTES,
     ):
         self.name, self.url, self.size, self.payload, self.timeout, self.subjects, self.shape = name, url, size, include_payload, timeout, subjects or [], shape
-        self.headers = {"Content-Type": "application/json"} | (headers or {})
+        self.headers, self.max_bytes = {"Content-Type": "application/json"} | (headers or {}), max_bytes
 
     def write(self, batch: DataFrame, epoch: int) -> None:
         url, headers, timeout = self.url, self.headers, self.timeout
@@ -80,7 +81,7 @@ class WebhookSink:
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in batches:
                 statuses = []
-                for body in rows.column(1).to_pylist():
+                for body in rows.column(0).to_pylist():
                     try:
                         with urllib.request.urlopen(urllib.request.Request(url, body.encode(), headers), timeout=timeout) as answer:
                             statuses.append(answer.status)
@@ -88,90 +89,38 @@ class WebhookSink:
                         statuses.append(e.code)
                     except OSError:
                         statuses.append(0)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(statuses, pa.int32())], ["batch", "status"])
+                yield pa.RecordBatch.from_arrays([pa.array(statuses, pa.int32())], ["status"])
 
-        posts = webhook_batches(self.shape(batch), self.size, self.payload).select("batch", "body").mapInArrow(post, "batch long, status int")
+        posts = webhook_batches(self.shape(batch), self.size, self.payload, self.max_bytes).select("value").mapInArrow(post, "status int")
         failed = posts.filter("status not between 200 and 299").agg(F.count("*").alias("n"), F.min("status").alias("s")).collect()[0]
         if failed["n"]:
             raise DeliveryError(f"{failed['n']} posts failed, with status {failed['s']}", "network")
 
 
 class TableSink:
-    """Keeps a current table as a base, the folded changes of later batches, and a pointer that
-    says which of them count.
-
-    A batch adds its fold, one small folder, and never rewrites the table; after ``compact``
-    batches the folds are applied to the base in a new one. The pointer, moved last, names
-    the base, the folds and the last batch of each query, so that a repeated batch changes
-    nothing and another query's batches are told apart. Folders that neither the pointer nor the one
-    before names are deleted. Rows that can't be applied go to dead letters.
-    """
+    """Keeps a current table (see ``MergeTable``): changes count by their position, in
+    whatever order they arrive. Rows that can't be applied go to dead letters."""
 
     def __init__(
         self, name: str, path: str, key: str, position: list[str], empty: DataFrame, subjects: list[str] | None = None, dlq: str | None = None,
-        keys: dict[str, str] | None = None, compact: int = 16, shape: Callable[[DataFrame], DataFrame] = lambda df: df,
+        keys: dict[str, str] | None = None, compact: int = 8, shape: Callable[[DataFrame], DataFrame] = lambda df: df, buckets: int = 16,
     ):
-        self.name, self.path, self.key, self.position, self.subjects = name, path, key, position, subjects or []
-        self.schema, self.dlq, self.keys, self.compact, self.shape = empty.schema, dlq or f"{path}/dlq", keys or {}, compact, shape
-
-    def _folder(self, spark: SparkSession, name: str):
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
-
-    def _names(self, spark: SparkSession, prefix: str) -> list[str]:
-        files, root = self._folder(spark, "")
-        found = [s.getPath().getName() for s in files.listStatus(root)] if files.exists(root) else []
-        return sorted(x for x in found if x.startswith(prefix))
-
-    def _pointer(self, spark: SparkSession) -> dict:
-        for name in reversed(self._names(spark, "pointer=")):
-            files, done = self._folder(spark, f"{name}/_SUCCESS")
-            if files.exists(done):
-                return json.loads(spark.read.text(f"{self.path}/{name}").collect()[0][0])
-        return {"version": -1, "base": -1, "folds": [], "done": {}}
-
-    def _state(self, spark: SparkSession, at: dict) -> DataFrame:
-        base = spark.createDataFrame([], self.schema) if at["base"] < 0 else spark.read.schema(self.schema).parquet(f"{self.path}/base={at['base']}")
-        if not at["folds"]:
-            return base
-        folds = [spark.read.parquet(f"{self.path}/version={v}") for v in at["folds"]]
-        return apply_fold(merge_folds(reduce(DataFrame.unionByName, folds)), base, self.key)
+        self.name, self.subjects, self.dlq, self.keys, self.shape = name, subjects or [], dlq or f"{path}/dlq", keys or {}, shape
+        self.table = MergeTable(path, key, empty.schema, position, buckets, compact)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return self._state(spark, self._pointer(spark))
+        return self.table.read(spark)
 
     def write(self, batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        query, at = query_id(spark), self._pointer(spark)
-        if at["done"].get(query, -1) >= epoch:
-            return  # done before a restart
-        version = at["version"] + 1
+        query = query_id(batch.sparkSession)
         rows = self.shape(batch).withColumn("image", F.when(F.col("op") == "d", F.col("before")).otherwise(F.col("after")))
         known, unknown = split_ops(rows)
         empty = known.filter("image is null").withColumn("reason", F.lit("missing image"))
-        keyed, keyless = split_keyless(known.filter("image is not null"), self.keys, self.key, self.schema[self.key].dataType.simpleString())
+        kind = self.table.schema[self.table.key].dataType.simpleString()
+        keyed, keyless = split_keyless(known.filter("image is not null"), self.keys, self.table.key, kind)
         rejected = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [unknown, empty, keyless]).drop("image")
         dead_letters(rejected, F.col("reason")).write.mode("overwrite").parquet(f"{self.dlq}/sink={self.name}/query={query}/batch={epoch}-rejected")
-        # a later version comes after an earlier one, whatever the positions
-        keyed = keyed.withColumn("_version", F.lit(version))
-        columns = [c for c in self.schema.names if c != self.key]
-        fold(keyed, columns, ["_version", *self.position]).write.mode("overwrite").parquet(f"{self.path}/version={version}")
-        new = {"version": version, "base": at["base"], "folds": [*at["folds"], version], "done": at["done"] | {query: epoch}}
-        if len(new["folds"]) >= self.compact:
-            self._state(spark, new).write.mode("overwrite").parquet(f"{self.path}/base={version}")
-            new |= {"base": version, "folds": []}
-        line = spark.createDataFrame([(json.dumps(new),)], "value string").coalesce(1)
-        line.write.mode("overwrite").text(f"{self.path}/pointer={version:012d}")
-        self._clean(spark, at, new)
-
-    def _clean(self, spark: SparkSession, *kept: dict) -> None:
-        """Delete what neither pointer names; readers of the pointer before can end."""
-        used = {f"pointer={p['version']:012d}" for p in kept} | {f"base={p['base']}" for p in kept} | {f"version={v}" for p in kept for v in p["folds"]}
-        for prefix in ("pointer=", "base=", "version="):
-            for name in self._names(spark, prefix):
-                if name not in used:
-                    files, path = self._folder(spark, name)
-                    files.delete(path, True)
+        self.table.add(keyed, query, epoch)
 
 
 def with_retries(write: Callable[[], None], retries: int = MAX_RETRIES, base: int = BASE_MS, cap: int = CAP_MS) -> None:

@@ -110,7 +110,7 @@ def test_dead_letters_of_a_pipeline(spark, tmp_path):
 
 def test_snapshot_source(spark, tmp_path):
     spark.createDataFrame([(i, f"n{i}") for i in range(20)], "id long, name string").coalesce(1).write.parquet(f"{tmp_path}/users")
-    source = SourceSpec("s", "snapshot", options={"path": f"{tmp_path}/users", "table": "crm.users", "key": "id"})
+    source = SourceSpec("s", "snapshot", options={"path": f"{tmp_path}/users", "table": "crm.users"})
     run(spark, tmp_path, [SinkSpec("t", "table", options={"path": f"{tmp_path}/o", "schema": "id long, name string"})], [source], log=f"{tmp_path}/log")
     table = SINKS["table"](spark, SinkSpec("t", "table", options={"path": f"{tmp_path}/o", "schema": "id long, name string"})).read(spark)
     assert {(r["id"], r["name"]) for r in table.collect()} == {(i, f"n{i}") for i in range(20)}

@@ -1,0 +1,55 @@
+"""Rows of snapshots have an identity, whatever their keys."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from changefold.plans.pipeline import Pipeline, PipelineSpec, SinkSpec, SourceSpec
+from changefold.sources import snapshot
+from changefold.streaming import log as logs
+
+ROWS = [("a", 1, None), ("a", 2, "x"), ("a", 2, "x"), ("b", 2, ""), (None, None, None), (None, None, None), ("a,b", 3, "y"), ("a", 3, "b,y")]
+SCHEMA = "name string, n int, row_id string"
+
+
+@pytest.mark.parametrize("key, left", [(None, 8), ("name", 6), (["name", "n"], 6), (["n"], 6)])
+def test_ids_by_key_list_or_row(spark, key, left):
+    """Rows that a key doesn't tell apart are told apart by the rest; only rows equal in all, which a key
+    says there are none of, have one id. Without a key they are numbered."""
+    events = snapshot.snapshot_to_events(spark.createDataFrame(ROWS, SCHEMA), "s.t", "i", key)
+    messages = logs.to_messages(events.withColumn("seq", F.lit(1)).withColumn("ts", F.current_timestamp()))
+    assert messages.select("msg_id").distinct().count() == left
+    images = [tuple(r["after"][c] for c in ("name", "n", "row_id")) for r in events.collect()]
+    assert sorted(images, key=str) == sorted([(a, n if n is None else str(n), x) for a, n, x in ROWS], key=str)
+    again = snapshot.snapshot_to_events(spark.createDataFrame(ROWS[::-1], SCHEMA).repartition(3), "s.t", "i", key)
+    assert {r[0] for r in again.select("row_id").collect()} == {r[0] for r in events.select("row_id").collect()}
+
+
+def test_many_copies_are_written_in_runs(spark):
+    rows = spark.range(3000).select((F.col("id") % 2).alias("k"), F.lit("x").alias("v")).unionByName(spark.createDataFrame([(9, "y")], "k long, v string"))
+    got = snapshot.number_copies(rows, most=100)
+    assert got.count() == 3001 and got.select("row_id").distinct().count() == 3001
+    assert {r["k"]: r["count"] for r in got.groupBy("k").count().collect()} == {0: 1500, 1: 1500, 9: 1}
+    nested = spark.createDataFrame([({"a": 1}, [1, None]), ({"a": 1}, [1, None])], "m map<string,int>, a array<int>")
+    assert snapshot.number_copies(nested).select("row_id").distinct().count() == 2
+
+
+def test_pipeline_keeps_every_row_and_repeats_none(spark, tmp_path):
+    spark.createDataFrame(ROWS, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/one")
+    spark.range(50).select(F.concat(F.lit("k"), "id").alias("code")).write.parquet(f"{tmp_path}/two")
+    sources = [SourceSpec("crm", "snapshot", options={"path": f"{tmp_path}/{t}", "table": t}) for t in ("one", "two")]
+    spec = PipelineSpec(sources, [SinkSpec("rows", options={"path": f"{tmp_path}/rows"})], log=f"{tmp_path}/log")
+    for n in (58, 58, 66):
+        if n == 66:  # a second file with the same rows holds other rows
+            spark.createDataFrame(ROWS, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/one")
+        Pipeline(spark, spec, f"{tmp_path}/cp").run_once()
+        assert spark.read.parquet(f"{tmp_path}/rows").count() == n
+
+
+def test_rows_of_one_position_are_told_apart(spark, tmp_path):
+    """Rows of a transaction share its position; an event that is delivered twice is one."""
+    rows = [("f", 7, "insert", "db", "t", ["id", "v"], [["1", "a"], ["2", "b"]], 0), ("f", 7, "insert", "db", "t", ["id", "v"], [["1", "c"]], 0), ("f", 7, "insert", "db", "t", ["id", "v"], [["1", "c"]], 0)]
+    spark.createDataFrame(rows, "file string, pos long, action string, db string, table string, columns array<string>, rows array<array<string>>, ts long").coalesce(1).write.parquet(f"{tmp_path}/feed")
+    spec = PipelineSpec([SourceSpec("my", "binlog", options={"path": f"{tmp_path}/feed"})], log=f"{tmp_path}/log")
+    Pipeline(spark, spec, f"{tmp_path}/cp").run_once()
+    got = spark.read.parquet(f"{tmp_path}/log")
+    assert sorted((r["after"]["id"], r["after"]["v"]) for r in got.collect()) == [("1", "a"), ("1", "c"), ("2", "b")]
