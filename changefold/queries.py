@@ -377,7 +377,7 @@ def io8_requests(spark, d):
     here to count with seq."""
     rows = routing.route_target(filters.select_image(_fanned(spark, d).withColumn("after", F.create_map(F.lit("id"), F.col("pk").cast("string"), F.lit("at"), F.col("seq").cast("string"))).withColumn("op", F.lit("u"))), prefix="cdc_")
     requests = actions.bulk_requests(actions.bulk_actions(rows), 50)
-    lines = requests.select("task", "request", (F.col("n") <= 50).alias("bounded"), F.posexplode(F.split(F.rtrim("value"), "\n")).alias("line", "text"))
+    lines = requests.select("task", "request", (F.col("n") <= 50).alias("bounded"), F.posexplode(F.split("value", "\n")).alias("line", "text")).filter("text <> ''")
     lines = lines.select("task", "request", "bounded", (F.col("line") / 2).cast("int").alias("place"), (F.col("line") % 2).alias("part"), "text")
     pairs = lines.groupBy("task", "request", "place", "bounded").agg(F.max(F.when(F.col("part") == 0, F.col("text"))).alias("head"), F.max(F.when(F.col("part") == 1, F.col("text"))).alias("doc"))
     head = F.from_json("head", "index struct<_index:string,_id:string>")["index"]
@@ -899,6 +899,26 @@ def st1(spark, d):
     return logs.dedup_messages(_redelivered(spark, d))
 
 
+@query(
+    "st1_dedup_stream",
+    "WITH {CHG} SELECT seq, ts, instance_id || '-' || \"offset\" AS msg_id FROM log UNION ALL SELECT seq, ts + INTERVAL 5 MINUTE, "
+    "instance_id || '-' || \"offset\" FROM log WHERE (seq - 1) % 10 = 1",
+)
+def st1_stream(spark, d):
+    """The same messages as a stream of four parts by time, with a restart after the second, and the first part
+    delivered anew at the end: what is accepted is what ``dedup_messages`` accepts."""
+    out, rows = scratch_dir(spark, "st1"), _redelivered(spark, d)
+    day = F.to_date("ts")
+    days = rows.agg(F.min(day).alias("a"), F.max(day).alias("b")).select("a", (F.datediff("b", "a") + 1).alias("n")).collect()[0]
+    part = F.floor(F.datediff(day, F.lit(days["a"])) * 4 / days["n"])
+    for i, again in ((0, False), (1, False), (2, False), (3, False), (0, True)):
+        rows.filter(part == i).withColumn("again", F.lit(again)).write.mode("append").parquet(f"{out}/in")
+        if i != 0 or again:
+            stream = spark.readStream.schema(spark.read.parquet(f"{out}/in").schema).parquet(f"{out}/in")
+            logs.dedup_stream(stream).writeStream.option("checkpointLocation", f"{out}/cursor").option("path", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/log").select("seq", "ts", "msg_id")
+
+
 @query("st2_expire_log", "WITH {CHG} SELECT seq FROM log WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY")
 def st2(spark, d):
     return logs.expire_log(change_log(spark, d), NOW).select("seq")

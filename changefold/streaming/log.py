@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from changefold.functions.scalars import dlq_subject, msg_id
 from changefold.operators.filters import Predicate, Transformer, apply_filters, apply_transformers
 from changefold.operators.routing import build_subject
+from changefold.plans.scratch import scratch_dir
 
 #: Seconds in which a message id is a duplicate; days kept; retry settings.
 DUPLICATE_SECONDS, KEEP_DAYS, DLQ_KEEP_DAYS = 120, 7, 30
+#: Seconds for which a stream remembers an id, if no other time is named.
+LAG_SECONDS = 3600
 MAX_RETRIES, BASE_MS, CAP_MS, ACK_SECONDS, MAX_DELIVERIES = 3, 100, 1000, 30, 10
 PERMANENT = ("validation", "configuration", "schema", "serialization", "unsupported")
 PARTITIONS = ("topic", "instance_id", "schema", "tbl")
@@ -63,15 +71,16 @@ def dedup_messages(df: DataFrame, key: str = "msg_id", at: str = "ts", seconds:
     anew with each accepted message. Messages without id or time are never duplicates; of
     rows equal in id, time and ``tie`` one is accepted.
 
-    Only (id, time, tie) are shuffled, and only ids that occur more than once take the
-    ordered pass, in which acceptance depends on the message before: a task holds one id and
-    one time, never a group. Whole messages are met again by a join with the repeated ids.
+    Ids are counted first, and only those that occur more than once are kept, in a scratch
+    table, and take the ordered pass, in which acceptance depends on the message before: a task
+    holds one id and one time, never a group. Whole messages are met by joins with the repeated
+    ids, and aren't shuffled where these are few.
     """
     slim = df.select(F.col(key).cast("string").alias("_k"), F.unix_micros(F.col(at).cast("timestamp")).alias("_t"), F.col(tie).alias("_s"))
-    order = W.partitionBy("_k").orderBy("_t", "_s")
     slim = slim.filter("_k is not null and _t is not null")
-    near = slim.select("*", F.lag("_t").over(order).alias("_b"), F.lead("_t").over(order).alias("_a"))
-    near = near.filter("_a is not null or _b is not null").select("_k", "_t", "_s")
+    kept = scratch_dir(df.sparkSession, "repeated-ids")
+    slim.groupBy("_k").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("_k").alias("_rk")).write.parquet(kept)
+    repeated = df.sparkSession.read.schema("_rk string").parquet(kept)
 
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last_at = None, None
@@ -84,27 +93,118 @@ def dedup_messages(df: DataFrame, key: str = "msg_id", at: str = "ts", seconds:
                 ok.append(new)
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    accepted = near.mapInArrow(accept, near.schema)
+    near = slim.join(repeated, F.col("_k") == F.col("_rk"), "left_semi").repartition("_k").sortWithinPartitions("_k", "_t", "_s")
+    accepted = near.mapInArrow(accept, near.schema).toDF("_rk", "_rt", "_rs")
     mine = df.withColumn("_k", F.col(key).cast("string")).withColumn("_t", F.unix_micros(F.col(at).cast("timestamp")))
-    repeated = near.select(F.col("_k").alias("_rk")).distinct()
     timed = F.col("_t").isNotNull()
     once = mine.join(repeated, timed & (F.col("_k") == F.col("_rk")), "left_anti")
-    again = mine.filter(timed).join(
-        accepted.toDF("_rk", "_rt", "_rs"), (F.col("_k") == F.col("_rk")) & (F.col("_t") == F.col("_rt")) & F.col(tie).eqNullSafe(F.col("_rs")), "left_semi",
-    )
+    again = mine.filter(timed).join(accepted, (F.col("_k") == F.col("_rk")) & (F.col("_t") == F.col("_rt")) & F.col(tie).eqNullSafe(F.col("_rs")), "left_semi")
     again = again.dropDuplicates(["_k", "_t", tie])
     return once.unionByName(again).select(*df.columns)
 
 
-def dedup_stream(df: DataFrame, key: str = "msg_id", seconds: int = DUPLICATE_SECONDS) -> DataFrame:
-    """Drop messages of a stream whose id arrived less than the window before.
-
-    The window counts from arrival, as a log's own does, so that messages of a source that
-    lags behind others are never too late and none is lost. Messages without id go past the
-    state."""
-    named = df.filter(F.col(key).isNotNull()).withColumn("_arrived", F.current_timestamp())
-    named = named.withWatermark("_arrived", f"{seconds} seconds").dropDuplicatesWithinWatermark([key]).drop("_arrived")
-    return named.unionByName(df.filter(F.col(key).isNull()))
+class AcceptedIds(StatefulProcessor):
+    """Per bucket of ids, when each was accepted, as one block of numbers: two hashes of the id, the
+    event time and the time of arrival, all in microseconds. A bucket is looked up and stored once a
+    batch, whatever its ids; entries go when they arrived longer ago than ``lag``."""
+
+    def __init__(self, seconds: int, lag: int):
+        self.window, self.lag = seconds * 1_000_000, lag * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("accepted", T.StructType([T.StructField("block", T.BinaryType())]))
+
+    def _known(self, now: int) -> np.ndarray:
+        block = self.held.get()[0] if self.held.exists() else b""
+        known = np.frombuffer(block, dtype=np.int64).reshape(-1, 4)
+        return known[known[:, 3] > now - self.lag]
+
+    def _keep(self, known: np.ndarray, now: int) -> None:
+        if len(known):
+            self.held.update((np.ascontiguousarray(known).tobytes(),))
+            self.handle.registerTimer((now + self.lag) // 1000 + 1)
+        else:
+            self.held.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows), ignore_index=True)
+        now = int(frame["m_now"].max())
+        known = self._known(now)
+        times: dict[tuple[int, int], list[int]] = {}
+        for a, b, t, _ in known.tolist():
+            insort(times.setdefault((a, b), []), t)
+        ok, new = np.ones(len(frame), dtype=bool), []
+        order = frame.sort_values(["m_t", "m_tie"], kind="stable").index
+        for i, a, b, t, plain in zip(order, *[frame.loc[order, c].tolist() for c in ("m_a", "m_b", "m_t", "m_plain")], strict=True):
+            if plain:
+                continue  # without id or time
+            before = times.setdefault((a, b), [])
+            at = bisect_right(before, t)
+            if at and t - before[at - 1] < self.window:
+                ok[i] = False
+            else:
+                before.insert(at, t)
+                new.append((a, b, t, now))
+        if new:
+            self._keep(np.concatenate([known, np.array(new, dtype=np.int64)]), now)
+        yield frame.loc[ok, [c for c in frame.columns if not c.startswith("m_")]]
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        known = self._known(now)
+        self.held.update((np.ascontiguousarray(known).tobytes(),)) if len(known) else self.held.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def dedup_stream(
+    df: DataFrame, key: str = "msg_id", at: str = "ts", seconds: int = DUPLICATE_SECONDS, tie: str = "seq", lag: int = LAG_SECONDS, buckets: int = 64,
+) -> DataFrame:
+    """Drop messages of a stream whose id was accepted less than the window before, by event time; the
+    window starts anew with each accepted message, as in ``dedup_messages``, and the results are the same
+    where the messages of an id come in order of time, or in one batch.
+
+    An id is remembered for ``lag`` seconds after a message of it was accepted, by time of arrival, so a source that lags behind
+    others is never too late and none is lost; a message that comes before an accepted one in time is accepted
+    unless one less than the window before it was. Messages without id or time always pass.
+    State is kept by ``buckets`` of ids, 32 bytes an id: a task holds one bucket's ids and its messages of one batch,
+    which ``files_per_trigger`` of a source bounds. The state store is RocksDB, as such operators need.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    packed, kinds = [], []
+    for i, f in enumerate(df.schema):
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):  # pandas and JSON would round or move times
+            c, kind = F.unix_micros(c.cast("timestamp")), "long"
+        elif isinstance(f.dataType, (T.StringType, T.LongType, T.BooleanType, T.BinaryType)):
+            kind = f.dataType.simpleString()
+        else:
+            c, kind = F.to_json(F.struct(c.alias("v"))), "string"
+        packed.append((F.to_json(F.struct(c.alias("v"))) if kind in ("long", "bigint", "boolean") else c).alias(f"c{i}"))
+        kinds.append((f"c{i}", "string" if kind in ("long", "bigint", "boolean") else kind))
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    plain = F.col(key).isNull() | micros.isNull()
+    arrived = df.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", "0 seconds")
+    rows = arrived.select(
+        F.pmod(F.xxhash64(key, F.when(plain, F.col(tie))), F.lit(buckets)).cast("int").alias("m_bucket"), F.xxhash64(key).alias("m_a"), F.xxhash64(F.lit(1), key).alias("m_b"),
+        F.coalesce(micros, F.lit(0).cast("long")).alias("m_t"), F.col(tie).alias("m_tie"), plain.alias("m_plain"), F.unix_micros("_arrived").alias("m_now"), "_arrived", *packed,
+    )
+    out = rows.groupBy("m_bucket").transformWithStateInPandas(AcceptedIds(seconds, max(lag, seconds)), ", ".join(f"{n} {k}" for n, k in kinds), "Append", "EventTime")
+    return out.select(*[_unpacked(F.col(n), f).alias(f.name) for (n, _), f in zip(kinds, df.schema, strict=True)])
+
+
+def _unpacked(c: Column, field: T.StructField) -> Column:
+    """A column of ``dedup_stream``'s rows as it was."""
+    kind = field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return c
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.timestamp_micros(F.from_json(c, "v long")["v"]).cast(kind)
+    return F.from_json(c, T.StructType([T.StructField("v", kind)]))["v"]
 
 
 def expire_log(log: DataFrame, now: str, days: int = KEEP_DAYS, at: str = "ts") -> DataFrame:

@@ -315,3 +315,34 @@ def test_a_lagging_source_is_not_too_late(spark, tmp_path):
         late.withColumn("offset", F.concat(F.lit(f"{shift // 10}-"), "offset")).coalesce(1).write.mode("append").parquet(src)
         logs.publish_log(logs.dedup_stream(logs.to_messages(read_changes(spark, src, stream=True))), out, cp).awaitTermination()
     assert spark.read.parquet(out).count() == 6
+
+
+def test_stream_dedup_equals_batch_dedup(spark, tmp_path):
+    """Messages in order of time, in several batches with restarts; every kind of column comes out as it went in."""
+    rng = random.Random(8)
+    start = dt.datetime(2024, 1, 1, 0, 0, 0, 123456)
+    rows = []
+    for i in range(300):
+        at = start + dt.timedelta(seconds=4 * i + rng.random())
+        key = rng.choice(["a", "b", f"only{i}", None])
+        rows.append((i, key, None if i % 50 == 7 else at, {"k": None, "v": 'q"é'}, bytearray([i % 256, 0]), [i, None], i % 3 == 0, (at - start).total_seconds()))
+    schema = "seq long, msg_id string, ts timestamp_ntz, image map<string,string>, raw binary, a array<int>, flag boolean, x double"
+    src, out, cp = (str(tmp_path / n) for n in ("src", "out", "cp"))
+    for k in range(3):
+        spark.createDataFrame(rows[100 * k : 100 * k + 100], schema).coalesce(1).write.mode("append").parquet(src)
+        stream = logs.dedup_stream(spark.readStream.schema(schema).parquet(src), buckets=4)
+        stream.writeStream.option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination()
+    key = lambda r: r[0]
+    want = sorted(map(tuple, logs.dedup_messages(spark.createDataFrame(rows, schema)).collect()), key=key)
+    assert sorted(map(tuple, spark.read.schema(schema).parquet(out).collect()), key=key) == want and 100 < len(want) < 300
+
+
+def test_window_starts_anew_and_late_messages_are_not_lost(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    src, out, cp = (str(tmp_path / n) for n in ("src", "out", "cp"))
+    # seconds of one id: 0 is accepted, 100 not, 130 is (the window began at 0), 240 not (it began anew at 130), 250 is; then some earlier ones
+    for batch in ([0], [100, 130], [240, 250], [-200], [-100], [60]):
+        spark.createDataFrame([(s, "a", start + dt.timedelta(seconds=s)) for s in batch], "seq long, msg_id string, ts timestamp").coalesce(1).write.mode("append").parquet(src)
+        stream = logs.dedup_stream(spark.readStream.schema("seq long, msg_id string, ts timestamp").parquet(src), buckets=2)
+        stream.writeStream.option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["seq"] for r in spark.read.parquet(out).collect()) == [-200, 0, 130, 250]
