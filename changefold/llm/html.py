@@ -248,23 +248,39 @@ class Page:
         return int.from_bytes(blake2b(whole.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
     def slots(self, content: frozenset[int], template: frozenset[int], menus: frozenset[int]) -> str:
-        """The text in the article's slots, without what recurs, menus, and elements inside
-        that are outside by strong signs (by weak ones too, where the slot is the whole body)."""
-        # of each element: whether it lies in a slot, and whether it stays
-        state = [(False, False, True)]
-        for e in self.elements[1:]:
-            inside, whole, stays = state[e.parent]
+        """The text in the article's slots, without elements inside that are outside by strong
+        signs (by weak ones too, where the slot is the whole body or most of their text is links),
+        and without what recurs around what varies.
+
+        Recurring text between two varying blocks of a slot is the article's, as headings are. Before
+        the first and after the last one it goes, unless it is in elements like those that vary and makes up most of the text in these: then
+        the host's pages are near copies.
+        """
+        # of each element: its slot, whether that is the whole body, and whether it stays
+        state = [(0, False, True)]
+        for i, e in enumerate(self.elements[1:], 1):
+            slot, whole, stays = state[e.parent]
             if e.key in content:
-                inside, whole, stays = True, e.kind == ROOT, True
-            elif inside and stays:
-                stays = e.key not in menus and not (e.sign and (e.strong or whole))
-            state.append((inside, whole, stays))
-        kept = []
+                slot, whole, stays = slot or i, e.kind == ROOT, True
+            elif slot and stays:
+                stays = not (e.sign and (e.strong or whole or e.key in menus))
+            state.append((slot, whole, stays))
+        slots: dict[int, list[Block]] = {}
         for b in self.blocks:
-            inside, _, stays = state[b.element]
-            if inside and stays and _mark(self.elements[b.element].key, b.text) not in template:
-                kept.append(b.text)
-        return "\n\n".join(kept)
+            slot, _, stays = state[b.element]
+            if slot and stays:
+                slots.setdefault(slot, []).append(b)
+        kept: list[Block] = []
+        for blocks in slots.values():
+            varies = [_mark(self.elements[b.element].key, b.text) not in template for b in blocks]
+            if not any(varies):
+                continue
+            first, last = varies.index(True), len(varies) - 1 - varies[::-1].index(True)
+            like = {self.elements[b.element].key for b, v in zip(blocks, varies, strict=True) if v}
+            alike = [(len(b.text), v) for b, v in zip(blocks, varies, strict=True) if self.elements[b.element].key in like]
+            copies = 2 * sum(n for n, v in alike if not v) > sum(n for n, _ in alike)
+            kept += [b for k, b in enumerate(blocks) if first <= k <= last or (copies and self.elements[b.element].key in like)]
+        return "\n\n".join(b.text for b in kept)
 
     def text(self) -> str:
         """The article as the page's own markup tells it."""

@@ -260,6 +260,43 @@ def test_near_copies_on_small_hosts_keep_their_article():
         assert all("The same story, word for word.\n\nAnd its end." in x for x in got[:n])
 
 
+def extracted_by_hand(htmls):
+    sets = deduced_by_hand(htmls)
+    return [Page(x).slots(*sets) or Page(x).text() for x in htmls]
+
+
+@pytest.mark.parametrize("n", [4, 5, 8])
+@pytest.mark.parametrize("at", [0, 1, 2])
+def test_hosts_of_near_copies_alone_keep_the_whole_article(n, at):
+    """Two equal paragraphs and a line that differs, wherever it stands, on all pages of a host."""
+    parts = ["The same story, word for word, and it is a long one that goes on.", "And its end, which is the same on every page as well."]
+    htmls, want = [], []
+    for i in range(n):
+        story = [*parts[:at], f"Line {i} is the one that differs.", *parts[at:]]
+        htmls.append("<div class=top><a href=/>Menu</a></div><div class=story>" + "".join(f"<p>{x}</p>" for x in story) + "</div><div class=end>Terms of use</div>")
+        want.append("\n\n".join(story))
+    assert extracted_by_hand(htmls) == want
+
+
+def test_what_recurs_inside_an_article_stays():
+    """Headings between its parts, and a list of sources that is all links."""
+    page = (
+        "<div class=top><a href=/>Menu</a></div><div class=text><h1>Dish {i}</h1><p>Some words on dish {i}, and why it is good.</p><h2>Ingredients</h2><ul><li>{i} eggs and {i} cups of flour</li></ul>"
+        "<h2>Method</h2><p>Beat the eggs {i} times and bake them for {i} minutes.</p><ul class=refs><li><a href=/a>Source a{i}</a></li><li><a href=/b>Source b{i}</a></li></ul></div><div class=low>Imprint</div>"
+    )
+    for i, text in enumerate(extracted_by_hand([page.format(i=i) for i in range(12)])):
+        assert text == (
+            f"Dish {i}\n\nSome words on dish {i}, and why it is good.\n\nIngredients\n\n{i} eggs and {i} cups of flour\n\nMethod\n\n"
+            f"Beat the eggs {i} times and bake them for {i} minutes.\n\nSource a{i}\n\nSource b{i}"
+        )
+
+
+def test_what_recurs_around_an_article_goes():
+    page = "<div class=text><div class=x1>Share this page with friends</div><p>Story {i} has a first part.</p><p>And {i} has a second one.</p><div class=x2>Written by our staff</div></div>"
+    for i, text in enumerate(extracted_by_hand([page.format(i=i) for i in range(6)])):
+        assert text == f"Story {i} has a first part.\n\nAnd {i} has a second one."
+
+
 def test_odd_markup():
     assert Page('<p><a title="x>link</a> and <b class="y">more</b></p>').text() == "link and more"
     assert Page("<article>tease</article><p>A story of many words, which is what the page is for.</p>").text().endswith("what the page is for.")
