@@ -56,12 +56,17 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> D
     before = len(_MADE)
     done = saved(make(), label)
     for path in _MADE[before:-1]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        delete(spark, path)
     del _MADE[before:-1]
     return done
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Bytes of a frame that may be broadcast.
 MOST_BYTES = 64 << 20
 

@@ -5,8 +5,8 @@ merge-joined with the fresh rows of the runs on disk: hashes that none of them h
 fresh rows of the batch's own run; held ones enter as increments beside them. So each hash
 is fresh in one run only, and what only one batch holds is never aggregated again. When a level holds
 ``fanout`` runs they are merged into one run of the next level, so every row is rewritten a
-logarithmic number of times and a batch meets few runs. Runs are bucketed alike, so joins
-with them move none of their rows.
+logarithmic number of times and a batch meets few runs. Runs are bucketed alike and have a
+sorted file a bucket, so joins with them neither move nor sort their rows.
 """
 
 from __future__ import annotations
@@ -17,14 +17,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changefold.llm.common import SPACES, ascii_lower, broadcast_if_small, saved, shared_dir
+from changefold.llm.common import SPACES, ascii_lower, broadcast_if_small, delete, saved, shared_dir
 
 #: Stands for a null doc_id, which counts as the smallest.
 NO_ID = -(2**63)
 #: Hashes of common lines that may be broadcast, 24 bytes each.
 MOST_COMMON = 1_000_000
-#: Lines of the corpus per bucket of a run.
-BUCKET_LINES = 250_000
+#: Lines of the corpus per bucket of a run, and buckets at most, as Spark takes no more than
+#: 100,000: beyond 5 billion lines the buckets grow, and are sorted on disk when written.
+BUCKET_LINES, MOST_BUCKETS = 250_000, 20_000
+#: Lets a scan give the order of a bucket that is one file.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def line_hashes(text: Column, min_chars: int) -> Column:
@@ -79,7 +82,12 @@ class LineRuns:
         own = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("did").alias("top"))
         # where a cluster deals out to more partitions than there are buckets, tasks are joined,
         # so that a run has no more files than buckets times buckets
-        self._write(self.unseen(own.repartition(self.buckets, "h1", "h2")).coalesce(self.buckets), 0)
+        before = self.spark.conf.get(ORDERED)
+        self.spark.conf.set(ORDERED, "true")
+        try:
+            self._write(self.unseen(own.repartition(self.buckets, "h1", "h2")).coalesce(self.buckets), 0)
+        finally:
+            self.spark.conf.set(ORDERED, before)
         self._compact()
 
     def _compact(self) -> None:
@@ -90,8 +98,18 @@ class LineRuns:
                 merged = rows.filter("not held").unionByName(_summed(rows.filter("held")).withColumn("held", F.lit(True)))
                 self._write(merged.repartition(self.buckets, "h1", "h2").coalesce(self.buckets), level + 1)
                 self.levels[level] = []
-                for name in names:
-                    self.spark.sql(f"DROP TABLE {name}")
+                self._drop(names)
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+            delete(self.spark, f"{self.path}/{name}")
+
+    def close(self) -> None:
+        """Drop all runs and their folder."""
+        self._drop([n for level in self.levels for n in level])
+        self.levels = [[]]
+        delete(self.spark, self.path)
 
     def totals(self) -> DataFrame:
         """(h1, h2, n, top) over all batches: the fresh rows with their increments."""
@@ -117,13 +135,14 @@ def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int,
     hashed = saved(hashed, "line-hashes", by="batch")
     keys = F.array_compact("_h")
     n_lines = hashed.agg(F.sum(F.size(keys).cast("long"))).collect()[0][0] or 0
-    runs = LineRuns(docs.sparkSession, fanout, buckets=max(8, -(-n_lines // BUCKET_LINES)))
+    runs = LineRuns(docs.sparkSession, fanout, buckets=min(MOST_BUCKETS, max(8, -(-n_lines // BUCKET_LINES))))
     for b in range(batches):
         # outer generators: the others make Spark test the array's size first, computing it twice
         lines = hashed.filter(F.col("batch") == b).select(F.col("__line_did").alias("did"), F.explode_outer(F.array_distinct(keys)).alias("_l"))
         runs.add(lines.filter("_l is not null").select("did", "_l.h1", "_l.h2"))
     common = runs.totals().filter(F.col("n") >= min_docs).withColumnsRenamed({"h1": "g1", "h2": "g2"})
     common = broadcast_if_small(saved(common.select("g1", "g2", "top"), "line-common"), MOST_COMMON)
+    runs.close()
     lines = hashed.select("__line_did", "__line_rid", F.posexplode_outer("_h").alias("_pos", "_l")).filter("_l is not null").select("__line_did", "__line_rid", "_pos", "_l.h1", "_l.h2")
     losing = lines.join(common, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).filter(F.col("__line_did") != F.col("top"))
     return losing.groupBy("__line_did", "__line_rid").agg(F.collect_set("_pos").alias("__line_drop"))

@@ -11,6 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from changefold.llm import decontam, licenses
+from changefold.llm import lines as lines_module
+from changefold.llm.common import shared_dir
 from changefold.llm.decontam import decontaminate, report
 from changefold.llm.licenses import ISC, MIT, known_licenses, scan_licenses
 from changefold.llm.lines import LineRuns, dedup_lines
@@ -165,9 +167,33 @@ def test_joins_with_runs_move_no_run(spark):
     for _ in range(3):
         runs.add(lines)
     own = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("did").alias("top")).repartition(runs.buckets, "h1", "h2")
+    before = spark.conf.get(lines_module.ORDERED)
+    spark.conf.set(lines_module.ORDERED, "true")
     plan = runs.unseen(own)._jdf.queryExecution().executedPlan().toString()
-    # only the batch itself is dealt out, for its sums and to the buckets
+    spark.conf.set(lines_module.ORDERED, before)
+    # only the batch itself is dealt out, for its sums and to the buckets, and only it is sorted
     assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange") == 2 and plan.count("SelectedBucketsCount") == 3
+    assert len(re.findall(r"\bSort \[", plan)) == 1
+    runs.close()
+
+
+def test_runs_leave_nothing_behind(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    root = Path(shared_dir(spark).removeprefix("file:"))
+    runs = set(root.glob("line-runs-*"))
+    docs = spark.createDataFrame([(i, f"a line that recurs in many documents\nand one of its own {i}") for i in range(40)], "doc_id long, text string")
+    assert dedup_lines(docs).filter("n_dropped = 1").count() == 39
+    assert {t.name for t in spark.catalog.listTables()} == before and set(root.glob("line-runs-*")) == runs
+
+
+def test_buckets_have_a_bound(spark, monkeypatch):
+    """Beyond it buckets hold more lines."""
+    seen = []
+    monkeypatch.setattr(lines_module, "BUCKET_LINES", 1)
+    monkeypatch.setattr(lines_module, "MOST_BUCKETS", 16)
+    monkeypatch.setattr(LineRuns, "__init__", lambda self, *a, f=LineRuns.__init__, **k: seen.append(k["buckets"]) or f(self, *a, **k))
+    docs = spark.createDataFrame([(i, f"a line that recurs in many documents\nand one of its own {i}") for i in range(40)], "doc_id long, text string")
+    assert dedup_lines(docs).filter("n_dropped = 1").count() == 39 and seen == [16] and lines_module.MOST_BUCKETS == 16
 
 
 # --- decontamination -------------------------------------------------------------------
