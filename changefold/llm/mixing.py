@@ -2,10 +2,10 @@
 
 Targets come from weights by water filling. The whole mix is cut into blocks of equal
 token count; the blocks (seats) go to sources, and then to the shards of each source, by
-highest quotients target / (2 s + 1). Only a source whose target is no more than a few
-blocks is cut finer, for itself, so that it too comes near its target. In a shard, documents lie in seeded order on a line
+highest quotients target / (2 s + 1). In a shard, documents lie in seeded order on a line
 of tokens cut into blocks, and the shard's quota of blocks is chosen by a systematic
-sample with a seeded start. All steps are DataFrame functions; only token counts, never
+sample with a seeded start. What a source's whole blocks hold beside its target is made up
+by cutting its last seats, or by a part of a block more. All steps are DataFrame functions; only token counts, never
 texts, are shuffled.
 """
 
@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 
 from changefold.llm.common import WORD, broadcast_if_small, saved
 
-#: Blocks of a source's target, at least; blocks of a shard.
-LEAST_BLOCKS, SHARD_BLOCKS = 400, 4096
-
 
 def seeded(seed: int, *parts: Column) -> Column:
     """60 bits of a digest of the seed and the parts; nulls are left out."""
@@ -72,38 +69,62 @@ def apportion(claims: DataFrame, group: list[str], order: list[Column], claim: s
     return tried.groupBy(*claims.columns).agg((F.max(F.coalesce("_sure", F.lit(0))) + F.sum(won)).alias("quota"))
 
 
+def _chosen(block: Column) -> Column:
+    """How many of a shard's blocks before this one are in its systematic sample."""
+    return F.floor((block * F.col("rest") + F.col("start")) / F.col("some"))
+
+
+def _sampled(place: Column, block_words: int) -> Column:
+    """Words that a shard's quota takes of its line up to a place."""
+    block = F.floor(place / block_words)
+    part = (place - block * block_words) * (_chosen(block + 1) - _chosen(block))
+    return F.col("whole") * place + _chosen(block) * block_words + part
+
+
 def shard_quotas(slim: DataFrame, weights: tuple, share: float, cap: float, block_words: int) -> tuple[DataFrame, DataFrame]:
     """(placed, shards): the rows with their source's figures and shard; and per (source, shard) its
-    tokens, blocks and quota of blocks, with the source's target.
+    tokens, its quota of blocks, how these are sampled, and the words that are cut or added.
 
-    ``slim``: source, size, key. Sources whose target holds ``LEAST_BLOCKS`` blocks of
-    ``block_words`` share out the blocks; a smaller one has blocks of its own, as much finer
-    as its target is smaller, and takes as many as its target holds. The windows over sources
-    see a row or a few per source.
+    ``slim``: source, size, key. A source has about as many shards as a shard has blocks, so that neither the
+    window over a source's shards nor that over a shard's documents grows with the source. The windows over sources
+    see a row or a few per source. The words of a source's sampled blocks differ from its target
+    by parts of blocks; what is too much is cut from the end of its first shards' lines, and what is missing
+    is added at the beginning of theirs, where a document is taken less than ``cap`` times.
     """
     per_source = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    block = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("target") / LEAST_BLOCKS)))
-    per_source = per_source.withColumn("block", block.cast("long"))
-    per_source = per_source.withColumn("claim", F.when(F.col("block") == block_words, F.col("target")).otherwise(F.lit(0.0)))
-    per_source = per_source.withColumn("all_seats", F.round(F.sum("claim").over(W.partitionBy()) / block_words).cast("long"))
-    per_source = apportion(per_source, [], [F.col("rank")], "claim", "all_seats")
-    own = F.round(F.col("target") / F.col("block")).cast("long")
-    per_source = per_source.withColumn("seats", F.when(F.col("block") == block_words, F.col("quota")).otherwise(own)).drop("quota", "claim", "all_seats")
-    per_source = per_source.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / (F.col("block") * SHARD_BLOCKS))).cast("long"))
+    per_source = per_source.withColumn("all_seats", F.round(F.sum("target").over(W.partitionBy()) / block_words).cast("long"))
+    per_source = apportion(per_source, [], [F.col("rank")], "target", "all_seats").withColumnRenamed("quota", "seats").drop("all_seats")
+    per_source = per_source.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("source_size") / block_words))).cast("long"))
     per_source = broadcast_if_small(saved(per_source, "mix-sources"), 100_000)
     placed = slim.join(per_source, slim["source"].eqNullSafe(per_source["source"])).drop(per_source["source"]).withColumn("shard", F.pmod("key", "shards"))
-    shards = placed.groupBy("source", "shard", "source_size", "target", "block", "seats").agg(F.sum("size").alias("tokens"))
+    shards = placed.groupBy("source", "shard", "source_size", "target", "seats").agg(F.sum("size").alias("tokens"))
     shards = apportion(shards, ["source"], [F.col("shard")], "tokens", "seats")
-    shards = shards.withColumn("blocks", F.ceil(F.col("tokens") / F.col("block")).cast("long")).withColumn("quota", F.least("quota", (F.col("blocks") * F.lit(int(cap))).cast("long")))
+    blocks = F.ceil(F.col("tokens") / block_words).cast("long")
+    shards = shards.withColumn("quota", F.least("quota", blocks * F.lit(int(cap)))).withColumn("some", F.greatest(blocks, F.lit(1)))
+    shards = shards.withColumn("whole", F.floor(F.col("quota") / F.col("some"))).withColumn("rest", F.pmod("quota", "some"))
     return placed, shards
 
 
+def _corrected(shards: DataFrame, cap: float, block_words: int) -> DataFrame:
+    """Add to the shards ``made``, the words their quotas take, and ``cut`` and ``more``, which bring a
+    source's words to its target."""
+    source = W.partitionBy("source")
+    before = source.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    made = shards.withColumn("made", _sampled(F.col("tokens"), block_words)).withColumn("room", F.col("tokens") * int(cap) - F.col("made"))
+    made = made.withColumn("off", F.round("target").cast("long") - F.sum("made").over(source))
+    cut = F.least(F.col("made"), F.greatest(F.lit(0), -F.col("off") - so_far("made")))
+    more = F.least(F.col("room"), F.greatest(F.lit(0), F.col("off") - so_far("room")))
+    return made.withColumn("cut", cut).withColumn("more", more)
+
+
 def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int = 256, seed: int = 17) -> DataFrame:
     """Mix all documents to target weights.
 
     Reads doc_id, source and text; other columns, whatever their names, are left out.
     Returns one row per input row: doc_id, source, size (words), source_size, target,
-    shard, taken (words the mix takes, repeats counted; at most ``cap`` times the size).
+    shard, taken (words the mix takes, repeats counted; at most ``cap`` times the size). The taken
+    words of a source are its target, rounded. ``cap`` is a whole number.
     Defined results: null and empty texts have size 0 and take 0; null is a source of its
     own, last in order; rows with equal doc_id count as so many documents; a null doc_id is
     kept; no rows give no rows. Reruns agree: order and block choice depend on digests of
@@ -115,19 +136,15 @@ def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5,
     )
     slim = saved(slim, "mix-sizes")
     placed, shards = shard_quotas(slim, weights, share, cap, block_words)
-    shards = shards.select("source", "shard", "tokens", "blocks", "quota")
+    shards = shards.withColumn("start", F.pmod(seeded(seed, F.col("source"), F.col("shard")), F.col("some")))
+    shards = _corrected(shards, cap, block_words).select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "some", "whole", "rest", "start", "made", "cut", "more")
     by_shard = W.partitionBy("source", "shard")
     line = placed.withColumn("end", F.sum("size").over(by_shard.orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)))
-    line = line.join(shards.withColumnsRenamed({"source": "_source", "shard": "_shard"}), F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
-    some = F.greatest("blocks", F.lit(1))
-    rest, start = F.pmod("quota", some), F.pmod(seeded(seed, F.col("source"), F.col("shard")), some)
-
-    def chosen(block: Column) -> Column:
-        return F.expr("0L") + F.floor((block * rest + start) / some)
+    line = line.join(shards, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
 
     def words(place: Column) -> Column:
-        block = F.floor(place / F.col("block"))
-        return chosen(block) * F.col("block") + (place - block * F.col("block")) * (chosen(block + 1) - chosen(block))
+        sampled = _sampled(place, block_words)
+        return F.least(sampled, F.col("made") - F.col("cut")) + F.least(place * int(cap) - sampled, F.col("more"))
 
-    taken = F.floor(F.col("quota") / some) * F.col("size") + words(F.col("end")) - words(F.col("end") - F.col("size"))
-    return line.select("doc_id", "source", "size", "source_size", "target", "shard", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
+    taken = words(F.col("end")) - words(F.col("end") - F.col("size"))
+    return line.select("doc_id", "source", "size", "source_size", "target", "shard", taken.cast("long").alias("taken"))

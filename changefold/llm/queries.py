@@ -151,22 +151,26 @@ r AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, row_number() OV
 w AS (SELECT *, ([5.0, 2.0, 1.0]::DOUBLE[])[(rank - 1) % 3 + 1] AS weight, source_size * 2.0::DOUBLE AS most FROM r),
 f AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY most / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 g AS (SELECT f.*, least(most, coalesce((SELECT level FROM f x WHERE x.level * x.weight <= x.most ORDER BY x.most / x.weight, x.rank LIMIT 1) * weight, most)) AS target FROM f),
-b AS (SELECT *, CAST(greatest(1, least(256, floor(target / 400))) AS BIGINT) AS block FROM g),
-n AS (SELECT *, CAST(round(coalesce(sum(target) FILTER (block = 256) OVER (), 0) / 256) AS BIGINT) AS all_seats FROM b),
-q AS (SELECT source, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, rank, i) AS place, all_seats FROM (SELECT *, unnest(range(all_seats)) AS i FROM n WHERE block = 256)),
-v AS (SELECT n.source, source_size, target, block, greatest(1, CAST(ceil(source_size / (block * 4096)) AS BIGINT)) AS shards,
-  CASE WHEN block = 256 THEN (SELECT count(*) FROM q WHERE place <= q.all_seats AND q.source IS NOT DISTINCT FROM n.source) ELSE CAST(round(target / block) AS BIGINT) END AS seats FROM n),
-p AS (SELECT d.doc_id, d.source, d.size, d.key, source_size, target, block, seats, key % shards AS shard FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source),
-h AS (SELECT source, shard, block, seats, sum(size) AS tokens FROM p GROUP BY ALL),
+n AS (SELECT *, CAST(round(sum(target) OVER () / 256) AS BIGINT) AS all_seats FROM g),
+q AS (SELECT source, all_seats, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, rank, i) AS place FROM (SELECT *, unnest(range(all_seats)) AS i FROM n WHERE target > 0)),
+v AS (SELECT n.source, source_size, target, greatest(1, CAST(ceil(sqrt(source_size / 256)) AS BIGINT)) AS shards, (SELECT count(*) FROM q WHERE place <= q.all_seats AND q.source IS NOT DISTINCT FROM n.source) AS seats FROM n),
+p AS (SELECT d.doc_id, d.source, d.size, d.key, source_size, target, seats, key % shards AS shard FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source),
+h AS (SELECT source, shard, target, seats, sum(size) AS tokens FROM p GROUP BY ALL),
 z AS (SELECT source, shard, seats, row_number() OVER (PARTITION BY source ORDER BY tokens / (2 * i + 1) DESC, shard, i) AS place FROM (SELECT *, unnest(range(seats)) AS i FROM h WHERE tokens > 0)),
-k AS (SELECT source, shard, block, CAST(ceil(tokens / block) AS BIGINT) AS blocks, least((SELECT count(*) FROM z WHERE z.place <= z.seats AND z.shard = h.shard AND z.source IS NOT DISTINCT FROM h.source), 2 * CAST(ceil(tokens / block) AS BIGINT)) AS quota, greatest(CAST(ceil(tokens / block) AS BIGINT), 1) AS denom FROM h),
-o AS (SELECT *, quota % denom AS rest, CAST('0x' || substr(md5(concat_ws('|', '17', source, CAST(shard AS VARCHAR))), 1, 15) AS BIGINT) % denom AS phase FROM k),
-e AS (SELECT p.*, o.rest, o.phase, o.denom, o.quota, CAST(sum(size) OVER (PARTITION BY p.source, p.shard ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM p JOIN o ON o.shard = p.shard AND o.source IS NOT DISTINCT FROM p.source),
-c AS (SELECT *, upto // block AS b2, (upto - size) // block AS b1 FROM e)
-SELECT doc_id, size, source_size, target, source, CAST((quota // denom) * size
-  + ((b2 * rest + phase) // denom) * block + (upto - b2 * block) * (((b2 + 1) * rest + phase) // denom - (b2 * rest + phase) // denom)
-  - ((b1 * rest + phase) // denom) * block - (upto - size - b1 * block) * (((b1 + 1) * rest + phase) // denom - (b1 * rest + phase) // denom) AS BIGINT) AS taken
-FROM c
+y AS (SELECT source, shard, count(*) AS won FROM z WHERE place <= seats GROUP BY ALL),
+k AS (SELECT h.source, h.shard, target, tokens, least(coalesce(won, 0), 2 * CAST(ceil(tokens / 256) AS BIGINT)) AS quota, greatest(CAST(ceil(tokens / 256) AS BIGINT), 1) AS denom
+  FROM h LEFT JOIN y ON y.shard = h.shard AND y.source IS NOT DISTINCT FROM h.source),
+o AS (SELECT *, quota // denom AS whole, quota % denom AS rest, CAST('0x' || substr(md5(concat_ws('|', '17', source, CAST(shard AS VARCHAR))), 1, 15) AS BIGINT) % denom AS phase FROM k),
+m AS (SELECT *, whole * tokens + (tokens // 256 * rest + phase) // denom * 256 + tokens % 256 * (((tokens // 256 + 1) * rest + phase) // denom - (tokens // 256 * rest + phase) // denom) AS made FROM o),
+f2 AS (SELECT *, CAST(round(target) AS BIGINT) - sum(made) OVER (PARTITION BY source) AS miss FROM m),
+u AS (SELECT *, least(made, greatest(0, -miss - coalesce(sum(made) OVER pre, 0))) AS cut, least(2 * tokens - made, greatest(0, miss - coalesce(sum(2 * tokens - made) OVER pre, 0))) AS more
+  FROM f2 WINDOW pre AS (PARTITION BY source ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e AS (SELECT p.*, whole, rest, phase, denom, made, cut, more, sum(size) OVER (PARTITION BY p.source, p.shard ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM p JOIN u ON u.shard = p.shard AND u.source IS NOT DISTINCT FROM p.source),
+x AS (SELECT *, upto - size AS since,
+  whole * upto + (upto // 256 * rest + phase) // denom * 256 + upto % 256 * (((upto // 256 + 1) * rest + phase) // denom - (upto // 256 * rest + phase) // denom) AS got,
+  whole * (upto - size) + ((upto - size) // 256 * rest + phase) // denom * 256 + (upto - size) % 256 * ((((upto - size) // 256 + 1) * rest + phase) // denom - ((upto - size) // 256 * rest + phase) // denom) AS had FROM e)
+SELECT doc_id, size, source_size, target, source,
+       CAST(least(got, made - cut) + least(2 * upto - got, more) - least(had, made - cut) - least(2 * since - had, more) AS BIGINT) AS taken FROM x
 """
 
 OP2_SQL = r"""

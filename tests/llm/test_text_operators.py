@@ -88,15 +88,37 @@ def test_mix(spark):
     assert [r["taken"] for r in mix_sources(df.withColumn("text", F.lit(None).cast("string"))).select("taken").distinct().collect()] == [0]
 
 
-def test_a_tiny_source_leaves_the_blocks_of_others(spark):
+def slim(df):
+    return df.select(F.col("source"), F.coalesce(F.regexp_count("text", F.lit("[^ ]+")), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id").alias("key"))
+
+
+def test_sources_of_any_size_come_to_their_targets(spark):
+    """A source of a few words shares the blocks of the others: its seats are cut."""
     docs = [(i, "w " * 2000, "ab"[i % 2]) for i in range(200)] + [(900, "a few words", "tiny"), (901, "x " * 5000, "small"), (902, None, "none")]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
-    sizes = lambda d: d.select(F.col("source"), F.coalesce(F.regexp_count("text", F.lit("[^ ]+")), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id").alias("key"))
-    blocks = lambda d: {r["source"]: r["block"] for r in shard_quotas(sizes(d), (5, 2, 1), 1.5, 2.0, 256)[1].select("source", "block").distinct().collect()}
-    assert blocks(df) == {"a": 256, "b": 256, "tiny": 1, "small": 25, "none": 1}
-    assert blocks(df.filter("source in ('a', 'b')")) == {"a": 256, "b": 256}
-    rows = mix_sources(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
-    assert all(abs(r["taken"] - r["target"]) <= max(1, 0.005 * r["target"]) for r in rows)
+    rows = mix_sources(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max(F.col("taken") - 2 * F.col("size")).alias("over"), F.min("taken").alias("least")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 0.5 and r["over"] <= 0 and r["least"] >= 0 for r in rows), rows
+
+
+def test_quotients_decide_for_sources_and_shards(spark):
+    """On the smaller test tables too, every source with words takes its seats by quotient, and sources have several shards
+    that do; seats are those of the plain method."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    _, shards = shard_quotas(slim(df), (5, 2, 1), 1.5, 2.0, 256)
+    rows = shards.collect()
+    sources = {r["source"]: (r["target"], r["seats"]) for r in rows}
+    goal = {s: t for s, (t, _) in sources.items()}
+    all_seats = int(sum(goal.values()) / 256 + 0.5)
+    order = sorted((s for s in goal if s is not None), key=lambda s: s.encode()) + [s for s in goal if s is None]
+    want = seats_by_hand({order.index(s): t for s, t in goal.items()}, all_seats)
+    assert {order.index(s): n for s, (_, n) in sources.items()} == want and sum(n > 0 for n in want.values()) > 10
+    several = 0
+    for s, (_, seats) in sources.items():
+        mine = [r for r in rows if r["source"] == s]
+        several += len(mine) > 1
+        quota = seats_by_hand({r["shard"]: float(r["tokens"]) for r in mine}, seats)
+        assert all(r["quota"] == min(quota[r["shard"]], 2 * -(-r["tokens"] // 256)) for r in mine)
+    assert several > 10
 
 
 # --- lines -----------------------------------------------------------------------------
