@@ -14,10 +14,11 @@ from pyspark.sql.streaming import StreamingQuery
 from changefold.operators.actions import REQUEST_BYTES, append_rows, bulk_actions, bulk_requests, console_lines, kv_commands
 from changefold.operators.filters import Predicate, Transformer, apply_filters, apply_transformers, compute_fields, rename_fields, select_image, table_allowed
 from changefold.operators.routing import build_key, route_target, value_fields
+from changefold.plans.scratch import Marker, scratch_root
 from changefold.sources.changes import fan_in, read_changes
 from changefold.sources.decode import binlog_rows_to_events, poll_rows_to_events, wal_rows_to_events
 from changefold.sources.poll import PollSource
-from changefold.sources.snapshot import digest, row_number, snapshot_to_events
+from changefold.sources.snapshot import digest, hand_off, row_number, snapshot_to_events
 from changefold.streaming.log import KEEP_DAYS, PARTITIONS, dedup_stream, publish_log, to_messages
 from changefold.streaming.sinks import AppendSink, FunctionSink, Sink, TableSink, WebhookSink, run_sink
 
@@ -96,6 +97,8 @@ class PipelineSpec:
             raise ValueError("sink names must differ")
         for spec, kinds in [(s, SOURCES) for s in self.sources] + [(s, SINKS) for s in self.sinks]:
             builder(kinds, spec.type)
+            if spec.type == "handoff" and not self.log:
+                raise ValueError("handoff: needs a log")
             missing = [o for o in NEEDED.get(spec.type, ()) if o not in spec.options]
             if missing:
                 raise ValueError(f"{spec.type}: missing options {', '.join(missing)}")
@@ -128,6 +131,15 @@ def _snapshot(spark: SparkSession, spec: SourceSpec, stream: bool) -> DataFrame:
     return events.withColumn("seq", row_number(F.col("row_id"))).withColumn("ts", F.current_timestamp())
 
 
+def _handoff(spark: SparkSession, spec: SourceSpec, stream: bool) -> DataFrame:
+    """A snapshot and the changes beyond its position. As a stream these are two of one query, and
+    with ``only_snapshot`` the changes' files aren't seen yet, see ``Pipeline.publish``."""
+    o = spec.options
+    hidden = "*.not-yet" if o.get("only_snapshot") else None
+    changes = read_changes(spark, o["changes"], stream=stream, files_per_trigger=o.get("files_per_trigger"), names=hidden)
+    return hand_off(_snapshot(spark, spec, stream), changes, o["lsn"]).drop("phase")
+
+
 def _told_apart(events: DataFrame) -> DataFrame:
     """Events with a digest of what they say, as rows of one transaction may share a position; the
     same event delivered twice has the same."""
@@ -145,13 +157,14 @@ def _binlog(spark: SparkSession, spec: SourceSpec, stream: bool) -> DataFrame:
 
 
 def _poll(spark: SparkSession, spec: SourceSpec, stream: bool) -> DataFrame:
-    """Polls of an address, or a table of responses kept at a path."""
+    """Polls of the addresses ``url``, whose responses are kept in ``keep`` until they are done, or a
+    table of responses kept at a path."""
     o = spec.options
     if "path" in o:
         responses = _rows(spark, o["path"], stream, spec)
     else:
         spark.dataSource.register(PollSource)
-        responses = spark.readStream.format("poll").options(url=o["url"]).load()
+        responses = spark.readStream.format("poll").options(urls=o["url"], keep=o.get("keep") or f"{scratch_root(spark)}/polls-{spec.instance_id}").load()
     return poll_rows_to_events(responses, spec.instance_id, o["table"]).withColumn("seq", F.col("lsn"))
 
 
@@ -205,10 +218,10 @@ def _webhook(spark: SparkSession, spec: SinkSpec) -> Sink:
     return WebhookSink(spec.name, o["url"], spec.batch_size or 100, *settings, spec.subjects, spec.shaped, o.get("max_bytes", REQUEST_BYTES))
 
 
-SOURCES: dict[str, Callable] = {"parquet": _parquet, "json": _json, "snapshot": _snapshot, "wal": _wal, "binlog": _binlog, "poll": _poll}
+SOURCES: dict[str, Callable] = {"parquet": _parquet, "json": _json, "snapshot": _snapshot, "wal": _wal, "binlog": _binlog, "poll": _poll, "handoff": _handoff}
 SINKS: dict[str, Callable] = {"append": _append, "routed": _routed, "table": _table, "console": _console, "bulk": _bulk, "kv": _kv, "webhook": _webhook}
 NEEDED = {
-    "parquet": ("path",), "json": ("path",), "snapshot": ("path", "table"), "wal": ("path", "relations"), "binlog": ("path",), "poll": ("table",),
+    "parquet": ("path",), "json": ("path",), "snapshot": ("path", "table"), "handoff": ("path", "table", "changes", "lsn"), "wal": ("path", "relations"), "binlog": ("path",), "poll": ("table",),
     "append": ("path",), "routed": ("path", "columns"), "table": ("path", "schema"), "bulk": ("path",), "kv": ("path",), "webhook": ("url",),
 }
 
@@ -236,10 +249,11 @@ class Pipeline:
         self.spark, self.spec, self.checkpoint = spark, spec, checkpoint
         self.queries: dict[str, StreamingQuery] = {}
 
-    def messages(self, stream: bool = False) -> DataFrame:
+    def messages(self, stream: bool = False, only_snapshots: bool = False) -> DataFrame:
         """All sources' changes after filters and transformers, as messages."""
         parts = []
         for s in self.spec.sources:
+            s = replace(s, options=s.options | {"only_snapshot": True}) if only_snapshots and s.type == "handoff" else s
             changes = table_allowed(builder(SOURCES, s.type)(self.spark, s, stream), s.tables)
             changes = apply_transformers(apply_filters(changes, self.spec.filters), self.spec.transformers)
             parts.append(to_messages(changes, s.topic))
@@ -253,10 +267,24 @@ class Pipeline:
         schema = T.StructType([*fields, *[T.StructField(c, T.StringType()) for c in PARTITIONS]])
         return read_changes(self.spark, self.spec.log, stream=stream, schema=schema)
 
+    def _publish(self, trigger: dict | None, only_snapshots: bool = False) -> StreamingQuery:
+        messages = dedup_stream(self.messages(True, only_snapshots))
+        return publish_log(messages, self.spec.log, f"{self.checkpoint}/_publish", trigger, self.spec.keep_days)
+
+    def snapshots(self, trigger: dict | None = None) -> StreamingQuery:
+        """Start publishing what there is before the changes of hand-offs: their snapshots, ``files_per_trigger`` files
+        at a time. A restart goes on behind the last batch that is done."""
+        return self._publish(trigger, only_snapshots=True)
+
     def publish(self, trigger: dict | None = None) -> StreamingQuery:
         """Start publishing: messages without their duplicates go to the log, which shows
-        them for ``keep_days``."""
-        query = publish_log(dedup_stream(self.messages(stream=True)), self.spec.log, f"{self.checkpoint}/_publish", trigger, self.spec.keep_days)
+        them for ``keep_days``. Snapshots of hand-offs are published whole before; the query then goes on
+        from the same checkpoint, with the changes' files in view, as a log has one writer."""
+        done = Marker(self.spark, f"{self.checkpoint}/_snapshots-done")
+        if any(s.type == "handoff" for s in self.spec.sources) and not done.exists():
+            self.snapshots().awaitTermination()
+            done.set()
+        query = self._publish(trigger)
         self.queries["_publish"] = query
         return query
 

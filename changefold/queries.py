@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from changefold.functions import scalars
 from changefold.model import ENVELOPE
-from changefold.operators import actions, explorer, filters, merge, metrics, routing
+from changefold.operators import acks, actions, explorer, filters, merge, metrics, routing
 from changefold.plans import pipeline
 from changefold.plans.canonical import change_log, deliveries, table
 from changefold.plans.scratch import scratch_dir
@@ -236,6 +236,29 @@ def src14(spark, d):
     return snapshot.hand_off(first.select("lsn", "op", "id"), later, 200).select("phase", "lsn", "op", "id")
 
 
+@query(
+    "src14_hand_off_stream",
+    "WITH {CHG}, s AS (SELECT 0 AS phase, 'r' AS op, CAST(c_custkey AS VARCHAR) AS id FROM customer) SELECT * FROM s "
+    "UNION ALL SELECT 1, op, CAST(pk AS VARCHAR) FROM log WHERE lsn > 200",
+)
+def src14_stream(spark, d):
+    """The same through a pipeline that is stopped inside the snapshot, between two of its four files, and
+    started again."""
+    out = scratch_dir(spark, "src14")
+    table(spark, d, "customer").repartition(4).write.parquet(f"{out}/customer")
+    _envelopes(spark, d).write.parquet(f"{out}/changes")
+    source = pipeline.SourceSpec("inst0", "handoff", options={"path": f"{out}/customer", "table": "customer", "changes": f"{out}/changes", "lsn": 200, "files_per_trigger": 1})
+    make = lambda: pipeline.Pipeline(spark, pipeline.PipelineSpec([source], log=f"{out}/log"), f"{out}/cursors")
+    first = make().snapshots({"processingTime": "1 second"})
+    while not first.recentProgress:
+        time.sleep(0.05)
+    first.stop()
+    for _ in range(2):
+        make().run_once()
+    id_ = F.coalesce(F.col("after")["c_custkey"], F.coalesce("before", "after")["id"])
+    return spark.read.parquet(f"{out}/log").select(F.when(F.col("op") == "r", 0).otherwise(1).alias("phase"), "op", id_.alias("id"))
+
+
 @query("src15_read_offsets", f'WITH {OFFSETS} SELECT i.instance_id, coalesce(o, \'\') AS "offset" FROM inst i LEFT JOIN off ON off.instance_id = i.instance_id')
 def src15(spark, d):
     return reading.read_offsets(_instances(spark, d), _offsets(spark, d))
@@ -651,6 +674,23 @@ def ag4(spark, d):
     return explorer.consumer_info(change_log(spark, d), _acks(spark, d), "search", "store")
 
 
+@query(
+    "ag4_ack_runs",
+    f"WITH {CHG}, {ACKS}, j AS (SELECT s.sink, log.seq, d.seq AS dseq, d.acked FROM log CROSS JOIN (VALUES ('search'), ('store')) "
+    f"s(sink) LEFT JOIN del d ON d.seq = log.seq AND d.sink = s.sink) SELECT sink, coalesce(min(seq) FILTER (NOT coalesce(acked, "
+    f"false)) - 1, max(seq), 0) AS ack_floor, count(*) FILTER (dseq IS NULL) AS pending FROM j GROUP BY sink",
+)
+def ag4_runs(spark, d):
+    """The same from runs of numbers that three batches of acknowledgements, in no order, have grown."""
+    log, dealt, span = change_log(spark, d).select(F.lit("log").alias("sink"), "seq"), _acks(spark, d), 10_000
+    state = {k: spark.createDataFrame([], acks.STATE) for k in ("log", "delivered", "acked")}
+    for i in (1, 2, 0):
+        part = lambda df, i=i: df.filter(F.pmod(F.xxhash64("seq"), F.lit(3)) == i)
+        new = {"log": part(log), "delivered": part(dealt), "acked": part(dealt).filter("acked")}
+        state = {k: spark.read.schema(acks.STATE).parquet(_kept(spark, acks.extend_runs(state[k], new[k].select("sink", "seq"), span), f"runs-{k}")) for k in state}
+    return acks.info_of_runs(state["log"], state["delivered"], state["acked"], "search", "store")
+
+
 @query(
     "ag5_stream_stats",
     "WITH {DEL} SELECT count(*) AS messages, CAST(sum(length(subject)) AS BIGINT) AS bytes, min(seq) AS first_seq, max(seq) AS "
@@ -1192,13 +1232,13 @@ def io17(spark, d):
 
 def _progress(spark, d):
     """What a listener saw of two sinks over the log, of which one was started again."""
-    src, out, seen = _kept(spark, _envelopes(spark, d), "progress-log"), scratch_dir(spark, "progress"), observe.ProgressTable()
+    src, out, seen = _kept(spark, _envelopes(spark, d), "progress-log"), scratch_dir(spark, "progress"), observe.ProgressTable(spark)
     spark.streams.addListener(seen)
     for name in ("search", "store", "store"):
         sink = sinks.AppendSink(name, f"{out}/{name}")
         sinks.run_sink(reading.read_changes(spark, src, stream=True), sink, f"{out}/cursors").awaitTermination()
     for _ in range(100):  # a listener hears of an end some time after it
-        if sum(r[0] == "end" for r in seen.rows) == 3:
+        if seen.seen("end") == 3:
             break
         time.sleep(0.1)
     spark.streams.removeListener(seen)

@@ -11,11 +11,14 @@ from changefold.model import ENVELOPE
 
 def read_changes(
     spark: SparkSession, path: str, after: Column | None = None, stream: bool = False, schema: T.StructType = ENVELOPE, form: str = "parquet",
-    files_per_trigger: int | None = None,
+    files_per_trigger: int | None = None, names: str | None = None,
 ) -> DataFrame:
     """A change log as a table or a stream. A batch resumes by a predicate on the position,
-    which Parquet's statistics prune by; a stream resumes by its checkpoint."""
+    which Parquet's statistics prune by; a stream resumes by its checkpoint. Only files whose
+    names match the pattern ``names`` are seen, if there is one."""
     reader = (spark.readStream if stream else spark.read).format(form).schema(schema)
+    if names:
+        reader = reader.option("pathGlobFilter", names)
     if stream and files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     df = reader.load(path)

@@ -64,10 +64,13 @@ def binlog_rows_to_events(rows: DataFrame, instance: str) -> DataFrame:
 
 def poll_rows_to_events(responses: DataFrame, instance: str, table: str) -> DataFrame:
     """Polled JSON arrays (poll_ts in ms, status, body): a create per element. Other statuses
-    and bodies that are no array give nothing; see ``poll_errors``."""
+    and bodies that are no array give nothing; see ``poll_errors``. Where responses have an
+    address, it is each element's ``row_id``, so that answers of one moment stay apart."""
     items = F.from_json("body", "array<string>")
-    each = responses.filter("status = 200").select("poll_ts", F.posexplode(items).alias("ordinal", "item"))
+    own = [F.md5(F.col("address").cast("binary")).alias("row_id")] if "address" in responses.columns else []
+    each = responses.filter("status = 200").select("poll_ts", *own, F.posexplode(items).alias("ordinal", "item"))
     return each.select(
+        *["row_id"][: len(own)],
         F.lit(instance).alias("instance_id"), F.lit("public").alias("schema"), F.lit(table).alias("tbl"), F.lit("c").alias("op"), F.col("poll_ts").cast("string").alias("offset"),
         F.col("poll_ts").alias("lsn"), "ordinal", F.timestamp_millis("poll_ts").alias("ts"), F.lit(None).cast("map<string,string>").alias("before"), F.from_json("item", "map<string,string>").alias("after"),
     )

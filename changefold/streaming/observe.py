@@ -2,25 +2,49 @@
 
 from __future__ import annotations
 
+import json
+import threading
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from changefold.operators.metrics import SECOND_BOUNDS, histogram
+from changefold.plans.scratch import scratch_dir
 
 SCHEMA = "kind string, sink string, id string, run_id string, batch long, rows long, seconds double, error string"
+FIELDS = [f.split()[0] for f in SCHEMA.split(", ")]
 
 
 class ProgressTable(StreamingQueryListener):
-    """Collects what happens to queries, a row per batch, start and end. It is driver-side
-    and bounded by ``keep`` rows, the latest."""
+    """Keeps what happens to queries, a row per batch, start and end, in a folder of JSON lines that
+    outlives the session. The driver holds ``flush`` rows at most before it writes them, and nothing
+    is dropped; a table that is begun anew on the same folder goes on with it."""
 
-    def __init__(self, keep: int = 10_000):
-        self.keep, self.rows, self.names = keep, [], {}
+    def __init__(self, spark: SparkSession, path: str | None = None, flush: int = 1000):
+        self.spark, self.path, self.flush_rows = spark, path or scratch_dir(spark, "progress-rows"), flush
+        self.rows, self.names, self.lock = [], {}, threading.Lock()
 
     def _add(self, *row) -> None:
-        self.rows.append(row)
-        del self.rows[: -self.keep]
+        with self.lock:
+            self.rows.append(row)
+            if len(self.rows) >= self.flush_rows:
+                self._write()
+
+    def _write(self) -> None:
+        """A file, written under another name and renamed, so that no reader meets half of it."""
+        if not self.rows:
+            return
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        name = f"rows-{uuid.uuid4().hex}.json"
+        made, final = fs.Path(f"{self.path}/.{name}"), fs.Path(f"{self.path}/{name}")
+        files = final.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        out = files.create(made, True)
+        out.write(bytearray("".join(json.dumps(dict(zip(FIELDS, r, strict=True))) + "\n" for r in self.rows).encode()))
+        out.close()
+        files.rename(made, final)
+        self.rows = []
 
     def onQueryStarted(self, event) -> None:
         self.names[str(event.runId)] = event.name
@@ -34,10 +58,20 @@ class ProgressTable(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
-        self._add("end", self.names.get(str(event.runId)), str(event.id), str(event.runId), None, None, None, event.exception)
+        self._add("end", self.names.pop(str(event.runId), None), str(event.id), str(event.runId), None, None, None, event.exception)
+
+    def seen(self, kind: str) -> int:
+        """How many rows of a kind there are."""
+        return self.table(self.spark).filter(F.col("kind") == kind).count()
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.rows), SCHEMA)
+        """All rows; what the driver still holds is written first."""
+        with self.lock:
+            self._write()
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return spark.createDataFrame([], SCHEMA)
+        return spark.read.schema(SCHEMA).json(self.path)
 
 
 def active_workers(progress: DataFrame) -> DataFrame:

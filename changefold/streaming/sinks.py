@@ -123,6 +123,19 @@ class TableSink:
         self.table.add(keyed, query, epoch)
 
 
+#: What an error says if a query was stopped while it wrote a batch.
+STOPPED = ("InterruptedException", "ClosedByInterruptException", "InterruptedIOException", "SPARK_JOB_CANCELLED", "cancelled part of cancelled job group")
+
+
+def was_stopped(error: BaseException) -> bool:
+    """Whether an error comes from the end of its query, whose batch will be done again."""
+    while error is not None:
+        if any(s in f"{type(error).__name__} {error}" for s in STOPPED):
+            return True
+        error = error.__cause__
+    return False
+
+
 def with_retries(write: Callable[[], None], retries: int = MAX_RETRIES, base: int = BASE_MS, cap: int = CAP_MS) -> None:
     """Call once, and up to ``retries`` times more after errors that aren't permanent, waiting
     base, twice base, ... up to cap milliseconds between; the last error is raised."""
@@ -130,7 +143,7 @@ def with_retries(write: Callable[[], None], retries: int = MAX_RETRIES, base: in
         try:
             return write()
         except Exception as e:
-            if attempt == retries or error_kind(e) in PERMANENT:
+            if attempt == retries or error_kind(e) in PERMANENT or was_stopped(e):
                 raise
             time.sleep(min(base * 2**attempt, cap) / 1000)
 
@@ -139,7 +152,7 @@ def run_sink(log: DataFrame, sink: Sink, checkpoint: str, trigger: dict | None =
     """Start a sink's query over a log stream, on a cursor of its own under ``checkpoint``.
 
     A batch that fails ``tries`` times, or for good, goes to the dead letters at ``dlq`` and the sink
-    goes on with the next; without ``dlq`` the query ends with the error, and takes the same batch up again
+    goes on with the next, unless the query is being stopped; without ``dlq`` the query ends with the error, and takes the same batch up again
     when it is started anew.
     """
     rows = log.filter(subject_match(F.col("subject"), sink.subjects)) if sink.subjects else log
@@ -148,7 +161,7 @@ def run_sink(log: DataFrame, sink: Sink, checkpoint: str, trigger: dict | None =
         try:
             with_retries(lambda: sink.write(batch, epoch), max(0, tries - 1), base)
         except Exception as e:
-            if dlq is None:
+            if dlq is None or was_stopped(e):
                 raise
             reason = F.lit(f"{error_kind(e)}: {str(e)[:500]}")
             dead_letters(batch, reason).write.mode("overwrite").parquet(f"{dlq}/sink={sink.name}/query={query_id(batch.sparkSession)}/batch={epoch}-failed")

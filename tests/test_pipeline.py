@@ -22,7 +22,7 @@ def run(spark, tmp_path, sinks, sources=None, **settings):
 
 
 def test_types_are_listed():
-    assert list_types() == {"sources": ["binlog", "json", "parquet", "poll", "snapshot", "wal"], "sinks": ["append", "bulk", "console", "kv", "routed", "table", "webhook"]}
+    assert list_types() == {"sources": ["binlog", "handoff", "json", "parquet", "poll", "snapshot", "wal"], "sinks": ["append", "bulk", "console", "kv", "routed", "table", "webhook"]}
     assert set(list_types()["sources"]) == set(SOURCES) and set(list_types()["sinks"]) == set(SINKS)
     with pytest.raises(ValueError, match="missing options columns"):
         PipelineSpec(sinks=[SinkSpec("s", "routed", options={"path": "p"})]).check()

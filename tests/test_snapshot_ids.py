@@ -1,8 +1,11 @@
 """Rows of snapshots have an identity, whatever their keys."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from changefold.model import ENVELOPE
 from changefold.plans.pipeline import Pipeline, PipelineSpec, SinkSpec, SourceSpec
 from changefold.sources import snapshot
 from changefold.streaming import log as logs
@@ -53,3 +56,25 @@ def test_rows_of_one_position_are_told_apart(spark, tmp_path):
     Pipeline(spark, spec, f"{tmp_path}/cp").run_once()
     got = spark.read.parquet(f"{tmp_path}/log")
     assert sorted((r["after"]["id"], r["after"]["v"]) for r in got.collect()) == [("1", "a"), ("1", "c"), ("2", "b")]
+
+
+def test_hand_off_stopped_between_chunks(spark, tmp_path):
+    """No row of the snapshot twice or missing, none of its changes before it, whenever it is stopped."""
+    for k in range(3):
+        spark.range(10 * k, 10 * k + 10).coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+    changes = [(s, "cdc", "x", "i", "public", "t", "u", str(s), s, None, None, {"id": str(s)}) for s in range(1, 9)]
+    spark.createDataFrame(changes, ENVELOPE).coalesce(1).write.parquet(f"{tmp_path}/changes")
+    source = SourceSpec("i", "handoff", options={"path": f"{tmp_path}/t", "table": "t", "changes": f"{tmp_path}/changes", "lsn": 3, "files_per_trigger": 1})
+    make = lambda: Pipeline(spark, PipelineSpec([source], log=f"{tmp_path}/log"), f"{tmp_path}/cp")
+    query = make().snapshots({"processingTime": "2 seconds"})
+    while not query.recentProgress:
+        time.sleep(0.05)
+    query.stop()
+    part = spark.read.parquet(f"{tmp_path}/log")
+    assert part.count() in (10, 20) and part.filter("op <> 'r'").count() == 0
+    for _ in range(2):
+        make().run_once()
+        rows = spark.read.parquet(f"{tmp_path}/log").select("op", F.col("after")["id"].cast("int").alias("id")).collect()
+        assert sorted((r["op"], r["id"]) for r in rows) == [("r", i) for i in range(30)] + [("u", i) for i in range(4, 9)]
+    with pytest.raises(ValueError, match="needs a log"):
+        Pipeline(spark, PipelineSpec([source]), f"{tmp_path}/cp2")

@@ -124,8 +124,8 @@ def test_poll_source(spark, tmp_path):
     server = HTTPServer(("127.0.0.1", 0), Handler)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     spark.dataSource.register(PollSource)
-    stream = spark.readStream.format("poll").option("url", f"http://127.0.0.1:{server.server_port}/").load()
-    seen = ProgressTable()
+    stream = spark.readStream.format("poll").option("url", f"http://127.0.0.1:{server.server_port}/").option("keep", str(tmp_path / "keep")).load()
+    seen = ProgressTable(spark)
     spark.streams.addListener(seen)
     got = []
     query = stream.writeStream.queryName("poll").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda df, epoch: got.extend(df.collect())).trigger(**poll_trigger(200)).start()
@@ -139,7 +139,7 @@ def test_poll_source(spark, tmp_path):
     assert decode.poll_rows_to_events(responses, "i", "t").count() == 2
     assert decode.poll_errors(responses).count() >= 1
     for _ in range(50):
-        if any(r[0] == "end" for r in seen.rows):
+        if seen.seen("end"):
             break
         time.sleep(0.2)
     spark.streams.removeListener(seen)
@@ -346,3 +346,90 @@ def test_window_starts_anew_and_late_messages_are_not_lost(spark, tmp_path):
         stream = logs.dedup_stream(spark.readStream.schema("seq long, msg_id string, ts timestamp").parquet(src), buckets=2)
         stream.writeStream.option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["seq"] for r in spark.read.parquet(out).collect()) == [-200, 0, 130, 250]
+
+
+def test_polls_are_kept_and_replayed(spark, tmp_path):
+    """A server that never says the same twice: a batch that fails and is done again after a restart has
+    the responses that were kept, of all addresses, and polls go on behind it."""
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            body = json.dumps([{"n": len(asked)}]).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(PollSource)
+    urls = " ".join(f"http://127.0.0.1:{server.server_port}/{k}" for k in range(3))
+    seen, batches = [], []
+
+    def write(df, epoch):
+        rows = sorted(map(tuple, df.select("address", "poll_ts", "body").collect()))
+        seen.append((epoch, rows))
+        if len(seen) == 1:
+            raise RuntimeError("broken off")
+        batches.append(rows)
+
+    def start():
+        stream = spark.readStream.format("poll").option("urls", urls).option("keep", str(tmp_path / "keep")).load()
+        return stream.writeStream.option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(write).trigger(**poll_trigger(100)).start()
+
+    with pytest.raises(Exception, match="broken off"):
+        start().awaitTermination()
+    for n in (2, 4):
+        query = start()
+        while len(batches) < n:
+            time.sleep(0.1)
+        query.stop()
+    server.shutdown()
+    assert seen[0] == seen[1] and len(seen[0][1]) == 3, "the batch wasn't replayed as it was"
+    bodies = [b for rows in batches for _, _, b in rows]
+    assert len(set(bodies)) == len(bodies) and {p for p in asked} == {"/0", "/1", "/2"}
+    assert len(list((tmp_path / "keep").glob("poll=*"))) <= 3
+
+
+def test_progress_counts_right_after_many_batches(spark, tmp_path):
+    """Twenty thousand batches of two sinks, of which one was started again: the driver holds few rows of them."""
+    Run = lambda **x: type("Event", (), x)
+    table = lambda: ProgressTable(spark, str(tmp_path / "rows"), flush=3000)
+    seen = table()
+    for run, name, n in ((1, "a", 12_000), (2, "b", 4_000), (3, "b", 4_000)):
+        seen = table() if run == 3 else seen  # a new session goes on with the folder
+        seen.onQueryStarted(Run(runId=run, name=name, id=name))
+        for k in range(n):
+            seen.onQueryProgress(Run(progress=Run(name=name, id=name, runId=run, batchId=k, numInputRows=2, durationMs={"triggerExecution": 100})))
+        assert len(seen.rows) < 3000
+        if run == 2:
+            seen.onQueryTerminated(Run(runId=run, id=name, exception=None))
+            seen.table(spark)
+    rows = seen.table(spark)
+    assert {tuple(r) for r in active_workers(rows).collect()} == {("a", 1), ("b", 1)}
+    assert {tuple(r) for r in reconnects(rows).collect()} == {("a", 0), ("b", 1)}
+    assert {r["sink"]: r["n"] for r in worker_duration_histogram(rows).filter("le = '+Inf'").collect()} == {"a": 12_000, "b": 8_000}
+    assert rows.filter("kind = 'batch'").agg(F.sum("rows")).collect()[0][0] == 40_000
+
+
+def test_a_stopped_query_leaves_no_dead_letters(spark, tmp_path):
+    src, out, dlq = (str(tmp_path / n) for n in ("src", "out", "dlq"))
+    changes(spark, FIRST).coalesce(1).write.parquet(src)
+    begun = threading.Event()
+
+    def slow(df, epoch):
+        begun.set()
+        nap = F.udf(lambda s: time.sleep(20) or s, "long")
+        df.select(nap("seq").alias("seq")).write.mode("overwrite").parquet(f"{out}/slow")
+
+    query = run_sink(read_changes(spark, src, stream=True), FunctionSink("f", slow), str(tmp_path / "cp"), tries=3, dlq=dlq, base=1)
+    assert begun.wait(60)
+    time.sleep(2)
+    query.stop()
+    done = []
+    run_sink(read_changes(spark, src, stream=True), FunctionSink("f", lambda df, epoch: done.extend(r["seq"] for r in df.collect())), str(tmp_path / "cp"), tries=3, dlq=dlq).awaitTermination()
+    assert sorted(done) == [1, 2, 3] and not (tmp_path / "dlq").exists()
