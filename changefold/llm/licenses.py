@@ -17,12 +17,20 @@ from changefold.llm.common import ascii_lower, broadcast_if_small, saved
 
 #: A copyright statement: a symbol, or the word before a symbol, a year or a name. In a line
 #: of licence text, other words follow it; "(c)" alone may count a paragraph.
-COPYRIGHT = (
+SIGNED = (
     r"^[^a-z0-9]*(©|&copy;|\(c\)\s*(copyright\b|[^a-z0-9]*[12][0-9]{3}\b)|\(c\).*\b(19|20)[0-9]{2}\b"
-    r"|copyright\b[^a-z0-9]*(\(c\)|©|&copy;|[12][0-9]{3}\b|yyyy\b|[\[<{])"
-    r"|copyright\b[\s:,]+(?!(also|and|are|disclaimers?|doctrines|have|holders?|if|in|including|interests?|is|laws?|license|licence|like|line|more|notices?|of|on|or|owners?|ownership|patent|permission|protection|resulting|statements?|status|that|then|those|to|treaty|under)\b)[^\s:,])"
+    r"|copyright\b[^a-z0-9]*(\(c\)|©|&copy;|[12][0-9]{3}\b|yyyy\b|[\[<{]))"
+)
+NAMED = r"^[^a-z0-9]*copyright\b[\s:,]+[^\s:,]"
+NO_NAME = (
+    r"^[^a-z0-9]*copyright\b[\s:,]+(also|and|are|disclaimers?|doctrines|have|holders?|if|in|including|interests?|is|laws?|license|licence|like|line|more|notices?|of|on|or|owners?|ownership|patent|permission|protection|resulting|statements?|status|that|then|those|to|treaty|under)\b"
+)
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\p{P}\p{Z}]+"
+#: A line that is the title of a short licence: its name, perhaps with an article and with its id behind.
+TITLE = (
+    r"^(the )?(mit|mit x11|x11|expat|isc|internet systems consortium|zlib|zlib libpng|bsd zero clause|zero clause bsd|bsd 0 clause|0bsd|bsd|simplified bsd|new bsd|modified bsd|revised bsd"
+    r"|(bsd )?[23] clause( bsd)?( simplified| new| revised| new or revised)?|unlicense|boost software) license( (mit|expat|isc|zlib|0bsd|bsd [23] clause|version [0-9]( [0-9])?))?$"
 )
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Equivalent spellings, as whole words.
 SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sub license": "sublicense", "non infringement": "noninfringement",
@@ -83,22 +91,23 @@ def whole_texts() -> list[tuple[str, str]]:
 
 def canonical_lines(text: Column) -> Column:
     """Normalised non-empty lines: A-Z lower-cased, copyright statements dropped, runs of ASCII
-    characters other than letters and digits turned into one space, spellings made equal."""
+    characters other than letters and digits, and of any punctuation and space, turned into one
+    space, spellings made equal."""
 
     def normal(low: Column) -> Column:
         out = F.concat(F.lit(" "), F.regexp_replace(low, GAP, " "), F.lit(" "))
         out = F.replace(out, F.lit("  "), F.lit(" "))
         for odd, usual in SPELLINGS.items():
             out = F.replace(out, F.lit(f" {odd} "), F.lit(f" {usual} "))
-        return F.when(low.rlike(COPYRIGHT), F.lit("")).otherwise(F.btrim(out))
+        return F.when(low.rlike(SIGNED) | (low.rlike(NAMED) & ~low.rlike(NO_NAME)), F.lit("")).otherwise(F.btrim(out))
 
     lines = F.transform(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), ascii_lower), normal)
     return F.filter(lines, lambda x: x != "")
 
 
 def joined(lines: Column) -> Column:
-    """The whole of normalised lines, with spellings of two words that a line end parted."""
-    out = F.concat(F.lit(" "), F.array_join(lines, " "), F.lit(" "))
+    """The whole of normalised lines without titles, with spellings of two words that a line end parted."""
+    out = F.concat(F.lit(" "), F.array_join(F.filter(lines, lambda x: ~x.rlike(TITLE)), " "), F.lit(" "))
     for odd, usual in SPELLINGS.items():
         if " " in odd:
             out = F.replace(out, F.lit(f" {odd} "), F.lit(f" {usual} "))

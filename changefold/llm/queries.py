@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from changefold.llm import licenses
 from changefold.llm.bpe import decode_texts, encode_texts
 from changefold.llm.common import table
 from changefold.llm.decontam import report
@@ -206,18 +207,22 @@ SELECT page_id, o.file AS file, record_offset, n_bytes, record_sha256, file_root
 """
 
 def _license_sql() -> str:
-    known = ", ".join("('{}', '{}')".format(i, body.replace("'", "''")) for i, body in KNOWN)
-    canon = "replace(' ' || regexp_replace(low, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g') || ' ', '  ', ' ')"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(i)}, {quoted(body)})" for i, body in KNOWN)
+    canon = f"replace(' ' || regexp_replace(low, {quoted(licenses.GAP)}, ' ', 'g') || ' ', '  ', ' ')"
+    whole = f"' ' || coalesce(string_agg(line, ' ' ORDER BY pos) FILTER (line <> '' AND NOT regexp_matches(line, {quoted(licenses.TITLE)})), '') || ' '"
     for odd, usual in SPELLINGS.items():
         canon = f"replace({canon}, ' {odd} ', ' {usual} ')"
+        whole = f"replace({whole}, ' {odd} ', ' {usual} ')" if " " in odd else whole
+    copyright_ = f"regexp_matches(low, {quoted(licenses.SIGNED)}) OR (regexp_matches(low, {quoted(licenses.NAMED)}) AND NOT regexp_matches(low, {quoted(licenses.NO_NAME)}))"
     return rf"""
 WITH k AS (SELECT row_number() OVER () AS kid, * FROM (VALUES {known}) AS v(license_id, body)),
 t AS (SELECT 'd' AS kind, row_number() OVER () AS rid, coalesce(text, '') AS body FROM documents UNION ALL SELECT 'k', kid, body FROM k),
 s AS (SELECT kind, rid, string_split(body, chr(10)) AS ls FROM t),
 l AS (SELECT kind, rid, generate_subscripts(ls, 1) AS pos, translate(unnest(ls), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM s),
-c AS (SELECT kind, rid, pos, CASE WHEN regexp_matches(low, '^[^a-z0-9]*(copyright|\(c\)|©).*$') THEN '' ELSE trim({canon}, ' ') END AS line FROM l),
-w AS (SELECT kind, rid, coalesce(string_agg(line, ' ' ORDER BY pos) FILTER (line <> ''), '') AS whole FROM c GROUP BY ALL),
-n AS (SELECT whole AS canon, min(license_id) AS found FROM w JOIN k ON w.rid = k.kid WHERE kind = 'k' AND whole <> '' GROUP BY whole),
+c AS (SELECT kind, rid, pos, CASE WHEN {copyright_} THEN '' ELSE trim({canon}, ' ') END AS line FROM l),
+w AS (SELECT kind, rid, trim({whole}, ' ') AS whole FROM c GROUP BY ALL),
+n AS (SELECT canon, min(license_id) AS found FROM (SELECT whole AS canon, license_id FROM w JOIN k ON w.rid = k.kid WHERE kind = 'k' AND whole <> '') GROUP BY canon),
 o AS (SELECT rid, count(*) AS n_notices, string_agg(found, ',' ORDER BY found) AS notices FROM (SELECT DISTINCT rid, found FROM c JOIN n ON c.line = n.canon WHERE kind = 'd') GROUP BY rid)
 SELECT doc_id, sha256(whole) AS digest, n.found AS license_id, coalesce(notices, '') AS notices, coalesce(n_notices, 0) AS n_notices
 FROM (SELECT doc_id, row_number() OVER () AS rid FROM documents) d JOIN w ON w.rid = d.rid AND w.kind = 'd' LEFT JOIN n ON n.canon = w.whole LEFT JOIN o ON o.rid = d.rid

@@ -305,6 +305,31 @@ def test_entire_texts_of_every_licence(spark):
     assert [got[i] for i in range(len(docs))] == [*want, None]
 
 
+TITLED = {
+    "MIT": ["MIT License", "The MIT License (MIT)", "The MIT License"], "ISC": ["ISC License", "ISC License (ISC)", "The ISC License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib License (Zlib)"], "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \u201cNew\u201d or \u201cRevised\u201d License"], "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)"],
+}
+
+
+def test_titles_wrappings_and_quotes_of_short_licences(spark):
+    folder = Path(licenses.__file__).with_name("license_texts")
+    docs, want = [], []
+    for name, titles in TITLED.items():
+        text = {"MIT": MIT, "ISC": ISC, "0BSD": licenses.ZERO_BSD}.get(name) or (folder / f"{name}.txt").read_text()
+        for title in titles:
+            for width in (0, 60, 78):
+                paragraphs = [" ".join(p.split()) for p in re.split(r"\n[ \t]*\n", text)]
+                body = "\n\n".join("\n".join(textwrap.wrap(p, width)) if width else p for p in paragraphs)
+                for curly in (False, True):
+                    form = f"{title}\n\nCopyright (c) 2023 Some One\n\n{body}"
+                    form = re.sub(r'"([^"]*)"', "\u201c\\1\u201d", form).replace("'", "\u2019") if curly else form
+                    docs.append((len(docs), form))
+                    want.append(name)
+    got = {r["doc_id"]: r["license_id"] for r in scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(docs))] == want and len(docs) == 108
+
+
 def test_copyright_statements_only(spark):
     gone = ["Copyright (c) 2020 A", "  # Copyright 2020, A", "(C) 2020 A", "© A", "Copyright Some One", "copyright [yyyy] [name]", "(c) Copyright A"]
     stay = ["copyright notice and this permission notice", "COPYRIGHT HOLDERS BE LIABLE", "copyright and related rights", "(c) You must retain", "copyright", "the copyright 2020"]
