@@ -183,7 +183,8 @@ def _routed(spark: SparkSession, spec: SinkSpec) -> Sink:
 def _table(spark: SparkSession, spec: SinkSpec) -> Sink:
     o = spec.options
     empty, position = spark.createDataFrame([], o["schema"]), o.get("position", ["lsn", "seq", "instance_id"])
-    return TableSink(spec.name, o["path"], o.get("key", "id"), position, empty, spec.subjects, o.get("dlq"), spec.keys, shape=spec.shaped, buckets=o.get("buckets", 16))
+    more = {"buckets": o.get("buckets", 16), "evolve": o.get("evolve", False)}
+    return TableSink(spec.name, o["path"], o.get("key", "id"), position, empty, spec.subjects, o.get("dlq"), spec.keys, shape=spec.shaped, **more)
 
 
 def _console(spark: SparkSession, spec: SinkSpec) -> Sink:

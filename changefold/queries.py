@@ -23,7 +23,7 @@ from changefold.plans.scratch import scratch_dir
 from changefold.sources import changes as reading
 from changefold.sources import decode, snapshot
 from changefold.streaming import log as logs
-from changefold.streaming import observe, sinks
+from changefold.streaming import observe, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -435,6 +435,29 @@ def io14(spark, d):
     return actions.infer_sink_schema(rows)
 
 
+@query(
+    "io14_evolving_table",
+    "SELECT o_orderkey AS id, o_orderkey % 3 AS part, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END AS price, CASE WHEN o_orderkey % 3 = 2 THEN o_orderstatus END AS note, "
+    "CASE WHEN o_orderkey % 3 = 2 THEN o_custkey || 'x' ELSE CAST(o_custkey AS VARCHAR) END AS cust, 'bigint double string string' AS types FROM orders",
+)
+def io14_evolving(spark, d):
+    """A table that is declared with its key alone. Of three batches the second has a field more, and
+    the third another, and customers that are no numbers any more."""
+    part = F.col("o_orderkey") % 3
+    text = lambda c: F.col(c).cast("string")
+    cust = F.when(part == 2, F.concat(text("o_custkey"), F.lit("x"))).otherwise(text("o_custkey"))
+    names = F.array(*[F.lit(n) for n in ("id", "part", "cust", "price", "note")])
+    image = F.map_filter(F.map_from_arrays(names, F.array(text("o_orderkey"), part.cast("string"), cust, text("o_totalprice"), text("o_orderstatus"))), lambda k, v: ((k != "price") | (part > 0)) & ((k != "note") | (part == 2)))
+    rows = table(spark, d, "orders").select(part.alias("part"), F.col("o_orderkey").alias("key"), F.lit("c").alias("op"), image.alias("image"), F.col("o_orderkey").alias("lsn"), F.col("o_orderkey").alias("seq"))
+    schema = spark.createDataFrame([], "id long").schema
+    kept = tables.MergeTable(f"{scratch_dir(spark, 'io14')}/t", "id", schema, ["lsn", "seq"], buckets=4, compact=2, evolve=True)
+    for i in range(3):
+        kept.add(rows.filter(F.col("part") == i))
+    got = kept.read(spark)
+    kinds = " ".join(dict(got.dtypes)[c] for c in ("part", "price", "note", "cust"))
+    return got.select("id", "part", "price", "note", "cust", F.lit(kinds).alias("types"))
+
+
 # --- filters and projections -----------------------------------------------------------
 
 

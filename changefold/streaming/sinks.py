@@ -104,9 +104,10 @@ class TableSink:
     def __init__(
         self, name: str, path: str, key: str, position: list[str], empty: DataFrame, subjects: list[str] | None = None, dlq: str | None = None,
         keys: dict[str, str] | None = None, compact: int = 8, shape: Callable[[DataFrame], DataFrame] = lambda df: df, buckets: int = 16,
+        evolve: bool = False,
     ):
         self.name, self.subjects, self.dlq, self.keys, self.shape = name, subjects or [], dlq or f"{path}/dlq", keys or {}, shape
-        self.table = MergeTable(path, key, empty.schema, position, buckets, compact)
+        self.table = MergeTable(path, key, empty.schema, position, buckets, compact, evolve=evolve)
 
     def read(self, spark: SparkSession) -> DataFrame:
         return self.table.read(spark)

@@ -30,10 +30,15 @@ class MergeTable:
     that count and the last batch of each query. Files that it no longer names are deleted
     at the next batch, so that readers of the pointer before can end.
 
+    With ``evolve`` the schema follows the changes: a field that no column has becomes a column, and a column
+    whose values don't cast becomes as wide as they need (integers, numbers, truth values, then text). Folds
+    hold text, so that no row is rewritten for it; ``alterations`` tells what changed and when.
+
     One task writes a bucket: choose buckets so that one holds about a gigabyte. One writer at a time.
     """
 
-    def __init__(self, path: str, key: str, schema: T.StructType, position: list[str], buckets: int = 16, compact: int = 8, share: float = 0.25):
+    def __init__(self, path: str, key: str, schema: T.StructType, position: list[str], buckets: int = 16, compact: int = 8, share: float = 0.25, evolve: bool = False):
+        self.evolve = evolve
         self.path, self.key, self.schema, self.position = path, key, schema, position
         self.buckets, self.compact, self.share = buckets, compact, share
 
@@ -59,7 +64,7 @@ class MergeTable:
             files, done = self._at(spark, f"{name}/_SUCCESS")
             if files.exists(done):
                 return json.loads(spark.read.text(f"{self.path}/{name}").collect()[0][0])
-        return {"version": -1, "buckets": self.buckets, "schema": None, "parts": {}, "done": {}, "dropped": []}
+        return {"version": -1, "buckets": self.buckets, "schema": None, "parts": {}, "done": {}, "dropped": [], "columns": self.schema.json(), "alterations": []}
 
     def _write(self, folded: DataFrame, version: str, buckets: int) -> dict[str, int]:
         """Write folds by bucket; how many rows each bucket that has any got."""
@@ -80,12 +85,18 @@ class MergeTable:
     def read(self, spark: SparkSession) -> DataFrame:
         """The current rows. Buckets without deltas aren't shuffled."""
         at = self.pointer(spark)
+        schema = T.StructType.fromJson(json.loads(at["columns"]))
         if not at["schema"]:
-            return spark.createDataFrame([], self.schema)
+            return spark.createDataFrame([], schema)
         clean = [(b, p["base"][0]) for b, p in at["parts"].items() if p["base"] and not p["deltas"]]
         mixed = [(b, v) for b, p in at["parts"].items() if p["deltas"] for v, _ in [*([p["base"]] if p["base"] else []), *p["deltas"]]]
         rows = [self._folds(spark, at, clean), *([merge_folds(self._folds(spark, at, mixed))] if mixed else [])]
-        return live_rows(reduce(DataFrame.unionByName, rows), self.schema, self.key)
+        return live_rows(reduce(DataFrame.unionByName, rows), schema, self.key)
+
+    def alterations(self, spark: SparkSession) -> DataFrame:
+        """(version, column, type, ddl) for each column that a batch added or widened."""
+        rows = [(v, c, t, f"ALTER TABLE ADD COLUMN `{c}` {t}" if new else f"ALTER TABLE ALTER COLUMN `{c}` TYPE {t}") for v, c, t, new in self.pointer(spark)["alterations"]]
+        return spark.createDataFrame(rows, "version long, column string, type string, ddl string")
 
     # --- writing -----------------------------------------------------------------------
 
@@ -113,10 +124,14 @@ class MergeTable:
         for name in at["dropped"]:
             self._delete(spark, name)
         version = at["version"] + 1
-        columns = [c for c in self.schema.names if c != self.key]
+        schema, altered = T.StructType.fromJson(json.loads(at["columns"])), []
+        if self.evolve:
+            schema, altered = widened(schema, changes, self.key)
+        columns = [c for c in schema.names if c != self.key]
         typed = {"key": F.col("key").cast(self.schema[self.key].dataType)} | {f.name: F.col(f.name).cast(f.dataType) for f in position_type(self.position)}
         folded = fold(changes.withColumns(typed), columns, self.position)
-        new = at | {"version": version, "schema": folded.schema.json(), "done": at["done"] | ({query: epoch} if epoch is not None else {})}
+        evolved = {"columns": schema.json(), "alterations": at["alterations"] + [[version, *a] for a in altered]}
+        new = at | evolved | {"version": version, "schema": folded.schema.json(), "done": at["done"] | ({query: epoch} if epoch is not None else {})}
         parts = {b: {"base": p["base"], "deltas": [*p["deltas"]]} for b, p in at["parts"].items()}
         for b, n in self._write(folded, f"{version:06d}", at["buckets"]).items():
             parts.setdefault(b, {"base": None, "deltas": []})["deltas"].append([f"{version:06d}", n])
@@ -157,5 +172,33 @@ def position_type(position: list[str]) -> T.StructType:
     return T.StructType([T.StructField(p, ENVELOPE[p].dataType if p in ENVELOPE.names else T.LongType()) for p in position])
 
 
+#: Types of columns from narrow to wide; a truth value and a number have only text above them.
+WIDER = {"bigint": {"bigint", "double", "string"}, "double": {"double", "string"}, "boolean": {"boolean", "string"}, "string": {"string"}}
+
+
+def widened(schema: T.StructType, changes: DataFrame, key: str) -> tuple[T.StructType, list[tuple[str, str, bool]]]:
+    """(schema, altered): a schema that holds the fields of a batch's images, and (column, type, whether it is
+    new) for what differs. One pass over the batch; a row per field comes back, and fields are few, being columns of tables.
+
+    A field gets the narrowest type that all of its values cast to; a declared column of another type than these is
+    widened to text if one of its values doesn't cast. A field that is null everywhere is text.
+    """
+    cells = changes.filter("image is not null").select(F.explode("image").alias("c", "v")).filter(F.col("c") != key)
+    declared = {f.name: f for f in schema}
+    fits = [F.every(F.col("v").isNull() | F.col("v").try_cast(t).isNotNull()).alias(t) for t in ("bigint", "double", "boolean")]
+    own = [F.every(F.col("v").isNull() | (F.col("c") != f.name) | F.col("v").try_cast(f.dataType).isNotNull()).alias(f"own{i}") for i, f in enumerate(schema)]
+    fields, altered = {f.name: f.dataType for f in schema}, []
+    for row in sorted(cells.groupBy("c").agg(F.count("v").alias("n"), *fits, *own).collect()):
+        c, held = row["c"], fields.get(row["c"])
+        if held is not None and (not row["n"] or row[f"own{schema.names.index(c)}"]):
+            continue
+        narrow = {t for t in WIDER if row["n"] and (t == "string" or row[t])} | {"string"}
+        known = WIDER.get(held.simpleString(), {"string"}) if held is not None else set(WIDER)
+        kind = next(t for t in ("bigint", "double", "boolean", "string") if t in narrow & known)
+        fields[c] = {"bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType()}[kind]
+        altered.append((c, kind, c not in declared))
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()]), altered
+
+
 def _names(parts: dict) -> set[tuple[str, str]]:
     return {(b, v) for b, p in parts.items() for v, _ in [*([p["base"]] if p["base"] else []), *p["deltas"]]}

@@ -103,3 +103,21 @@ def test_nothing_in_a_table_and_nothing_in_a_batch(spark, tmp_path):
     assert table.read(spark).collect() == []
     table.add(spark.createDataFrame([], CHANGES), "q", 0)
     assert table.read(spark).collect() == [] and table.pointer(spark)["done"] == {"q": 0}
+
+
+def test_new_fields_become_columns_and_types_widen(spark, tmp_path):
+    table = lambda: MergeTable(str(tmp_path / "t"), "id", SCHEMA, ["lsn", "seq"], buckets=2, compact=2, evolve=True)
+    batches = [
+        [(1, "c", {"id": "1", "x": "5", "n": "7", "on": "true"}, 1, 0)], [(2, "c", {"id": "2", "n": "1.5", "x": None}, 2, 0), (1, "u", {"late": None}, 3, 0)],
+        [(3, "c", {"id": "3", "x": "five", "on": "2", "late": "1"}, 4, 0)], [(1, "d", {"id": "1"}, 5, 0), (2, "u", {"n": "3"}, 6, 0)],
+    ]
+    for k, rows in enumerate(batches):
+        table().add(spark.createDataFrame(rows, CHANGES), "q", k)
+    got = table().read(spark)
+    assert got.dtypes == [("id", "bigint"), ("x", "string"), ("y", "string"), ("n", "double"), ("on", "string"), ("late", "string")]
+    assert rows_of(got) == [(2, None, None, 3.0, None, None), (3, "five", None, None, "2", "1")]
+    altered = [(r["version"], r["column"], r["type"], r["ddl"].split()[2]) for r in table().alterations(spark).collect()]
+    assert altered == [(0, "n", "bigint", "ADD"), (0, "on", "boolean", "ADD"), (1, "late", "string", "ADD"), (1, "n", "double", "ALTER"), (2, "on", "string", "ALTER"), (2, "x", "string", "ALTER")]
+    plain = MergeTable(str(tmp_path / "p"), "id", SCHEMA, ["lsn", "seq"])
+    plain.add(spark.createDataFrame(batches[0], CHANGES))
+    assert plain.read(spark).columns == ["id", "x", "y"]
