@@ -23,7 +23,7 @@ from changefold.plans.scratch import scratch_dir
 from changefold.sources import changes as reading
 from changefold.sources import decode, snapshot
 from changefold.streaming import log as logs
-from changefold.streaming import observe, sinks, tables
+from changefold.streaming import letters, observe, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1010,6 +1010,36 @@ def st7(spark, d):
     return replayed.select("seq", F.lit("replayed").alias("state")).unionByName(left.select("seq", F.lit("left").alias("state")))
 
 
+@query(
+    "st7_replay_letters",
+    "WITH {DEL}, x AS (SELECT l.* FROM log l JOIN del ON del.seq = l.seq WHERE NOT acked AND attempts >= 10 AND sink = 'store'), "
+    "f AS (SELECT *, row_number() OVER (ORDER BY seq) AS r FROM x) SELECT seq, CASE WHEN op <> 'd' AND r <= 60 THEN 'replayed' ELSE 'left' END AS state FROM f",
+)
+def st7_letters(spark, d):
+    """Letters kept in two folders; a replay of the first 60 that breaks off in its delivery, and what is
+    begun after it: each letter is delivered once or left."""
+    out = scratch_dir(spark, "st7")
+    failed = logs.route_failures(deliveries(spark, d).filter("not acked and sink = 'store'")).filter("route = 'dlq'").select("seq")
+    dlq = change_log(spark, d).join(failed, "seq", "left_semi")
+    for i in range(2):
+        dlq.filter(F.col("seq") % 2 == i).write.parquet(f"{out}/dlq/sink=store/query=q/batch={i}-failed")
+    kept = letters.DeadLetters(spark, f"{out}/dlq")
+
+    def deliver(rows, number):
+        rows.select("seq").write.mode("overwrite").parquet(f"{out}/delivered/replay={number}")
+
+    def broken(rows, number):
+        deliver(rows, number)
+        raise RuntimeError("broken off")
+
+    try:
+        kept.replay(broken, ["op <> 'd'"], first=60)
+    except RuntimeError:
+        kept.replay(deliver, ["false"])  # ends the first, and takes none itself
+    replayed = spark.read.parquet(f"{out}/delivered").select("seq", F.lit("replayed").alias("state"))
+    return replayed.unionByName(kept.read().select("seq", F.lit("left").alias("state")))
+
+
 @query(
     "st8_classify_error",
     "WITH {DEL} SELECT error_class, error_class NOT IN ('validation', 'schema') AS retryable, count(*) AS n FROM del WHERE NOT "

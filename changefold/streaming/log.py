@@ -289,8 +289,8 @@ def reprocess_dlq(
     """(replayed, left, ended) of the first dead letters: those that filters and transformers
     pass and that are valid again; those that stay; those that can't be decoded and go.
 
-    A letter is known by its sink, if there is such a column, and its seq."""
-    key = ["sink", "seq"] if "sink" in dlq.columns else ["seq"]
+    A letter is known by its sink and message id, if there are such columns, and its seq."""
+    key = [c for c in ("sink", "msg_id") if c in dlq.columns] + ["seq"]
     batch = dlq.orderBy("seq", *key[:-1]).limit(first)
     decodable = decodable if decodable is not None else F.coalesce("before", "after").isNotNull()
     ended = batch.filter(~F.coalesce(decodable, F.lit(False)))
