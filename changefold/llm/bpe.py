@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,6 +63,7 @@ class Codec:
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("a byte-level vocabulary has every single byte")
         self.ranks, self.tokens, self.pattern = ranks, {i: t for t, i in ranks.items()}, regex.compile(pattern)
+        self.ascii = _ascii_pattern(pattern)
         self.pieces, self.stable = _Pieces(self), {}
 
     # --- encoding ----------------------------------------------------------------------
@@ -149,7 +151,8 @@ class Codec:
     def encode(self, text: str) -> bytes:
         """The ids of a text, four bytes each, least first."""
         if len(text) <= LEAF_CHARS:
-            return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+            pattern = self.ascii if self.ascii and text.isascii() else self.pattern
+            return b"".join(map(self.pieces.__getitem__, pattern.findall(text)))
         cut = _cut(text)
         if cut is None:
             return b"".join(self.pieces[m[0]] for m in self.pattern.finditer(text))
@@ -166,6 +169,13 @@ class Codec:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
+def _ascii_pattern(pattern: str) -> re.Pattern | None:
+    """The pattern for ASCII texts, where letters and numbers are those of ASCII, in the standard library's form,
+    which is three times as fast; none if other properties are named."""
+    plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+    return None if r"\p" in plain or r"\P" in plain else re.compile(plain, re.ASCII)
+
+
 def _cut(text: str) -> int | None:
     """A place near the middle before white space and after something else, if there is one."""
     middle = len(text) // 2

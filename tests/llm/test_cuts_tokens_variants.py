@@ -143,6 +143,13 @@ def test_any_text_equals_the_library(codec, library, text):
     assert codec.decode(codec.encode(text)) == text.encode()
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=127), max_size=300))
+def test_ascii_texts_equal_the_library(codec, library, text):
+    assert codec.ascii and ids_of(codec, text) == library.encode_ordinary(text)
+    assert codec.ascii.findall(text) == codec.pattern.findall(text)
+
+
 @pytest.mark.parametrize("letters", ["a", "ab", "aé漢", "abcdefghijklmnopqrstuvwxyz", "-=", "  \n", "etaoin", "0123456789"])
 def test_long_pieces_go_through_the_tree(codec, library, letters):
     rng = random.Random(len(letters))
