@@ -35,6 +35,8 @@ from changefold.llm.common import slices
 LEAF_BYTES, LEAF_CHARS, LEAF_IDS = 64, 1 << 14, 1 << 12
 #: Entries that a memory of encoded pieces, or of pairs, holds before it starts anew.
 MEMORY = 1 << 18
+#: Stands for the rank of a pair that isn't merged.
+NO_RANK = 1 << 62
 #: Bytes a vocabulary file may have, being sent to every task.
 MOST_VOCABULARY = 64 << 20
 
@@ -75,21 +77,17 @@ class Codec:
             return [whole]
         if len(data) > 2 * LEAF_BYTES:
             return self._merge_long(data)
-        ranks, parts = self.ranks, [data[i : i + 1] for i in range(len(data))]
-        held = [ranks.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-        while True:
-            least, at = None, -1
-            for i, r in enumerate(held):
-                if r is not None and (least is None or r < least):
-                    least, at = r, i
-            if least is None:
-                return [ranks[p] for p in parts]
+        rank, parts = self.ranks.get, [data[i : i + 1] for i in range(len(data))]
+        held = [rank(data[i : i + 2], NO_RANK) for i in range(len(data) - 1)]
+        while held and (least := min(held)) != NO_RANK:
+            at = held.index(least)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del held[at]
             if at < len(held):
-                held[at] = ranks.get(parts[at] + parts[at + 1])
+                held[at] = rank(parts[at] + parts[at + 1], NO_RANK)
             if at:
-                held[at - 1] = ranks.get(parts[at - 1] + parts[at])
+                held[at - 1] = rank(parts[at - 1] + parts[at], NO_RANK)
+        return [self.ranks[p] for p in parts]
 
     def _merge_long(self, data: bytes) -> list[int]:
         """The same for many bytes: parts are linked, and their pairs wait in a heap."""
