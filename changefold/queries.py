@@ -23,7 +23,7 @@ from changefold.plans.scratch import scratch_dir
 from changefold.sources import changes as reading
 from changefold.sources import decode, snapshot
 from changefold.streaming import log as logs
-from changefold.streaming import letters, observe, sinks, tables
+from changefold.streaming import letters, observe, seek, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -843,6 +843,36 @@ def sl4(spark, d):
     return explorer.list_messages(change_log(spark, d), _floor(spark, d), "unsent", "cdc", "cdc.*.public.purchases", page=2).select("seq", "subject")
 
 
+def _indexed(spark, log, by):
+    """A log that three batches have written in folders, and its index after each was followed."""
+    path, index = scratch_dir(spark, "seek-log"), None
+    for i in range(3):
+        part = log.filter(F.pmod(F.shiftright("seq", 9), F.lit(3)) == i)
+        part.repartitionByRange(*by).sortWithinPartitions("seq").write.mode("append").partitionBy(*by[:-1]).parquet(path)
+        index = index or seek.SeekIndex(spark, scratch_dir(spark, "seek-index"), path, log.schema, compact=2)
+        index.follow().awaitTermination()
+    return path, index
+
+
+@query(
+    "sl4_seek_pages",
+    f"WITH {CHG}, {ACKS}, {FLOOR}, p AS (SELECT 'deep' AS listing, * FROM (SELECT seq, subject FROM log ORDER BY seq LIMIT 50 OFFSET 800) UNION ALL "
+    f"SELECT 'newest', * FROM (SELECT seq, subject FROM log WHERE topic = 'cdc' ORDER BY seq DESC LIMIT 20 OFFSET 60) UNION ALL SELECT 'unsent', * FROM (SELECT seq, subject "
+    f"FROM log, fl WHERE seq > ack_floor AND subject LIKE 'cdc.%.public.purchases' ORDER BY seq LIMIT 20 OFFSET 20)) SELECT * FROM p",
+)
+def sl4_seek(spark, d):
+    """Pages by the seek index: a deep one, the newest, and that of ``sl4_list_messages``."""
+    log = change_log(spark, d).select("seq", "ts", "subject", "topic", "instance_id", "schema", "tbl")
+    _, index = _indexed(spark, log, ["topic", "instance_id", "schema", "tbl", "seq"])
+    floor = _floor(spark, d).collect()[0]["ack_floor"]  # one row
+    pages = {
+        "deep": index.page(50, 17), "newest": index.page(20, 4, topic="cdc", newest=True),
+        "unsent": index.page(20, 2, "cdc", "cdc.*.public.purchases", status="unsent", floor=floor),
+    }
+    parts = [rows.select(F.lit(name).alias("listing"), "seq", "subject") for name, rows in pages.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("sl5_sort_spec", "WITH {CHG} SELECT seq, k, tbl FROM log ORDER BY k DESC, tbl, seq LIMIT 100")
 def sl5(spark, d):
     return explorer.sort_spec(change_log(spark, d).select("seq", "k", "tbl"), [("k", "desc"), ("tbl", "unspecified")]).limit(100)
@@ -987,6 +1017,15 @@ def st2(spark, d):
     return logs.expire_log(change_log(spark, d), NOW).select("seq")
 
 
+@query("st2_expired_files", "WITH {CHG} SELECT seq, subject FROM log WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY")
+def st2_files(spark, d):
+    """What is on the disk when the expired files of a log, in folders by day, are deleted."""
+    log = change_log(spark, d).select("seq", "ts", "subject", "topic", F.to_date("ts").alias("day"))
+    path, index = _indexed(spark, log, ["day", "seq"])
+    index.expire(NOW, 7)
+    return spark.read.schema(log.schema).parquet(path).select("seq", "subject")
+
+
 @query("st3_assign_batches", "WITH {CHG} SELECT seq, (row_number() OVER (ORDER BY seq) - 1) // 100 AS batch FROM log WHERE op <> 'd'")
 def st3(spark, d):
     return logs.assign_batches(change_log(spark, d).filter("op <> 'd'").select("seq"), 100)
