@@ -8,7 +8,7 @@ that towards all pages. How far to trust markup and suffix is not assumed but co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ BITS, TEMPER = 15, 0.2
 LEAN = 10.0
 #: Hosts whose votes may be broadcast.
 MOST_HOSTS = 100_000
+#: Languages of the labelled documents; more are refused, as each is a table of 256 kB in every task.
+MOST_LANGS = 256
 
 
 def trigrams(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +71,10 @@ def text_models(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["lang", "counts"])
 
     counted = docs.filter("lang is not null").select("lang", "text").mapInArrow(count, "lang string, counts binary")
-    rows = counted.repartition(8, "lang").mapInArrow(add, "lang string, counts binary").orderBy("lang").collect()
+    added = saved(counted.repartition(8, "lang").mapInArrow(add, "lang string, counts binary"), "language-counts")
+    if added.count() > MOST_LANGS:
+        raise ValueError(f"documents have more than {MOST_LANGS} languages")
+    rows = added.orderBy("lang").collect()
     langs = [r["lang"] for r in rows]
     counts = np.array([np.frombuffer(r["counts"], dtype=np.int64) for r in rows], dtype=float).reshape(-1, 1 << BITS) + 0.5
     return langs, np.log(counts / counts.sum(axis=1, keepdims=True))
@@ -99,9 +104,10 @@ def page_likelihoods(pages: DataFrame, models: np.ndarray) -> DataFrame:
 
 
 def softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    parts = F.transform(scores, lambda x: F.exp(x - top))
-    return F.transform(parts, lambda x: x / F.aggregate(parts, F.lit(0.0), lambda a, b: a + b))
+    """Scores as probabilities. The top and the sum are taken once, not once per score."""
+    top = F.array_repeat(F.array_max(scores), F.size(scores))
+    parts = F.zip_with(scores, top, lambda x, t: F.exp(x - t))
+    return F.zip_with(parts, F.array_repeat(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b), F.size(scores)), lambda x, z: x / z)
 
 
 def suffix_of(host: Column) -> Column:
@@ -115,13 +121,18 @@ def _votes(rows: DataFrame, by: str, n: int) -> DataFrame:
     )
 
 
+def _weight(column: str, yes: float, no: float) -> Callable[[Column], Column]:
+    """What a stated language adds to the score of each."""
+    return lambda name: F.when(F.col(column) == name, F.lit(yes)).otherwise(F.lit(no))
+
+
 def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """The language of each page: page_id, url, lang, posterior, text_lang (by text alone),
     declared.
 
     One row per input row. Null html or text without trigrams gives no text evidence; null
     addresses share an empty host; ties go to the language that is first in order. Without
-    labelled documents lang is null. Extra columns are left out. Hosts are counted with
+    labelled documents lang is null; more than ``MOST_LANGS`` languages are refused. Extra columns are left out. Hosts are counted with
     partial sums, so a host with a third of all pages is no burden to one task.
     """
     langs, models = text_models(docs)
@@ -151,17 +162,16 @@ def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     by_suffix, by_host = (broadcast_if_small(saved(_votes(rows, c, n), f"language-{c}"), MOST_HOSTS) for c in ("suffix", "host"))
     joined = rows.join(by_suffix, F.col("suffix") == F.col("_suffix")).join(by_host, F.col("host") == F.col("_host"))
 
-    def fused(k: int) -> Column:
-        votes = F.element_at("vote", k + 1)
-        # the page's own vote is taken out of its host's and suffix's counts
-        of_suffix = (F.element_at("suffix_votes", k + 1) - votes + LEAN * prior[k]) / (F.col("suffix_n") - 1 + LEAN)
-        of_host = (F.element_at("host_votes", k + 1) - votes + LEAN * of_suffix) / (F.col("host_n") - 1 + LEAN)
-        score = F.element_at("text_ll", k + 1) + F.log(F.greatest(of_host, F.lit(1e-9)))
-        for column, (yes, no) in stated.items():
-            score += F.when(F.col(column).isin(langs), F.when(F.col(column) == langs[k], F.lit(yes)).otherwise(F.lit(no))).otherwise(F.lit(0.0))
-        return score
-
-    done = joined.withColumn("p", softmax(F.array(*[fused(k) for k in range(n)])))
+    # per language: prior, and the page's own vote taken out of its suffix's and host's counts
+    priors = F.array(*[F.lit(float(x)) for x in prior])
+    of_suffix = F.zip_with(F.zip_with("suffix_votes", "vote", lambda s, v: s - v), priors, lambda s, q: (s + LEAN * q) / (F.col("suffix_n") - 1 + LEAN))
+    of_host = F.zip_with(F.zip_with("host_votes", "vote", lambda h, v: h - v), of_suffix, lambda h, s: (h + LEAN * s) / (F.col("host_n") - 1 + LEAN))
+    score = F.zip_with("text_ll", of_host, lambda t, h: t + F.log(F.greatest(h, F.lit(1e-9))))
+    for column, (yes, no) in stated.items():
+        weights = F.transform(names, _weight(column, yes, no))
+        said = F.zip_with(score, weights, lambda x, w: x + w)
+        score = F.when(F.array_contains(names, F.col(column)), said).otherwise(score)
+    done = joined.withColumn("_score", score).withColumn("p", softmax(F.col("_score")))
 
     def best(scores: Column) -> Column:
         return F.element_at(names, F.array_position(scores, F.array_max(scores)).cast("int"))

@@ -402,6 +402,20 @@ def test_language_of_pages(spark):
     assert language.identify_pages(pages.limit(0), docs).count() == 0
 
 
+def test_many_languages(spark, monkeypatch):
+    """Work grows with the languages, not with their square or worse."""
+    docs = spark.createDataFrame([(i, f"l{i:02d}", " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{w}" for w in "xyzuvw") * 3) for i in range(60)], "doc_id long, lang string, text string")
+    pages = [(r["doc_id"], f"http://h{r['doc_id'] % 7}.zz/{r['doc_id']}", f"<article><p>{r['text']}</p></article>") for r in docs.collect()]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = language.identify_pages(frame, docs)
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    got = found.collect()
+    assert sum(r["lang"] == f"l{r['page_id']:02d}" for r in got) >= 55 and all(0 < r["posterior"] <= 1 for r in got)
+    monkeypatch.setattr(language, "MOST_LANGS", 59)
+    with pytest.raises(ValueError, match="59 languages"):
+        language.identify_pages(frame, docs)
+
+
 def test_markup_decides_where_text_is_silent(spark):
     docs = spark.createDataFrame([(i, lang, text) for i in range(30) for lang, text in (("aa", "foo bar foo bar"), ("bb", "qux zip qux zip"))], "doc_id long, lang string, text string")
     pages = [(i, f"http://x.aa/{i}", "<html lang='aa'><p>foo bar foo bar foo</p>") for i in range(30)] + [(50, "http://x.aa/p", "<html lang='bb'><p>1</p>"), (51, "http://x.aa/q", "<p>2</p>"), (52, "http://x.aa/r", "<html lang='aa'><p>qux zip qux zip qux zip qux zip qux</p>")]
