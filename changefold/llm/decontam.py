@@ -89,8 +89,10 @@ def find_hits(docs: DataFrame, bench: DataFrame, n: int = 10) -> DataFrame:
     """Per distinct (doc_id, text) row key: copies, n_words, n_hit, n_items, items_sha256.
 
     A document word is hit if it lies inside an occurrence of any window of an item; an item
-    of fewer than ``n`` words is one window.
+    of fewer than ``n`` words is one window. ``n`` is less than ``PLACE``.
     """
+    if not 1 <= n < PLACE:
+        raise ValueError(f"n must be from 1 to {PLACE - 1}")
     windows, members = bench_windows(bench, n)
     lengths = [r[0] for r in windows.select("len").distinct().orderBy("len").collect()]  # n values at most
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), words_of(F.col("text")).alias("w"))

@@ -240,6 +240,13 @@ def contamination(docs, bench, n):
     return sorted(out, key=repr)
 
 
+def test_windows_have_a_bound(spark):
+    rows = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for n in (0, decontam.PLACE):
+        with pytest.raises(ValueError, match="n must be"):
+            report(rows, rows.withColumnRenamed("doc_id", "item_id"), n)
+
+
 @pytest.mark.parametrize("most", [1_000_000, 0])
 def test_decontamination(spark, monkeypatch, most):
     monkeypatch.setattr(decontam, "MOST_ANCHORS", most)
