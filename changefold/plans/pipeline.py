@@ -20,6 +20,7 @@ from changefold.sources.decode import binlog_rows_to_events, poll_rows_to_events
 from changefold.sources.poll import PollSource
 from changefold.sources.snapshot import digest, hand_off, row_number, snapshot_to_events
 from changefold.streaming.log import KEEP_DAYS, PARTITIONS, dedup_stream, publish_log, to_messages
+from changefold.streaming.seek import SeekIndex
 from changefold.streaming.sinks import AppendSink, FunctionSink, Sink, TableSink, WebhookSink, run_sink
 
 logger = logging.getLogger(__name__)
@@ -264,9 +265,18 @@ class Pipeline:
         """What sinks read: the message log, or the sources' messages where there is none."""
         if not self.spec.log:
             return self.messages(stream)
+        return read_changes(self.spark, self.spec.log, stream=stream, schema=self._log_schema())
+
+    def _log_schema(self) -> T.StructType:
         fields = [f for f in self.messages().schema if f.name not in PARTITIONS]
-        schema = T.StructType([*fields, *[T.StructField(c, T.StringType()) for c in PARTITIONS]])
-        return read_changes(self.spark, self.spec.log, stream=stream, schema=schema)
+        return T.StructType([*fields, *[T.StructField(c, T.StringType()) for c in PARTITIONS]])
+
+    def index(self) -> SeekIndex:
+        """The seek index of the log, kept beside the cursors: ``follow`` brings it up to date, ``page`` shows
+        messages, and ``expire`` takes files off the disk that the log no longer shows."""
+        if not self.spec.log:
+            raise ValueError("an index needs a log")
+        return SeekIndex(self.spark, f"{self.checkpoint}/_seek", self.spec.log, self._log_schema())
 
     def _publish(self, trigger: dict | None, only_snapshots: bool = False) -> StreamingQuery:
         messages = dedup_stream(self.messages(True, only_snapshots))

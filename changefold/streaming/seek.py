@@ -221,7 +221,7 @@ class SeekIndex:
     ) -> DataFrame:
         """The page of ``explorer.list_messages`` in order of seq, or with the ``newest`` first, at the cost of the
         spans it is in. ``status`` is relative to the acknowledged ``floor``; ``most`` caps a page, as there.
-        Messages with one number are in order of subject. Other orders need ``list_messages``."""
+        Messages with one number are in order of subject and of message id, if they have one. Other orders need ``list_messages``."""
         limit, page = max(1, min(limit, most)), max(1, page)
         rows = self._matching(topic, subject)
         first, end = 0, rows.filter(F.col("level") == LEVELS - 1).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]["n"]
@@ -233,5 +233,6 @@ class SeekIndex:
             return self.spark.createDataFrame([], self.schema)
         at, before = self._find(rows, low)
         last, _ = self._find(rows, high - 1)
-        found = self._messages(rows, at, last, topic, subject).orderBy("seq", "subject").offset(low - before).limit(high - low)
-        return found.orderBy(F.col("seq").desc(), F.col("subject").desc()) if newest else found
+        order = ["seq", "subject", *[c for c in ("msg_id",) if c in self.schema.names]]
+        found = self._messages(rows, at, last, topic, subject).orderBy(*order).offset(low - before).limit(high - low)
+        return found.orderBy(*[F.col(c).desc() for c in order]) if newest else found

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from changefold.plans.pipeline import Pipeline, PipelineSpec, SourceSpec
 from changefold.streaming import log as logs
 from changefold.streaming.seek import SeekIndex
 
@@ -134,3 +135,24 @@ def test_files_that_the_writers_list_names_stay(spark, tmp_path):
     assert index.expire("2024-03-01", 7) == 0
     assert got(index.page(100)) == listing(rows) and spark.read.parquet(index.log).count() == 40
     assert logs.expire_log(spark.read.parquet(index.log), "2024-03-01").count() == 0
+
+
+def test_the_log_of_a_pipeline(spark, tmp_path):
+    """Two tables' snapshots, whose rows share numbers, in pages that hold every message once."""
+    for name, n in (("users", 30), ("items", 25)):
+        spark.range(n).selectExpr("id", "concat('n', id) AS name").coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    sources = [SourceSpec(name, "snapshot", options={"path": f"{tmp_path}/{name}", "table": f"crm.{name}"}) for name in ("users", "items")]
+    pipe = Pipeline(spark, PipelineSpec(sources, log=f"{tmp_path}/log"), f"{tmp_path}/cursors")
+    pipe.run_once()
+    pipe.publish({"availableNow": True}).awaitTermination()
+    index = pipe.index()
+    index.follow().awaitTermination()
+    index.follow().awaitTermination()
+    pages = [index.page(20, p).collect() for p in (1, 2, 3, 4)]
+    assert [len(p) for p in pages] == [20, 20, 15, 0]
+    assert sorted(r["msg_id"] for p in pages for r in p) == sorted(r["msg_id"] for r in pipe.log().collect())
+    users = index.page(100, subject="cdc.users.>").collect()
+    assert {r["tbl"] for r in users} == {"users"} and len(users) == 30
+    assert {r["after"]["name"] for r in users} == {f"n{i}" for i in range(30)}
+    with pytest.raises(ValueError, match="needs a log"):
+        Pipeline(spark, PipelineSpec(sources), f"{tmp_path}/c2").index()
