@@ -177,18 +177,24 @@ class SeekIndex:
         """Rows of the spans of a level in one span of the level above."""
         return (F.col("level") == level) & F.col("node").between(parent << STEP, ((parent + 1) << STEP) - 1)
 
-    def _find(self, rows: DataFrame, rank: int) -> tuple[int, int]:
-        """(lowest span, messages before it) of the message with a rank from 0, which exists. Each step
-        brings the counts of at most 1,024 spans to the driver, the first of 4,096."""
-        before, at = 0, None
+    def _find(self, rows: DataFrame, *ranks: int) -> list[tuple[int, int]]:
+        """(lowest span, messages before it) of the messages with these ranks from 0, which exist. Each step
+        brings the counts of at most 1,024 spans a rank to the driver, the first of 4,096."""
+        at: list[tuple[int | None, int]] = [(None, 0) for _ in ranks]
         for level in reversed(range(LEVELS)):
-            here = F.col("level") == level if at is None else self._within(level, at)
-            for node, n in sorted((r["node"], r["n"]) for r in rows.filter(here).groupBy("node").agg(F.sum("n").alias("n")).filter("n > 0").collect()):
+            here = reduce(lambda x, y: x | y, [F.col("level") == level if node is None else self._within(level, node) for node, _ in at])
+            spans = sorted((r["node"], r["n"]) for r in rows.filter(here).groupBy("node").agg(F.sum("n").alias("n")).filter("n > 0").collect())
+            at = [self._step(spans, above, before, rank) for (above, before), rank in zip(at, ranks, strict=True)]
+        return at
+
+    @staticmethod
+    def _step(spans: list[tuple[int, int]], above: int | None, before: int, rank: int) -> tuple[int, int]:
+        for node, n in spans:
+            if above is None or node >> STEP == above:
                 if before + n > rank:
-                    at = node
-                    break
+                    return node, before
                 before += n
-        return at, before
+        raise LookupError(f"no message has rank {rank}")
 
     def _messages(self, rows: DataFrame, low: int, high: int, topic: str | None, subject: str | None) -> DataFrame:
         """Matching messages of the lowest spans from ``low`` to ``high`` that hold any, from the files that hold them."""
@@ -231,8 +237,7 @@ class SeekIndex:
         high = end - (page - 1) * limit if newest else min(end, low + limit)
         if low >= high:
             return self.spark.createDataFrame([], self.schema)
-        at, before = self._find(rows, low)
-        last, _ = self._find(rows, high - 1)
+        (at, before), (last, _) = self._find(rows, low, high - 1)
         order = ["seq", "subject", *[c for c in ("msg_id",) if c in self.schema.names]]
         found = self._messages(rows, at, last, topic, subject).orderBy(*order).offset(low - before).limit(high - low)
         return found.orderBy(*[F.col(c).desc() for c in order]) if newest else found
