@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
+import tempfile
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -103,10 +104,102 @@ def dedup_messages(df: DataFrame, key: str = "msg_id", at: str = "ts", seconds:
     return once.unionByName(again).select(*df.columns)
 
 
+#: The columns of a block's ids: two hashes of the id, its event time in microseconds, the order of messages of one
+#: time, and whether a message has no id or no time. Bytes of messages of which a task makes blocks at once.
+IDS, PACK_BYTES = ("m_a", "m_b", "m_t", "m_tie", "m_plain"), 32 << 20
+
+
+def _stream_bytes(table: pa.Table) -> bytes:
+    """Rows as an Arrow stream, compressed."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Messages as blocks, each of one bucket: its ids and, apart from these, its rows. Some megabytes are dealt out
+    at once, so a task holds no more."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= PACK_BYTES:
+            yield from _blocks(pa.Table.from_batches(held))
+            held, size = [], 0
+    if held:
+        yield from _blocks(pa.Table.from_batches(held))
+
+
+def _blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    order = np.argsort(table["m_bucket"].to_numpy(), kind="stable")
+    table = table.take(pa.array(order)).combine_chunks()
+    bucket = table["m_bucket"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
+    ids, rows = table.select(IDS), table.drop_columns(["m_bucket", "m_arrived", *IDS])
+    for start, end in zip(starts, [*starts[1:], len(bucket)], strict=True):
+        at = slice(start, end)
+        parts = [_stream_bytes(x.slice(start, end - start)) for x in (ids, rows)]
+        yield pa.RecordBatch.from_arrays(
+            [table["m_bucket"][at][:1].combine_chunks(), table["m_arrived"][at][:1].combine_chunks(), *[pa.array([x], pa.binary()) for x in parts]],
+            ["m_bucket", "m_arrived", "m_ids", "m_rows"],
+        )
+
+
+def unpack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of blocks that are accepted, in batches of some thousands."""
+    held, size = [], 0
+    for batch in batches:
+        for rows, ok in zip(batch.column("rows"), batch.column("ok"), strict=True):
+            table = pa.ipc.open_stream(rows.as_buffer()).read_all()
+            if ok.is_valid:
+                table = table.filter(pa.array(np.frombuffer(ok.as_buffer(), dtype=bool)))
+            held.append(table)
+            size += table.num_rows
+            if size >= 10_000:
+                yield from pa.concat_tables(held).combine_chunks().to_batches(max_chunksize=10_000)
+                held, size = [], 0
+    if held:
+        yield from pa.concat_tables(held).combine_chunks().to_batches(max_chunksize=10_000)
+
+
+def accept_ids(ids: pa.Table, known: np.ndarray, window: int) -> np.ndarray:
+    """Which messages of a batch are accepted, in order of time and then of ``m_tie``, where ``known`` (two hashes of
+    an id and a time) were accepted before: those that no accepted message of their id is less than the window before.
+
+    Ids whose messages all lie in one window are decided at once, by their first; the others one by one.
+    """
+    a, b, t, plain = (ids[c].to_numpy() for c in ("m_a", "m_b", "m_t", "m_plain"))
+    ok = plain.astype(bool)
+    mine = np.flatnonzero(~ok)
+    tie = pc.rank(ids["m_tie"].combine_chunks(), sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
+    keys = [np.concatenate([known[:, i], c[mine]]) for i, c in enumerate((a, b, t))]
+    at = np.concatenate([np.full(len(known), -1), mine])  # the message, or that it was accepted before
+    order = np.lexsort((np.concatenate([np.zeros(len(known), np.int64), tie[mine]]), keys[2], keys[1], keys[0]))
+    (a, b, t), at = (k[order] for k in keys), at[order]
+    if not len(at):
+        return ok
+    starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    ends = np.r_[starts[1:], len(at)]
+    wide = t[ends - 1] - t[starts] >= window
+    first = at[starts]
+    ok[first[first >= 0]] = True  # nothing is before it
+    for start, end in zip(starts[wide].tolist(), ends[wide].tolist(), strict=True):
+        last = None
+        for time, i in zip(t[start:end].tolist(), at[start:end].tolist(), strict=True):
+            if i < 0 or last is None or time - last >= window:
+                last = time
+                if i >= 0:
+                    ok[i] = True
+    return ok
+
+
 class AcceptedIds(StatefulProcessor):
     """Per bucket of ids, when each was accepted, as one block of numbers: two hashes of the id, the
     event time and the time of arrival, all in microseconds. A bucket is looked up and stored once a
-    batch, whatever its ids; entries go when they arrived longer ago than ``lag``."""
+    batch, whatever its ids; entries go when they arrived longer ago than ``lag``.
+
+    Of a batch the ids alone are held in memory; the messages' blocks wait in a file."""
 
     def __init__(self, seconds: int, lag: int):
         self.window, self.lag = seconds * 1_000_000, lag * 1_000_000
@@ -128,27 +221,33 @@ class AcceptedIds(StatefulProcessor):
             self.held.clear()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True)
-        now = int(frame["m_now"].max())
-        known = self._known(now)
-        times: dict[tuple[int, int], list[int]] = {}
-        for a, b, t, _ in known.tolist():
-            insort(times.setdefault((a, b), []), t)
-        ok, new = np.ones(len(frame), dtype=bool), []
-        order = frame.sort_values(["m_t", "m_tie"], kind="stable").index
-        for i, a, b, t, plain in zip(order, *[frame.loc[order, c].tolist() for c in ("m_a", "m_b", "m_t", "m_plain")], strict=True):
-            if plain:
-                continue  # without id or time
-            before = times.setdefault((a, b), [])
-            at = bisect_right(before, t)
-            if at and t - before[at - 1] < self.window:
-                ok[i] = False
-            else:
-                before.insert(at, t)
-                new.append((a, b, t, now))
-        if new:
-            self._keep(np.concatenate([known, np.array(new, dtype=np.int64)]), now)
-        yield frame.loc[ok, [c for c in frame.columns if not c.startswith("m_")]]
+        tables, sizes, now = [], [], 0
+        with tempfile.TemporaryFile() as file:
+            for frame in rows:
+                now = max(now, int(frame["m_now"].max()))
+                tables += [pa.ipc.open_stream(x).read_all() for x in frame["m_ids"]]
+                for block in frame["m_rows"]:
+                    sizes.append(file.write(block))
+            known, counts, ids = self._known(now), [t.num_rows for t in tables], pa.concat_tables(tables)
+            del tables
+            ok = accept_ids(ids, known, self.window)
+            new = ok & ~ids["m_plain"].to_numpy().astype(bool)
+            if new.any():
+                fresh = [ids[c].to_numpy()[new] for c in ("m_a", "m_b", "m_t")]
+                self._keep(np.concatenate([known, np.column_stack([*fresh, np.full(len(fresh[0]), now)])]), now)
+            del ids
+            file.seek(0)
+            out, held, start = [], 0, 0
+            for count, size in zip(counts, sizes, strict=True):
+                block, mask = file.read(size), ok[start : start + count]
+                start += count
+                if mask.any():
+                    out.append((block, None if mask.all() else mask.tobytes()))
+                    held += size
+                if held >= PACK_BYTES:
+                    yield pd.DataFrame(out, columns=["rows", "ok"], dtype=object)
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=["rows", "ok"], dtype=object)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs() * 1000
@@ -161,7 +260,7 @@ class AcceptedIds(StatefulProcessor):
 
 
 def dedup_stream(
-    df: DataFrame, key: str = "msg_id", at: str = "ts", seconds: int = DUPLICATE_SECONDS, tie: str = "seq", lag: int = LAG_SECONDS, buckets: int = 64,
+    df: DataFrame, key: str = "msg_id", at: str = "ts", seconds: int = DUPLICATE_SECONDS, tie: str = "seq", lag: int = LAG_SECONDS, buckets: int = 256,
 ) -> DataFrame:
     """Drop messages of a stream whose id was accepted less than the window before, by event time; the
     window starts anew with each accepted message, as in ``dedup_messages``, and the results are the same
@@ -170,41 +269,24 @@ def dedup_stream(
     An id is remembered for ``lag`` seconds after a message of it was accepted, by time of arrival, so a source that lags behind
     others is never too late and none is lost; a message that comes before an accepted one in time is accepted
     unless one less than the window before it was. Messages without id or time always pass.
-    State is kept by ``buckets`` of ids, 32 bytes an id: a task holds one bucket's ids and its messages of one batch,
-    which ``files_per_trigger`` of a source bounds. The state store is RocksDB, as such operators need.
+    State is kept by ``buckets`` of ids, 32 bytes an id; a checkpoint keeps the number that it began with. Messages travel
+    as Arrow blocks by bucket: a task holds one bucket's ids of one batch, some 100 bytes each, while the messages themselves pass
+    by block. The state store is RocksDB, as such operators need.
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    packed, kinds = [], []
-    for i, f in enumerate(df.schema):
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):  # pandas and JSON would round or move times
-            c, kind = F.unix_micros(c.cast("timestamp")), "long"
-        elif isinstance(f.dataType, (T.StringType, T.LongType, T.BooleanType, T.BinaryType)):
-            kind = f.dataType.simpleString()
-        else:
-            c, kind = F.to_json(F.struct(c.alias("v"))), "string"
-        packed.append((F.to_json(F.struct(c.alias("v"))) if kind in ("long", "bigint", "boolean") else c).alias(f"c{i}"))
-        kinds.append((f"c{i}", "string" if kind in ("long", "bigint", "boolean") else kind))
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     plain = F.col(key).isNull() | micros.isNull()
-    arrived = df.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", "0 seconds")
-    rows = arrived.select(
+    rows = df.select(
         F.pmod(F.xxhash64(key, F.when(plain, F.col(tie))), F.lit(buckets)).cast("int").alias("m_bucket"), F.xxhash64(key).alias("m_a"), F.xxhash64(F.lit(1), key).alias("m_b"),
-        F.coalesce(micros, F.lit(0).cast("long")).alias("m_t"), F.col(tie).alias("m_tie"), plain.alias("m_plain"), F.unix_micros("_arrived").alias("m_now"), "_arrived", *packed,
+        F.coalesce(micros, F.lit(0).cast("long")).alias("m_t"), F.col(tie).alias("m_tie"), plain.alias("m_plain"), F.unix_micros(F.current_timestamp()).alias("m_arrived"),
+        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)],
     )
-    out = rows.groupBy("m_bucket").transformWithStateInPandas(AcceptedIds(seconds, max(lag, seconds)), ", ".join(f"{n} {k}" for n, k in kinds), "Append", "EventTime")
-    return out.select(*[_unpacked(F.col(n), f).alias(f.name) for (n, _), f in zip(kinds, df.schema, strict=True)])
-
-
-def _unpacked(c: Column, field: T.StructField) -> Column:
-    """A column of ``dedup_stream``'s rows as it was."""
-    kind = field.dataType
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        return c
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.timestamp_micros(F.from_json(c, "v long")["v"]).cast(kind)
-    return F.from_json(c, T.StructType([T.StructField("v", kind)]))["v"]
+    blocks = rows.mapInArrow(pack_blocks, "m_bucket int, m_arrived long, m_ids binary, m_rows binary")
+    arrived = blocks.select("m_bucket", F.col("m_arrived").alias("m_now"), "m_ids", "m_rows", F.timestamp_micros("m_arrived").alias("_arrived")).withWatermark("_arrived", "0 seconds")
+    accepted = arrived.groupBy("m_bucket").transformWithStateInPandas(AcceptedIds(seconds, max(lag, seconds)), "rows binary, ok binary", "Append", "EventTime")
+    out = accepted.mapInArrow(unpack_blocks, T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema)]))
+    return out.toDF(*df.columns)
 
 
 def expire_log(log: DataFrame, now: str, days: int = KEEP_DAYS, at: str = "ts") -> DataFrame:
