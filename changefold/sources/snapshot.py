@@ -13,6 +13,8 @@ from changefold.streaming.log import assign_batches
 
 #: Rows of a chunk, seconds after which a claim lapses.
 CHUNK_ROWS, CLAIM_SECONDS = 8000, 30
+#: Copies up to which equal rows are written out where they were counted.
+FEW_COPIES = 8
 
 
 def digest(*columns: Column) -> Column:
@@ -26,17 +28,23 @@ def whole_row(df: DataFrame) -> list[Column]:
     return [F.to_json(F.struct(F.col(f"`{f.name}`"))) if isinstance(f.dataType, plain) else F.col(f"`{f.name}`") for f in df.schema]
 
 
+def tasks_for(df: DataFrame, most: int = 400_000) -> int:
+    """Tasks of which each has some ``most`` rows. A table of files tells its number of rows without being read."""
+    return -(-df.count() // most) or 1
+
+
 def number_copies(df: DataFrame, name: str = "row_id", most: int = 100_000) -> DataFrame:
     """The rows with a column ``name``: a digest of the row and, for equal rows, which copy it is.
 
     Equal rows are counted, not gathered: counts are added up before the shuffle, and a row is written out as often
-    as it was counted, in runs of ``most`` copies that are dealt out anew, so that one row that
-    fills a table is no hot key.
+    as it was counted. Rows with more than a few copies are so in runs of at most ``most``, which are dealt out
+    evenly over as many tasks as the table has rows for: what a task writes out doesn't follow from the bytes of its
+    runs, by which adaptive execution would put all into one.
     """
     copies = df.withColumn("_d", digest(*whole_row(df))).groupBy("_d").agg(F.any_value(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("_r"), F.count("*").alias("_n"))
-    few, many = copies.filter(F.col("_n") <= most), copies.filter(F.col("_n") > most)
+    few, many = copies.filter(F.col("_n") <= FEW_COPIES), copies.filter(F.col("_n") > FEW_COPIES)
     span = lambda a, b: F.explode(F.sequence(a, b))
-    runs = many.select("_d", "_r", "_n", span(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / most)).alias("_run")).repartition("_d", "_run")
+    runs = many.select("_d", "_r", "_n", span(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / most)).alias("_run")).repartition(tasks_for(df, 4 * most))
     ends = F.least(F.col("_n"), (F.col("_run") + 1) * most) - 1
     each = few.select("_d", "_r", span(F.lit(0).cast("long"), F.col("_n") - 1).alias("_c")).unionByName(runs.select("_d", "_r", span(F.col("_run") * most, ends).alias("_c")))
     return each.select("_r.*", F.concat_ws(".", "_d", F.col("_c").cast("string")).alias(name))

@@ -78,3 +78,11 @@ def test_hand_off_stopped_between_chunks(spark, tmp_path):
         assert sorted((r["op"], r["id"]) for r in rows) == [("r", i) for i in range(30)] + [("u", i) for i in range(4, 9)]
     with pytest.raises(ValueError, match="needs a log"):
         Pipeline(spark, PipelineSpec([source]), f"{tmp_path}/cp2")
+
+
+def test_copies_are_written_out_by_many_tasks(spark):
+    """Rows that fill a table aren't written out by one task, however few bytes their runs have."""
+    rows = spark.range(4000).select(F.lit("x").alias("v")).unionByName(spark.range(900).select((F.col("id") % 100).cast("string").alias("v")))
+    got = snapshot.number_copies(rows, most=100)
+    tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 4900 and max(tasks) <= 1000 and got.select("row_id").distinct().count() == 4900
