@@ -74,12 +74,12 @@ def src1(spark, d):
 @query(
     "src8_snapshot_to_events",
     "SELECT 'inst0' AS instance_id, 'public' AS \"schema\", 'orders' AS tbl, 'r' AS op, 0 AS lsn, CAST(o_orderkey AS VARCHAR) "
-    "AS id, o_orderstatus AS status, 32 AS id_length FROM orders",
+    "AS id, o_orderstatus AS status, o_orderkey AS ordinal, 32 AS id_length FROM orders",
 )
 def src8(spark, d):
     events = snapshot.snapshot_to_events(table(spark, d, "orders"), "public.orders", "inst0", "o_orderkey")
     return events.select(
-        "instance_id", "schema", "tbl", "op", "lsn", F.col("after")["o_orderkey"].alias("id"), F.col("after")["o_orderstatus"].alias("status"),
+        "instance_id", "schema", "tbl", "op", "lsn", F.col("after")["o_orderkey"].alias("id"), F.col("after")["o_orderstatus"].alias("status"), "ordinal",
         F.length("row_id").alias("id_length"),
     )
 

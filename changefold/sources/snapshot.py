@@ -56,10 +56,12 @@ def snapshot_to_events(df: DataFrame, name: str, instance: str, key: str | list[
 
     ``row_id`` is the given column, else a digest of the key columns' names and of the row, so that rows
     which a key that isn't one doesn't tell apart stay apart; without a key (and on a batch
-    only) equal rows are numbered.
+    only) equal rows are numbered. A key of one whole-number column is the events' ``ordinal`` too.
     """
     schema, _, table = name.rpartition(".") if name.count(".") == 1 else ("public", "", name)
-    columns = df.columns
+    columns, place = df.columns, []
+    if isinstance(key, str) and isinstance(df.schema[key].dataType, T.IntegralType):
+        place = [F.col(f"`{key}`").cast("long").alias("ordinal")]
     if row_id is not None:
         rows = df.withColumn("_row_id", row_id)
     elif key is None:
@@ -70,7 +72,7 @@ def snapshot_to_events(df: DataFrame, name: str, instance: str, key: str | list[
     image = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(f"`{c}`").cast("string") for c in columns]))
     return rows.select(
         F.lit(instance).alias("instance_id"), F.lit(schema).alias("schema"), F.lit(table).alias("tbl"), F.lit("r").alias("op"), F.lit("0").alias("offset"), F.lit(0).cast("long").alias("lsn"),
-        F.col("_row_id").alias("row_id"), F.lit(None).cast("map<string,string>").alias("before"), image.alias("after"),
+        *place, F.col("_row_id").alias("row_id"), F.lit(None).cast("map<string,string>").alias("before"), image.alias("after"),
     )
 
 

@@ -86,3 +86,11 @@ def test_copies_are_written_out_by_many_tasks(spark):
     got = snapshot.number_copies(rows, most=100)
     tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(tasks) == 4900 and max(tasks) <= 1000 and got.select("row_id").distinct().count() == 4900
+
+
+def test_events_tell_the_place_of_their_row(spark):
+    """A whole-number key is the ordinal; other keys and rows without key have none."""
+    rows = spark.range(5).select(F.col("id").cast("int").alias("n"), F.concat(F.lit("k"), "id").alias("code"))
+    got = snapshot.snapshot_to_events(rows, "t", "i", "n").select("ordinal", F.col("after")["n"].cast("long").alias("n")).collect()
+    assert sorted(map(tuple, got)) == [(i, i) for i in range(5)]
+    assert all("ordinal" not in snapshot.snapshot_to_events(rows, "t", "i", k).columns for k in (None, "code", ["n"]))
