@@ -256,7 +256,10 @@ class Pipeline:
         parts = []
         for s in self.spec.sources:
             s = replace(s, options=s.options | {"only_snapshot": True}) if only_snapshots and s.type == "handoff" else s
-            changes = table_allowed(builder(SOURCES, s.type)(self.spark, s, stream), s.tables)
+            changes = builder(SOURCES, s.type)(self.spark, s, stream)
+            if stream and s.options.get("files_per_trigger"):  # a batch of few files is read by few tasks
+                changes = changes.repartition(self.spark.sparkContext.defaultParallelism)
+            changes = table_allowed(changes, s.tables)
             changes = apply_transformers(apply_filters(changes, self.spec.filters), self.spec.transformers)
             parts.append(to_messages(changes, s.topic))
         return fan_in(*parts)
