@@ -34,7 +34,8 @@ class MergeTable:
     whose values don't cast becomes as wide as they need (integers, numbers, truth values, then text). Folds
     hold text, so that no row is rewritten for it; ``alterations`` tells what changed and when.
 
-    One task writes a bucket: choose buckets so that one holds about a gigabyte. One writer at a time.
+    A bucket is written by as many tasks as its size needs (adaptive execution splits it, and puts small ones
+    into one task). One writer at a time.
     """
 
     def __init__(self, path: str, key: str, schema: T.StructType, position: list[str], buckets: int = 16, compact: int = 8, share: float = 0.25, evolve: bool = False):
@@ -70,7 +71,7 @@ class MergeTable:
         """Write folds by bucket; how many rows each bucket that has any got."""
         path = f"{self.path}/data/version={version}"
         dealt = folded.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
-        dealt.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        dealt.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(path)
         counts = folded.sparkSession.read.schema(T.StructType([*folded.schema, T.StructField("bucket", T.IntegerType())])).parquet(path).groupBy("bucket").count()
         return {str(r[0]): r[1] for r in counts.collect()}  # a row per bucket
 
