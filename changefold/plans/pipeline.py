@@ -19,7 +19,7 @@ from changefold.sources.changes import fan_in, read_changes
 from changefold.sources.decode import binlog_rows_to_events, poll_rows_to_events, wal_rows_to_events
 from changefold.sources.poll import PollSource
 from changefold.sources.snapshot import digest, hand_off, row_number, snapshot_to_events
-from changefold.streaming.log import KEEP_DAYS, PARTITIONS, dedup_stream, publish_log, to_messages
+from changefold.streaming.log import KEEP_DAYS, PARTITIONS, dedup_stream, message_id, publish_log, to_messages
 from changefold.streaming.seek import SeekIndex
 from changefold.streaming.sinks import AppendSink, FunctionSink, Sink, TableSink, WebhookSink, run_sink
 
@@ -251,8 +251,8 @@ class Pipeline:
         self.spark, self.spec, self.checkpoint = spark, spec, checkpoint
         self.queries: dict[str, StreamingQuery] = {}
 
-    def messages(self, stream: bool = False, only_snapshots: bool = False) -> DataFrame:
-        """All sources' changes after filters and transformers, as messages."""
+    def changes(self, stream: bool = False, only_snapshots: bool = False) -> DataFrame:
+        """All sources' changes after filters and transformers, with their topics and without what messages add."""
         parts = []
         for s in self.spec.sources:
             s = replace(s, options=s.options | {"only_snapshot": True}) if only_snapshots and s.type == "handoff" else s
@@ -261,9 +261,13 @@ class Pipeline:
                 changes = changes.repartition(self.spark.sparkContext.defaultParallelism)
             changes = table_allowed(changes, s.tables)
             changes = apply_transformers(apply_filters(changes, self.spec.filters), self.spec.transformers)
-            parts.append(to_messages(changes, s.topic))
+            parts.append(changes.withColumn("topic", F.lit(s.topic)).drop("subject", "headers", "msg_id"))
         return fan_in(*parts)
 
+    def messages(self, stream: bool = False) -> DataFrame:
+        """All sources' changes as messages."""
+        return to_messages(self.changes(stream), F.col("topic"))
+
     def log(self, stream: bool = False) -> DataFrame:
         """What sinks read: the message log, or the sources' messages where there is none."""
         if not self.spec.log:
@@ -282,7 +286,8 @@ class Pipeline:
         return SeekIndex(self.spark, f"{self.checkpoint}/_seek", self.spec.log, self._log_schema())
 
     def _publish(self, trigger: dict | None, only_snapshots: bool = False) -> StreamingQuery:
-        messages = dedup_stream(self.messages(True, only_snapshots))
+        changes = self.changes(True, only_snapshots)
+        messages = to_messages(dedup_stream(changes, message_id(changes)), F.col("topic"))  # what follows from a change takes no part in the dedup
         return publish_log(messages, self.spec.log, f"{self.checkpoint}/_publish", trigger, self.spec.keep_days)
 
     def snapshots(self, trigger: dict | None = None) -> StreamingQuery:

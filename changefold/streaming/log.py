@@ -31,13 +31,24 @@ PERMANENT = ("validation", "configuration", "schema", "serialization", "unsuppor
 PARTITIONS = ("topic", "instance_id", "schema", "tbl")
 
 
-def to_messages(df: DataFrame, topic: str = "cdc", ordinals: tuple[str, ...] | None = None) -> DataFrame:
-    """Envelopes as messages: subject, headers and message id. The lsn header is there only
-    if positive, offset and id only if the offset isn't empty.
+def message_id(df: DataFrame, ordinals: tuple[str, ...] | None = None) -> Column:
+    """The message id of envelopes, null where the offset is empty.
 
     Rows of a snapshot, a poll or a rows event share one offset. Where a row has an
     ``ordinal`` or a ``row_id``, its id therefore has its table and these in it too, unless
-    ``ordinals`` names other columns (none for the bare id).
+    ``ordinals`` names other columns (none for the bare id). A row has the same id in a union with rows of other columns.
+    """
+    if ordinals is not None:
+        more = [F.col(o) for o in ordinals]
+    else:
+        own = [F.col(c) for c in ("ordinal", "row_id") if c in df.columns]
+        more = [F.when(F.coalesce(*[c.cast("string") for c in own]).isNotNull(), F.concat_ws(".", "schema", "tbl")), *own] if own else []
+    return msg_id(F.col("instance_id"), F.col("offset"), *more)
+
+
+def to_messages(df: DataFrame, topic: str | Column = "cdc", ordinals: tuple[str, ...] | None = None) -> DataFrame:
+    """Envelopes as messages: subject, headers and message id (see ``message_id``). The lsn header is there only
+    if positive, offset and id only if the offset isn't empty.
     """
     rows = df.withColumn("topic", F.coalesce(F.nullif(F.lit(topic), F.lit("")), F.lit("cdc")))
     has = F.coalesce("offset", F.lit("")) != ""
@@ -45,14 +56,9 @@ def to_messages(df: DataFrame, topic: str = "cdc", ordinals: tuple[str, ...] | N
         F.lit("instance"), "instance_id", F.lit("schema"), "schema", F.lit("table"), "tbl", F.lit("op"), "op",
         F.lit("lsn"), F.when(F.col("lsn") > 0, F.col("lsn").cast("string")), F.lit("offset"), F.when(has, F.col("offset")),
     )
-    if ordinals is not None:
-        more = [F.col(o) for o in ordinals]
-    else:
-        own = [F.col(c) for c in ("ordinal", "row_id") if c in df.columns]
-        more = [F.when(F.coalesce(*[c.cast("string") for c in own]).isNotNull(), F.concat_ws(".", "schema", "tbl")), *own] if own else []
     rows = rows.withColumn("subject", build_subject(F.col("topic"), F.col("instance_id"), F.col("schema"), F.col("tbl")))
     rows = rows.withColumn("headers", F.map_filter(all_, lambda k, v: v.isNotNull()))
-    return rows.withColumn("msg_id", msg_id(F.col("instance_id"), F.col("offset"), *more))
+    return rows.withColumn("msg_id", message_id(df, ordinals))
 
 
 def publish_log(messages: DataFrame, path: str, checkpoint: str | None = None, trigger: dict | None = None, keep_days: int | None = None):
@@ -107,6 +113,8 @@ def dedup_messages(df: DataFrame, key: str = "msg_id", at: str = "ts", seconds:
 #: The columns of a block's ids: two hashes of the id, its event time in microseconds, the order of messages of one
 #: time, and whether a message has no id or no time. Bytes of messages of which a task makes blocks at once.
 IDS, PACK_BYTES = ("m_a", "m_b", "m_t", "m_tie", "m_plain"), 32 << 20
+#: Bytes of accepted blocks that are handed on at once.
+HAND_ON_BYTES = 8 << 20
 
 
 def _stream_bytes(table: pa.Table) -> bytes:
@@ -244,7 +252,7 @@ class AcceptedIds(StatefulProcessor):
                 if mask.any():
                     out.append((block, None if mask.all() else mask.tobytes()))
                     held += size
-                if held >= PACK_BYTES:
+                if held >= HAND_ON_BYTES:
                     yield pd.DataFrame(out, columns=["rows", "ok"], dtype=object)
                     out, held = [], 0
             yield pd.DataFrame(out, columns=["rows", "ok"], dtype=object)
@@ -260,7 +268,7 @@ class AcceptedIds(StatefulProcessor):
 
 
 def dedup_stream(
-    df: DataFrame, key: str = "msg_id", at: str = "ts", seconds: int = DUPLICATE_SECONDS, tie: str = "seq", lag: int = LAG_SECONDS, buckets: int = 256,
+    df: DataFrame, key: str | Column = "msg_id", at: str = "ts", seconds: int = DUPLICATE_SECONDS, tie: str = "seq", lag: int = LAG_SECONDS, buckets: int = 256,
 ) -> DataFrame:
     """Drop messages of a stream whose id was accepted less than the window before, by event time; the
     window starts anew with each accepted message, as in ``dedup_messages``, and the results are the same
@@ -271,12 +279,13 @@ def dedup_stream(
     unless one less than the window before it was. Messages without id or time always pass.
     State is kept by ``buckets`` of ids, 32 bytes an id; a checkpoint keeps the number that it began with. Messages travel
     as Arrow blocks by bucket: a task holds one bucket's ids of one batch, some 100 bytes each, while the messages themselves pass
-    by block. The state store is RocksDB, as such operators need.
+    by block. So columns that follow from others are best made of what comes out, and ``key`` may be an expression. The state store is RocksDB, as such operators need.
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    plain = F.col(key).isNull() | micros.isNull()
+    key = F.col(key) if isinstance(key, str) else key
+    plain = key.isNull() | micros.isNull()
     rows = df.select(
         F.pmod(F.xxhash64(key, F.when(plain, F.col(tie))), F.lit(buckets)).cast("int").alias("m_bucket"), F.xxhash64(key).alias("m_a"), F.xxhash64(F.lit(1), key).alias("m_b"),
         F.coalesce(micros, F.lit(0).cast("long")).alias("m_t"), F.col(tie).alias("m_tie"), plain.alias("m_plain"), F.unix_micros(F.current_timestamp()).alias("m_arrived"),
