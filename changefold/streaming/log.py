@@ -267,6 +267,16 @@ class AcceptedIds(StatefulProcessor):
         pass
 
 
+def empty_values(schema: T.StructType) -> dict[int, Column]:
+    """By place, the empty map or array for columns of such types.
+
+    Null ones are dear on the way to Python: as the size of an Arrow batch is taken after each row, the offsets of a run of
+    nulls are filled in anew for each row of it. So they travel as empty ones beside a flag.
+    """
+    kinds = {T.MapType: F.create_map, T.ArrayType: F.array}
+    return {i: kinds[type(f.dataType)]().cast(f.dataType) for i, f in enumerate(schema) if type(f.dataType) in kinds}
+
+
 def dedup_stream(
     df: DataFrame, key: str | Column = "msg_id", at: str = "ts", seconds: int = DUPLICATE_SECONDS, tie: str = "seq", lag: int = LAG_SECONDS, buckets: int = 256,
 ) -> DataFrame:
@@ -286,16 +296,19 @@ def dedup_stream(
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     key = F.col(key) if isinstance(key, str) else key
     plain = key.isNull() | micros.isNull()
+    empty = empty_values(df.schema)
     rows = df.select(
         F.pmod(F.xxhash64(key, F.when(plain, F.col(tie))), F.lit(buckets)).cast("int").alias("m_bucket"), F.xxhash64(key).alias("m_a"), F.xxhash64(F.lit(1), key).alias("m_b"),
         F.coalesce(micros, F.lit(0).cast("long")).alias("m_t"), F.col(tie).alias("m_tie"), plain.alias("m_plain"), F.unix_micros(F.current_timestamp()).alias("m_arrived"),
-        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)],
+        *[(F.coalesce(F.col(f"`{f.name}`"), empty[i]) if i in empty else F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(df.schema)],
+        *[F.col(f"`{df.columns[i]}`").isNull().alias(f"n{i}") for i in empty],
     )
     blocks = rows.mapInArrow(pack_blocks, "m_bucket int, m_arrived long, m_ids binary, m_rows binary")
     arrived = blocks.select("m_bucket", F.col("m_arrived").alias("m_now"), "m_ids", "m_rows", F.timestamp_micros("m_arrived").alias("_arrived")).withWatermark("_arrived", "0 seconds")
     accepted = arrived.groupBy("m_bucket").transformWithStateInPandas(AcceptedIds(seconds, max(lag, seconds)), "rows binary, ok binary", "Append", "EventTime")
-    out = accepted.mapInArrow(unpack_blocks, T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema)]))
-    return out.toDF(*df.columns)
+    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema)] + [T.StructField(f"n{i}", T.BooleanType()) for i in empty]
+    out = accepted.mapInArrow(unpack_blocks, T.StructType(fields))
+    return out.select(*[(F.when(~F.col(f"n{i}"), F.col(f"c{i}")) if i in empty else F.col(f"c{i}")).alias(c) for i, c in enumerate(df.columns)])
 
 
 def expire_log(log: DataFrame, now: str, days: int = KEEP_DAYS, at: str = "ts") -> DataFrame:

@@ -36,3 +36,15 @@ def test_ids_are_the_same_in_a_union(spark):
     placed, numbered = plain.withColumn("row_id", F.lit("r")), plain.withColumn("ordinal", F.lit(5).cast("long")).withColumn("row_id", F.lit(None).cast("string"))
     one = fan_in(*[df.withColumn("want", logs.message_id(df)) for df in (plain, placed, numbered)])
     assert one.count() == 9 and one.filter(~F.col("want").eqNullSafe(logs.message_id(one))).count() == 0
+
+
+def test_null_maps_and_arrays_travel_as_empty_ones(spark, tmp_path):
+    rows = envelopes(spark).withColumn("msg_id", F.col("seq").cast("string")).withColumn("a.b", F.when(F.col("seq") < 3, F.array(F.nullif("seq", F.lit(1)))))
+    rows = rows.withColumn("ts", F.timestamp_seconds("seq"))
+    rows.write.parquet(f"{tmp_path}/src")
+    out = logs.dedup_stream(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/src"))
+    plan = out._jdf.queryExecution().logical().toString()
+    assert all(f"coalesce({c}" in plan for c in ("before", "after")) and out.schema.simpleString() == rows.schema.simpleString()
+    logs.publish_log(out, f"{tmp_path}/log", f"{tmp_path}/cp").awaitTermination()
+    text = lambda df: sorted(str(r) for r in df.select(*[F.col(f"`{c}`") for c in rows.columns]).collect())
+    assert text(spark.read.parquet(f"{tmp_path}/log")) == text(rows)
