@@ -18,7 +18,7 @@ from changefold.plans.scratch import Marker, scratch_root
 from changefold.sources.changes import fan_in, read_changes
 from changefold.sources.decode import binlog_rows_to_events, poll_rows_to_events, wal_rows_to_events
 from changefold.sources.poll import PollSource
-from changefold.sources.snapshot import digest, hand_off, row_number, snapshot_to_events
+from changefold.sources.snapshot import digest, hand_off, place, place_number, snapshot_to_events
 from changefold.streaming.log import KEEP_DAYS, PARTITIONS, dedup_stream, message_id, publish_log, to_messages
 from changefold.streaming.seek import SeekIndex
 from changefold.streaming.sinks import AppendSink, FunctionSink, Sink, TableSink, WebhookSink, run_sink
@@ -127,9 +127,9 @@ def _snapshot(spark: SparkSession, spec: SourceSpec, stream: bool) -> DataFrame:
     """A row's identity is its place, file and row, so keys need not tell rows apart, and a
     restart gives the same."""
     o = spec.options
-    place = digest(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-    events = snapshot_to_events(_rows(spark, o["path"], stream, spec), o["table"], spec.instance_id, row_id=place)
-    return events.withColumn("seq", row_number(F.col("row_id"))).withColumn("ts", F.current_timestamp())
+    row_id = place(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    events = snapshot_to_events(_rows(spark, o["path"], stream, spec), o["table"], spec.instance_id, row_id=row_id)
+    return events.withColumn("seq", place_number(F.col("row_id"))).withColumn("ts", F.current_timestamp())
 
 
 def _handoff(spark: SparkSession, spec: SourceSpec, stream: bool) -> DataFrame:

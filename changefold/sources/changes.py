@@ -9,6 +9,13 @@ from pyspark.sql import types as T
 from changefold.model import ENVELOPE
 
 
+def _as_pattern(spark: SparkSession, path: str) -> str:
+    """A single file as a pattern that only it matches, as streams read folders and patterns alone."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return f"{path[:-1]}[{path[-1]}]" if files.exists(at) and files.getFileStatus(at).isFile() else path
+
+
 def read_changes(
     spark: SparkSession, path: str, after: Column | None = None, stream: bool = False, schema: T.StructType = ENVELOPE, form: str = "parquet",
     files_per_trigger: int | None = None, names: str | None = None,
@@ -21,7 +28,7 @@ def read_changes(
         reader = reader.option("pathGlobFilter", names)
     if stream and files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    df = reader.load(path)
+    df = reader.load(_as_pattern(spark, path) if stream else path)
     return df if after is None else df.filter(after)
 
 

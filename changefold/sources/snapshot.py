@@ -76,9 +76,16 @@ def snapshot_to_events(df: DataFrame, name: str, instance: str, key: str | list[
     )
 
 
-def row_number(row_id: Column) -> Column:
-    """60 bits of a row's digest, as ``seq`` of rows that have no number of their own."""
-    return F.conv(F.substring(F.md5(row_id.cast("binary")), 1, 15), 16, 10).cast("long")
+def place(file: Column, row: Column) -> Column:
+    """Identity of a row by its file and its place there: a digest of the file, then the place. Rows that lie side by side
+    have nearly the same, so messages hold it in few bytes, which a digest of each row would not allow."""
+    return F.concat_ws(".", F.md5(file.cast("binary")), row.cast("string"))
+
+
+def place_number(place: Column) -> Column:
+    """28 bits of the file and 35 of the place, as ``seq`` of rows that have no number of their own."""
+    file, row = F.pmod(F.xxhash64(F.substring(place, 1, 32)), F.lit(1 << 28)), F.substring_index(place, ".", -1)
+    return F.shiftleft(file, 35) + row.cast("long")
 
 
 def should_snapshot(instances: DataFrame, offsets: DataFrame) -> DataFrame:
