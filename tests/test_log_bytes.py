@@ -3,6 +3,7 @@
 import datetime as dt
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
@@ -51,6 +52,14 @@ def test_blocks_of_messages_are_small(spark, tmp_path):
     assert sorted(map(str, out.to_pylist())) == sorted(map(str, messages.to_pylist()))
 
 
+def test_ids_take_little_more_than_their_hashes():
+    rng, n = np.random.default_rng(4), 4000
+    numbers = [rng.integers(-(2**62), 2**62, n), rng.integers(-(2**62), 2**62, n), np.full(n, 1_700_000_000_000_000), 2**60 + 7 * np.arange(n)]
+    columns = [pa.array(np.arange(n) % 10, pa.int32()), *map(pa.array, numbers), pa.array([False] * n), pa.array([7] * n, pa.int64()), pa.array(["x"] * n)]
+    blocks = list(logs.pack_blocks([pa.RecordBatch.from_arrays(columns, ["m_bucket", *logs.IDS, "m_arrived", "c0"])]))
+    assert sum(len(b.column("m_ids")[0].as_py()) for b in blocks) < 21 * n
+
+
 def test_all_types_pass(spark, tmp_path):
     """Types that Parquet has not come out as they went in."""
     row = (
